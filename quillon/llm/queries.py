@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
 from .packing import pack
+from .quality import ledger, verdicts
 from .sharding import shard
 from .warc import round_trip
 
@@ -59,3 +60,26 @@ def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_warc_segments")
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op3_quality_ledger",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    p AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+                 list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    g AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
+    m AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g),
+    r AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM m, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY rid),
+    f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                 (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                 (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+                 len(l)::BIGINT AS n_lines FROM p LEFT JOIN r USING (rid)),
+    b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+                 + CASE WHEN 100 * n_symbols > 10 * word_chars THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
+                 + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END)::BIGINT AS failures FROM f)
+    SELECT *, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept FROM b
+    """,
+)
+def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(ledger(table(spark, sf_dir, "documents")))
