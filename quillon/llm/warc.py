@@ -34,8 +34,8 @@ CHUNK_BYTES = 8192
 #: Fixed value: the name space of record ids made from a row's number.
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-_RECORDS = "record_id string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, segment long, total long, block binary"
 _PAGES = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, intact boolean, payload binary"
+_FOUND = _PAGES + ", record_id string, segment long, total long, block binary"
 
 
 def digest(payload: bytes) -> str:
@@ -143,27 +143,6 @@ def whole(v: str | None) -> int | None:
     return None if v is None else int(v)
 
 
-def read_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema(_RECORDS)
-    for b in batches:
-        for name in b.column(0).to_pylist():
-            filesystem, path = common.file_system(name)
-            rows, held = {f.name: [] for f in schema}, 0
-            with filesystem.open_input_file(path) as src:
-                for h, block in parse(src):
-                    values = (
-                        h.get("warc-segment-origin-id", h["warc-record-id"]), whole(h.get("x-page-id")), h.get("warc-target-uri"), h["warc-type"], whole(h.get("x-refers-to-page-id")),
-                        h.get("warc-payload-digest", "").removeprefix("sha1:") or None, whole(h.get("x-payload-bytes")), whole(h.get("warc-segment-number")), whole(h.get("warc-segment-total-length")), block,
-                    )
-                    for k, v in zip(rows, values, strict=True):
-                        rows[k].append(v)
-                    held += len(block)
-                    if held > 8 << 20:
-                        yield records(rows, schema)
-                        rows, held = {f.name: [] for f in schema}, 0
-            yield records(rows, schema)
-
-
 def settle(first: dict, block: bytes, complete: bool, keep_payload: bool) -> tuple:
     """A page from its whole block: digest and length are those of the decoded payload."""
     payload, intact = None, complete
@@ -180,11 +159,32 @@ def settle(first: dict, block: bytes, complete: bool, keep_payload: bool) -> tup
     return first["page_id"], first["url"], first["record_type"], first["refers_to"], sha, n, intact, payload if keep_payload else None
 
 
-def settle_whole(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema(_PAGES)
+def read_archives(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iterator[pa.RecordBatch]:
+    """Whole records come out settled; segments as they are, with their origin and number."""
+    schema = arrow_schema(_FOUND)
     for b in batches:
-        found = [settle(r, r["block"], True, keep_payload) for r in b.to_pylist()]
-        yield records({f.name: [x[i] for x in found] for i, f in enumerate(schema)}, schema)
+        for name in b.column(0).to_pylist():
+            filesystem, path = common.file_system(name)
+            rows, held = {f.name: [] for f in schema}, 0
+            with filesystem.open_input_file(path) as src:
+                for h, block in parse(src):
+                    first = {
+                        "page_id": whole(h.get("x-page-id")), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "refers_to": whole(h.get("x-refers-to-page-id")),
+                        "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": whole(h.get("x-payload-bytes")),
+                    }
+                    number = whole(h.get("warc-segment-number"))
+                    if number is None:
+                        values = (*settle(first, block, True, keep_payload), None, None, None, None)
+                        held += 500 + len(values[7] or b"")
+                    else:
+                        values = (*first.values(), None, None, h.get("warc-segment-origin-id", h["warc-record-id"]), number, whole(h.get("warc-segment-total-length")), block)
+                        held += len(block)
+                    for k, v in zip(rows, values, strict=True):
+                        rows[k].append(v)
+                    if held > 4 << 20:
+                        yield records(rows, schema)
+                        rows, held = {f.name: [] for f in schema}, 0
+            yield records(rows, schema)
 
 
 def reassemble(table: pa.Table, keep_payload: bool) -> pa.Table:
@@ -230,10 +230,10 @@ def read_pages(manifest: DataFrame, keep_payload: bool = True) -> DataFrame:
     """One row a page of the listed archives. ``intact`` is false where a segment is missing, the
     total length differs, the framing is broken or the digest does not match."""
     files = manifest.repartition(max(1, manifest.count()), "archive")
-    found = files.mapInArrow(read_archives, _RECORDS)
-    alone = found.where("segment is null").mapInArrow(lambda it: settle_whole(it, keep_payload), _PAGES)
+    found = saved(files.mapInArrow(lambda it: read_archives(it, keep_payload), _FOUND), "records")
+    names = [f.name for f in arrow_schema(_PAGES)]
     joined = found.where("segment is not null").groupBy("record_id").applyInArrow(lambda t: reassemble(t, keep_payload), _PAGES)
-    return alone.unionByName(joined)
+    return found.where("segment is null").select(*names).unionByName(joined)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
