@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .near_dedup import near_groups
 from .packing import pack
 from .quality import ledger, verdicts
 from .sharding import shard
@@ -83,3 +84,8 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(ledger(table(spark, sf_dir, "documents")))
+
+
+@query("op1_minhash_near_dedup")
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
