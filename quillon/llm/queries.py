@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .mixing import domain_of, select_mix
 from .near_dedup import near_groups
 from .packing import pack
 from .quality import ledger, verdicts
@@ -89,3 +90,12 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_near_dedup")
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+#: Weights among siblings; nodes that are not named weigh 1.
+MIX_WEIGHTS = {("domain0",): 3.0, ("domain1",): 2.0, ("domain0", "en"): 2.0, ("domain1", "en", "src1"): 4.0}
+
+
+@query("op6_hierarchical_mix")
+def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_mix(table(spark, sf_dir, "documents"), domain_of(), share=0.5, weights=MIX_WEIGHTS, epochs=2, seed=7)
