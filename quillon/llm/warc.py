@@ -11,7 +11,9 @@ checked against the total length, then decoded.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -64,8 +66,9 @@ def unchunked(body: bytes) -> bytes:
 
 
 def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
+    """A record as a gzip member of its own."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", len(block))] if v is not None)
-    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+    return gzip.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n", 3, mtime=0)
 
 
 def header_safe(value: str | None) -> str:
@@ -108,7 +111,7 @@ def write_partition(batches: Iterator[pa.RecordBatch], uri: str, segment_bytes:
         for row in b.to_pylist():
             for data in page_records(row, segment_bytes):
                 if out is None:
-                    name = f"{uri}/{common.partition_id():06d}-{uuid.uuid4().hex}.warc"
+                    name = f"{uri}/{common.partition_id():06d}-{uuid.uuid4().hex}.warc.gz"
                     out, written = filesystem.open_output_stream(f"{path}/{name.rsplit('/', 1)[1]}"), 0
                 out.write(data)
                 written += len(data)
@@ -123,10 +126,8 @@ def write_partition(batches: Iterator[pa.RecordBatch], uri: str, segment_bytes:
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed archive, read as a stream."""
-    import io
-
-    src = io.BufferedReader(stream, 1 << 20)
+    """(headers, block) of each record of an archive of gzip members, read as a stream."""
+    src = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16)
     while line := src.readline():
         if not line.strip():
             continue
