@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, records, saved, scratch, ship, tune
+from .common import arrow_schema, broadcast_if_small, records, saved, scratch, ship, tune
 
 ship(__name__)
 
@@ -220,9 +220,10 @@ def write_archives(pages: DataFrame, uri: str, segment_bytes: int = SEGMENT_BYTE
     thin = saved(own.select("page_id", "html").mapInArrow(digests, "page_id long, sha binary, n long"), "digests")
     leaders = thin.where(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.min("page_id").alias("leader"), F.count("*").alias("rows")).where("rows > 1 and leader is not null")
     later = thin.join(leaders.select("sha", "leader"), "sha").where("page_id is null or page_id != leader").select(F.col("page_id").alias("later_id"), F.col("sha").alias("later_sha"), F.col("leader").alias("refers_to")).distinct()
-    # By id and payload: ids are spread evenly even where a third of the payloads are equal.
+    # A counted, small list of revisits meets the pages where they are. A longer one joins by id and
+    # payload: ids are spread evenly even where a third of the payloads are equal.
     html = F.coalesce("html", F.lit(""))
-    joined = own.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.unhex(F.sha2(html.cast("binary"), 256)) == F.col("later_sha")), "left")
+    joined = own.join(broadcast_if_small(saved(later, "revisits")), F.col("page_id").eqNullSafe(F.col("later_id")) & (F.unhex(F.sha2(html.cast("binary"), 256)) == F.col("later_sha")), "left")
     numbered = joined.select("page_id", "url", "html", "refers_to").withColumn("uid", F.concat_ws("-", F.coalesce("page_id", F.lit(-1)), F.monotonically_increasing_id()))
     return saved(numbered.mapInArrow(lambda it: write_partition(it, uri, segment_bytes, archive_bytes), "archive string"), "manifest")
 
