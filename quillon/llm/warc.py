@@ -112,7 +112,7 @@ def write_partition(batches: Iterator[pa.RecordBatch], uri: str, segment_bytes:
             for data in page_records(row, segment_bytes):
                 if out is None:
                     name = f"{uri}/{common.partition_id():06d}-{uuid.uuid4().hex}.warc.gz"
-                    out, written = filesystem.open_output_stream(f"{path}/{name.rsplit('/', 1)[1]}"), 0
+                    out, written = filesystem.open_output_stream(f"{path}/{name.rsplit('/', 1)[1]}", compression=None), 0
                 out.write(data)
                 written += len(data)
                 if written >= archive_bytes:
