@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .licenses import scan
 from .mixing import domain_of, select_mix
 from .near_dedup import near_groups
 from .packing import pack
@@ -99,3 +100,8 @@ MIX_WEIGHTS = {("domain0",): 3.0, ("domain1",): 2.0, ("domain0", "en"): 2.0, ("d
 @query("op6_hierarchical_mix")
 def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_mix(table(spark, sf_dir, "documents"), domain_of(), share=0.5, weights=MIX_WEIGHTS, epochs=2, seed=7)
+
+
+@query("op9_license_signatures")
+def op9_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("detections")
