@@ -11,6 +11,7 @@ from .licenses import scan
 from .mixing import domain_of, select_mix
 from .near_dedup import near_groups
 from .packing import pack
+from .pii import find
 from .quality import ledger, verdicts
 from .sharding import shard
 from .warc import round_trip
@@ -105,3 +106,8 @@ def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_signatures")
 def op9_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op5_bootstrapped_pii")
+def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
