@@ -14,6 +14,7 @@ from .packing import pack
 from .pii import find
 from .quality import ledger, verdicts
 from .sharding import shard
+from .suffixes import repeated_passages
 from .warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,8 @@ def op9_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bootstrapped_pii")
 def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sparse_suffix_passages")
+def op7_sparse_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
