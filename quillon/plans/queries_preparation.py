@@ -1 +1,272 @@
-"""Queries of this group."""
+"""Outliers, imputation, features, encoding and text parsing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import parsing
+from ..operators import features, impute, outliers
+from .queries_profile import fill_c
+from .registry import query, table
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+_Q = "(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3, avg({c}) AS m, stddev_samp({c}) AS s, mad({c}) AS d FROM lineitem)"
+_LIMITS = {
+    "iqr": ("q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)"),
+    "zscore": ("m - 1.5 * s", "m + 1.5 * s"),
+    "modified_z": ("q2 - 1.2 * d / 0.6745", "q2 + 1.2 * d / 0.6745"),
+    "adjusted_boxplot": (
+        "q1 - 0.5 * exp(CASE WHEN q3 + q1 - 2 * q2 >= 0 THEN -4 ELSE -3 END * (q3 + q1 - 2 * q2) / (q3 - q1)) * (q3 - q1)",
+        "q3 + 0.5 * exp(CASE WHEN q3 + q1 - 2 * q2 >= 0 THEN 3 ELSE 4 END * (q3 + q1 - 2 * q2) / (q3 - q1)) * (q3 - q1)",
+    ),
+}
+_KNOBS = {"iqr": {"multiplier": 1.5}, "zscore": {"z": 1.5}, "modified_z": {"z": 1.2}, "adjusted_boxplot": {"multiplier": 0.5}}
+
+
+def _outlier_query(method: str):
+    low, high = _LIMITS[method]
+    one = f"SELECT '{{c}}' AS column_name, {{R:any_value({low})}} AS low, {{R:any_value({high})}} AS high, count(*) FILTER ({{c}} < {low} OR {{c}} > {high}) AS outliers FROM lineitem, {_Q}"
+
+    @query(f"outlier_{method}", " UNION ALL ".join(fill_c(one, c) for c in NUMBERS), digits=4)
+    def run(spark, sf_dir):
+        return outliers.counts(table(spark, sf_dir, "lineitem"), NUMBERS, method, **_KNOBS[method])
+
+
+for _m in _LIMITS:
+    _outlier_query(_m)
+
+_FENCE = "(SELECT avg(o_totalprice) - 1.2 * stddev_samp(o_totalprice) AS lo, avg(o_totalprice) + 1.2 * stddev_samp(o_totalprice) AS hi FROM orders)"
+
+
+@query("outlier_remove", f"SELECT o_orderkey, {{R:o_totalprice}} AS o_totalprice FROM orders, {_FENCE} WHERE o_totalprice BETWEEN lo AND hi")
+def outlier_remove(spark, sf_dir):
+    return outliers.remove(table(spark, sf_dir, "orders"), ["o_totalprice"], "zscore", z=1.2).select("o_orderkey", "o_totalprice")
+
+
+@query("outlier_cap", f"SELECT o_orderkey, {{R:greatest(l, least(o_totalprice, h))}} AS o_totalprice FROM orders, (SELECT min(o_totalprice) AS l, max(o_totalprice) AS h FROM orders, {_FENCE} WHERE o_totalprice BETWEEN lo AND hi)")
+def outlier_cap(spark, sf_dir):
+    return outliers.cap(table(spark, sf_dir, "orders"), ["o_totalprice"], "zscore", z=1.2).select("o_orderkey", "o_totalprice")
+
+
+@query("outlier_flag", f"SELECT o_orderkey, (o_totalprice < lo OR o_totalprice > hi) AS o_totalprice_outlier FROM orders, {_FENCE}")
+def outlier_flag(spark, sf_dir):
+    return outliers.flag(table(spark, sf_dir, "orders"), ["o_totalprice"], "zscore", z=1.2).select("o_orderkey", "o_totalprice_outlier")
+
+
+@query("lof_1d")
+def lof_1d(spark, sf_dir):
+    return outliers.lof(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
+
+
+@query("mahalanobis_top6")
+def mahalanobis_top6(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return outliers.mahalanobis(d, ["l_quantity", "l_extendedprice", "l_discount"], "row_id")
+
+
+_CONTEXT = """WITH f AS (SELECT avg(o_totalprice) - 1.6 * stddev_samp(o_totalprice) AS lo, avg(o_totalprice) + 1.6 * stddev_samp(o_totalprice) AS hi FROM orders),
+ s AS (SELECT o_orderstatus, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d, count(*) AS n FROM orders GROUP BY 1)
+ SELECT o_orderkey, o_orderstatus AS segment, 'o_totalprice' AS strongest, {R:abs((o_totalprice - m) / d)} AS abs_z, 0 AS others
+ FROM orders JOIN s USING (o_orderstatus), (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
+ WHERE n >= 12 AND (o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)) ORDER BY o_orderkey LIMIT 8"""
+
+
+@query("outlier_context", _CONTEXT)
+def outlier_context(spark, sf_dir):
+    return outliers.outlier_context(table(spark, sf_dir, "orders"), "o_orderstatus", ["o_totalprice"], "o_orderkey")
+
+
+# -- imputation: nulls are derived from keys --
+
+
+def _holes(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem")
+    return d.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("a"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_discount")).alias("b"),
+        F.when(F.col("l_suppkey") % 3 != 0, F.col("l_returnflag")).alias("c"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_shipdate")).alias("t"),
+    )
+
+
+_HOLES = """WITH h AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS a, CASE WHEN l_partkey % 5 <> 0 THEN l_discount END AS b,
+ CASE WHEN l_suppkey % 3 <> 0 THEN l_returnflag END AS c, CASE WHEN l_partkey % 4 <> 0 THEN l_shipdate END AS t FROM lineitem) """
+
+
+@query("impute_mean", _HOLES + "SELECT row_id, {R:coalesce(a, (SELECT avg(a) FROM h))} AS a, {R:coalesce(b, (SELECT avg(b) FROM h))} AS b FROM h")
+def impute_mean(spark, sf_dir):
+    return impute.numeric(_holes(spark, sf_dir), ["a", "b"], "mean").select("row_id", "a", "b")
+
+
+@query("impute_median", _HOLES + "SELECT row_id, {R:coalesce(a, (SELECT median(a) FROM h))} AS a FROM h")
+def impute_median(spark, sf_dir):
+    return impute.numeric(_holes(spark, sf_dir), ["a"], "median").select("row_id", "a")
+
+
+@query("impute_zero", _HOLES + "SELECT row_id, {R:coalesce(a, 0)} AS a FROM h")
+def impute_zero(spark, sf_dir):
+    return impute.numeric(_holes(spark, sf_dir), ["a"], "zero").select("row_id", "a")
+
+
+@query("impute_mode", _HOLES + "SELECT row_id, coalesce(c, (SELECT c FROM h WHERE c IS NOT NULL GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)) AS c FROM h")
+def impute_mode(spark, sf_dir):
+    return impute.categorical(_holes(spark, sf_dir), ["c"]).select("row_id", "c")
+
+
+def _series(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("value")).alias("a"), F.when(F.col("user_id") % 4 != 0, F.col("ts")).alias("t"))
+
+
+_BETWEEN = """WITH h AS (SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN value END AS a FROM events),
+ w AS (SELECT event_id, a, last_value(CASE WHEN a IS NOT NULL THEN event_id END IGNORE NULLS) OVER p AS x0, last_value(a IGNORE NULLS) OVER p AS y0,
+ first_value(CASE WHEN a IS NOT NULL THEN event_id END IGNORE NULLS) OVER n AS x1, first_value(a IGNORE NULLS) OVER n AS y1 FROM h
+ WINDOW p AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+ SELECT event_id, {R:coalesce(a, y0 + (y1 - y0) * (event_id - x0) / nullif(x1 - x0, 0), y0, y1)} AS a FROM w"""
+
+
+@query("impute_interpolate", _BETWEEN)
+def impute_interpolate(spark, sf_dir):
+    return impute.interpolate(_series(spark, sf_dir), ["a"], "event_id").select("event_id", "a")
+
+
+@query("impute_datetime")
+def impute_datetime(spark, sf_dir):
+    return impute.interpolate(_series(spark, sf_dir), ["t"], "event_id").select("event_id", "t")
+
+
+@query("impute_matrix", _HOLES + "SELECT row_id, {R:coalesce(a, 0.5 * ma + 0.5 * coalesce(b, ma))} AS a, {R:coalesce(b, 0.5 * mb + 0.5 * coalesce(a, mb))} AS b FROM h, (SELECT avg(a) AS ma, avg(b) AS mb FROM h)")
+def impute_matrix(spark, sf_dir):
+    return impute.matrix_completion(_holes(spark, sf_dir), ["a", "b"]).select("row_id", "a", "b")
+
+
+
+
+@query("impute_regression", "WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END AS y, l_quantity AS x FROM lineitem), f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM d) SELECT row_id, {R:coalesce(y, i + s * x)} AS y FROM d, f", digits=4)
+def impute_regression(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice")).alias("y"), F.col("l_quantity").alias("x"))
+    return impute.mice(d, ["y", "x"]).select("row_id", "y")
+
+
+@query("impute_knn")
+def impute_knn(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice")).alias("y"), F.col("p_size").cast("double").alias("x"))
+    return impute.knn(d, "y", ["x"], "p_partkey").select("p_partkey", "y")
+
+
+# -- features --
+
+
+@query("scale_zscore", "SELECT o_orderkey, {R:(o_totalprice - m) / s} AS o_totalprice FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders)")
+def scale_zscore(spark, sf_dir):
+    return features.scaled(table(spark, sf_dir, "orders"), ["o_totalprice"], "zscore")[0].select("o_orderkey", "o_totalprice")
+
+
+@query("scale_minmax", "SELECT o_orderkey, {R:(o_totalprice - lo) / (hi - lo)} AS o_totalprice FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)")
+def scale_minmax(spark, sf_dir):
+    return features.scaled(table(spark, sf_dir, "orders"), ["o_totalprice"], "minmax")[0].select("o_orderkey", "o_totalprice")
+
+
+@query("scale_auto", "SELECT l_orderkey, l_linenumber, {R:(l_extendedprice - lo) / (hi - lo)} AS l_extendedprice, {R:(l_discount - m) / s} AS l_discount FROM lineitem, (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, avg(l_discount) AS m, stddev_samp(l_discount) AS s FROM lineitem)")
+def scale_auto(spark, sf_dir):
+    return features.scaled(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_discount"])[0].select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+
+
+@query("date_features", 'SELECT event_id, dayofweek(ts)::INTEGER AS "ts_DayOfWeek", month(ts)::INTEGER AS "ts_Month", CASE WHEN dayofweek(ts) IN (0, 6) THEN 1 ELSE 0 END AS "ts_IsWeekend", dayofyear(ts)::INTEGER AS "ts_DayOfYear", quarter(ts)::INTEGER AS "ts_Quarter" FROM events')
+def date_features(spark, sf_dir):
+    return features.date_features(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts"]).drop("ts")
+
+
+@query("polynomials_and_logs", "SELECT p_partkey, {R:pow(p_retailprice, 2)} AS p_retailprice_pow2, {R:pow(p_retailprice, 3)} AS p_retailprice_pow3, {R:sign(p_retailprice) * ln(1 + abs(p_retailprice))} AS p_retailprice_log1p_abs FROM part", digits=2)
+def polynomials_and_logs(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return features.signed_logs(features.polynomials(d, ["p_retailprice"], 3), ["p_retailprice"]).drop("p_retailprice")
+
+
+@query("products_and_ratios", "SELECT l_orderkey, l_linenumber, {R:l_extendedprice * l_quantity} AS l_extendedprice_x_l_quantity, {R:CASE WHEN abs(l_quantity) > 1e-9 THEN l_extendedprice / l_quantity END} AS l_extendedprice_div_l_quantity, {R:CASE WHEN abs(l_extendedprice) > 1e-9 THEN l_quantity / l_extendedprice END} AS l_quantity_div_l_extendedprice FROM lineitem", digits=9)
+def products_and_ratios(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    pair = [("l_extendedprice", "l_quantity")]
+    return features.ratios(features.products(d, pair), pair).drop("l_extendedprice", "l_quantity")
+
+
+@query("engineered_features")
+def engineered_features(spark, sf_dir):
+    wide, kept = features.engineered(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], target="l_extendedprice")
+    return wide.agg(*[F.avg(c).alias(c) for c in ["l_quantity", *kept]])
+
+
+@query("boolean_flag", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 1 ELSE 0 END AS flag_bool FROM orders")
+def boolean_flag(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus").isin("O", "P"), " Yes").otherwise("off").alias("flag"))
+    return features.boolean_flags(d, ["flag"]).select("o_orderkey", "flag_bool")
+
+
+@query("multi_select_expand")
+def multi_select_expand(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit(";")).alias("picks"))
+    return features.multi_select(d, "picks")[0].drop("picks")
+
+
+@query("label_encode", "SELECT o_orderpriority AS value, (row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1)::INTEGER AS code, count(*) AS n FROM orders GROUP BY 1")
+def label_encode(spark, sf_dir):
+    return features.label_codes(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("encode_target", "SELECT o_orderkey, {R:code} AS o_orderpriority_code FROM orders JOIN (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS code FROM orders GROUP BY 1) USING (o_orderpriority)")
+def encode_target(spark, sf_dir):
+    return features.encoded_target(table(spark, sf_dir, "orders"), "o_orderpriority").select("o_orderkey", "o_orderpriority_code")
+
+
+@query("binary_target", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > (SELECT (min(l_linenumber) + max(l_linenumber)) / 2 FROM lineitem) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM lineitem")
+def binary_target(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("y"))
+    return features.binary_target(d, "y")
+
+
+_TOP2 = "(SELECT list(v) AS top FROM (SELECT o_orderpriority AS v FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2))"
+
+
+@query("one_hot_other", f"SELECT o_orderkey, CASE WHEN o_orderpriority = top[1] THEN 1 ELSE 0 END AS first_level, CASE WHEN o_orderpriority = top[2] THEN 1 ELSE 0 END AS second_level, CASE WHEN NOT list_contains(top, o_orderpriority) THEN 1 ELSE 0 END AS other FROM orders, {_TOP2}")
+def one_hot_other(spark, sf_dir):
+    wide, made = features.one_hot(table(spark, sf_dir, "orders"), "o_orderpriority", top=2)
+    return wide.select("o_orderkey", *[F.col(f"`{c}`").alias(n) for c, n in zip(made, ("first_level", "second_level", "other"), strict=True)])
+
+
+@query("category_normalise", "SELECT c_custkey, lower(trim(c_mktsegment)) AS c_mktsegment FROM customer")
+def category_normalise(spark, sf_dir):
+    return features.normalised_categories(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+
+
+@query("column_cull")
+def column_cull(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").withColumn("constant", F.lit(1.0)).withColumn("sparse", F.when(F.col("l_orderkey") % 50 == 0, 1.0))
+    kept, gone = features.cull_columns(d)
+    return spark.createDataFrame([(c, "kept") for c in kept] + list(gone.items()), "column_name string, verdict string")
+
+
+# -- parsing --
+
+
+
+@query("parse_numbers", "SELECT l_orderkey, l_linenumber, {R:CASE l_linenumber % 4 WHEN 1 THEN (l_orderkey % 1000) + 0.5 WHEN 2 THEN (l_orderkey % 900 + 100) + (l_partkey % 90 + 10) / 100 END} AS value FROM lineitem")
+def parse_numbers(spark, sf_dir):
+    key, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber") % 4
+    raw = F.when(line == 0, F.concat(F.lit("$"), key.cast("string"))).when(line == 1, F.concat((key % 1000).cast("string"), F.lit(".5"))).when(line == 2, F.concat(F.lit(" "), (key % 900 + 100).cast("string"), F.lit(","), (part % 90 + 10).cast("string"))).otherwise("n/a")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parsing.parse_number(parsing.missing_to_null(raw)).alias("value"))
+
+
+@query("parse_dates", "SELECT event_id, date_trunc('second', ts) AS parsed FROM events WHERE event_id % 3 <> 2 UNION ALL SELECT event_id, date_trunc('day', ts) FROM events WHERE event_id % 3 = 2")
+def parse_dates(spark, sf_dir):
+    d = table(spark, sf_dir, "events")
+    form = F.when(F.col("event_id") % 3 == 0, F.unix_timestamp("ts").cast("string")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "dd-MM-yyyy"))
+    return d.select("event_id", parsing.parse_datetime(form).alias("parsed"))
+
+
+@query("missing_tokens", "SELECT count(*) FILTER (event_id % 4 = 0) AS nulls, count(*) FILTER (event_id % 4 <> 0) AS kept FROM events")
+def missing_tokens(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 4 == 0, " N/A ").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(parsing.missing_to_null(raw).alias("v")).agg(F.count_if(F.col("v").isNull()).alias("nulls"), F.count("v").alias("kept"))
+
+
+@query("text_functions", "SELECT p_partkey, replace(replace(p_name, '<', '&lt;'), '&', '&amp;') AS escaped, printf('%.2f', p_retailprice) AS fixed FROM part")
+def text_functions(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", parsing.html_escape(F.col("p_name")).alias("escaped"), parsing.fixed(F.col("p_retailprice"), 2).alias("fixed"))
