@@ -1 +1,302 @@
-"""Queries of this group."""
+"""Associations, regressions and groupings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import algebra, relate
+from ..operators.moments import gram
+from ..operators.outliers import mahalanobis  # noqa: F401
+from .registry import query, table
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
+
+
+def _net(spark, sf_dir):
+    """lineitem with a dependent column and a dense row id."""
+    d = table(spark, sf_dir, "lineitem")
+    return d.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+
+
+_NET = "(SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount) AS net FROM lineitem)"
+
+
+@query("pearson_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {{R:corr({a}, {b})}} AS r, count(*) AS n FROM lineitem" for a, b in _PAIRS))
+def pearson_matrix(spark, sf_dir):
+    return relate.pearson(table(spark, sf_dir, "lineitem"), NUMBERS).drop("p_value")
+
+
+@query("pearson_significance")
+def pearson_significance(spark, sf_dir):
+    return relate.pearson(_net(spark, sf_dir), [*NUMBERS, "net"])
+
+
+@query(
+    "spearman_matrix",
+    "WITH k AS (SELECT "
+    + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in NUMBERS)
+    + " FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {{R:corr({a}, {b})}} AS r, count(*) AS n FROM k" for a, b in _PAIRS),
+)
+def spearman_matrix(spark, sf_dir):
+    return relate.spearman(table(spark, sf_dir, "lineitem").select(*NUMBERS), NUMBERS).drop("p_value")
+
+
+@query("average_ranks", "SELECT l_quantity AS v, {R:any_value(r)} AS rank FROM (SELECT l_quantity, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem) GROUP BY 1")
+def average_ranks(spark, sf_dir):
+    return relate.rank_map(table(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+_TAU = """WITH s AS (SELECT s_suppkey AS k, s_acctbal AS a, s_nationkey::DOUBLE AS b, count(*) OVER () AS n FROM supplier),
+ t AS (SELECT sum(sign(x.a - y.a) * sign(x.b - y.b)) / sqrt(count(*) FILTER (x.a <> y.a) * count(*) FILTER (x.b <> y.b)) AS tau FROM s x JOIN s y ON x.k < y.k AND x.n <= 256),
+ r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM s)
+ SELECT {R:CASE WHEN (SELECT any_value(n) FROM s) <= 256 THEN (SELECT tau FROM t) ELSE 2 / pi() * asin((SELECT corr(ra, rb) FROM r)) END} AS tau"""
+
+
+@query("kendall_tau", _TAU)
+def kendall_tau(spark, sf_dir):
+    return spark.createDataFrame([(relate.kendall(table(spark, sf_dir, "supplier"), "s_acctbal", "s_nationkey", "s_suppkey"),)], "tau double")
+
+
+@query("kendall_large")
+def kendall_large(spark, sf_dir):
+    return spark.createDataFrame([(relate.kendall(_net(spark, sf_dir).withColumn("k", F.lit(1)), "l_quantity", "net", "k"),)], "tau double")
+
+
+@query("simple_regression", f"SELECT {{R:regr_slope(net, l_extendedprice)}} AS slope, {{R:regr_intercept(net, l_extendedprice)}} AS intercept, {{R:corr(net, l_extendedprice)}} AS r, count(*) AS n FROM {_NET}", digits=5)
+def simple_regression(spark, sf_dir):
+    return relate.simple_regression(_net(spark, sf_dir), "l_extendedprice", "net")
+
+
+@query(
+    "fold_stability",
+    "WITH e AS (SELECT o_totalprice AS x, o_custkey::DOUBLE AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders), f AS (SELECT least(4, floor(i * 5 / n)) AS fold, abs(corr(x, y)) AS r FROM e GROUP BY 1) SELECT count(*) AS folds, {R:avg(r)} AS mean_abs_r, {R:greatest(0, least(1, 1 - stddev_samp(r) / avg(r)))} AS stability FROM f",
+)
+def fold_stability(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
+    return relate.fold_stability(d, "o_totalprice", "o_custkey", "i")
+
+
+@query("structural_relations", "SELECT 'sum' AS kind, 'l_discount' AS a, 'l_tax' AS b, 'both' AS c, 1.0::DOUBLE AS hit_rate UNION ALL SELECT 'product', 'l_quantity', 'unit', 'l_extendedprice', 1.0::DOUBLE")
+def structural_relations(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_discount") + F.col("l_tax")).alias("both"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
+    return relate.structural(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "both", "unit"], order="l_orderkey")
+
+
+@query("pair_scores")
+def pair_scores(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1).withColumn("half", F.col("o_totalprice") / 2 + F.col("o_custkey") * 10)
+    return relate.analyse_pairs(d, ["o_totalprice", "o_custkey", "half", "o_orderkey"], "i")
+
+
+@query("relation_labels", "SELECT o_orderkey, CASE WHEN v >= 0.85 THEN 'very strong' WHEN v >= 0.65 THEN 'strong' WHEN v >= 0.45 THEN 'moderate' WHEN v >= 0.25 THEN 'weak' ELSE 'negligible' END AS relation FROM (SELECT o_orderkey, (o_orderkey % 100) / 100 AS v FROM orders)")
+def relation_labels(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", relate.relation_label((F.col("o_orderkey") % 100) / 100).alias("relation"))
+
+
+_CHI = """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS o FROM lineitem GROUP BY 1, 2),
+ f AS (SELECT x.a, y.b, coalesce(o, 0) AS o FROM (SELECT DISTINCT a FROM c) x CROSS JOIN (SELECT DISTINCT b FROM c) y LEFT JOIN c ON c.a = x.a AND c.b = y.b),
+ e AS (SELECT *, sum(o) OVER (PARTITION BY a) * sum(o) OVER (PARTITION BY b) / sum(o) OVER () AS e FROM f),
+ s AS (SELECT sum(pow(o - e, 2) / e) AS chi2, sum(o)::BIGINT AS n, count(DISTINCT a)::INTEGER AS levels_a, count(DISTINCT b)::INTEGER AS levels_b FROM e)
+ SELECT 'l_returnflag' AS a, 'l_linestatus' AS b, n, levels_a, levels_b, {R:chi2} AS chi2, {R:sqrt(chi2 / (n * (least(levels_a, levels_b) - 1)))} AS cramers_v, {R:exp(-chi2 / 2)} AS p_approx FROM s"""
+
+
+@query("contingency_cramers_v", _CHI)
+def contingency_cramers_v(spark, sf_dir):
+    return relate.contingency(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus").drop("odds_ratio", "ci_low", "ci_high", "strength")
+
+
+_ODDS = """WITH c AS (SELECT (l_quantity > 25)::VARCHAR AS a, (l_discount > 0.05)::VARCHAR AS b, count(*) + 0.5 AS o FROM lineitem GROUP BY 1, 2),
+ p AS (SELECT max(o) FILTER (a = 'false' AND b = 'false') AS a, max(o) FILTER (a = 'false' AND b = 'true') AS b, max(o) FILTER (a = 'true' AND b = 'false') AS c, max(o) FILTER (a = 'true' AND b = 'true') AS d FROM c)
+ SELECT {R:a * d / (b * c)} AS odds_ratio, {R:exp(ln(a * d / (b * c)) - 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))} AS ci_low, {R:exp(ln(a * d / (b * c)) + 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))} AS ci_high FROM p"""
+
+
+@query("odds_ratio_2x2", _ODDS)
+def odds_ratio_2x2(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") > 25).alias("a"), (F.col("l_discount") > 0.05).alias("b"))
+    return relate.contingency(d, "a", "b").select("odds_ratio", "ci_low", "ci_high")
+
+
+_ANOVA = """WITH g AS (SELECT o_orderpriority AS level, count(*) AS n, avg(o_totalprice) AS mean, coalesce(var_samp(o_totalprice), 0) AS var FROM orders GROUP BY 1),
+ t AS (SELECT count(*) AS groups, sum(n)::BIGINT AS rows, sum(n) AS m, sum(n * mean) AS s, sum(n * mean * mean) AS q, sum((n - 1) * var) AS w FROM g WHERE n > 1),
+ r AS (SELECT groups, rows, q - s * s / m AS b, w, ((q - s * s / m) / (groups - 1)) / (w / (rows - groups)) AS f FROM t)
+ SELECT 'o_orderpriority' AS category, 'o_totalprice' AS value, groups, rows, {R:f} AS f, {R:exp(-f / 2)} AS p_approx, {R:b / (b + w)} AS eta2 FROM r"""
+
+
+@query("anova_eta2", _ANOVA, digits=4)
+def anova_eta2(spark, sf_dir):
+    return relate.anova(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice").drop("gap")
+
+
+_SHIFT = "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 300000 ELSE 600000 END"
+_STRATA = f"""WITH g AS (SELECT o_orderstatus AS level, count(*) AS n, avg(o_totalprice + {_SHIFT}) AS mean, var_samp(o_totalprice + {_SHIFT}) AS var FROM orders GROUP BY 1),
+ t AS (SELECT count(*) AS groups, sum(n)::BIGINT AS rows, sum(n * mean) AS s, sum(n * mean * mean) AS q, sum((n - 1) * var) AS w, max(mean) - min(mean) AS span FROM g),
+ r AS (SELECT groups, rows, q - s * s / rows AS b, w, span / sqrt(w / (rows - groups)) AS sep FROM t)
+ SELECT 'o_orderstatus' AS category, 'v' AS value, groups, rows, {{R:b / (b + w)}} AS eta2, {{R:sep}} AS separation, (b / (b + w) >= 0.20 AND sep >= 0.75) AS stratified FROM r"""
+
+
+@query("stratified_populations", _STRATA)
+def stratified_populations(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    d = table(spark, sf_dir, "orders").withColumn("v", F.col("o_totalprice") + F.when(s == "F", 0).when(s == "O", 300000).otherwise(600000))
+    return relate.strata(d, "o_orderstatus", "v")
+
+
+_STACK = """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders),
+ m AS (SELECT o_custkey AS u FROM orders ORDER BY o_custkey LIMIT 1 OFFSET (SELECT count(*) // 2 FROM orders))
+ SELECT ((o_totalprice >= a)::INTEGER + (o_totalprice >= b)::INTEGER + (o_totalprice >= c)::INTEGER) AS bin, count(*) FILTER (o_custkey <= u) AS low, count(*) FILTER (o_custkey > u) AS high FROM orders, q, m GROUP BY 1"""
+
+
+@query("stacked_profile", _STACK)
+def stacked_profile(spark, sf_dir):
+    return relate.stacked_profile(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey")
+
+
+@query("facet_column")
+def facet_column(spark, sf_dir):
+    return relate.facet_column(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice")
+
+
+@query("topn_other", "SELECT CASE WHEN k <= 12 THEN level ELSE 'OTHER' END AS level, sum(n)::BIGINT AS n FROM (SELECT p_type AS level, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type) AS k FROM part GROUP BY 1) GROUP BY 1")
+def topn_other(spark, sf_dir):
+    return relate.top_other(table(spark, sf_dir, "part"), "p_type")
+
+
+def _gain_sql() -> str:
+    cuts = lambda c: f"(SELECT list_distinct(quantile_cont({c}, [{', '.join(str(i / 8) for i in range(1, 8))}])) FROM {_NET})"
+    return f"""WITH b AS (SELECT len(list_filter({cuts('l_extendedprice')}, lambda v: v <= l_extendedprice)) AS x, len(list_filter({cuts('net')}, lambda v: v <= net)) AS y FROM {_NET}),
+ j AS (SELECT x, y, count(*) AS n FROM b GROUP BY 1, 2),
+ p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY x) / sum(n) OVER () AS px, sum(n) OVER (PARTITION BY y) / sum(n) OVER () AS py FROM j),
+ s AS (SELECT sum(-p * log2(px)) AS hx, sum(-p * log2(py)) AS hy, sum(p * log2(p / (px * py))) AS mi FROM p)
+ SELECT {{R:hx}} AS hx, {{R:hy}} AS hy, {{R:mi}} AS mi, {{R:mi / hy}} AS x_explains_y, {{R:mi / hx}} AS y_explains_x, {{R:mi / hy - mi / hx}} AS asymmetry FROM s"""
+
+
+@query("information_gain", _gain_sql())
+def information_gain(spark, sf_dir):
+    return relate.information_gain(_net(spark, sf_dir), "l_extendedprice", "net")
+
+
+_INTER = [("l_quantity", "l_extendedprice"), ("l_extendedprice", "l_discount")]
+
+
+@query("interaction_scores")
+def interaction_scores(spark, sf_dir):
+    return relate.interactions(_net(spark, sf_dir), NUMBERS, "net")
+
+
+@query("interaction_ttest")
+def interaction_ttest(spark, sf_dir):
+    return relate.interaction_test(_net(spark, sf_dir), "l_extendedprice", "l_discount", "net")
+
+
+@query("ols_diagnostics")
+def ols_diagnostics(spark, sf_dir):
+    return relate.ols_table(_net(spark, sf_dir), ["l_extendedprice", "l_discount", "l_tax"], "net")
+
+
+@query("ols_one_feature", f"SELECT 'l_extendedprice' AS term, {{R:regr_slope(net, l_extendedprice)}} AS beta, {{R:sqrt((1 - regr_r2(net, l_extendedprice)) * regr_syy(net, l_extendedprice) / (count(*) - 2) / regr_sxx(net, l_extendedprice))}} AS se FROM {_NET}", digits=7)
+def ols_one_feature(spark, sf_dir):
+    return relate.ols_table(_net(spark, sf_dir), ["l_extendedprice"], "net").where("term <> '(intercept)'").select("term", "beta", "se")
+
+
+@query(
+    "vif_two",
+    f"SELECT column_name, {{R:1 / (1 - r * r)}} AS vif FROM (SELECT corr(l_extendedprice, net) AS r FROM {_NET}), (SELECT unnest(['l_extendedprice', 'net']) AS column_name)",
+    digits=5,
+)
+def vif_two(spark, sf_dir):
+    g = gram(_net(spark, sf_dir), ["l_extendedprice", "net"])
+    return spark.createDataFrame(list(algebra.vif(g, ["l_extendedprice", "net"]).items()), "column_name string, vif double")
+
+
+@query("vif_pruning")
+def vif_pruning(spark, sf_dir):
+    g = gram(_net(spark, sf_dir), [*NUMBERS, "net"])
+    kept, gone = algebra.vif_pruned(g, [*NUMBERS, "net"])
+    return spark.createDataFrame([(c, "kept", 0.0) for c in kept] + [(c, "dropped", min(v, 1e12)) for c, v in gone], "column_name string, verdict string, vif double")
+
+
+@query(
+    "partial_correlation",
+    f"SELECT {{R:(ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc))}} AS r FROM (SELECT corr(net, l_discount) AS ab, corr(net, l_extendedprice) AS ac, corr(l_discount, l_extendedprice) AS bc FROM {_NET})",
+)
+def partial_correlation(spark, sf_dir):
+    g = gram(_net(spark, sf_dir), ["net", "l_discount", "l_extendedprice"])
+    return spark.createDataFrame([(algebra.partial_r(g, "net", "l_discount", ["l_extendedprice"]),)], "r double")
+
+
+@query("conditional_drift")
+def conditional_drift(spark, sf_dir):
+    g = gram(_net(spark, sf_dir), ["net", "l_quantity", "l_extendedprice", "l_discount"])
+    rows = []
+    for a, b, c in (("net", "l_extendedprice", "l_quantity"), ("net", "l_quantity", "l_extendedprice"), ("net", "l_discount", "l_extendedprice")):
+        r = float(g.pick([a, b]).correlation()[0, 1])
+        p = algebra.partial_r(g, a, b, [c])
+        rows.append((a, b, c, r, p, algebra.drift(r, p)))
+    return spark.createDataFrame(rows, "a string, b string, given string, global_r double, conditional_r double, verdict string")
+
+
+@query("lasso_path")
+def lasso_path(spark, sf_dir):
+    g = gram(_net(spark, sf_dir), [*NUMBERS, "net"])
+    return spark.createDataFrame(list(algebra.lasso(g, NUMBERS, "net").items()), "column_name string, beta double")
+
+
+@query("stepwise_ols")
+def stepwise_ols(spark, sf_dir):
+    g = gram(_net(spark, sf_dir), [*NUMBERS, "net"])
+    return spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(algebra.stepwise(g, NUMBERS, "net"))], "step int, column_name string, adjusted_r2 double")
+
+
+@query("pca_two")
+def pca_two(spark, sf_dir):
+    cols = [*NUMBERS, "net"]
+    share, v = algebra.pca(gram(_net(spark, sf_dir), cols), cols)
+    return spark.createDataFrame([(i + 1, float(share[i]), c, float(v[j, i])) for i in range(2) for j, c in enumerate(cols)], "component int, explained double, column_name string, loading double")
+
+
+@query("information_clusters")
+def information_clusters(spark, sf_dir):
+    cols = [*NUMBERS, "net"]
+    return spark.createDataFrame(list(algebra.clusters(gram(_net(spark, sf_dir), cols).correlation(), cols, 0.97).items()), "column_name string, representative string")
+
+
+@query("feature_filters")
+def feature_filters(spark, sf_dir):
+    d = _net(spark, sf_dir).withColumn("copy", F.col("net") * 2 + 1)
+    g = gram(d, [*NUMBERS, "copy", "net"])
+    kept = algebra.identity_block(g, [*NUMBERS, "copy"])
+    bad = algebra.contaminated(g, [*NUMBERS, "copy"], "net")
+    hidden = algebra.hidden_driver(g, NUMBERS, "net")
+    return spark.createDataFrame([("identity", c) for c in kept] + [("contaminated", c) for c in bad] + [("auxiliary", c) for c in relate.auxiliary_targets(g, "net")] + ([("hidden driver", hidden[1])] if hidden else []), "filter string, column_name string")
+
+
+@query("partial_dependence")
+def partial_dependence(spark, sf_dir):
+    from ..operators.quantiles import exact_quantiles
+
+    d = _net(spark, sf_dir)
+    g = gram(d, ["l_extendedprice", "l_discount", "net"])
+    fit = algebra.ols(g, ["l_extendedprice", "l_discount"], "net")
+    points = exact_quantiles(d, ["l_extendedprice", "l_discount"], [0.1, 0.5, 0.9])
+    means = dict(zip(g.names, g.mean.tolist(), strict=True))
+    return spark.createDataFrame([(c, float(v), float(p)) for c, v, p in algebra.dependence_profile(fit, means, points)], "column_name string, value double, prediction double")
+
+
+@query(
+    "joined_profile",
+    "SELECT n_name, count(*) AS orders, {R:avg(o_totalprice)} AS mean_price, {R:stddev_samp(o_totalprice)} AS sd_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    digits=4,
+)
+def joined_profile(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    # A nation has a row in a table that does not grow.
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    joined = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price"), F.stddev_samp("o_totalprice").alias("sd_price"))

@@ -181,7 +181,7 @@ def polynomials_and_logs(spark, sf_dir):
     return features.signed_logs(features.polynomials(d, ["p_retailprice"], 3), ["p_retailprice"]).drop("p_retailprice")
 
 
-@query("products_and_ratios", "SELECT l_orderkey, l_linenumber, {R:l_extendedprice * l_quantity} AS l_extendedprice_x_l_quantity, {R:CASE WHEN abs(l_quantity) > 1e-9 THEN l_extendedprice / l_quantity END} AS l_extendedprice_div_l_quantity, {R:CASE WHEN abs(l_extendedprice) > 1e-9 THEN l_quantity / l_extendedprice END} AS l_quantity_div_l_extendedprice FROM lineitem", digits=9)
+@query("products_and_ratios", "SELECT l_orderkey, l_linenumber, {R:l_extendedprice * l_quantity} AS l_extendedprice_x_l_quantity, {R:CASE WHEN abs(l_quantity) > 1e-9 THEN l_extendedprice / l_quantity END} AS l_extendedprice_div_l_quantity, {R:CASE WHEN abs(l_extendedprice) > 1e-9 THEN l_quantity / l_extendedprice END} AS l_quantity_div_l_extendedprice FROM lineitem", digits=8)
 def products_and_ratios(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     pair = [("l_extendedprice", "l_quantity")]
