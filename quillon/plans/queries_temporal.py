@@ -1 +1,107 @@
-"""Queries of this group."""
+"""Queries on ordered rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import temporal
+from .registry import query, table
+
+_ORDER = "ORDER BY ts, event_id"
+_LAG = f"(SELECT event_id, value - lag(value) OVER ({_ORDER}) AS d, lag(value) OVER ({_ORDER}) AS x, value AS y, lag(user_id) OVER ({_ORDER}) AS u FROM events)"
+
+
+@query("lag_difference", f"SELECT event_id, {{R:d}} AS difference FROM {_LAG}")
+def lag_difference(spark, sf_dir):
+    d = temporal.lagged(table(spark, sf_dir, "events").select("event_id", "ts", "value"), ["value"], "ts", "event_id")
+    return d.select("event_id", (F.col("value") - F.col("value_lag1")).alias("difference"))
+
+
+@query("moving_average", f"SELECT event_id, {{R:avg(value) OVER ({_ORDER} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)}} AS value_ma FROM events")
+def moving_average(spark, sf_dir):
+    return temporal.moving_average(table(spark, sf_dir, "events").select("event_id", "ts", "value"), "value", "ts", "event_id", 25).select("event_id", "value_ma")
+
+
+@query("seasonal_naive", f"SELECT event_id, {{R:lag(value, 7) OVER ({_ORDER})}} AS value_naive FROM events")
+def seasonal_naive(spark, sf_dir):
+    return temporal.seasonal_naive(table(spark, sf_dir, "events").select("event_id", "ts", "value"), "value", "ts", "event_id", 7).select("event_id", "value_naive")
+
+
+_SMOOTH = """WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+ r AS (SELECT user_id, event_id, value, k, value AS smoothed FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.event_id, s.value, s.k, 0.3 * s.value + 0.7 * r.smoothed FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)
+ SELECT user_id, event_id, {R:value} AS value, {R:smoothed} AS smoothed FROM r"""
+
+
+@query("exponential_smoothing", _SMOOTH)
+def exponential_smoothing(spark, sf_dir):
+    return temporal.exponential_smoothing(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
+
+
+_ADF = f"""WITH l AS {_LAG}, s AS (SELECT count(*) AS n, regr_slope(d, x) AS g, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy, regr_sxy(d, x) AS sxy FROM l WHERE x IS NOT NULL),
+ q AS (SELECT quantile_cont(epoch(ts), 0.25) AS a, quantile_cont(epoch(ts), 0.75) AS b FROM events),
+ e AS (SELECT abs(avg(value) FILTER (epoch(ts) >= b) - avg(value) FILTER (epoch(ts) <= a)) / stddev_samp(value) AS ratio FROM events, q)
+ SELECT n, {{R:g}} AS gamma, {{R:g / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)}} AS t, {{R:ratio}} AS drift_ratio FROM s, e"""
+
+
+@query("adf_drift", _ADF)
+def adf_drift(spark, sf_dir):
+    return temporal.adf_drift(table(spark, sf_dir, "events"), "value", "ts", "event_id").drop("p_value", "verdict")
+
+
+_GRANGER = f"""WITH l AS (SELECT y, x, u::DOUBLE AS u FROM {_LAG} WHERE x IS NOT NULL),
+ s AS (SELECT count(*) AS n, regr_syy(y, x) AS syy, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_sxx(y, u) AS suu, regr_sxy(y, u) AS suy, regr_sxy(x, u) AS sux FROM l),
+ r AS (SELECT n, syy - sxy * sxy / sxx AS r1, syy - (sxy * (sxy * suu - suy * sux) + suy * (suy * sxx - sxy * sux)) / (sxx * suu - sux * sux) AS r2 FROM s)
+ SELECT 'user_id' AS cause, 'value' AS effect, n, {{R:(r1 - r2) / (r2 / (n - 3))}} AS f, {{R:exp(-(r1 - r2) / (r2 / (n - 3)) / 2)}} AS p_approx FROM r"""
+
+
+@query("granger_lag1", _GRANGER)
+def granger_lag1(spark, sf_dir):
+    return temporal.granger(table(spark, sf_dir, "events"), "user_id", "value", "ts", "event_id")
+
+
+_ICP = """WITH e AS (SELECT value AS y, user_id AS x, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events),
+ p AS (SELECT least(2, floor(i * 3 / n)) AS part, regr_slope(y, x) AS slope FROM e GROUP BY 1)
+ SELECT count(slope) AS parts, {R:avg(slope)} AS mean_slope, {R:(max(slope) - min(slope)) / greatest(0.1, abs(avg(slope)))} AS span, (max(slope) - min(slope)) / greatest(0.1, abs(avg(slope))) <= 0.45 AS stable FROM p"""
+
+
+@query("slope_stability", _ICP)
+def slope_stability(spark, sf_dir):
+    d = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.orderBy("event_id")) - 1)
+    return temporal.slope_stability(d, "user_id", "value", "i")
+
+
+@query("regularised_series")
+def regularised_series(spark, sf_dir):
+    return temporal.regularised(table(spark, sf_dir, "events").select("ts", "value"), "value", "ts")
+
+
+@query("trend_choice")
+def trend_choice(spark, sf_dir):
+    return temporal.trend_choice(table(spark, sf_dir, "events"), "value", "ts", "event_id")
+
+
+@query("arima_110", f"""WITH l AS (SELECT ts, event_id, value, value - lag(value) OVER ({_ORDER}) AS d FROM events), m AS (SELECT *, lag(d) OVER ({_ORDER}) AS d1 FROM l)
+ SELECT {{R:regr_slope(d, d1)}} AS phi, {{R:regr_intercept(d, d1)}} AS constant, {{R:arg_max(value, (ts, event_id)) + regr_intercept(d, d1) + regr_slope(d, d1) * arg_max(d, (ts, event_id))}} AS forecast FROM m""")
+def arima_110(spark, sf_dir):
+    return temporal.arima_110(table(spark, sf_dir, "events"), "value", "ts", "event_id")
+
+
+@query("time_axis")
+def time_axis(spark, sf_dir):
+    rows = [(t, temporal.time_axis(table(spark, sf_dir, t)) or "row_index") for t in ("events", "orders", "lineitem", "part")]
+    return spark.createDataFrame(rows, "name string, axis string")
+
+
+@query("project_timeline")
+def project_timeline(spark, sf_dir):
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    d = li.join(o, li.l_orderkey == o.o_orderkey).select("o_orderdate", "l_shipdate")
+    found = temporal.project_timeline(d)
+    return spark.createDataFrame([found] if found else [], "start string, end string")
+
+
+@query("dead_zones")
+def dead_zones(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1).withColumn("y", F.when(F.col("o_totalprice") > 250000, F.col("o_custkey")).otherwise(F.col("o_orderkey") % 17).cast("double"))
+    return temporal.dead_zones(d, ["o_totalprice", "o_orderkey"], "o_custkey", "y", "i")
