@@ -29,6 +29,8 @@ GRAM = 8
 WINDOW = MIN_WORDS - ANCHOR + 1
 #: Suffixes of one anchor that are sorted together; more are dealt by what follows the anchor.
 GROUP_ROWS = 50_000
+#: Positions, of all texts together, up to which their list is broadcast (4 MB).
+BROADCAST_POSITIONS = 500_000
 #: Suffixes sorted in one numpy pass.
 PASS_ROWS = 20_000
 
@@ -191,7 +193,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = saved(each.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("n")).where("a != b").select("anchor", "n"), "anchors")
     kept = each.join(shared.select("anchor"), "anchor").groupBy("tid").agg(F.collect_list("start").alias("starts"))
     wanted = saved(kept.join(texts.select("tid", "first_id"), "tid").groupBy("first_id").agg(F.flatten(F.collect_list("starts")).alias("starts")).select(F.col("first_id").alias("__id"), "starts"), "wanted")
-    near = own.join(broadcast_if_small(wanted, 100_000), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "starts")
+    # Positions are broadcast only while they are few in all; texts are shuffled to longer lists.
+    positions = wanted.agg(F.sum(F.size("starts"))).first()[0] or 0
+    side = broadcast_if_small(wanted, BROADCAST_POSITIONS) if positions <= BROADCAST_POSITIONS else wanted
+    near = own.join(side, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "starts")
     around = near.mapInArrow(contexts, _CONTEXT)
     parts = F.ceil(F.col("n") / GROUP_ROWS)
     dealt = around.join(shared, "anchor").select("tid", "start", "anchor", "around", F.pmod(F.xxhash64(F.substring("around", 4 * (MIN_WORDS - ANCHOR) + 1, 4 * (MIN_WORDS - ANCHOR))), parts).cast("int").alias("slice"))
