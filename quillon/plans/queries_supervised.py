@@ -1 +1,124 @@
-"""Queries of this group."""
+"""Targets, features, models, drift and causal hypotheses."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import causal, models, neural, select
+from .registry import query, table
+
+FEATURES = ["l_extendedprice", "l_discount", "l_tax"]
+
+
+def _net(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem")
+    return d.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_key"), "l_quantity", *FEATURES, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+
+
+def _indexed(spark, sf_dir):
+    # One row an order: the index is dense, as folds and slices need.
+    return table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
+
+
+@query("target_resolution")
+def target_resolution(spark, sf_dir):
+    rows = []
+    for t in ("lineitem", "orders", "events", "part"):
+        for s in select.STRATEGIES:
+            found = select.resolve_target(table(spark, sf_dir, t), strategy=s)
+            rows.append((t, s, found.name, found.strategy, found.task))
+    return spark.createDataFrame(rows, "name string, strategy string, target string, how string, task string")
+
+
+@query("feature_collection")
+def feature_collection(spark, sf_dir):
+    kept, gone = select.collect_features(_net(spark, sf_dir).drop("row_key"), "net")
+    return spark.createDataFrame([(c, "kept") for c in kept] + list(gone.items()), "column_name string, verdict string")
+
+
+@query("selection_phases")
+def selection_phases(spark, sf_dir):
+    p = select.phases(_net(spark, sf_dir), "net", ["l_quantity", *FEATURES])
+    rows = [("role", c, r) for c, r in p["roles"].items()] + [("kept", c, p["mode"]) for c in p["kept"]]
+    return spark.createDataFrame(rows, "phase string, column_name string, value string")
+
+
+@query("ridge_cv")
+def ridge_cv(spark, sf_dir):
+    d = _net(spark, sf_dir)
+    return models.cross_validated(d, FEATURES, "net", "row_key").unionByName(models.cross_validated(d, FEATURES, "net", "row_key", ridge=1.0, label="ridge"))
+
+
+@query("decision_stump")
+def decision_stump(spark, sf_dir):
+    return models.stump(_net(spark, sf_dir), FEATURES, "net", "row_key")
+
+
+@query("bagged_stumps")
+def bagged_stumps(spark, sf_dir):
+    return models.bagged_stumps(_net(spark, sf_dir), FEATURES, "net", "row_key", k=3, bags=5)
+
+
+@query("model_benchmark")
+def model_benchmark(spark, sf_dir):
+    return models.benchmark(_net(spark, sf_dir), FEATURES, ["net", "l_quantity"], "row_key", k=3)
+
+
+@query("binary_accuracy", "SELECT {R:avg(CASE WHEN (o_totalprice > 200000) = (o_custkey % 2 = 1) THEN 1.0 ELSE 0.0 END)} AS accuracy, count(*) AS n FROM orders")
+def binary_accuracy(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select((F.col("o_totalprice") > 200000).cast("double").alias("p"), (F.col("o_custkey") % 2).cast("double").alias("y"))
+    return models.accuracy(d, "p", "y")
+
+
+_PSI = """WITH d AS (SELECT o_totalprice + CASE WHEN i >= floor(0.7 * n) THEN 40000 ELSE 0 END AS v, i < floor(0.7 * n) AS ref FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)),
+ q AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS c FROM d WHERE ref),
+ b AS (SELECT (v >= c[1])::INTEGER + (v >= c[2])::INTEGER + (v >= c[3])::INTEGER + (v >= c[4])::INTEGER AS bin, ref FROM d, q),
+ s AS (SELECT bin, greatest(count(*) FILTER (ref) / sum(count(*) FILTER (ref)) OVER (), 1e-6) AS a, greatest(count(*) FILTER (NOT ref) / sum(count(*) FILTER (NOT ref)) OVER (), 1e-6) AS m FROM b GROUP BY bin)
+ SELECT 'v' AS column_name, {R:sum((m - a) * ln(m / a))} AS psi, CASE WHEN sum((m - a) * ln(m / a)) >= 0.25 THEN 'major' WHEN sum((m - a) * ln(m / a)) >= 0.15 THEN 'moderate' ELSE 'stable' END AS band FROM s"""
+
+
+@query("psi_drift", _PSI)
+def psi_drift(spark, sf_dir):
+    d = _indexed(spark, sf_dir)
+    n = d.count()
+    ref = F.col("i") < int(0.7 * n)
+    return models.psi(d.withColumn("v", F.col("o_totalprice") + F.when(ref, 0).otherwise(40000)), "v", ref)
+
+
+@query("ood_rate")
+def ood_rate(spark, sf_dir):
+    d = _indexed(spark, sf_dir).withColumn("x", F.col("o_totalprice") + F.when(F.col("i") % 50 == 0, 3e6).otherwise(0.0))
+    return models.out_of_distribution(d, ["x", "o_custkey"], "i")
+
+
+@query("kmeans_silhouette")
+def kmeans_silhouette(spark, sf_dir):
+    return models.kmeans(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"], ks=(2, 3, 4))
+
+
+@query("row_sample")
+def row_sample(spark, sf_dir):
+    return models.sampled(table(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey")
+
+
+@query("even_sample", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE n <= 2500 OR floor((i + 1) * 2500 / n) > floor(i * 2500 / n)")
+def even_sample(spark, sf_dir):
+    return models.evenly(_indexed(spark, sf_dir), 2500, "i").select("o_orderkey")
+
+
+@query("neural_regression")
+def neural_regression(spark, sf_dir):
+    d = _net(spark, sf_dir)
+    net, x, y = neural.fit(d, FEATURES, "net", "row_key", neural.Settings(epochs=15), rows=4000)
+    imp = neural.hybrid(net, x[:64], y[:64])
+    scored = neural.score(d, net, FEATURES, "row_key").join(d.select("row_key", "net"), "row_key")
+    out = models.errors(scored, F.col("prediction"), "net", "dense network")
+    return out.crossJoin(spark.createDataFrame([tuple(float(v) for v in imp)], ", ".join(f"w_{c} double" for c in FEATURES)))
+
+
+@query("causal_edges")
+def causal_edges(spark, sf_dir):
+    d = _indexed(spark, sf_dir).select("i", F.pow("o_totalprice", F.lit(0.5)).alias("a")).withColumn("noise", F.pmod(F.xxhash64("i"), F.lit(1000)) / 10.0)
+    d = d.withColumn("b", F.col("a") * 0.4 + F.col("noise")).withColumn("c", F.col("b") * 0.7 + F.pmod(F.xxhash64("i", F.lit(1)), F.lit(1000)) / 9.0)
+    return causal.discover(d, "c", ["a", "b"], "i", causal.Knobs(bootstraps=16))
