@@ -138,3 +138,72 @@ def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def is_long(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.LongType)
+
+
+# -- lists that blocks (partitions of one scan) find next to their rows --
+#
+# A first scan tags rows with their partition and a hash of their raw text. What a later scan must
+# know about some of them is written as one file a block in the shared folder, so neither texts are
+# shuffled to it nor is it sent through the driver. Each file holds the count and xor of the hashes
+# its block had: a scan that was split otherwise fails on that check, and callers fall back to a join.
+
+
+class BlocksChanged(RuntimeError):
+    """The second scan's partitions are not those of the first."""
+
+
+def raw_id(text: str | bytes | None) -> int:
+    import xxhash
+
+    n = xxhash.xxh3_64_intdigest(text or b"")
+    return n - (1 << 64) if n >> 63 else n
+
+
+def write_blocks(rows: DataFrame, wanted: DataFrame, name: str) -> str:
+    """``rows`` (block, rid): every row of the scan. ``wanted`` (block, rid, payload array of longs)."""
+    uri = scratch(rows.sparkSession, name)
+    heads = rows.groupBy("block").agg(F.count("*").alias("n"), F.bit_xor("rid").alias("x")).select("block", F.lit(None).cast("long").alias("rid"), F.array("n", "x").alias("payload"))
+    both = heads.unionByName(wanted.select("block", "rid", "payload")).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("rid"))
+    both.mapInArrow(lambda it: _store_blocks(it, uri), "done int").agg(F.count("*")).collect()
+    return uri
+
+
+def _store_blocks(batches, uri: str):
+    import numpy as np
+
+    now, frames = None, []
+    for b in batches:
+        for block, rid, payload in zip(*(b.column(c).to_pylist() for c in ("block", "rid", "payload")), strict=True):
+            if block != now:
+                if frames:
+                    put_file(uri, f"block-{now}", frames)
+                now, frames = block, []
+            frames += [b"" if rid is None else rid.to_bytes(8, "little", signed=True), np.array(payload, np.int64).tobytes()]
+    if frames:
+        put_file(uri, f"block-{now}", frames)
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], names=["done"])
+
+
+class Block:
+    """This task's list: ``take(rid)`` gives a row's payload once; ``close`` checks the block."""
+
+    def __init__(self, uri: str):
+        import numpy as np
+
+        frames = get_file(uri, f"block-{partition_id()}")
+        self.payload = {int.from_bytes(frames[i], "little", signed=True): np.frombuffer(frames[i + 1], np.int64) for i in range(2, len(frames), 2)}
+        head = np.frombuffer(frames[1], np.int64) if frames else np.zeros(2, np.int64)
+        self.left, self.xor = int(head[0]), int(head[1])
+
+    def take(self, rid: int):
+        self.left -= 1
+        self.xor ^= rid
+        return self.payload.pop(rid, None)
+
+    def close(self) -> None:
+        if self.left or self.xor:
+            raise BlocksChanged("BLOCKS_CHANGED: the input was split otherwise than in the first scan")
+
+
+def blocks_changed(error: Exception) -> bool:
+    return "BLOCKS_CHANGED" in str(error)

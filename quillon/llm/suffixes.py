@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, broadcast_if_small, records, saved, ship, tune
+from . import common
+from .common import arrow_schema, records, saved, ship, tune
 from .near_dedup import WordHashes, constants, mix, slabs
 
 ship(__name__)
@@ -29,13 +30,11 @@ GRAM = 8
 WINDOW = MIN_WORDS - ANCHOR + 1
 #: Suffixes of one anchor that are sorted together; more are dealt by what follows the anchor.
 GROUP_ROWS = 50_000
-#: Positions, of all texts together, up to which their list is broadcast (4 MB).
-BROADCAST_POSITIONS = 500_000
 #: Suffixes sorted in one numpy pass.
 PASS_ROWS = 20_000
 
 _U = np.uint64
-_TEXTS = "doc_id long, tid long, n_words long, starts array<long>, anchors array<long>"
+_TEXTS = "doc_id long, block int, rid long, tid long, n_words long, starts array<long>, anchors array<long>"
 _CONTEXT = "tid long, start long, anchor long, around binary"
 _FOUND = "tid long, start long, end long, other long"
 _GRAM_STEPS, _ANCHOR_STEPS = constants(GRAM, 11), constants(ANCHOR, 12)
@@ -90,29 +89,45 @@ def suffix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchors = runs_hash(words, _ANCHOR_STEPS)
             at = minimisers(runs_hash(words, _GRAM_STEPS))
             at = at[at < len(anchors)]
-            for name, value in zip(rows, (doc, text_id(b" ".join(text.split())), len(words), at, anchors[at].view(np.int64)), strict=True):
+            values = (doc, common.partition_id(), common.raw_id(text), text_id(b" ".join(text.split())), len(words), at, anchors[at].view(np.int64))
+            for name, value in zip(rows, values, strict=True):
                 rows[name].append(value)
         yield records(rows, schema)
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each kept suffix: the MIN_WORDS - ANCHOR words before it, nearest first, and as many
-    after its anchor, as 32-bit hashes; 0 where the text ends."""
-    hashes, side = WordHashes(), MIN_WORDS - ANCHOR
+def around_starts(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, anchors, words around): of each kept suffix the MIN_WORDS - ANCHOR words before it,
+    nearest first, and as many after its anchor, as 32-bit hashes; 0 where the text ends."""
+    side = MIN_WORDS - ANCHOR
+    anchors = runs_hash(words, _ANCHOR_STEPS)
+    starts = starts[starts < len(anchors)]
+    short = np.concatenate([np.zeros(side, np.uint32), (words >> _U(32)).astype(np.uint32) | np.uint32(1), np.zeros(side, np.uint32)])
+    before = short[starts[:, None] + side - 1 - np.arange(side)]
+    after = short[starts[:, None] + side + ANCHOR + np.arange(side)]
+    return starts, anchors[starts].view(np.int64), np.concatenate([before, after], axis=1)
+
+
+def contexts(batches: Iterator[pa.RecordBatch], uri: str | None) -> Iterator[pa.RecordBatch]:
+    """Contexts of the listed suffixes. Columns: text and, without block files, starts."""
+    hashes, block = WordHashes(), common.Block(uri) if uri else None
     for b in batches:
+        texts = [(x or b"").lower() for x in b.column(0).cast(pa.large_binary()).to_pylist()]
+        lists = [block.take(common.raw_id(t)) for t in texts] if block else b.column(1).to_pylist()
+        chosen = [(t, x) for t, x in zip(texts, lists, strict=True) if x is not None]
         rows: dict[str, list] = {f.name: [] for f in arrow_schema(_CONTEXT)}
-        for starts, (text, words) in zip(b.column(1).to_pylist(), word_arrays(b, 0, hashes), strict=True):
-            starts, tid = np.array(starts, np.int64), text_id(b" ".join(text.split()))
-            anchors = runs_hash(words, _ANCHOR_STEPS)
-            starts = starts[starts < len(anchors)]
-            short = np.concatenate([np.zeros(side, np.uint32), (words >> _U(32)).astype(np.uint32) | np.uint32(1), np.zeros(side, np.uint32)])
-            before = short[starts[:, None] + side - 1 - np.arange(side)]
-            after = short[starts[:, None] + side + ANCHOR + np.arange(side)]
-            rows["tid"] += [tid] * len(starts)
-            rows["start"] += starts.tolist()
-            rows["anchor"] += anchors[starts].view(np.int64).tolist()
-            rows["around"] += [x.tobytes() for x in np.concatenate([before, after], axis=1)]
+        done = 0
+        for part in slabs([t for t, _ in chosen]):
+            for words in hashes.of(part):
+                text, starts = chosen[done]
+                done += 1
+                starts, anchors, near = around_starts(words, np.array(starts, np.int64))
+                rows["tid"] += [text_id(b" ".join(text.split()))] * len(starts)
+                rows["start"] += starts.tolist()
+                rows["anchor"] += anchors.tolist()
+                rows["around"] += [x.tobytes() for x in near]
         yield records(rows, arrow_schema(_CONTEXT))
+    if block:
+        block.close()
 
 
 def shared_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -188,21 +203,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = saved(own.mapInArrow(suffix_keys, _TEXTS), "suffixes")
     # Equal texts are searched once.
-    texts = saved(rows.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("doc_id").alias("last_id"), F.first("n_words").alias("n_words"), F.first("starts").alias("starts"), F.first("anchors").alias("anchors")), "texts")
+    first = F.min(F.struct("block", "rid"))
+    texts = saved(rows.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("doc_id").alias("last_id"), F.first("n_words").alias("n_words"), F.first("starts").alias("starts"), F.first("anchors").alias("anchors"), first.alias("at")), "texts")
     each = texts.select("tid", F.explode(F.arrays_zip("starts", "anchors")).alias("s")).select("tid", F.col("s.starts").alias("start"), F.col("s.anchors").alias("anchor"))
     shared = saved(each.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("n")).where("a != b").select("anchor", "n"), "anchors")
-    kept = each.join(shared.select("anchor"), "anchor").groupBy("tid").agg(F.collect_list("start").alias("starts"))
-    wanted = saved(kept.join(texts.select("tid", "first_id"), "tid").groupBy("first_id").agg(F.flatten(F.collect_list("starts")).alias("starts")).select(F.col("first_id").alias("__id"), "starts"), "wanted")
-    # Positions are broadcast only while they are few in all; texts are shuffled to longer lists.
-    positions = wanted.agg(F.sum(F.size("starts"))).first()[0] or 0
-    side = broadcast_if_small(wanted, BROADCAST_POSITIONS) if positions <= BROADCAST_POSITIONS else wanted
-    near = own.join(side, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "starts")
-    around = near.mapInArrow(contexts, _CONTEXT)
-    parts = F.ceil(F.col("n") / GROUP_ROWS)
-    dealt = around.join(shared, "anchor").select("tid", "start", "anchor", "around", F.pmod(F.xxhash64(F.substring("around", 4 * (MIN_WORDS - ANCHOR) + 1, 4 * (MIN_WORDS - ANCHOR))), parts).cast("int").alias("slice"))
-    found = dealt.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(sorted_groups, _FOUND)
+    kept = each.join(shared.select("anchor"), "anchor").groupBy("tid").agg(F.collect_list("start").alias("payload"))
+    wanted = saved(kept.join(texts.select("tid", "at", "first_id"), "tid").select("at.block", "at.rid", "first_id", "payload"), "wanted")
+    uri = common.write_blocks(rows.select("block", "rid"), wanted, "positions")
+
+    def ranges_of(around: DataFrame) -> DataFrame:
+        parts = F.ceil(F.col("n") / GROUP_ROWS)
+        after = F.substring("around", 4 * (MIN_WORDS - ANCHOR) + 1, 4 * (MIN_WORDS - ANCHOR))
+        dealt = around.join(shared, "anchor").select("tid", "start", "anchor", "around", F.pmod(F.xxhash64(after), parts).cast("int").alias("slice"))
+        found = dealt.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(sorted_groups, _FOUND)
+        return saved(found.groupBy("tid", "start", "end").agg(F.min("other").alias("other")), "ranges")
+
+    try:
+        found = ranges_of(own.select("doc_id", "text").mapInArrow(lambda it: contexts((b.select([1]) for b in it), uri), _CONTEXT))
+    except Exception as error:
+        if not common.blocks_changed(error):
+            raise
+        # An input that is not split alike twice: the texts go to the lists instead.
+        listed = wanted.select(F.col("first_id").alias("__id"), F.col("payload").alias("starts"))
+        near = own.join(listed, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "starts")
+        found = ranges_of(near.mapInArrow(lambda it: contexts(it, None), _CONTEXT))
     names = texts.select(F.col("tid").alias("other"), F.col("first_id").alias("other_id"))
-    ranges = saved(found.groupBy("tid", "start", "end").agg(F.min("other").alias("other")).join(names, "other").select("tid", "start", "end", "other_id"), "ranges")
+    ranges = found.join(names, "other").select("tid", "start", "end", "other_id")
     # Touching or overlapping ranges become one.
     order = Window.partitionBy("tid").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
