@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import arrow_schema, broadcast_if_small, records, saved, ship, tune
 from .components import components
 
@@ -40,7 +41,7 @@ SLAB_BYTES = 1 << 20
 
 _U = np.uint64
 _RADIX = _U(0x9E3779B97F4A7C15)
-_SIGS = "doc_id long, n_shingles long, node long, bands array<long>"
+_SIGS = "doc_id long, block int, rid long, n_shingles long, node long, bands array<long>"
 _SETS = "node long, members binary"
 _EDGES = "u long, v long"
 
@@ -127,8 +128,11 @@ def slabs(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def sets_of(batch: pa.RecordBatch, hashes: WordHashes, k: int) -> Iterator[np.ndarray]:
-    texts = [(x or b"").lower() for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+def lowered(column: pa.Array) -> list[bytes]:
+    return [(x or b"").lower() for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def sets_of(texts: list[bytes], hashes: WordHashes, k: int) -> Iterator[np.ndarray]:
     for part in slabs(texts):
         for words in hashes.of(part):
             yield shingle_set(words, k)
@@ -142,17 +146,25 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
     hashes, schema = WordHashes(), arrow_schema(_SIGS)
     for b in batches:
         rows: dict[str, list] = {f.name: [] for f in schema}
-        for doc, s in zip(b.column(0).to_pylist(), sets_of(b, hashes, k), strict=True):
-            for name, value in zip(rows, (doc, len(s), node_of(s) if len(s) else None, bands(s) if len(s) else None), strict=True):
+        texts = lowered(b.column(1))
+        for doc, text, s in zip(b.column(0).to_pylist(), texts, sets_of(texts, hashes, k), strict=True):
+            values = (doc, common.partition_id(), common.raw_id(text), len(s), node_of(s) if len(s) else None, bands(s) if len(s) else None)
+            for name, value in zip(rows, values, strict=True):
                 rows[name].append(value)
         yield records(rows, schema)
 
 
-def full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+def full_sets(batches: Iterator[pa.RecordBatch], k: int, uri: str | None) -> Iterator[pa.RecordBatch]:
+    """Full sets of the listed texts, or of all where there are no block files. Column: text."""
+    hashes, block = WordHashes(), common.Block(uri) if uri else None
     for b in batches:
-        found = [s for s in sets_of(b, hashes, k) if len(s)]
+        texts = lowered(b.column(0))
+        if block:
+            texts = [t for t in texts if block.take(common.raw_id(t)) is not None]
+        found = [s for s in sets_of(texts, hashes, k) if len(s)]
         yield records({"node": [node_of(s) for s in found], "members": [s.tobytes() for s in found]}, arrow_schema(_SETS))
+    if block:
+        block.close()
 
 
 def links(nodes: np.ndarray, sides: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -230,7 +242,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     tune(spark)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sigs = saved(own.mapInArrow(lambda it: signatures(it, words), _SIGS), "signatures")
-    nodes = saved(sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = saved(sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("block", "rid")).alias("at")), "nodes")
 
     # Table keys: pairs from the two collections of bands.
     tables = nodes.select("node", "bands", F.explode(F.sequence(F.lit(0), F.lit(GROUPS * GROUPS - 1))).alias("t"))
@@ -239,18 +251,27 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     stars = keys.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u != v").distinct()
     clusters = saved(components(stars).withColumnRenamed("root", "cluster").join(nodes, "node"), "clusters")
 
-    # Full sets of the clusters' nodes, from the first document of each.
-    wanted = saved(clusters.select(F.col("first_id").alias("__id")).distinct(), "wanted")
-    texts = own.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = texts.mapInArrow(lambda it: full_sets(it, words), _SETS).dropDuplicates(["node"])
-
+    # Full sets of the clusters' nodes, each from one text, found where the text is.
+    uri = common.write_blocks(sigs.select("block", "rid"), clusters.select("at.block", "at.rid", F.array("node").alias("payload")), "sets")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    dealt = placed.join(sets, "node").select("cluster", "node", "block", "bands", "members", other)
-    dealt = dealt.withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o")).drop("o")
-    pairs = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-    edges = pairs.select("cluster", "x", "y", "node", "block", "bands", "members").mapInArrow(lambda it: confirm(it, percent), _EDGES)
+
+    def confirmed(sets: DataFrame) -> DataFrame:
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+        dealt = placed.join(sets, "node").select("cluster", "node", "block", "bands", "members", other)
+        dealt = dealt.withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o")).drop("o")
+        pairs = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+        return saved(pairs.select("cluster", "x", "y", "node", "block", "bands", "members").mapInArrow(lambda it: confirm(it, percent), _EDGES), "links")
+
+    try:
+        edges = confirmed(own.mapInArrow(lambda it: full_sets((b.select([1]) for b in it), words, uri), _SETS))
+    except Exception as error:
+        if not common.blocks_changed(error):
+            raise
+        # An input that is not split alike twice: texts meet the clusters by a join instead.
+        listed = clusters.select(F.col("first_id").alias("__id")).distinct()
+        texts = own.join(listed, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+        edges = confirmed(texts.mapInArrow(lambda it: full_sets(it, words, None), _SETS).dropDuplicates(["node"]))
 
     roots = components(edges).join(nodes.select("node", "first_id"), "node")
     least = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
