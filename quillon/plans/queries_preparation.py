@@ -270,3 +270,47 @@ def missing_tokens(spark, sf_dir):
 @query("text_functions", "SELECT p_partkey, replace(replace(p_name, '<', '&lt;'), '&', '&amp;') AS escaped, printf('%.2f', p_retailprice) AS fixed FROM part")
 def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", parsing.html_escape(F.col("p_name")).alias("escaped"), parsing.fixed(F.col("p_retailprice"), 2).alias("fixed"))
+
+
+# -- text tables --
+
+
+@query("csv_round_trip", "SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, {R:o_totalprice} AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def csv_round_trip(spark, sf_dir):
+    """Written as delimited text, then read, typed by inference and cast."""
+    import uuid
+
+    from ..sources import scratch, tabular
+
+    base = scratch.materialised(table(spark, sf_dir, "region"), "base").inputFiles()[0].rsplit("/", 2)[0]
+    path = f"{base}/quillon-csv-{uuid.uuid4().hex}"
+    tabular.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), path)
+    raw = tabular.read_text_table(spark, path)
+    return tabular.typed(raw, tabular.infer_types(raw))
+
+
+@query("type_inference", "SELECT * FROM (VALUES ('amount', 'numeric'), ('code', 'categorical'), ('event_time', 'datetime'), ('mixed', 'categorical')) t(column_name, kind)")
+def type_inference(spark, sf_dir):
+    from ..sources import tabular
+
+    d = table(spark, sf_dir, "orders").select(
+        F.format_string("%.2f", F.col("o_totalprice")).alias("amount"), F.col("o_orderstatus").alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("event_time"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit("x")).otherwise(F.col("o_orderkey").cast("string")).alias("mixed"),
+    )
+    return spark.createDataFrame(list(tabular.infer_types(d).items()), "column_name string, kind string")
+
+
+@query("row_admission", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 > 2")
+def row_admission(spark, sf_dir):
+    from ..sources import tabular
+
+    k = F.col("o_orderkey") % 10
+    d = table(spark, sf_dir, "orders").select(F.when(k == 0, "Grand Total").when(k == 1, "-- note").when(k == 2, " ").otherwise(F.col("o_orderpriority")).alias("a"), F.when((k == 1) | (k == 2), None).otherwise(F.col("o_orderkey").cast("string")).alias("b"))
+    return tabular.admitted(d).agg(F.count("*").alias("n"))
+
+
+@query("dense_row_ids", "SELECT count(*) AS n, min(i) AS first, max(i) AS last FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem)")
+def dense_row_ids(spark, sf_dir):
+    from ..sources import tabular
+
+    return tabular.with_row_id(table(spark, sf_dir, "lineitem")).agg(F.count_distinct("row_id").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
