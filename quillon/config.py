@@ -39,8 +39,8 @@ class Tuning:
     outlier_z_threshold: float = 3.0
     lof_k: int = 20
     lof_threshold: float = 1.5
-    corr_min: float = 0.25
-    tier_quantile: float = 0.75
+    scatter_fit_min_abs_corr: float = 0.35
+    bivariate_selection_quantile: float = -1.0
     information_cluster_r: float = 0.97
     identity_r: float = 0.98
     contamination_r: float = 0.99
@@ -62,7 +62,7 @@ class Tuning:
             (self.outlier_iqr_multiplier > 0, "outlier_iqr_multiplier must be positive"),
             (self.outlier_z_threshold > 0, "outlier_z_threshold must be positive"),
             (self.lof_k >= 1, "lof_k must be at least 1"),
-            (0 <= self.tier_quantile <= 1, "tier_quantile must lie in [0, 1]"),
+            (self.bivariate_selection_quantile == -1 or 0 <= self.bivariate_selection_quantile <= 1, "bivariate_selection_quantile must be -1 or lie in [0, 1]"),
             (0 < self.identity_r <= 1 and 0 < self.contamination_r <= 1, "correlation limits must lie in (0, 1]"),
             (self.psi_moderate <= self.psi_major, "psi_moderate may not exceed psi_major"),
             (self.causal_bootstraps >= 1 and self.causal_top >= 1, "causal counts must be at least 1"),

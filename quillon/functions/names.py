@@ -4,29 +4,32 @@ from __future__ import annotations
 
 import re
 
-# Word lists.
-ADMIN_WORDS = {"id", "idx", "index", "uuid", "guid", "timestamp", "created", "updated", "rownum"}
-ADMIN_PARTS = ["meta", "ingest", "audit", "serial", "sequence"]
-METADATA_SUFFIXES = ["lat", "lon", "latitude", "longitude", "coords", "date", "time", "timestamp"]
+# Word lists and patterns.
+ADMIN_PATTERN = r"^id$|^idx$|^index$|_id$|^id_|_index$|_idx$|^row_?id$|^row_?num(ber)?$|^uuid$|_uuid$|^guid$|_guid$|^timestamp$|_timestamp$|^created(_at)?$|_created(_at)?$|^updated(_at)?$|_updated(_at)?$"
+ADMIN_PARTS = ["meta", "metadata", "ingest", "ingestion", "audit", "rownum", "serial", "sequence", "record_id"]
+METADATA_NAMES = ["id", "idx", "index", "rowid", "row_id", "rownum", "row_num", "rownumber", "uuid", "guid", "timestamp", "created", "created_at", "updated", "updated_at", "date", "time", "lat", "latitude", "lon", "lng", "coords", "coordinate", "coordinates"]
+METADATA_ENDS = ["_id", "_idx", "_index", "_uuid", "_guid", "_timestamp", "_created", "_created_at", "_updated", "_updated_at", "_date", "_time", "_lat", "_lon", "_lng", "_coord", "_coords", "_coordinate", "_coordinates"]
+METADATA_PARTS = ["metadata", "audit", "ingest"]
 TARGET_PARTS = ["score", "class", "target", "label", "outcome", "response"]
 LEAK_PARTS = ["future", "post", "outcome", "label", "resolved", "actual"]
 DATE_WORDS = ["date", "datetime", "timestamp", "created_at", "updated_at", "event_time", "time"]
 DURATION_WORDS = ["runtime", "duration", "latency", "elapsed", "seconds", "minutes", "hours", "days", "ms"]
 UNITS: list[tuple[str, list[str]]] = [
-    ("currency", ["price", "cost", "revenue", "amount", "salary", "usd", "eur", "income", "extendedprice", "acctbal", "totalprice", "retailprice"]),
-    ("percent", ["percent", "pct", "percentage"]),
-    ("ratio", ["ratio", "share", "fraction", "discount", "tax"]),
-    ("rate", ["rate", "per", "speed", "frequency"]),
-    ("count", ["count", "num", "number", "qty", "quantity", "n"]),
-    ("duration", ["duration", "seconds", "minutes", "hours", "days", "latency", "age"]),
-    ("distance", ["distance", "km", "miles", "meters", "height", "width", "length", "size"]),
-    ("mass", ["mass", "weight", "kg", "grams", "lbs"]),
-    ("volume", ["volume", "liters", "gallons"]),
-    ("temperature", ["temperature", "temp", "celsius", "fahrenheit"]),
-    ("score", ["score", "rating", "grade", "rank"]),
+    ("currency", ["price", "cost", "revenue", "salary", "income", "expense", "budget", "usd", "eur", "gbp", "jpy", "amount", "payment"]),
+    ("percent", ["percent", "percentage", "pct", "%"]),
+    ("ratio", ["ratio"]),
+    ("rate", ["rate", "per_", "per ", "/"]),
+    ("count", ["count", "qty", "quantity", "num", "number", "users", "cases", "population", "clicks", "visits"]),
+    ("duration", ["duration", "latency", "time", "seconds", "second", "minutes", "minute", "hours", "hour", "days", "day", "ms"]),
+    ("distance", ["distance", "km", "kilometer", "mile", "meter", "meters", "miles"]),
+    ("mass", ["weight", "mass", "kg", "kilogram", "lb", "pound", "grams", "gram"]),
+    ("volume", ["volume", "litre", "liter", "ml", "gallon"]),
+    ("temperature", ["temp", "temperature", "celsius", "fahrenheit", "kelvin"]),
+    ("score", ["score", "index", "rating"]),
 ]
-#: Unit pairs whose quotient means something; equal units always do.
-RATIO_PAIRS = {("currency", "count"), ("distance", "duration"), ("count", "duration"), ("mass", "volume"), ("currency", "duration"), ("currency", "mass"), ("volume", "duration")}
+#: Units without a dimension go with any other; these pairs do too.
+DIMENSIONLESS = {"percent", "ratio", "score"}
+RATIO_PAIRS = {("currency", "count"), ("distance", "duration"), ("count", "duration")}
 
 
 def words(name: str) -> list[str]:
@@ -34,13 +37,13 @@ def words(name: str) -> list[str]:
 
 
 def is_admin(name: str) -> bool:
-    w = words(name)
-    return bool(ADMIN_WORDS & set(w)) or any(p in name.lower() for p in ADMIN_PARTS) or name.lower().endswith(("_id", "key")) or w[:2] == ["row", "num"]
+    n = name.strip().lower()
+    return bool(n) and (re.search(ADMIN_PATTERN, n) is not None or any(p in n for p in ADMIN_PARTS))
 
 
 def is_metadata(name: str) -> bool:
-    w = words(name)
-    return is_admin(name) or bool(w) and w[-1] in METADATA_SUFFIXES
+    n = name.strip().lower()
+    return n in METADATA_NAMES or n.startswith("id_") or n.endswith(tuple(METADATA_ENDS)) or any(p in n for p in METADATA_PARTS)
 
 
 def is_target_candidate(name: str) -> bool:
@@ -58,24 +61,27 @@ def leak_hint(name: str) -> bool:
 
 
 def unit(name: str) -> str:
-    w = set(words(name))
-    return next((u for u, tokens in UNITS if w & set(tokens)), "none")
+    """The first unit of which a word occurs in the name, or unknown."""
+    n = name.strip().lower()
+    return next((u for u, tokens in UNITS if any(t in n for t in tokens)), "unknown")
 
 
 def ratio_compatible(a: str, b: str) -> bool:
+    """Unless both units are known, have dimensions, differ and are no common quotient."""
     x, y = unit(a), unit(b)
-    return x == y and x != "none" or (x, y) in RATIO_PAIRS or (y, x) in RATIO_PAIRS
+    return "unknown" in (x, y) or x == y or bool({x, y} & DIMENSIONLESS) or (x, y) in RATIO_PAIRS or (y, x) in RATIO_PAIRS
 
 
-def role(name: str, distinct: int, null_ratio: float) -> str:
-    """ADMIN, CONSTANT, LOW_SIGNAL, TARGET_CANDIDATE, METADATA or FEATURE, first that applies."""
-    if is_admin(name):
+def role(name: str, distinct: int, null_ratio: float, rows: int = 0, id_like: bool = False) -> str:
+    """ADMIN (all values differ in an id-like column), CONSTANT, LOW_SIGNAL, TARGET_CANDIDATE,
+    METADATA or FEATURE, first that applies."""
+    if id_like and rows and distinct == rows:
         return "ADMIN"
     if distinct <= 1:
         return "CONSTANT"
-    if null_ratio > 0.4:
+    if null_ratio > 0.40:
         return "LOW_SIGNAL"
-    if is_target_candidate(name):
+    if any(p in name.lower() for p in ("score", "target", "label", "total", "class")):
         return "TARGET_CANDIDATE"
     return "METADATA" if is_metadata(name) else "FEATURE"
 

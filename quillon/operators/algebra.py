@@ -218,15 +218,16 @@ def bic(g: Gram, target: str, parents: list[str]) -> float:
     return g.n * math.log(max(rss / g.n, 1e-300)) + (p + 1) * math.log(g.n)
 
 
-def drift(global_r: float, conditional_r: float) -> str:
-    """sign reversal, collapse or stable."""
-    if abs(global_r) < 0.15:
-        return "weak"
-    if abs(conditional_r) >= 0.05 and global_r * conditional_r < 0:
-        return "sign reversal"
-    if abs(conditional_r) <= 0.5 * abs(global_r) and abs(global_r) - abs(conditional_r) >= 0.12:
-        return "collapse"
-    return "stable"
+def drift(global_r: float, conditional_r: float, least: float = 0.15, ratio: float = 0.50, drop: float = 0.12) -> str:
+    """How a correlation changes once others are held fixed."""
+    g, c = abs(global_r), abs(conditional_r)
+    if g < least:
+        return "weak global signal"
+    flips = c >= 0.05 and global_r * conditional_r < 0
+    falls = c <= g * ratio and g - c >= drop
+    if flips and falls:
+        return "sign reversal + magnitude collapse"
+    return "sign reversal" if flips else "magnitude collapse" if falls else "stable"
 
 
 def significance(r: float, n: int) -> float:

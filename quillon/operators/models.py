@@ -148,33 +148,44 @@ def psi(df: DataFrame, column: str, reference: Column, bins: int = 5) -> DataFra
     total = all_bins.agg(F.sum("r").alias("tr"), F.sum("m").alias("tm"))
     share = all_bins.join(F.broadcast(total), F.lit(True)).where("tr >= 16 and tm >= 16").select(F.greatest(F.col("r") / F.col("tr"), F.lit(eps)).alias("a"), F.greatest(F.col("m") / F.col("tm"), F.lit(eps)).alias("b"))
     out = share.agg(F.sum((F.col("b") - F.col("a")) * F.ln(F.col("b") / F.col("a"))).alias("psi")).where("psi is not null")
-    return out.select(F.lit(column).alias("column_name"), "psi", F.when(F.col("psi") >= 0.25, "major").when(F.col("psi") >= 0.15, "moderate").otherwise("stable").alias("band"))
+    return out.select(F.lit(column).alias("column_name"), "psi", F.when(F.col("psi") >= 0.25, "critical").when(F.col("psi") >= 0.15, "warning").otherwise("stable").alias("band"))
 
 
-def out_of_distribution(df: DataFrame, columns: list[str], row_id: str, share: float = 0.7, most: int = 24) -> DataFrame:
+def out_of_distribution(df: DataFrame, columns: list[str], row_id: str, share: float = 0.7, most: int = 24, z_limit: float = 3.5, distance_limit: float = 2.5) -> DataFrame:
     """Monitor rows (the last 30 %) against the reference: the larger of a regularised Mahalanobis
-    distance and RMS z, with the rate above the limits."""
+    distance and RMS z, standardised by the reference rows' own distances. A row is out if that
+    reaches ``z_limit``, or if the distance reaches ``distance_limit`` and a column lies outside the
+    reference's range by far; with the mean PSI and a drift band."""
+    spark = df.sparkSession
+    schema = "reference_rows long, monitor_rows long, ood long, ood_rate double, mean_distance double, max_distance double, psi_mean double, psi_max double, band string"
     n = df.count()
     ref = F.col(row_id) < int(share * n)
     g = gram(df.where(ref), columns)
     sd, r = g.stddev(), g.correlation()
-    order = sorted(range(len(columns)), key=lambda i: -sd[i])
     kept: list[int] = []
-    for i in order:
+    for i in sorted(range(len(columns)), key=lambda i: -sd[i]):
         if sd[i] > 1e-12 and all(abs(r[i, j]) < 0.95 for j in kept) and len(kept) < most:
             kept.append(i)
+    if not kept:
+        return spark.createDataFrame([], schema)
     cols = [columns[i] for i in kept]
-    if not cols:
-        return df.sparkSession.createDataFrame([], "rows long, ood long, ood_rate double, mean_score double")
-    c = r[np.ix_(kept, kept)]
-    inv = np.linalg.inv(c + 0.05 * np.eye(len(kept)))
+    inv = np.linalg.inv(r[np.ix_(kept, kept)] + 0.05 * np.eye(len(kept)))
     z = [(finite(x) - F.lit(float(g.mean[i]))) / F.lit(float(sd[i])) for x, i in zip(cols, kept, strict=True)]
-    d2 = sum((z[a] * z[b] * float(inv[a, b]) for a in range(len(z)) for b in range(len(z))), F.lit(0.0))
-    rms = F.sqrt(sum((x * x for x in z), F.lit(0.0)) / len(z))
-    score = F.greatest(F.sqrt(F.greatest(d2, F.lit(0.0)) / len(z)), rms)
-    extreme = F.greatest(*[F.abs(x) for x in z], F.lit(0.0)) >= 3.5
-    bad = (score >= 3.5) | (extreme & (score >= 2.5))
-    return df.where(~ref).agg(F.count("*").alias("rows"), F.count_if(bad).alias("ood"), F.avg(F.when(bad, 1.0).otherwise(0.0)).alias("ood_rate"), F.avg(score).alias("mean_score"))
+    named = df.select(ref.alias("ref"), *[v.alias(f"z{i}") for i, v in enumerate(z)])
+    at = [F.col(f"z{i}") for i in range(len(z))]
+    d2 = sum((at[a] * at[b] * float(inv[a, b]) for a in range(len(at)) for b in range(len(at))), F.lit(0.0))
+    rms = F.sqrt(sum((x * x for x in at), F.lit(0.0)) / len(at))
+    top = F.greatest(*[F.abs(x) for x in at], F.lit(0.0))
+    scored = named.select("ref", F.greatest(F.sqrt(F.greatest(d2, F.lit(0.0)) / len(at)), rms).alias("d"), (top >= z_limit).alias("extreme"))
+    m, s = scored.where("ref").agg(F.avg("d"), F.stddev_samp("d")).first()
+    s = s if s and s >= 1e-6 else 1.0
+    bad = ((F.col("d") - F.lit(m or 0.0)) / F.lit(s) >= z_limit) | (F.col("extreme") & (F.col("d") >= distance_limit))
+    row = scored.agg(F.count_if("ref"), F.count_if(~F.col("ref")), F.count_if(~F.col("ref") & bad), F.avg(F.when(~F.col("ref"), F.col("d"))), F.max(F.when(~F.col("ref"), F.col("d")))).first()
+    psis = [x["psi"] for c in cols if (x := psi(df, c, ref).first())]
+    mean, most_psi = (sum(psis) / len(psis), max(psis)) if psis else (0.0, 0.0)
+    rate = row[2] / max(1, row[1])
+    band = "critical" if mean >= 0.25 or most_psi >= 0.375 or rate >= 0.25 else "warning" if mean >= 0.15 or most_psi >= 0.25 or rate >= 0.10 else "stable"
+    return spark.createDataFrame([(row[0], row[1], row[2], rate, float(row[3] or 0.0), float(row[4] or 0.0), mean, most_psi, band)], schema)
 
 
 def kmeans(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5, 6), seed: int = 42) -> DataFrame:

@@ -294,13 +294,22 @@ def ensemble_disagreement(x: np.ndarray, y: np.ndarray, s: Settings, members: in
 
 
 def training_stability(history: list[tuple[float, float]]) -> float:
-    """1 minus the relative wobble of the held-out loss over the last half, in 0..1."""
-    v = np.array([b for _, b in history][len(history) // 2 :])
-    return float(np.clip(1 - (v.std() / v.mean() if len(v) > 1 and v.mean() > 0 else 0.0), 0, 1))
-
-
-def confidence(r2: float, stability: float, disagreement: float, rows: int) -> float:
-    return float(np.clip(0.45 * max(0.0, r2) + 0.25 * stability + 0.15 * (1 - min(1.0, disagreement)) + 0.15 * min(1.0, rows / 1000), 0, 1))
+    """Convergence of the training loss and, at .3, how close the held-out loss ends to it."""
+    if not history:
+        return 0.5
+    (start, _), (end, held) = history[0], history[-1]
+    converged = float(np.clip(0.5 + 0.5 * (start - end) / max(1e-9, abs(start)), 0, 1))
+    general = float(np.clip(1 - abs(held - end) / max(1e-9, abs(end)), 0, 1))
+    return 0.7 * converged + 0.3 * general
+
+
+def confidence(uncertainty: np.ndarray, ensemble: np.ndarray, ood_rate: float, band: str) -> float:
+    """1 minus penalties for uncertainty (.5), disagreement (.2), rows out of distribution (.3) and a
+    drift band."""
+    saturated = lambda v: float(np.mean(np.maximum(v[np.isfinite(v)], 0))) if np.isfinite(v).any() else 0.0
+    u, e = saturated(np.asarray(uncertainty, float)), saturated(np.asarray(ensemble, float))
+    penalty = 0.50 * u / (1 + u) + 0.20 * e / (1 + e) + 0.30 * min(1.0, max(0.0, ood_rate)) + {"critical": 0.30, "warning": 0.15}.get(band, 0.0)
+    return 1 - min(1.0, max(0.0, penalty))
 
 
 def monotone_penalty(values: np.ndarray, importance: float) -> float:

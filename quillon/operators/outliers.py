@@ -42,8 +42,7 @@ def fences(df: DataFrame, columns: list[str], method: str = "iqr", multiplier: f
             r = q[2] - q[0]
             if r > 1e-12:
                 bowley = (q[2] + q[0] - 2 * q[1]) / r
-                low, high = (-4 * bowley, 3 * bowley) if bowley >= 0 else (-3 * bowley, 4 * bowley)
-                out[c] = (q[0] - multiplier * math.exp(low) * r, q[2] + multiplier * math.exp(high) * r)
+                out[c] = (q[0] - multiplier * math.exp(-4 * bowley) * r, q[2] + multiplier * math.exp(3 * bowley) * r)
     return out
 
 

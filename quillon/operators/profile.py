@@ -181,20 +181,18 @@ def surprise(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> Data
 
 
 def bin_count(n: int, low: float, high: float, iqr: float, sd: float) -> int:
-    """Sturges where the span dwarfs the spread, else Freedman-Diaconis, else Scott; 5 to 96."""
+    """Sturges where the span is 120 times the spread or more, else Freedman-Diaconis, else Scott;
+    5 to 96 bins."""
     import math
 
     span = high - low
-    if n < 2 or span <= 0:
+    sturges = max(5, min(96, math.ceil(math.log2(max(2, n)) + 1)))
+    if n < 2 or span <= 1e-12:
         return 5
-    spread = iqr if iqr > 0 else sd
-    if spread <= 0 or span / spread >= 120:
-        k = math.ceil(math.log2(n) + 1)
-    elif iqr > 0:
-        k = math.ceil(span / (2 * iqr / n ** (1 / 3)))
-    else:
-        k = math.ceil(span / (3.49 * sd / n ** (1 / 3)))
-    return max(5, min(96, k))
+    if n >= 8 and span / max(sd, iqr, 1e-12) >= 120:
+        return sturges
+    width = 2 * iqr * n ** (-1 / 3) if iqr > 1e-12 else 3.5 * sd * n ** (-1 / 3) if sd > 1e-12 else 0.0
+    return max(5, min(96, math.ceil(span / width))) if width > 0 else sturges
 
 
 def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
@@ -293,9 +291,20 @@ def bootstrap_mean_ci(df: DataFrame, column: str, key: str, rounds: int = 300, l
     return each.agg(F.avg("m").alias("mean"), q[0].alias("low"), q[1].alias("high"))
 
 
-def health_score(completeness: float, numeric_coverage: float, retention: float, stat_yield: float, selected_yield: float, stability: float, drift_penalty: float) -> tuple[float, str]:
-    """Weighted data-health score and its band."""
+def share(part: float, whole: float) -> float:
+    return part / whole if whole else 0.0
+
+
+def health_score(cells: int, missing: int, columns: int, numeric: int, retained: int, pairs: int, significant: int, selected: int, stability: float, psi_mean: float = 0.0, band: str = "stable") -> tuple[float, str]:
+    """Weighted data-health score (0 to 100) and its band. Yields are logarithmic, against a quarter
+    and a tenth of the pairs; drift takes a share of the score away."""
+    import math
+
     c = lambda x: min(1.0, max(0.0, x))
-    score = 100 * (0.30 * c(completeness) + 0.10 * c(numeric_coverage) + 0.15 * c(retention) + 0.20 * c(stat_yield) + 0.15 * c(selected_yield) + 0.10 * c(stability)) * (1 - c(drift_penalty))
-    band = next((b for limit, b in ((85, "excellent"), (70, "good"), (55, "fair"), (40, "weak")) if score >= limit), "poor")
-    return score, band
+    found = lambda k, part: c(share(math.log1p(k), math.log1p(max(1, pairs // part)))) if pairs else 0.0
+    score = 0.30 * (1 - share(missing, max(1, cells))) + 0.10 * share(numeric, max(1, columns)) + 0.15 * share(retained, numeric - 1 if numeric else 0) + 0.20 * found(significant, 4) + 0.15 * found(selected, 10) + 0.10 * stability
+    penalty = {"critical": 0.08, "warning": 0.03}.get(band, 0.0)
+    penalty += min(0.20, (psi_mean - 0.10) * 0.20) if psi_mean > 0.10 else 0.0
+    penalty += min(0.30, 0.12 + (psi_mean - 0.50) * 0.35) if psi_mean > 0.50 else 0.0
+    value = 100 * c(score * (1 - min(0.55, penalty)))
+    return value, next((b for limit, b in ((85, "excellent"), (70, "strong"), (55, "moderate"), (40, "weak")) if value >= limit), "limited")

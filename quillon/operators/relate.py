@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,26 @@ from . import algebra
 from .moments import Gram, gram, merge
 from .profile import finite
 
-#: (importance, correlation, stability) weights by policy.
-POLICIES = {"balanced": (0.4, 0.4, 0.2), "corr_heavy": (0.2, 0.6, 0.2), "importance_heavy": (0.6, 0.25, 0.15)}
+@dataclass(frozen=True)
+class Policy:
+    """Weights of importance, correlation and stability, the quantile of scores that selects, and
+    factors for pairs of which both, one or none of the columns are modelled."""
+
+    importance: float
+    correlation: float
+    stability: float
+    quantile: float
+    both: float
+    one: float
+    none: float
+
+
+#: Fixed values.
+POLICIES = {
+    "balanced": Policy(0.50, 0.35, 0.15, 0.60, 1.0, 0.60, 0.25),
+    "corr_heavy": Policy(0.30, 0.55, 0.15, 0.55, 1.0, 0.55, 0.20),
+    "importance_heavy": Policy(0.65, 0.20, 0.15, 0.65, 1.0, 0.70, 0.35),
+}
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,22 +120,26 @@ def structural(df: DataFrame, columns: list[str], rows: int = 512, order: str |
     return df.sparkSession.createDataFrame(found, "kind string, a string, b string, c string, hit_rate double")
 
 
-def choose_policy(n_features: int, mean_abs_r: float, importance_spread: float) -> str:
-    if importance_spread >= 0.25 and mean_abs_r < 0.2:
-        return "importance_heavy"
-    return "corr_heavy" if mean_abs_r >= 0.35 or n_features < 4 else "balanced"
+def choose_policy(importance: list[float]) -> str:
+    """Few dominant importances trust correlation more, even ones importance more."""
+    top, spread = max(importance, default=0.0), math.sqrt(sum(v * v for v in importance))
+    if top > 0.65 or spread > 0.55:
+        return "corr_heavy"
+    return "importance_heavy" if top < 0.30 and spread < 0.40 else "balanced"
 
 
 def label(r: float) -> str:
-    return next((w for limit, w in ((0.85, "very strong"), (0.65, "strong"), (0.45, "moderate"), (0.25, "weak")) if abs(r) >= limit), "negligible")
+    word = next((w for limit, w in ((0.85, "Very strong"), (0.65, "Strong"), (0.45, "Moderate"), (0.25, "Weak")) if abs(r) >= limit), "Very weak")
+    return f"{word} {'positive' if r >= 0 else 'negative'} association"
 
 
 def relation_label(c: Column) -> Column:
     a = F.abs(c)
-    return F.when(a >= 0.85, "very strong").when(a >= 0.65, "strong").when(a >= 0.45, "moderate").when(a >= 0.25, "weak").otherwise("negligible")
+    word = F.when(a >= 0.85, "Very strong").when(a >= 0.65, "Strong").when(a >= 0.45, "Moderate").when(a >= 0.25, "Weak").otherwise("Very weak")
+    return F.concat(word, F.when(c >= 0, " positive association").otherwise(" negative association"))
 
 
-def analyse_pairs(df: DataFrame, columns: list[str], row_id: str, importance: dict[str, float] | None = None, policy: str = "balanced", alpha: float = 0.05, max_columns: int = 512, quantile: float = 0.75, folds: int = 5) -> DataFrame:
+def analyse_pairs(df: DataFrame, columns: list[str], row_id: str, importance: dict[str, float] | None = None, policy: str = "auto", alpha: float = 0.05, max_columns: int = 512, quantile: float | None = None, folds: int = 5, fit_min_corr: float = 0.35) -> DataFrame:
     """The pair table. Two jobs, whatever the number of pairs: profiles of the columns, and one
     matrix of statistics a fold; whole-table figures are merged from the folds.
 
@@ -128,7 +151,7 @@ def analyse_pairs(df: DataFrame, columns: list[str], row_id: str, importance: di
     total = row["__n"]
     fine = [c for c in columns if (row[c]["v"] or 0.0) > 1e-12 and total and 1 - row[c]["n"] / total <= 0.90 and row[c]["n"] >= 24]
     fine = sorted(sorted(fine, key=lambda c: -row[c]["v"])[:max_columns], key=columns.index)
-    schema = "a string, b string, n long, r double, slope double, intercept double, p_value double, significant boolean, stability double, coverage double, effect double, relation string, redundant boolean, leakage boolean, cluster_a string, cluster_b string, tier int, selected boolean"
+    schema = "a string, b string, n long, r double, slope double, intercept double, p_value double, significant boolean, stability double, coverage double, effect double, score double, relation string, redundant boolean, leakage boolean, cluster_a string, cluster_b string, tier int, selected boolean"
     if len(fine) < 2:
         return spark.createDataFrame([], schema)
     k = max(1, min(folds, total // 6) if total >= 30 else 1)
@@ -137,9 +160,9 @@ def analyse_pairs(df: DataFrame, columns: list[str], row_id: str, importance: di
     g = merge([per[f] for f in sorted(per)])
     r, sd = g.correlation(), g.stddev()
     by_fold = [np.abs(x.correlation()) for x in per.values() if x.n >= 8]
-    imp = importance or dict.fromkeys(fine, 0.5)
-    wi, wc, ws = POLICIES[policy]
-    floor = min(0.20, max(0.05, 0.5 * 0.25))
+    imp = importance or {}
+    w = POLICIES[choose_policy(list(imp.values())) if policy == "auto" else policy]
+    floor = min(0.20, max(0.05, 0.5 * fit_min_corr))
     rep = algebra.clusters(r, fine, 0.97, imp)
     pairs = []
     for i, a in enumerate(fine):
@@ -150,29 +173,40 @@ def analyse_pairs(df: DataFrame, columns: list[str], row_id: str, importance: di
             p = correlation_p(v, g.n)
             rs = np.array([f[i, j] for f in by_fold])
             steady = float(np.clip(1 - rs.std(ddof=1) / rs.mean(), 0, 1)) if len(rs) > 1 and rs.mean() > 0 else 0.0
-            coverage = g.n / total
-            effect = (wi * (imp.get(a, 0.5) + imp.get(b, 0.5)) / 2 + wc * (0.6 * v * v + 0.4 * abs(v)) + ws * steady) * coverage
+            modelled = (a in imp) + (b in imp)
+            coverage = (w.none, w.one, w.both)[modelled]
+            steady = steady if p < alpha or abs(v) >= 0.25 else 0.0
+            weight = min(1.0, max(0.0, (imp.get(a, 0.0) + imp.get(b, 0.0)) / 2))
+            score = (w.importance * weight + w.correlation * (0.6 * v * v + 0.4 * abs(v)) + w.stability * steady) * coverage
             slope = v * sd[j] / sd[i] if sd[i] > 0 else 0.0
             family = a in N.engineered_base(b) or b in N.engineered_base(a)
             redundant = abs(v) >= 0.9995 or family and abs(v) >= 0.98 or rep[a] == rep[b]
             leak = abs(v) >= 0.995 and (N.leak_hint(a) or N.leak_hint(b))
-            pairs.append([a, b, g.n, v, float(slope), float(g.mean[j] - slope * g.mean[i]), p, p < alpha, steady, coverage, float(effect), label(v), redundant, leak, rep[a], rep[b]])
-    return spark.createDataFrame([tuple(x) for x in tiers(pairs, quantile)], schema)
-
-
-def tiers(pairs: list[list], quantile: float = 0.75, aggressiveness: float = 1.0) -> list[list]:
-    """Adds tier and selected: significant, usable pairs from the quantile of their scores on are
-    tier 1; tier 3 promotes pairs by effect, stability, significance and |r| up to a floor."""
-    usable = [x for x in pairs if x[7] and not x[12] and not x[13]]
-    scores = sorted(x[10] for x in usable)
-    cut = scores[int(quantile * (len(scores) - 1))] if scores else math.inf
-    cap = max(8, min(120, 6 * len(usable)))
-    first = {id(x) for x in sorted((x for x in usable if x[10] >= cut), key=lambda x: -x[10])[:cap]}
-    want = int(min(12, max(3, len(pairs) // 25 + 1)) * aggressiveness)
-    rest = sorted((x for x in usable if id(x) not in first), key=lambda x: -(0.45 * x[10] + 0.25 * x[8] + 0.20 * min(1.0, -math.log10(max(x[6], 1e-12)) / 12) + 0.10 * abs(x[3])))
-    third = {id(x) for x in rest[: max(0, want - len(first))]}
-    out = [[*x, 1 if id(x) in first else 3 if id(x) in third else 2 if x[7] else 0, id(x) in first or id(x) in third] for x in pairs]
-    return sorted(out, key=lambda x: (not x[17], -x[10], -abs(x[3])))
+            pairs.append([a, b, g.n, v, float(slope), float(g.mean[j] - slope * g.mean[i]), p, p < alpha, steady, coverage, float(v * v), float(score), label(v), redundant, leak, rep[a], rep[b]])
+    return spark.createDataFrame([tuple(x) for x in tiers(pairs, w.quantile if quantile is None else quantile)], schema)
+
+
+def tiers(pairs: list[list], quantile: float, aggressiveness: float = 1.0) -> list[list]:
+    """Adds tier and selected. Significant pairs are tier 1, tier 2 where their score reaches the
+    quantile of significant scores; those that are neither redundant nor leaks are selected, up to
+    six a significant pair (8 to 120). Below a floor others are promoted as tier 3, by effect,
+    stability, significance and |r|."""
+    real = [x for x in pairs if x[7] and not x[14]]
+    scores = sorted(x[11] for x in real)
+    cut = scores[int(quantile * (len(scores) - 1))] if scores else 0.0
+    cap = max(8, min(120, 6 * len(real)))
+    first = {id(x) for x in sorted((x for x in real if not x[13] and x[11] >= cut), key=lambda x: (-x[11], -x[10]))[:cap]}
+    want = min(cap, max(1, round(max(3, min(12, len(pairs) // 25 + 1)) * aggressiveness))) if aggressiveness > 0 else 0
+    merit = lambda x: 0.45 * x[10] + 0.25 * x[8] + 0.20 * min(1.0, max(0.0, -math.log10(max(x[6], 1e-12)) / 12)) + 0.10 * abs(x[3])
+    rest = sorted((x for x in real if id(x) not in first), key=lambda x: (-merit(x), x[6], -x[11]))
+    chosen = first | {id(x) for x in rest[: max(0, want - len(first))]}
+    out = []
+    for x in pairs:
+        tier = 0
+        if x[7] and not x[14]:
+            tier = 2 if x[11] >= cut else 3 if id(x) in chosen else 1
+        out.append([*x, tier, id(x) in chosen])
+    return sorted(out, key=lambda x: (not x[18], -x[10], -abs(x[3])))
 
 
 # -- categories --
@@ -298,11 +332,23 @@ def ols_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return df.sparkSession.createDataFrame(fit.rows() if fit else [], "term string, beta double, se double, t double, p_value double")
 
 
-def coherent_importance(neural: dict[str, float], corr: dict[str, float], overfit: bool = False, benchmark_better: bool = False) -> dict[str, float]:
-    """A blend of model importance and |correlation|; the model counts less where it is doubtful."""
-    w = min(0.85, max(0.20, 0.70 - 0.25 * overfit - 0.15 * benchmark_better))
-    top = max(neural.values(), default=0.0) or 1.0
-    return {c: w * neural.get(c, 0.0) / top + (1 - w) * abs(r) for c, r in corr.items()}
+def normalised(v: dict[str, float]) -> dict[str, float]:
+    total = sum(max(0.0, x) for x in v.values())
+    return {c: max(0.0, x) / total if total > 0 else 0.0 for c, x in v.items()}
+
+
+def coherent_importance(neural: dict[str, float], corr: dict[str, float], rows: int = 1000, train_loss: float | None = None, held_loss: float | None = None, best_rmse: float | None = None) -> dict[str, float]:
+    """A blend of model importance and |correlation|, each as shares. The model counts .70 (.55 below
+    80 rows), less by .20 where its held-out loss is 1.5 times its training loss, and again where its
+    error is 1.5 times the best baseline's."""
+    w = 0.55 if rows < 80 else 0.70
+    if train_loss is not None and held_loss is not None and held_loss > 1.5 * max(train_loss, 1e-12):
+        w -= 0.20
+    if best_rmse is not None and held_loss is not None and math.sqrt(max(held_loss, 0.0)) > 1.5 * best_rmse:
+        w -= 0.20
+    w = min(0.85, max(0.20, w))
+    a, b = normalised(neural), normalised({c: abs(r) for c, r in corr.items()})
+    return normalised({c: w * a.get(c, 0.0) + (1 - w) * b[c] for c in b})
 
 
 def approved(importance: dict[str, float], significant: set[str]) -> list[str]:

@@ -32,12 +32,18 @@ def column_profile(df: DataFrame) -> dict[str, dict]:
 
 
 def numeric_quality(name: str, p: dict, position: float) -> float:
-    """How good a target a numeric column would be."""
-    distinct_share = min(1.0, math.log2(max(1, p["distinct"])) / 10)
-    score = 0.30 * (1 - p["missing"]) + 0.25 * min(1.0, math.log1p(p["var"] or 0.0) / 4) + 0.15 * (p["nonzero"] or 0.0) + 0.30 * distinct_share
-    score -= 0.60 * N.is_admin(name) + 0.30 * N.is_metadata(name)
-    score += 0.20 * N.is_target_candidate(name) + (0.24 if 2 <= p["distinct"] <= 12 else 0.0)
-    return score + 0.14 * (position == 1.0) + 0.05 * position
+    """How good a target a numeric column would be. The entropy of its values is bounded by the
+    share of distinct ones, which stands for it here."""
+    n, share = name.strip().lower(), p["distinct"] / max(1, p["n"])
+    if p["n"] < 3:
+        return -1e9
+    penalty = 0.70 if N.is_admin(name) else 0.35 if "id" in n or "index" in n else 0.0
+    penalty += 0.15 * any(t in n for t in ("timestamp", "created", "updated", "time", "date"))
+    penalty += 0.20 * (share > 0.95) + 0.15 * (share > 0.98) + 0.08 * (share > 0.35 and p["distinct"] > 32)
+    spread = min(1.0, math.log1p(max(0.0, p["var"] or 0.0)) / 4)
+    evenness = min(1.0, math.log2(max(1, p["distinct"])) / math.log2(max(2, p["n"])))
+    bonus = 0.20 * N.is_target_candidate(name) + 0.24 * (2 <= p["distinct"] <= 12) + (0.14 if position == 1.0 else 0.05 if position == 0.0 else 0.0)
+    return 0.30 * (1 - p["missing"]) + 0.25 * spread + 0.15 * (p["nonzero"] or 0.0) + 0.30 * evenness - penalty + bonus
 
 
 def categorical_quality(name: str, p: dict, position: float) -> float | None:
@@ -141,7 +147,7 @@ def phases(df: DataFrame, target: str, features: list[str]) -> dict:
     gated = algebra.lasso_gate(g, features, target)
     kept, gone = algebra.vif_pruned(g, gated)
     return {
-        "roles": {c: N.role(c, p["distinct"], p["missing"]) for c, p in profile.items()},
+        "roles": {c: N.role(c, p["distinct"], p["missing"], p["rows"], not p["numeric"]) for c, p in profile.items()},
         "mode": "conservative" if ratio < 10 else "expressive" if ratio > 100 else "balanced",
         "lasso": gated,
         "hidden": algebra.hidden_driver(g, features, target),

@@ -87,30 +87,45 @@ def exponential_smoothing(df: DataFrame, key: str, value: str, axis: str, alpha:
     return parts.select(key, axis, value, total.alias("smoothed"))
 
 
-def adf_drift(df: DataFrame, value: str, axis: str, tie: str) -> DataFrame:
-    """First differences on the lag: gamma, t, p = erfc(|t| / sqrt 2), the relative shift between the
-    first and last quarter, and a verdict."""
-    n = df.where(finite(value).isNotNull()).count()
-    pairs = lagged(df.where(finite(value).isNotNull()).select(axis, tie, finite(value).alias("y")), ["y"], axis, tie).where("y_lag1 is not null")
+def positions(df: DataFrame, axis: str, tie: str) -> DataFrame:
+    """Adds __pos, the dense place in the order of (axis, tie), from block counts and places inside."""
+    at = on_axis(df, axis)
+    placed = blocked(df, at, tie, 1).where("__home").drop("__home")
+    heads = placed.groupBy("__block").agg(F.count("*").alias("n"))
+    starts = heads.select("__block", (F.sum("n").over(Window.orderBy("__block")) - F.col("n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__block").orderBy(at, tie)) - 1
+    return placed.join(F.broadcast(starts), "__block").withColumn("__pos", F.col("__before") + inside).drop("__block", "__before")
+
+
+def adf_drift(df: DataFrame, value: str, axis: str) -> DataFrame:
+    """Regression of first differences on the lag: gamma, t, p = erfc(|t| / sqrt 2); the shift of
+    the level between the first and last quarter, in standard deviations; and a verdict. Rows are
+    ordered by axis, then value; from 16 rows on."""
+    schema = "n long, gamma double, t double, p_value double, drift_ratio double, verdict string"
+    clean = df.select(axis, finite(value).alias("y")).dropna()
+    n = clean.count()
+    if n < 16:
+        return df.sparkSession.createDataFrame([(n, 0.0, 0.0, 1.0, 0.0, "insufficient")], schema)
+    pairs = lagged(clean, ["y"], axis, "y").where("y_lag1 is not null")
     d, x = F.col("y") - F.col("y_lag1"), F.col("y_lag1")
     s = pairs.agg(F.count("*").alias("n"), F.regr_slope(d, x).alias("g"), F.regr_sxx(d, x).alias("sxx"), F.regr_syy(d, x).alias("syy"), F.regr_sxy(d, x).alias("sxy")).first()
-    low, high = df.agg(F.percentile(on_axis(df, axis), F.lit(0.25)), F.percentile(on_axis(df, axis), F.lit(0.75))).first()
-    t_axis = on_axis(df, axis)
-    q = df.agg(F.avg(F.when(t_axis <= low, finite(value))).alias("a"), F.avg(F.when(t_axis >= high, finite(value))).alias("b"), F.stddev_samp(finite(value)).alias("sd")).first()
-    if n < 12 or not s["sxx"]:
-        return df.sparkSession.createDataFrame([], "n long, gamma double, t double, p_value double, drift_ratio double, verdict string")
-    rss = max(0.0, s["syy"] - s["sxy"] ** 2 / s["sxx"])
-    se = math.sqrt(rss / (s["n"] - 2) / s["sxx"])
-    t = s["g"] / se if se > 0 else 0.0
-    p = normal_two_sided(t)
-    ratio = abs(q["b"] - q["a"]) / q["sd"] if q["sd"] else 0.0
-    verdict = "stationary" if s["g"] < 0 and p < 0.05 and ratio < 0.5 else "drifting" if ratio >= 0.5 else "unit root possible"
-    return df.sparkSession.createDataFrame([(s["n"], s["g"], t, p, ratio, verdict)], "n long, gamma double, t double, p_value double, drift_ratio double, verdict string")
+    q = max(3, (n - 1) // 4)
+    at = F.col("__pos")
+    level = positions(clean, axis, "y").agg(F.avg(F.when(at < q, F.col("y"))).alias("a"), F.avg(F.when((at >= n - 1 - q) & (at < n - 1), F.col("y"))).alias("b"), F.stddev_samp("y").alias("sd")).first()
+    g = s["g"] or 0.0
+    se = math.sqrt(max(0.0, s["syy"] - s["sxy"] ** 2 / s["sxx"]) / max(1, s["n"] - 2) / s["sxx"]) if s["sxx"] else 0.0
+    t, p = (g / se, normal_two_sided(g / se)) if se > 1e-12 else (0.0, 1.0)
+    ratio = abs(level["b"] - level["a"]) / max(1e-9, level["sd"] or 0.0)
+    if g > -0.03 and (p > 0.05 or ratio >= 0.35):
+        verdict = "non-stationary"
+    else:
+        verdict = "stationary" if g <= -0.08 and p <= 0.05 and ratio < 0.25 else "borderline"
+    return df.sparkSession.createDataFrame([(s["n"], g, t, p, ratio, verdict)], schema)
 
 
 def granger(df: DataFrame, cause: str, effect: str, axis: str, tie: str) -> DataFrame:
     """F of adding cause's lag to effect's own lag, p = exp(-F / 2), from 24 rows on."""
-    wide = lagged(df.select(axis, tie, finite(cause).alias("x"), finite(effect).alias("y")), ["x", "y"], axis, tie)
+    wide = lagged(df.select(*dict.fromkeys((axis, tie)), finite(cause).alias("x"), finite(effect).alias("y")), ["x", "y"], axis, tie)
     g = gram(wide, ["y_lag1", "x_lag1", "y"])
     small, large = algebra.ols(g, ["y_lag1"], "y"), algebra.ols(g, ["y_lag1", "x_lag1"], "y")
     rows = []
@@ -155,7 +170,7 @@ def trend_choice(df: DataFrame, value: str, axis: str, tie: str) -> DataFrame:
     t = on_axis(df, axis)
     low, high = df.agg(F.min(t), F.max(t)).first()
     u = (t - low) / ((high - low) or 1.0)
-    wide = moving_average(df.select(axis, tie, finite(value).alias("y")), "y", axis, tie).withColumns({"u": u, "u2": u * u})
+    wide = moving_average(df.select(*dict.fromkeys((axis, tie)), finite(value).alias("y")), "y", axis, tie).withColumns({"u": u, "u2": u * u})
     g = gram(wide, ["u", "u2", "y"])
     out = [(name, math.sqrt(fit.rss / fit.n)) for name, fit in (("linear", algebra.ols(g, ["u"], "y")), ("quadratic", algebra.ols(g, ["u", "u2"], "y"))) if fit]
     out.append(("moving average", wide.agg(F.sqrt(F.avg((F.col("y") - F.col("y_ma")) ** 2))).first()[0]))
@@ -165,7 +180,7 @@ def trend_choice(df: DataFrame, value: str, axis: str, tie: str) -> DataFrame:
 
 def arima_110(df: DataFrame, value: str, axis: str, tie: str) -> DataFrame:
     """ARIMA(1, 1, 0) by least squares of differences on their lag, and the next value."""
-    d1 = lagged(df.select(axis, tie, finite(value).alias("y")), ["y"], axis, tie).withColumn("d", F.col("y") - F.col("y_lag1"))
+    d1 = lagged(df.select(*dict.fromkeys((axis, tie)), finite(value).alias("y")), ["y"], axis, tie).withColumn("d", F.col("y") - F.col("y_lag1"))
     d2 = lagged(d1.where("d is not null"), ["d"], axis, tie)
     s = d2.agg(F.regr_slope("d", "d_lag1").alias("phi"), F.regr_intercept("d", "d_lag1").alias("c"), F.max_by("y", F.struct(F.col(axis), F.col(tie))).alias("last"), F.max_by("d", F.struct(F.col(axis), F.col(tie))).alias("step")).first()
     phi, c = s["phi"] or 0.0, s["c"] or 0.0

@@ -132,13 +132,14 @@ def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkS
         binary = target.task == "binary"
         net, x, values = neural.fit(prepared, chosen, y, "row_id", binary=binary)
         weight = dict(zip(chosen, neural.hybrid(net, x[:64], values[:64]).tolist(), strict=True))
-        importance = relate.coherent_importance(weight, importance)
+        last = net.history[-1]
+        importance = relate.coherent_importance(weight, importance, len(values), last[0], last[1])
         notes.append(f"training stability {neural.training_stability(net.history):.2f}")
     tables["importance"] = spark.createDataFrame(sorted(importance.items(), key=lambda t: -t[1]), "column_name string, importance double")
 
     step("pairs")
     if len(chosen) >= 1:
-        tables["pairs"] = relate.analyse_pairs(prepared, [*chosen, y], "row_id", {**importance, y: 1.0}, "balanced" if config.bivariate_strategy == "auto" else config.bivariate_strategy, config.tuning.significance_alpha, config.tuning.pair_columns, config.tuning.tier_quantile)
+        tables["pairs"] = relate.analyse_pairs(prepared, [*chosen, y], "row_id", {**importance, y: 1.0}, config.bivariate_strategy, config.tuning.significance_alpha, config.tuning.pair_columns, None if config.tuning.bivariate_selection_quantile < 0 else config.tuning.bivariate_selection_quantile, fit_min_corr=config.tuning.scatter_fit_min_abs_corr)
 
     step("categories")
     levels = [c for c in texts if c in prepared.columns][:5]

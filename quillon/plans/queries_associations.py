@@ -94,7 +94,7 @@ def pair_scores(spark, sf_dir):
     return relate.analyse_pairs(d, ["o_totalprice", "o_custkey", "half", "o_orderkey"], "i")
 
 
-@query("relation_labels", "SELECT o_orderkey, CASE WHEN v >= 0.85 THEN 'very strong' WHEN v >= 0.65 THEN 'strong' WHEN v >= 0.45 THEN 'moderate' WHEN v >= 0.25 THEN 'weak' ELSE 'negligible' END AS relation FROM (SELECT o_orderkey, (o_orderkey % 100) / 100 AS v FROM orders)")
+@query("relation_labels", "SELECT o_orderkey, CASE WHEN v >= 0.85 THEN 'Very strong' WHEN v >= 0.65 THEN 'Strong' WHEN v >= 0.45 THEN 'Moderate' WHEN v >= 0.25 THEN 'Weak' ELSE 'Very weak' END || ' positive association' AS relation FROM (SELECT o_orderkey, (o_orderkey % 100) / 100 AS v FROM orders)")
 def relation_labels(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", relate.relation_label((F.col("o_orderkey") % 100) / 100).alias("relation"))
 

@@ -17,8 +17,8 @@ _LIMITS = {
     "zscore": ("m - 1.5 * s", "m + 1.5 * s"),
     "modified_z": ("q2 - 1.2 * d / 0.6745", "q2 + 1.2 * d / 0.6745"),
     "adjusted_boxplot": (
-        "q1 - 0.5 * exp(CASE WHEN q3 + q1 - 2 * q2 >= 0 THEN -4 ELSE -3 END * (q3 + q1 - 2 * q2) / (q3 - q1)) * (q3 - q1)",
-        "q3 + 0.5 * exp(CASE WHEN q3 + q1 - 2 * q2 >= 0 THEN 3 ELSE 4 END * (q3 + q1 - 2 * q2) / (q3 - q1)) * (q3 - q1)",
+        "q1 - 0.5 * exp(-4 * (q3 + q1 - 2 * q2) / (q3 - q1)) * (q3 - q1)",
+        "q3 + 0.5 * exp(3 * (q3 + q1 - 2 * q2) / (q3 - q1)) * (q3 - q1)",
     ),
 }
 _KNOBS = {"iqr": {"multiplier": 1.5}, "zscore": {"z": 1.5}, "modified_z": {"z": 1.2}, "adjusted_boxplot": {"multiplier": 0.5}}
@@ -275,7 +275,7 @@ def text_functions(spark, sf_dir):
 # -- text tables --
 
 
-@query("csv_round_trip", "SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, {R:o_totalprice} AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
+@query("csv_round_trip", "SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, {R:o_totalprice} AS o_totalprice, o_orderdate AS order_date, o_orderpriority FROM orders")
 def csv_round_trip(spark, sf_dir):
     """Written as delimited text, then read, typed by inference and cast."""
     import uuid
@@ -284,7 +284,7 @@ def csv_round_trip(spark, sf_dir):
 
     base = scratch.materialised(table(spark, sf_dir, "region"), "base").inputFiles()[0].rsplit("/", 2)[0]
     path = f"{base}/quillon-csv-{uuid.uuid4().hex}"
-    tabular.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), path)
+    tabular.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").alias("order_date"), "o_orderpriority"), path)
     raw = tabular.read_text_table(spark, path)
     return tabular.typed(raw, tabular.infer_types(raw))
 

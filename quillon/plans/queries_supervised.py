@@ -75,7 +75,7 @@ _PSI = """WITH d AS (SELECT o_totalprice + CASE WHEN i >= floor(0.7 * n) THEN 40
  q AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS c FROM d WHERE ref),
  b AS (SELECT (v >= c[1])::INTEGER + (v >= c[2])::INTEGER + (v >= c[3])::INTEGER + (v >= c[4])::INTEGER AS bin, ref FROM d, q),
  s AS (SELECT bin, greatest(count(*) FILTER (ref) / sum(count(*) FILTER (ref)) OVER (), 1e-6) AS a, greatest(count(*) FILTER (NOT ref) / sum(count(*) FILTER (NOT ref)) OVER (), 1e-6) AS m FROM b GROUP BY bin)
- SELECT 'v' AS column_name, {R:sum((m - a) * ln(m / a))} AS psi, CASE WHEN sum((m - a) * ln(m / a)) >= 0.25 THEN 'major' WHEN sum((m - a) * ln(m / a)) >= 0.15 THEN 'moderate' ELSE 'stable' END AS band FROM s"""
+ SELECT 'v' AS column_name, {R:sum((m - a) * ln(m / a))} AS psi, CASE WHEN sum((m - a) * ln(m / a)) >= 0.25 THEN 'critical' WHEN sum((m - a) * ln(m / a)) >= 0.15 THEN 'warning' ELSE 'stable' END AS band FROM s"""
 
 
 @query("psi_drift", _PSI)

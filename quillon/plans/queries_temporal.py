@@ -38,15 +38,16 @@ def exponential_smoothing(spark, sf_dir):
     return temporal.exponential_smoothing(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
 
 
-_ADF = f"""WITH l AS {_LAG}, s AS (SELECT count(*) AS n, regr_slope(d, x) AS g, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy, regr_sxy(d, x) AS sxy FROM l WHERE x IS NOT NULL),
- q AS (SELECT quantile_cont(epoch(ts), 0.25) AS a, quantile_cont(epoch(ts), 0.75) AS b FROM events),
- e AS (SELECT abs(avg(value) FILTER (epoch(ts) >= b) - avg(value) FILTER (epoch(ts) <= a)) / stddev_samp(value) AS ratio FROM events, q)
- SELECT n, {{R:g}} AS gamma, {{R:g / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)}} AS t, {{R:ratio}} AS drift_ratio FROM s, e"""
+_ADF = """WITH o AS (SELECT value AS y, row_number() OVER (ORDER BY ts, value) - 1 AS i, count(*) OVER () AS m, lag(value) OVER (ORDER BY ts, value) AS x FROM events),
+ s AS (SELECT count(*) AS n, regr_slope(y - x, x) AS g, regr_sxx(y - x, x) AS sxx, regr_syy(y - x, x) AS syy, regr_sxy(y - x, x) AS sxy FROM o WHERE x IS NOT NULL),
+ e AS (SELECT abs(avg(y) FILTER (i >= m - 1 - q AND i < m - 1) - avg(y) FILTER (i < q)) / stddev_samp(y) AS ratio FROM o, (SELECT greatest(3, (count(*) - 1) // 4) AS q FROM events)),
+ r AS (SELECT n, g, g / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS t, ratio FROM s, e)
+ SELECT n, {R:g} AS gamma, {R:t} AS t, {R:ratio} AS drift_ratio, CASE WHEN g > -0.03 AND (abs(t) < 1.96 OR ratio >= 0.35) THEN 'non-stationary' WHEN g <= -0.08 AND abs(t) >= 1.96 AND ratio < 0.25 THEN 'stationary' ELSE 'borderline' END AS verdict FROM r"""
 
 
 @query("adf_drift", _ADF)
 def adf_drift(spark, sf_dir):
-    return temporal.adf_drift(table(spark, sf_dir, "events"), "value", "ts", "event_id").drop("p_value", "verdict")
+    return temporal.adf_drift(table(spark, sf_dir, "events"), "value", "ts").drop("p_value")
 
 
 _GRANGER = f"""WITH l AS (SELECT y, x, u::DOUBLE AS u FROM {_LAG} WHERE x IS NOT NULL),

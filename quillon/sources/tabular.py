@@ -128,18 +128,14 @@ def infer_types(df: DataFrame, overrides: dict[str, str] | None = None, numbers:
 
     Integer thresholds: 80 % numbers, 80 % dates (60 % under a date-like name), three at least.
     """
-    cells = []
-    for c in df.columns:
-        v = X.missing_to_null(F.col(f"`{c}`"))
-        num, when, like = X.parse_number(v, numbers), X.parse_datetime(v, dates), X.looks_numeric(v)
-        if N.is_date_like(c):
-            date = when.isNotNull()
-            number = ~date & num.isNotNull()
-        else:
-            number = num.isNotNull()
-            date = ~number & ~like & when.isNotNull()
-        cells.append(F.struct(F.count(v).alias("m"), F.count_if(F.coalesce(number, F.lit(False))).alias("num"), F.count_if(F.coalesce(date, F.lit(False))).alias("date"), F.count_if(F.coalesce(~number & like, F.lit(False))).alias("like")).alias(c))
-    row = df.agg(*cells).first()
+    # One row a cell, so that the parsers are compiled once, whatever the number of columns.
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(N.is_date_like(c)).alias("dated"), F.col(f"`{c}`").alias("v")) for c in df.columns])).alias("x")
+    v = X.missing_to_null(F.col("x.v"))
+    parsed = df.select(cells).select("x.c", "x.dated", v.alias("v")).select("c", "dated", "v", X.parse_number(F.col("v"), numbers).isNotNull().alias("n"), X.parse_datetime(F.col("v"), dates).isNotNull().alias("d"), F.coalesce(X.looks_numeric(F.col("v")), F.lit(False)).alias("l"))
+    number = F.col("n") & ~(F.col("dated") & F.col("d"))
+    date = F.col("d") & (F.col("dated") | ~F.col("n") & ~F.col("l"))
+    found = parsed.groupBy("c").agg(F.count("v").alias("m"), F.count_if(number).alias("num"), F.count_if(date).alias("date"), F.count_if(~F.col("n") & ~(F.col("dated") & F.col("d")) & F.col("l")).alias("like")).collect()
+    row = {r["c"]: r for r in found} or {c: {"m": 0, "num": 0, "date": 0, "like": 0} for c in df.columns}
     out = {}
     for c in df.columns:
         s = row[c]
