@@ -111,35 +111,39 @@ def get_file(uri: str, name: str) -> list[bytes]:
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
-
-def own(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the needed columns under private names, so that extra columns cannot clash."""
-    return df.select(*[F.col(f"`{v}`").alias(k) for k, v in columns.items()])
-
-
 def records(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
-
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat Spark DDL string."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[k]) for n, k in (x.strip().rsplit(" ", 1) for x in ddl.split(","))])
 
-
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Broadcast a thin table only when it is counted to hold at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+def text_hash(text_col: str):
+    """What tells rows with one id apart; null is not the empty text."""
+    return F.xxhash64(F.col(f"`{text_col}`"))
 
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows (id, text_hash) of ``gone``, with all columns. A short, counted list
+    meets the rows where they are; a longer one joins by both columns."""
+    i, h = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
+    named = gone.select(F.col("id").alias(i), F.col("text_hash").alias(h)).distinct()
+    listed = saved(named, "gone")
+    return docs.join(broadcast_if_small(listed), F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (text_hash(text_col) == F.col(h)), "left_anti")
 
 def is_long(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.LongType)
 
-
 # -- lists that blocks (partitions of one scan) find next to their rows --
 #
 # A first scan tags rows with their partition and a hash of their raw text. What a later scan must
@@ -147,18 +151,15 @@ def is_long(df: DataFrame, name: str) -> bool:
 # shuffled to it nor is it sent through the driver. Each file holds the count and xor of the hashes
 # its block had: a scan that was split otherwise fails on that check, and callers fall back to a join.
 
-
 class BlocksChanged(RuntimeError):
     """The second scan's partitions are not those of the first."""
 
-
 def raw_id(text: str | bytes | None) -> int:
     import xxhash
 
     n = xxhash.xxh3_64_intdigest(text or b"")
     return n - (1 << 64) if n >> 63 else n
 
-
 def write_blocks(rows: DataFrame, wanted: DataFrame, name: str) -> str:
     """``rows`` (block, rid): every row of the scan. ``wanted`` (block, rid, payload array of longs)."""
     uri = scratch(rows.sparkSession, name)
@@ -167,7 +168,6 @@ def write_blocks(rows: DataFrame, wanted: DataFrame, name: str) -> str:
     both.mapInArrow(lambda it: _store_blocks(it, uri), "done int").agg(F.count("*")).collect()
     return uri
 
-
 def _store_blocks(batches, uri: str):
     import numpy as np
 
@@ -183,7 +183,6 @@ def _store_blocks(batches, uri: str):
         put_file(uri, f"block-{now}", frames)
     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], names=["done"])
 
-
 class Block:
     """This task's list: ``take(rid)`` gives a row's payload once; ``close`` checks the block."""
 
@@ -204,6 +203,5 @@ class Block:
         if self.left or self.xor:
             raise BlocksChanged("BLOCKS_CHANGED: the input was split otherwise than in the first scan")
 
-
 def blocks_changed(error: Exception) -> bool:
     return "BLOCKS_CHANGED" in str(error)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, broadcast_if_small, own, records, saved, scratch, ship, tune
+from .common import arrow_schema, records, saved, scratch, ship, text_hash, tune, without_rows
 
 ship(__name__)
 
@@ -34,7 +34,7 @@ MAX_OWNERS = 4096
 
 _SENT = "block int, owner int, n int, coded binary, repeated binary"
 _ANSWER = "block int, owner int, n int, coded binary, bitmap binary"
-_MARKED = "id long, fp long, sha string, text binary"
+_MARKED = "id long, text_hash long, fp long, sha string, text binary"
 
 
 def golomb_encode(values: np.ndarray, low: int, span: int) -> bytes:
@@ -141,22 +141,15 @@ def mark(batches: Iterator[pa.RecordBatch], uri: str, owners: int) -> Iterator[p
         fps = np.array([fingerprint(d.digest()) for d in digests], np.int64)
         at = np.minimum(np.searchsorted(values, fps), max(0, len(values) - 1))
         suspect = np.ones(len(fps), bool) if not len(values) else (values[at] != fps) | flags[at]
-        yield records({"id": b.column(0).to_pylist(), "fp": fps, "sha": [d.hexdigest() for d in digests], "text": [t if s else None for t, s in zip(texts, suspect, strict=True)]}, arrow_schema(_MARKED))
+        yield records({"id": b.column(0).to_pylist(), "text_hash": b.column(2).to_pylist(), "fp": fps, "sha": [d.hexdigest() for d in digests], "text": [t if s else None for t, s in zip(texts, suspect, strict=True)]}, arrow_schema(_MARKED))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z only. Of equal texts the largest id
-    stays. Null text counts as empty, so null and empty texts form one group; a null id never
-    wins over another id, and where a group has only null ids its rows get keep_id null and all
-    stay. Rows that repeat id and text count as one document: each of them is kept or none. An
-    empty table gives an empty result; extra columns are ignored.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_hash, keep_id, group_size, sha of every row."""
     spark = docs.sparkSession
     tune(spark)
-    thin = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    # The same two columns in both passes, so that files are split alike.
+    # The same columns in both passes, so that files are split alike.
+    thin = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash(text_col).alias("text_hash"))
     blocks = max(1, thin.rdd.getNumPartitions())
     owners = max(1, min(MAX_OWNERS, blocks // 4))
     uri = scratch(spark, "answers")
@@ -171,18 +164,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.first("sha").alias("sha"))
         .select("fp", "sha", "keep_id", "group_size")
     )
-    rows = marked.select("id", "fp", "sha", F.col("text").isNotNull().alias("suspect"))
-    single = rows.where(~F.col("suspect")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    several = rows.where("suspect").join(classes, ["fp", "sha"]).select("id", "keep_id", "group_size", "sha")
-    return single.unionByName(several).select(
+    rows = marked.select("id", "text_hash", "fp", "sha", F.col("text").isNotNull().alias("suspect"))
+    single = rows.where(~F.col("suspect")).select("id", "text_hash", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
+    several = rows.where("suspect").join(classes, ["fp", "sha"]).select("id", "text_hash", "keep_id", "group_size", "sha")
+    return single.unionByName(several)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z only. Of equal texts the largest id
+    stays. Null text counts as empty, so null and empty texts form one group; a null id never
+    wins over another id, and where a group has only null ids its rows get keep_id null and all
+    stay. Rows that repeat id and text count as one document: each of them is kept or none. An
+    empty table gives an empty result; extra columns are ignored.
+    """
+    return _decided(docs, id_col, text_col).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = saved(exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-    return docs.join(broadcast_if_small(gone), docs[f"`{id_col}`"].eqNullSafe(F.col("__gone")), "left_anti")
-
-
-__all__ = ["drop_exact_copies", "exact_groups", "golomb_decode", "golomb_encode", "own"]
+    return without_rows(docs, _decided(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("keep_id"))), id_col, text_col)

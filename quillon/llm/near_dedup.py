@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, broadcast_if_small, records, saved, ship, tune
+from .common import arrow_schema, records, saved, ship, text_hash, tune, without_rows
 from .components import components
 
 ship(__name__)
@@ -41,7 +41,7 @@ SLAB_BYTES = 1 << 20
 
 _U = np.uint64
 _RADIX = _U(0x9E3779B97F4A7C15)
-_SIGS = "doc_id long, block int, rid long, n_shingles long, node long, bands array<long>"
+_SIGS = "doc_id long, text_hash long, block int, rid long, n_shingles long, node long, bands array<long>"
 _SETS = "node long, members binary"
 _EDGES = "u long, v long"
 
@@ -147,8 +147,8 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
     for b in batches:
         rows: dict[str, list] = {f.name: [] for f in schema}
         texts = lowered(b.column(1))
-        for doc, text, s in zip(b.column(0).to_pylist(), texts, sets_of(texts, hashes, k), strict=True):
-            values = (doc, common.partition_id(), common.raw_id(text), len(s), node_of(s) if len(s) else None, bands(s) if len(s) else None)
+        for doc, mark, text, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts, sets_of(texts, hashes, k), strict=True):
+            values = (doc, mark, common.partition_id(), common.raw_id(text), len(s), node_of(s) if len(s) else None, bands(s) if len(s) else None)
             for name, value in zip(rows, values, strict=True):
                 rows[name].append(value)
         yield records(rows, schema)
@@ -228,19 +228,10 @@ def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield done(rows)
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked when 100 * intersection >= percent * union of their distinct ``words``-word
-    shingles, A-Z lower-cased; component_id is the least doc_id that links reach. A text shorter
-    than a shingle is one shingle; texts without words, and null texts, have none and link with
-    nothing. A row with a null id takes its component's least id, is kept only if there is none, and
-    never leads. Repeated rows have equal results. An empty table gives an empty result; extra
-    columns are ignored.
-    """
-    spark = docs.sparkSession
-    tune(spark)
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def _decided(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row."""
+    tune(docs.sparkSession)
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), text_hash(text_col).alias("text_hash"))
     sigs = saved(own.mapInArrow(lambda it: signatures(it, words), _SIGS), "signatures")
     nodes = saved(sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("block", "rid")).alias("at")), "nodes")
 
@@ -277,12 +268,25 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     least = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = roots.join(least, "root").select("node", "least_id")
     leaders = nodes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("leader"))
-    out = sigs.select("doc_id", "n_shingles", "node").join(leaders, "node", "left")
-    component = F.coalesce("leader", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = sigs.select("doc_id", "text_hash", "n_shingles", "node").join(leaders, "node", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("leader", "doc_id").alias("component_id"))
+
+
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when 100 * intersection >= percent * union of their distinct ``words``-word
+    shingles, A-Z lower-cased; component_id is the least doc_id that links reach. A text shorter
+    than a shingle is one shingle; texts without words, and null texts, have none and link with
+    nothing. A row with a null id takes its component's least id, is kept only if there is none, and
+    never leads. Repeated rows have equal results. An empty table gives an empty result; extra
+    columns are ignored.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return _decided(docs, words, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    gone = saved(near_groups(docs, words, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = _decided(docs, words, percent, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return without_rows(docs, gone.select(F.col("doc_id").alias("id"), "text_hash"), id_col, text_col)

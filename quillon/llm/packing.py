@@ -82,11 +82,16 @@ def pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each length.
+    """Bin number and offset of each length: by exchanges or, where lengths leave exchanges nothing
+    to gain, by the greedy fill alone, whichever needs fewer bins."""
+    both = [fill_bins(lengths, capacity, exchange) for exchange in (True, False)]
+    return min(both, key=lambda found: int(found[0].max(initial=-1)))
 
-    A bin takes the longest unpacked document that fits until none does. Then, if two unpacked
-    documents fill the space of its smallest document and the gap more tightly, they replace it.
-    """
+
+def fill_bins(lengths: np.ndarray, capacity: int, exchange: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A bin takes the longest unpacked document that fits until none does. Then, with ``exchange``,
+    if two unpacked documents fill the space of its smallest document and the gap more tightly, they
+    replace it."""
     order = np.argsort(lengths, kind="stable")
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     taken = np.concatenate([[0], np.cumsum(count)])[:-1].copy()  # next place of each length in order
@@ -115,7 +120,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
             chosen.append(x)
             take(x, 1)
             gap -= x
-        if gap and len(chosen) > 1:
+        if exchange and gap and len(chosen) > 1:
             room = gap + chosen[-1]
             one = np.unique(below[1 : room + 1])
             one = one[one > 0]

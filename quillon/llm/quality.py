@@ -112,15 +112,12 @@ def ablation(rows: DataFrame, policy: str = "web-1") -> DataFrame:
 def keep_good(docs: DataFrame, policy: str = "web-1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with all their columns: the same expressions as a
     filter inside the scan, so nothing is joined or shuffled."""
-    one = F.struct(F.lit(0).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    tagged = docs.select(*[F.col(f"`{c}`") for c in docs.columns], one.alias("__one"))
-    judged = verdict_column(tagged, "__one.text", policy)
-    return tagged.where(judged).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(verdict_column(docs, text_col, policy))
 
 
 def verdict_column(df: DataFrame, text_col: str, policy: str) -> Column:
     """kept, as one expression over a text column."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = text_or_empty(f"`{text_col}`")
     words = F.array_remove(F.split(text, _SPACE), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
