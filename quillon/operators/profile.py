@@ -90,18 +90,26 @@ def mad(df: DataFrame, columns: list[str]) -> DataFrame:
 def trimmed_mean(df: DataFrame, columns: list[str], share: float = 0.1) -> DataFrame:
     """Mean without floor(share * n) values at each end.
 
-    Values strictly inside the two cut values all count; of values equal to a cut, as many as the
-    trim leaves. So one aggregate over the value counts does it and nothing is ranked row by row.
+    Two order statistics bound what is kept; values strictly between them all count, and of those
+    equal to a bound as many as the trim leaves. So it is selections and sums, not a ranking.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), finite(c).alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    counts = long.groupBy("column_name", "v").agg(F.count("*").alias("k"))
-    order = Window.partitionBy("column_name").orderBy("v")
-    total = F.sum("k").over(Window.partitionBy("column_name"))
-    cut = F.floor(total * share)
-    upto = F.sum("k").over(order)
-    kept = F.greatest(F.lit(0), F.least(upto, total - cut) - F.greatest(upto - F.col("k"), cut))
-    rows = counts.select("column_name", "v", kept.alias("kept"))
-    return rows.groupBy("column_name").agg((F.sum(F.col("v") * F.col("kept")) / F.sum("kept")).alias("trimmed_mean"), F.sum("kept").alias("n_kept"))
+    from .quantiles import order_statistics
+
+    sizes = df.agg(*[F.count(finite(c)).alias(c) for c in columns]).first()
+    cells = []
+    for c in columns:
+        n, v = sizes[c], finite(c)
+        if not n:
+            cells.append(F.struct(F.lit(None).cast("double").alias("trimmed_mean"), F.lit(0).cast("long").alias("n_kept")).alias(c))
+            continue
+        k = int(n * share)
+        found = order_statistics(df.select(v.alias(c)), c, sorted({k, n - 1 - k}), n)
+        lo, hi, kept = found[k], found[n - 1 - k], n - 2 * k
+        between = F.coalesce(F.sum(F.when((v > lo) & (v < hi), v)), F.lit(0.0))
+        ends = F.lit(lo) * (F.count(F.when(v <= lo, 1)) - k) + F.lit(hi) * (F.count(F.when(v >= hi, 1)) - k)
+        mean = F.lit(lo) if lo == hi else (between + ends) / kept
+        cells.append(F.struct(mean.cast("double").alias("trimmed_mean"), F.lit(kept).cast("long").alias("n_kept")).alias(c))
+    return _long(df.agg(F.count("*").alias("__n"), *cells), columns, ["trimmed_mean", "n_kept"])
 
 
 def rounded_mode(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:

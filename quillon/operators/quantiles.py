@@ -58,3 +58,14 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], singl
             found = nth_values(df, c, sorted({r for x in at.values() for r in (math.floor(x), math.ceil(x))}))
             out[c] = {p: found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for p, x in at.items()}
     return out
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int], rows: int, single_pass: int = SINGLE_PASS_VALUES) -> dict[int, float]:
+    """The values at 0-based ranks of a column with ``rows`` values: one aggregate, or narrowing
+    passes above ``single_pass`` values."""
+    if rows > single_pass:
+        return nth_values(df, column, ranks)
+    v = F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
+    at = [F.expr(f"percentile_disc({(r + 0.5) / rows}) WITHIN GROUP (ORDER BY __v)").alias(f"r{r}") for r in ranks]
+    row = df.select(v.alias("__v")).agg(*at).first()
+    return {r: row[f"r{r}"] for r in ranks}

@@ -14,6 +14,7 @@ from ..functions.special import correlation_p
 from . import algebra
 from .moments import Gram, gram, merge
 from .profile import finite
+from .quantiles import order_statistics
 
 @dataclass(frozen=True)
 class Policy:
@@ -274,8 +275,7 @@ def stacked_profile(df: DataFrame, x: str, y: str, bins: int = 4) -> DataFrame:
     """Counts of y at most / above its upper median in quantile bins of x."""
     number, _ = quantile_bins(df, x, bins)
     n = df.where(finite(y).isNotNull()).count()
-    ordered = df.groupBy(finite(y).alias("v")).agg(F.count("*").alias("n")).where("v is not null").withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    upper = ordered.where(F.col("upto") > n // 2).agg(F.min("v")).first()[0]
+    upper = order_statistics(df.select(finite(y).alias("y")), "y", [n // 2], n)[n // 2] if n else None
     return df.groupBy(number.alias("bin")).agg(F.count_if(finite(y) <= F.lit(upper)).alias("low"), F.count_if(finite(y) > F.lit(upper)).alias("high"))
 
 
