@@ -28,15 +28,15 @@ MIN_WORDS = 50
 ANCHOR = 25
 GRAM = 8
 WINDOW = MIN_WORDS - ANCHOR + 1
-#: Suffixes of one anchor that are sorted together; more are dealt by what follows the anchor.
+#: Different contexts of one anchor that are sorted together; more are dealt at random.
 GROUP_ROWS = 50_000
 #: Suffixes sorted in one numpy pass.
 PASS_ROWS = 20_000
 
 _U = np.uint64
 _TEXTS = "doc_id long, block int, rid long, tid long, n_words long, starts array<long>, anchors array<long>"
-_CONTEXT = "tid long, start long, anchor long, around binary"
-_FOUND = "tid long, start long, end long, other long"
+_CONTEXT = "tid long, starts array<long>, anchor long, around binary"
+_FOUND = "ctx long, left long, right long, other long, second long"
 _GRAM_STEPS, _ANCHOR_STEPS = constants(GRAM, 11), constants(ANCHOR, 12)
 
 
@@ -121,10 +121,14 @@ def contexts(batches: Iterator[pa.RecordBatch], uri: str | None) -> Iterator[pa.
                 text, starts = chosen[done]
                 done += 1
                 starts, anchors, near = around_starts(words, np.array(starts, np.int64))
-                rows["tid"] += [text_id(b" ".join(text.split()))] * len(starts)
-                rows["start"] += starts.tolist()
-                rows["anchor"] += anchors.tolist()
-                rows["around"] += [x.tobytes() for x in near]
+                # places of one text with equal anchors and contexts share a row
+                same: dict[tuple[int, bytes], list[int]] = {}
+                for start, anchor, x in zip(starts.tolist(), anchors.tolist(), near, strict=True):
+                    same.setdefault((anchor, x.tobytes()), []).append(start)
+                tid = text_id(b" ".join(text.split()))
+                for (anchor, x), places in same.items():
+                    for k, v in zip(rows, (tid, places, anchor, x), strict=True):
+                        rows[k].append(v)
         yield records(rows, arrow_schema(_CONTEXT))
     if block:
         block.close()
@@ -135,31 +139,32 @@ def shared_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
 
 
-def compare(tid: np.ndarray, start: np.ndarray, group: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Neighbours of other texts in two orders, by what follows and by what precedes."""
+def compare(ctx: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each context with its neighbours of other texts, in two orders: by what follows and by what
+    precedes. A context of several texts (first < last) matches itself in full."""
     side = around.shape[1] // 2
     before, after = around[:, :side], around[:, side:]
-    found = []
-    for first, second in ((after, before), (before, after)):
-        wide = np.concatenate([group[:, None].astype(">u4"), first.astype(">u4"), second.astype(">u4")], axis=1)
+    several = first != last
+    l, r = shared_run(before, before), shared_run(after, after)
+    whole = several & (l + r + ANCHOR >= MIN_WORDS)
+    found = [(ctx[whole], l[whole], r[whole], first[whole], last[whole])]
+    for one, two in ((after, before), (before, after)):
+        wide = np.concatenate([group[:, None].astype(">u4"), one.astype(">u4"), two.astype(">u4")], axis=1)
         order = np.argsort(np.ascontiguousarray(wide).view(f"S{wide.shape[1] * 4}").ravel(), kind="stable")
-        t, g = tid[order], group[order]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])
+        t, g, many = first[order], group[order], several[order]
+        # a row of several texts differs from any other row
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | many[1:] | many[:-1]])
         run = np.cumsum(new) - 1
-        first_of = np.flatnonzero(new)
-        previous = first_of[run] - 1  # the nearest earlier row of another text
-        for i, j in ((np.arange(len(order)), previous), (np.flatnonzero(np.append(new[1:], True)), None)):
-            if j is None:  # and for the last row of a run the next one
-                j = i + 1
-            fine = (j >= 0) & (j < len(order))
-            i, j = i[fine], j[fine]
-            fine = g[i] == g[j]
-            i, j = order[i[fine]], order[j[fine]]
-            l, r = shared_run(before[i], before[j]), shared_run(after[i], after[j])
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(order))
+        for j in (heads[run] - 1, tails[run]):  # the nearest rows of another text on both sides
+            fine = (j >= 0) & (j < len(order)) & ~many
+            fine[fine] = g[j[fine]] == g[fine]
+            i, k = order[fine], order[j[fine]]
+            l, r = shared_run(before[i], before[k]), shared_run(after[i], after[k])
             ok = l + r + ANCHOR >= MIN_WORDS
-            for x, y in ((i, j), (j, i)):
-                found.append((tid[x][ok], (start[x] - l)[ok], (start[x] + ANCHOR + r)[ok], tid[y][ok]))
-    return tuple(np.concatenate([f[c] for f in found]) for c in range(4))
+            found.append((ctx[i][ok], l[ok], r[ok], first[k][ok], last[k][ok]))
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(5))
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +175,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keys = np.stack([t.column("anchor").to_numpy(), t.column("slice").to_numpy().astype(np.int64)], axis=1)
         group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))]).astype(np.uint32)
         around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint32).reshape(len(t), -1)
-        out = compare(t.column("tid").to_numpy(), t.column("start").to_numpy(), group, around)
-        return records(dict(zip(("tid", "start", "end", "other"), out, strict=True)), arrow_schema(_FOUND))
+        out = compare(*(t.column(c).to_numpy() for c in ("ctx", "first", "last")), group, around)
+        return records(dict(zip(("ctx", "left", "right", "other", "second"), out, strict=True)), arrow_schema(_FOUND))
 
     rows = 0
     for b in batches:
@@ -181,11 +186,11 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         a, s = t.column("anchor").to_numpy(), t.column("slice").to_numpy()
-        last = int(np.flatnonzero((a != a[-1]) | (s != s[-1]))[-1]) + 1 if ((a != a[-1]) | (s != s[-1])).any() else 0
-        if last:
-            yield done(t.slice(0, last))
-            held = t.slice(last).to_batches()
-            rows = len(t) - last
+        odd = np.flatnonzero((a != a[-1]) | (s != s[-1]))
+        if len(odd):
+            cut = int(odd[-1]) + 1
+            yield done(t.slice(0, cut))
+            held, rows = t.slice(cut).to_batches(), len(t) - cut
     if rows:
         yield done(pa.Table.from_batches(held).combine_chunks())
 
@@ -212,11 +217,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     uri = common.write_blocks(rows.select("block", "rid"), wanted, "positions")
 
     def ranges_of(around: DataFrame) -> DataFrame:
+        """(tid, start, end, other): contexts are compared once each, whatever their number of texts;
+        what is found goes back to all places that have the context."""
+        places = saved(around.withColumn("ctx", F.xxhash64("anchor", "around")), "contexts")
+        each = places.groupBy("ctx").agg(F.first("anchor").alias("anchor"), F.first("around").alias("around"), F.min("tid").alias("first"), F.max("tid").alias("last"))
         parts = F.ceil(F.col("n") / GROUP_ROWS)
-        after = F.substring("around", 4 * (MIN_WORDS - ANCHOR) + 1, 4 * (MIN_WORDS - ANCHOR))
-        dealt = around.join(shared, "anchor").select("tid", "start", "anchor", "around", F.pmod(F.xxhash64(after), parts).cast("int").alias("slice"))
+        dealt = each.join(shared, "anchor").select("ctx", "first", "last", "anchor", "around", F.pmod("ctx", parts).cast("int").alias("slice"))
         found = dealt.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(sorted_groups, _FOUND)
-        return saved(found.groupBy("tid", "start", "end").agg(F.min("other").alias("other")), "ranges")
+        longest = saved(found.groupBy("ctx", "left", "right").agg(F.min("other").alias("other"), F.max("second").alias("second")), "found")
+        back = places.select("tid", "ctx", F.explode("starts").alias("at")).join(longest, "ctx")
+        other = F.when(F.col("other") == F.col("tid"), F.col("second")).otherwise(F.col("other"))
+        spans = back.select("tid", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + ANCHOR + F.col("right")).alias("end"), other.alias("other"))
+        return spans.groupBy("tid", "start", "end").agg(F.min("other").alias("other"))
 
     try:
         found = ranges_of(own.select("doc_id", "text").mapInArrow(lambda it: contexts((b.select([1]) for b in it), uri), _CONTEXT))
