@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import Config, domain_rules
 from ..functions import names as N
 from ..operators import algebra, causal, features, impute, models, neural, outliers, profile, relate, select
 from ..operators.moments import gram
@@ -28,6 +29,15 @@ class Analysis:
     notes: list[str] = field(default_factory=list)
 
 
+def side_rules(source: str) -> dict[str, set[str]]:
+    """Domain rules from <dataset>.rules.txt or domain_rules.txt beside a local dataset."""
+    path = Path(source.removeprefix("file://"))
+    for name in (path.with_name(path.name + ".rules.txt"), path.with_suffix(".rules.txt"), path.with_name("domain_rules.txt")):
+        if name.is_file():
+            return domain_rules(name.read_text(encoding="utf-8"))
+    return {"block": set(), "weaken": set()}
+
+
 class Cancelled(Exception):
     """The caller's cancel hook said so."""
 
@@ -62,9 +72,11 @@ def prepare(df: DataFrame, config: Config, target: str) -> tuple[DataFrame, dict
     return df, gone
 
 
-def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkSession | None = None, progress: Callable[[str, int, int], None] | None = None, cancel: Callable[[], bool] | None = None) -> Analysis:
-    """Run the stages in order. ``progress`` gets (label, step, steps); ``cancel`` is asked between."""
+def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkSession | None = None, progress: Callable[[str, int, int], None] | None = None, cancel: Callable[[], bool] | None = None, rules: dict[str, set[str]] | None = None) -> Analysis:
+    """Run the stages in order. ``progress`` gets (label, step, steps); ``cancel`` is asked between.
+    ``rules`` name columns that cause nothing (block) or count a quarter (weaken)."""
     config = config or Config()
+    rules = rules or (side_rules(source) if isinstance(source, str) else {"block": set(), "weaken": set()})
     if isinstance(source, str):
         if spark is None:
             raise ValueError("a path needs a session")
@@ -135,6 +147,7 @@ def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkS
         last = net.history[-1]
         importance = relate.coherent_importance(weight, importance, len(values), last[0], last[1])
         notes.append(f"training stability {neural.training_stability(net.history):.2f}")
+    importance = {c: v * (0.25 if c in rules["weaken"] else 1.0) for c, v in importance.items()}
     tables["importance"] = spark.createDataFrame(sorted(importance.items(), key=lambda t: -t[1]), "column_name string, importance double")
 
     step("pairs")
@@ -157,7 +170,7 @@ def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkS
 
     step("causal")
     if config.causal and chosen:
-        blocked = {c for c in chosen if N.is_admin(c)}
+        blocked = {c for c in chosen if N.is_admin(c)} | rules["block"]
         tables["causal"] = causal.discover(prepared, y, chosen, "row_id", causal.Knobs(alpha=config.tuning.significance_alpha, bootstraps=config.tuning.causal_bootstraps, top=config.tuning.causal_top), blocked)
     return Analysis(tables, prepared, target.name, chosen, notes)
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import algebra, relate
+from ..operators import algebra, plots, relate
 from ..operators.moments import gram
-from ..operators.outliers import mahalanobis  # noqa: F401
 from .registry import query, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -300,3 +299,69 @@ def joined_profile(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price"), F.stddev_samp("o_totalprice").alias("sd_price"))
+
+
+# -- plot data --
+
+_BOX = """WITH q AS (SELECT o_orderpriority AS level, count(*) AS n, quantile_cont(o_totalprice, 0.25) AS q1, median(o_totalprice) AS median, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1)
+ SELECT level, n, {R:q1} AS q1, {R:median} AS median, {R:q3} AS q3, {R:min(o_totalprice)} AS low, {R:max(o_totalprice)} AS high, n >= 5 AND q3 - q1 > 1e-9 AS drawn
+ FROM q JOIN orders ON o_orderpriority = level AND o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY level, n, q1, median, q3"""
+
+
+@query("plot_box", _BOX, digits=4)
+def plot_box(spark, sf_dir):
+    return plots.box(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
+
+
+@query("plot_fitted_line")
+def plot_fitted_line(spark, sf_dir):
+    return plots.fitted_line(_net(spark, sf_dir), "l_extendedprice", "net")
+
+
+@query("plot_residuals", "WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS s, regr_intercept(o_totalprice, o_custkey) AS i FROM orders) SELECT o_orderkey, {R:i + s * o_custkey} AS fitted, {R:o_totalprice - i - s * o_custkey} AS residual FROM orders, f", digits=4)
+def plot_residuals(spark, sf_dir):
+    return plots.residuals(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
+
+
+@query("plot_pie", "SELECT o_orderstatus AS level, count(*)::BIGINT AS n, {R:count(*) / sum(count(*)) OVER ()} AS share, true AS drawn FROM orders GROUP BY 1")
+def plot_pie(spark, sf_dir):
+    return plots.pie(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query("plot_level_means", "SELECT o_orderpriority AS level, count(*) AS n, {R:avg(o_totalprice)} AS mean, {R:stddev_samp(o_totalprice)} AS sd FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 12", digits=4)
+def plot_level_means(spark, sf_dir):
+    return plots.level_means(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+
+
+_SERIES = """WITH e AS (SELECT epoch(ts) AS t, value, min(epoch(ts)) OVER () AS lo, (max(epoch(ts)) OVER () - min(epoch(ts)) OVER ()) / 100 AS w FROM events)
+ SELECT {R:any_value(lo + (s + 0.5) * w)} AS position, {R:avg(value)} AS mean, count(value) AS n FROM (SELECT *, least(99, floor((t - lo) / w)) AS s FROM e) GROUP BY s"""
+
+
+@query("plot_series", _SERIES, digits=3)
+def plot_series(spark, sf_dir):
+    return plots.series(table(spark, sf_dir, "events"), "value", "ts", 100)
+
+
+@query("plot_heatmap")
+def plot_heatmap(spark, sf_dir):
+    d = _net(spark, sf_dir)
+    return plots.heatmap(d, [*NUMBERS, "net"]).unionByName(plots.heatmap(d, [*NUMBERS, "net"], clustered=True))
+
+
+@query("plot_scatter")
+def plot_scatter(spark, sf_dir):
+    from ..sources.tabular import with_row_id
+
+    return plots.scatter(with_row_id(table(spark, sf_dir, "orders")), "o_custkey", "o_totalprice", "row_id", 1000)
+
+
+@query("plot_ogive", "SELECT v, n, {R:100.0 * sum(n) OVER (ORDER BY v) / sum(n) OVER ()} AS percent FROM (SELECT p_size::DOUBLE AS v, count(*) AS n FROM part GROUP BY 1)")
+def plot_ogive(spark, sf_dir):
+    return plots.ogive(table(spark, sf_dir, "part"), "p_size")
+
+
+@query("plot_schedule", "SELECT l_orderkey AS task, o_orderdate AS start, {R:(epoch(l_shipdate) - epoch(o_orderdate)) / 3600} AS hours, 'days' AS unit FROM (SELECT l_orderkey, o_orderdate, max(l_shipdate) AS l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) WHERE epoch(l_shipdate) >= epoch(o_orderdate) ORDER BY start, task LIMIT 25")
+def plot_schedule(spark, sf_dir):
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    d = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("l_orderkey", "o_orderdate").agg(F.max("l_shipdate").alias("l_shipdate"))
+    return plots.tasks(d, "l_orderkey", "o_orderdate", "l_shipdate")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import algebra, causal, features, impute, models, neural, outliers, profile, relate, select, temporal
+from quillon.operators import algebra, causal, features, impute, models, neural, outliers, plots, profile, relate, select, temporal
 from quillon.operators.moments import gram, merge
 from quillon.operators.quantiles import exact_quantiles, nth_values
 
@@ -227,3 +227,20 @@ def test_partitioning_changes_nothing(linear):
     one = relate.pearson(linear.coalesce(1), ["a", "b", "y"]).collect()
     many = relate.pearson(linear.repartition(7), ["a", "b", "y"]).collect()
     assert all(math.isclose(p["r"], q["r"], abs_tol=1e-12) for p, q in zip(one, many, strict=True))
+
+
+def test_plot_rules():
+    assert plots.pie_fits([5, 5]) and not plots.pie_fits([99, 1]) and not plots.pie_fits([3])
+    assert plots.line_fits(0.5, 50) and not plots.line_fits(0.4, 20) and plots.band_fits(0.5, 30) and not plots.residuals_fit(0.5, 99)
+    r = np.array([[1, 0.1, 0.9], [0.1, 1, 0.2], [0.9, 0.2, 1]])
+    assert sorted(plots.greedy_order(r)) == [0, 1, 2] and abs(plots.linkage_order(r).index(0) - plots.linkage_order(r).index(2)) == 1
+
+
+def test_policies_and_scores():
+    assert relate.choose_policy([0.7, 0.1]) == "corr_heavy" and relate.choose_policy([0.1] * 8) == "importance_heavy"
+    assert relate.label(-0.9) == "Very strong negative association"
+    w = relate.coherent_importance({"a": 3.0, "b": 1.0}, {"a": 0.2, "b": 0.2})
+    assert w["a"] == pytest.approx(0.70 * 0.75 + 0.30 * 0.5) and sum(w.values()) == pytest.approx(1)
+    assert profile.health_score(100, 0, 10, 5, 4, 0, 0, 0, 0.5)[0] == pytest.approx(100 * (0.30 + 0.05 + 0.15 + 0.05))
+    assert neural.training_stability([(1.0, 1.0), (0.2, 0.2)]) == pytest.approx(0.7 * 0.9 + 0.3)
+    assert neural.confidence(np.zeros(3), np.zeros(3), 0.5, "warning") == pytest.approx(1 - 0.15 - 0.15)

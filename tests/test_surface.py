@@ -99,11 +99,13 @@ def test_whole_analysis(spark, tmp_path):
     rows = [(f"{rng.gauss(0, 1):.4f}", f"{rng.random() * 10:.3f}", "abc"[i % 3], i) for i in range(120)]
     lines = ["x<script>alert(1)</script>,b,kind,y"] + [f"{x},{b},{k},{2 * float(x) + float(b):.3f}" for x, b, k, _ in rows]
     (tmp_path / "a.csv").write_text("\n".join(lines))
+    (tmp_path / "a.csv.rules.txt").write_text("suppress_causal: b\ndeprioritize: b")
     seen = []
     config = build({"target": "y", "neural_strategy": "none", "tuning.causal_bootstraps": 4, "export_preprocessed": "csv"})
     out = analyze(str(tmp_path / "a.csv"), config, spark, progress=lambda *a: seen.append(a[0]))
     assert seen[0] == "profile" and seen[-1] == "causal"
     assert out.tables["models"].where("model = 'linear'").first()["r2"] > 0.99
+    assert "b" not in {r["cause"] for r in out.tables["causal"].collect()}
     page = open(write(out, config, str(tmp_path))).read()
     assert "<script>alert" not in page and "&lt;script&gt;" in page
     with pytest.raises(Cancelled):
