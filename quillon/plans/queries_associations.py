@@ -58,7 +58,11 @@ def kendall_tau(spark, sf_dir):
     return spark.createDataFrame([(relate.kendall(table(spark, sf_dir, "supplier"), "s_acctbal", "s_nationkey", "s_suppkey"),)], "tau double")
 
 
-@query("kendall_large")
+_RHO = f"""WITH d AS {_NET}, k AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY net) + (count(*) OVER (PARTITION BY net) - 1) / 2 AS b FROM d)
+ SELECT {{R:2 / pi() * asin(corr(a, b))}} AS tau FROM k"""
+
+
+@query("kendall_large", _RHO)
 def kendall_large(spark, sf_dir):
     return spark.createDataFrame([(relate.kendall(_net(spark, sf_dir).withColumn("k", F.lit(1)), "l_quantity", "net", "k"),)], "tau double")
 
@@ -156,7 +160,12 @@ def stacked_profile(spark, sf_dir):
     return relate.stacked_profile(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey")
 
 
-@query("facet_column")
+_FACET = """SELECT category, count(*) AS levels, {R:min(n / t)} AS least_share, {R:var_pop(m)} AS between FROM (
+ SELECT 'o_orderpriority' AS category, count(*) AS n, sum(count(*)) OVER () AS t, avg(o_totalprice) AS m FROM orders GROUP BY o_orderpriority UNION ALL
+ SELECT 'o_orderstatus', count(*), sum(count(*)) OVER (), avg(o_totalprice) FROM orders GROUP BY o_orderstatus) GROUP BY category HAVING count(*) BETWEEN 2 AND 12 AND min(n / t) >= 0.05"""
+
+
+@query("facet_column", _FACET, digits=3)
 def facet_column(spark, sf_dir):
     return relate.facet_column(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice")
 
@@ -180,12 +189,17 @@ def information_gain(spark, sf_dir):
     return relate.information_gain(_net(spark, sf_dir), "l_extendedprice", "net")
 
 
-_INTER = [("l_quantity", "l_extendedprice"), ("l_extendedprice", "l_discount")]
+def _scores_sql() -> str:
+    cols = ["l_extendedprice", "cost", "l_quantity"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    each = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a} * {b}, net)) AS s, corr({a}, {b}) AS r FROM d" for a, b in pairs)
+    return f"WITH d AS (SELECT *, l_extendedprice * (1 + l_tax) AS cost FROM {_NET}) SELECT a, b, {{R:s}} AS score FROM ({each}) WHERE abs(r) >= 0.05"
 
 
-@query("interaction_scores")
+@query("interaction_scores", _scores_sql())
 def interaction_scores(spark, sf_dir):
-    return relate.interactions(_net(spark, sf_dir), NUMBERS, "net")
+    d = _net(spark, sf_dir).withColumn("cost", F.col("l_extendedprice") * (1 + F.col("l_tax")))
+    return relate.interactions(d, ["l_extendedprice", "cost", "l_quantity"], "net")
 
 
 @query("interaction_ttest")
@@ -229,7 +243,14 @@ def partial_correlation(spark, sf_dir):
     return spark.createDataFrame([(algebra.partial_r(g, "net", "l_discount", ["l_extendedprice"]),)], "r double")
 
 
-@query("conditional_drift")
+def _drift_sql() -> str:
+    one = """SELECT '{a}' AS a, '{b}' AS b, '{c}' AS given, corr({a}, {b}) AS g, (corr({a}, {b}) - corr({a}, {c}) * corr({b}, {c})) / sqrt((1 - corr({a}, {c}) * corr({a}, {c})) * (1 - corr({b}, {c}) * corr({b}, {c}))) AS p FROM d"""
+    each = " UNION ALL ".join(one.replace("{a}", a).replace("{b}", b).replace("{c}", c) for a, b, c in (("net", "l_extendedprice", "l_quantity"), ("net", "l_quantity", "l_extendedprice"), ("net", "l_discount", "l_extendedprice")))
+    return f"""WITH d AS {_NET}, r AS ({each}), f AS (SELECT *, abs(p) >= 0.05 AND g * p < 0 AS flips, abs(p) <= abs(g) * 0.5 AND abs(g) - abs(p) >= 0.12 AS falls FROM r)
+ SELECT a, b, given, {{R:g}} AS global_r, {{R:p}} AS conditional_r, CASE WHEN abs(g) < 0.15 THEN 'weak global signal' WHEN flips AND falls THEN 'sign reversal + magnitude collapse' WHEN flips THEN 'sign reversal' WHEN falls THEN 'magnitude collapse' ELSE 'stable' END AS verdict FROM f"""
+
+
+@query("conditional_drift", _drift_sql())
 def conditional_drift(spark, sf_dir):
     g = gram(_net(spark, sf_dir), ["net", "l_quantity", "l_extendedprice", "l_discount"])
     rows = []
@@ -348,7 +369,7 @@ def plot_heatmap(spark, sf_dir):
     return plots.heatmap(d, [*NUMBERS, "net"]).unionByName(plots.heatmap(d, [*NUMBERS, "net"], clustered=True))
 
 
-@query("plot_scatter")
+@query("plot_scatter", "SELECT o_custkey::DOUBLE AS x, {R:o_totalprice} AS y FROM (SELECT *, row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM orders) WHERE n <= 1000 OR floor((i + 1) * 1000 / n) > floor(i * 1000 / n)")
 def plot_scatter(spark, sf_dir):
     from ..sources.tabular import with_row_id
 

@@ -59,10 +59,15 @@ def lof_1d(spark, sf_dir):
     return outliers.lof(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
 
 
-@query("mahalanobis_top6")
+_D2 = """WITH s AS (SELECT avg(o_totalprice) AS m1, stddev_samp(o_totalprice) AS s1, avg(o_custkey) AS m2, stddev_samp(o_custkey) AS s2, corr(o_totalprice, o_custkey) AS r FROM orders),
+ d AS (SELECT o_orderkey, (pow((o_totalprice - m1) / s1, 2) - 2 * r * (o_totalprice - m1) / s1 * (o_custkey - m2) / s2 + pow((o_custkey - m2) / s2, 2)) / (1 - r * r) AS d2 FROM orders, s),
+ t AS (SELECT quantile_cont(d2, 0.975) AS threshold FROM d)
+ SELECT o_orderkey, {R:d2} AS d2, {R:threshold} AS threshold FROM d, t WHERE d2 >= threshold ORDER BY d.d2 DESC, o_orderkey LIMIT 6"""
+
+
+@query("mahalanobis_top6", _D2)
 def mahalanobis_top6(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return outliers.mahalanobis(d, ["l_quantity", "l_extendedprice", "l_discount"], "row_id")
+    return outliers.mahalanobis(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"], "o_orderkey")
 
 
 _CONTEXT = """WITH f AS (SELECT avg(o_totalprice) - 1.6 * stddev_samp(o_totalprice) AS lo, avg(o_totalprice) + 1.6 * stddev_samp(o_totalprice) AS hi FROM orders),
@@ -128,7 +133,7 @@ def impute_interpolate(spark, sf_dir):
     return impute.interpolate(_series(spark, sf_dir), ["a"], "event_id").select("event_id", "a")
 
 
-@query("impute_datetime")
+@query("impute_datetime", _BETWEEN.replace("CASE WHEN user_id % 3 <> 0 THEN value END AS a", "CASE WHEN user_id % 4 <> 0 THEN floor(epoch(ts)) END AS a").replace("SELECT event_id, {R:", "SELECT event_id, make_timestamp((floor(").replace("y0, y1)} AS a FROM w", "y0, y1)) * 1000000)::BIGINT) AS t FROM w"))
 def impute_datetime(spark, sf_dir):
     return impute.interpolate(_series(spark, sf_dir), ["t"], "event_id").select("event_id", "t")
 

@@ -60,7 +60,11 @@ def mode_rounded(spark, sf_dir):
     return P.rounded_mode(table(spark, sf_dir, "lineitem"), NUMBERS)
 
 
-@query("full_summary")
+_FULL = f"""SELECT * FROM ({per_column(NUMBERS, _MOMENTS)}) JOIN ({per_column(NUMBERS, "{R:mad({c})} AS mad")}) USING (column_name)
+ JOIN ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, {fill_c(_TRIM, c)}" for c in NUMBERS)}) USING (column_name) JOIN ({" UNION ALL ".join(f"(SELECT '{c}' AS column_name, {fill_c(_MODE, c)})" for c in NUMBERS)}) USING (column_name)"""
+
+
+@query("full_summary", _FULL, digits=3)
 def full_summary(spark, sf_dir):
     return P.numeric_summary(table(spark, sf_dir, "lineitem"), NUMBERS)
 
@@ -143,7 +147,12 @@ def histogram_20(spark, sf_dir):
     return P.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 20)
 
 
-@query("histogram_auto")
+_AUTO = """WITH s AS (SELECT count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS iqr FROM lineitem),
+ b AS (SELECT lo, greatest(5, least(96, ceil((hi - lo) / (2 * iqr * pow(n, -1 / 3))))) AS k, (hi - lo) / greatest(5, least(96, ceil((hi - lo) / (2 * iqr * pow(n, -1 / 3))))) AS w FROM s)
+ SELECT least(k - 1, floor((l_extendedprice - lo) / w))::INTEGER AS bin, {R:lo + least(k - 1, floor((l_extendedprice - lo) / w)) * w} AS low, {R:lo + (least(k - 1, floor((l_extendedprice - lo) / w)) + 1) * w} AS high, count(*) AS n FROM lineitem, b GROUP BY 1, 2, 3"""
+
+
+@query("histogram_auto", _AUTO, digits=4)
 def histogram_auto(spark, sf_dir):
     return P.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice")
 

@@ -72,7 +72,11 @@ def slope_stability(spark, sf_dir):
     return temporal.slope_stability(d, "user_id", "value", "i")
 
 
-@query("regularised_series")
+_EVEN = """WITH o AS (SELECT ts, value, floor(epoch(ts)) AS t, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (ORDER BY ts, value) AS d FROM events), s AS (SELECT median(d) AS s FROM o WHERE d > 0)
+ SELECT make_timestamp((floor(t / s) * s * 1000000)::BIGINT) AS ts, {R:avg(value)} AS value FROM o, s GROUP BY 1"""
+
+
+@query("regularised_series", _EVEN)
 def regularised_series(spark, sf_dir):
     return temporal.regularised(table(spark, sf_dir, "events").select("ts", "value"), "value", "ts")
 
