@@ -62,7 +62,19 @@ def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
-@query("op10_warc_segments")
+@query(
+    "op10_warc_segments",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS leader FROM pages)
+    SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+               (instr('0123456789abcdef', substr(h, (5 * i // 4 + 1)::INTEGER, 1)) - 1) * 16
+               + greatest(0, instr('0123456789abcdef', substr(h || '0', (5 * i // 4 + 2)::INTEGER, 1)) - 1)
+           ) >> (3 - 5 * i % 4)::INTEGER) % 32, 1)), '') AS payload_digest,
+           CASE WHEN page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> leader THEN leader END AS refers_to, true AS intact
+    FROM p
+    """,
+)
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -90,7 +102,20 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(ledger(table(spark, sf_dir, "documents")))
 
 
-@query("op1_minhash_near_dedup")
+@query(
+    "op1_minhash_near_dedup",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+    l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+    c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least AS component_id, d.doc_id = least AS kept FROM d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
+)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
 
