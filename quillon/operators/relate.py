@@ -365,3 +365,18 @@ def auxiliary_targets(g: Gram, target: str, k: int = 2) -> list[str]:
     r = g.correlation()[g.names.index(target)]
     others = [(c, abs(r[i])) for i, c in enumerate(g.names) if c != target]
     return [c for c, _ in sorted(others, key=lambda x: -x[1])[:k]]
+
+
+def redundancy_groups(g: Gram, columns: list[str], limit: float = 0.92, importance: dict[str, float] | None = None) -> dict[str, str]:
+    """Column -> representative of the columns it is redundant with."""
+    return algebra.clusters(g.pick(columns).correlation(), columns, limit, importance)
+
+
+def deterministic(g: Gram, columns: list[str], limit: float = 0.999) -> list[tuple[str, str, float]]:
+    """Pairs of columns that say the same."""
+    r = g.pick(columns).correlation()
+    return [(columns[i], columns[j], float(r[i, j])) for i in range(len(columns)) for j in range(i + 1, len(columns)) if abs(r[i, j]) >= limit]
+
+
+def leading(importance: dict[str, float], k: int = 8) -> list[str]:
+    return sorted(importance, key=lambda c: (-importance[c], c))[:k]

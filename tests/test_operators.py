@@ -244,3 +244,16 @@ def test_policies_and_scores():
     assert profile.health_score(100, 0, 10, 5, 4, 0, 0, 0, 0.5)[0] == pytest.approx(100 * (0.30 + 0.05 + 0.15 + 0.05))
     assert neural.training_stability([(1.0, 1.0), (0.2, 0.2)]) == pytest.approx(0.7 * 0.9 + 0.3)
     assert neural.confidence(np.zeros(3), np.zeros(3), 0.5, "warning") == pytest.approx(1 - 0.15 - 0.15)
+
+
+def test_groups_and_time_votes(spark, linear):
+    g = gram(linear.withColumn("c", F.col("a") * 2 + 1), ["a", "b", "c"])
+    assert relate.redundancy_groups(g, ["a", "b", "c"]) == {"a": "a", "b": "b", "c": "a"}
+    assert [p[:2] for p in relate.deterministic(g, ["a", "b", "c"])] == [("a", "c")] and relate.leading({"a": 1, "b": 3}, 1) == ["b"]
+    rng = np.random.default_rng(9)
+    x = rng.exponential(size=400)
+    y = np.concatenate([[0], x[:-1]]) * 0.9 + x * 0.5 + rng.exponential(scale=0.2, size=400)
+    d = spark.createDataFrame([(i, float(x[i]), float(y[i])) for i in range(400)], "i long, x double, y double")
+    one = causal.discover(d, "y", ["x"], "i", causal.Knobs(bootstraps=4)).first()
+    two = causal.discover(d, "y", ["x"], "i", causal.Knobs(bootstraps=4), axis="i").first()
+    assert {one["cause"], one["effect"]} == {"x", "y"} and two["confidence"] >= one["confidence"]
