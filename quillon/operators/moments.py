@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns up to which covariances are updated value by value, which needs no means beforehand.
+ONE_PASS_COLUMNS = 8
 #: Columns up to which the sums are plain aggregates inside code generation.
 AGGREGATE_COLUMNS = 24
 
@@ -71,6 +73,8 @@ def gram(df: DataFrame, columns: list[str], fold: str | None = None) -> Gram | d
     Values are shifted by an approximate mean first, so that large offsets lose no digits.
     """
     clean = df.select(*([F.col(fold)] if fold else []), *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=columns)
+    if len(columns) <= ONE_PASS_COLUMNS:
+        return _one_pass(clean, columns, fold)
     shift = clean.agg(*[F.avg(c).alias(c) for c in columns]).first()
     k = np.array([float(shift[c] or 0.0) for c in columns])
     if len(columns) <= AGGREGATE_COLUMNS:
@@ -91,6 +95,20 @@ def gram(df: DataFrame, columns: list[str], fold: str | None = None) -> Gram | d
     return out if fold else out.get(None) or Gram(list(columns), 0, np.zeros(len(columns)), np.zeros((len(columns), len(columns))))
 
 
+def _one_pass(clean: DataFrame, columns: list[str], fold: str | None) -> Gram | dict:
+    m = len(columns)
+    cells = [F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]]
+    cells += [(F.covar_pop(columns[i], columns[j]) if i != j else F.var_pop(columns[i])).alias(f"c{i}_{j}") for i in range(m) for j in range(i, m)]
+    out = {}
+    for r in (clean.groupBy(fold) if fold else clean.groupBy()).agg(*cells).collect():
+        cross = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i, m):
+                cross[i, j] = cross[j, i] = (r[f"c{i}_{j}"] or 0.0) * r["n"]
+        out[r[fold] if fold else None] = Gram(list(columns), r["n"], np.array([r[f"m{i}"] or 0.0 for i in range(m)]), cross)
+    return out if fold else out[None]
+
+
 def _by_partition(clean: DataFrame, columns: list[str], k: np.ndarray, fold: str | None) -> list[dict]:
     """Wide tables: a partial matrix a partition, by matrix products over Arrow batches."""
     import pandas as pd

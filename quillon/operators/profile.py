@@ -235,24 +235,20 @@ def kde(df: DataFrame, column: str, points: int = 160) -> DataFrame:
     return row.select(F.explode(cells).alias("p")).select("p.*")
 
 
-def ecdf(df: DataFrame, column: str) -> DataFrame:
-    """Cumulative per cent at each distinct value, from value counts (not row by row)."""
-    counts = df.select(finite(column).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    return cumulative(counts)
-
-
-def cumulative(counts: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Running share of (v, n). Equal-width buckets are summed first, so ranking stays inside a
-    bucket and only their bounded table is ordered in one task."""
-    low, high, total = counts.agg(F.min("v"), F.max("v"), F.sum("n")).first()
-    if total is None:
+def ecdf(df: DataFrame, column: str, buckets: int = 1024) -> DataFrame:
+    """Cumulative per cent at each distinct value. Equal-width buckets are summed first, so ranking
+    stays inside a bucket and only their bounded table is ordered in one task."""
+    values = df.select(finite(column).alias("v")).where("v is not null")
+    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    counts = values.groupBy("v").agg(F.count("*").alias("n"))
+    if not total:
         return counts.select("v", "n", F.lit(0.0).alias("percent"))
     width = (high - low) or 1.0
-    placed = counts.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((F.col("v") - low) / width * buckets)))
-    heads = placed.groupBy("bucket").agg(F.sum("n").alias("here"))
+    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("v") - low) / width * buckets)).alias("bucket")
+    heads = values.groupBy(bucket).agg(F.count("*").alias("here"))
     starts = heads.select("bucket", (F.sum("here").over(Window.orderBy("bucket")) - F.col("here")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("v"))
-    return placed.join(F.broadcast(starts), "bucket").select("v", "n", (100.0 * (F.col("before") + inside) / total).alias("percent"))
+    return counts.select("v", "n", bucket).join(F.broadcast(starts), "bucket").select("v", "n", (100.0 * (F.col("before") + inside) / total).alias("percent"))
 
 
 def qq_points(df: DataFrame, column: str, points: int = 100, family: str = "normal") -> DataFrame:

@@ -46,15 +46,17 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double, n long, p_value double")
 
 
-def rank_map(df: DataFrame, column: str) -> DataFrame:
-    """(value, average rank) from value counts: running counts over buckets, then inside them."""
-    counts = df.select(finite(column).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    low, high = counts.agg(F.min("v"), F.max("v")).first()
+def rank_map(df: DataFrame, column: str, ends: tuple | None = None) -> DataFrame:
+    """(value, average rank) from value counts: running counts over buckets, then inside them.
+    ``ends``: least and greatest value, if they are known."""
+    values = df.select(finite(column).alias("v")).where("v is not null")
+    low, high = ends or values.agg(F.min("v"), F.max("v")).first()
+    counts = values.groupBy("v").agg(F.count("*").alias("n"))
     if low is None:
         return counts.select("v", F.lit(0.0).alias("rank"))
     width = (high - low) or 1.0
     placed = counts.withColumn("bucket", F.least(F.lit(1023), F.floor((F.col("v") - low) / width * 1024)))
-    heads = placed.groupBy("bucket").agg(F.sum("n").alias("here"))
+    heads = values.groupBy(F.least(F.lit(1023), F.floor((F.col("v") - low) / width * 1024)).alias("bucket")).agg(F.count("*").alias("here"))
     starts = heads.select("bucket", (F.sum("here").over(Window.orderBy("bucket")) - F.col("here")).alias("before"))
     upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("v"))
     return placed.join(F.broadcast(starts), "bucket").select("v", (F.col("before") + upto - (F.col("n") - 1) / 2.0).alias("rank"))
@@ -63,8 +65,9 @@ def rank_map(df: DataFrame, column: str) -> DataFrame:
 def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column replaced by its average rank."""
     out = df
+    ends = df.agg(*[F.struct(F.min(finite(c)), F.max(finite(c))).alias(c) for c in columns]).first()
     for c in columns:
-        m = rank_map(df, c).select(F.col("v").alias("__v"), F.col("rank").alias("__rank"))
+        m = rank_map(df, c, tuple(ends[c])).select(F.col("v").alias("__v"), F.col("rank").alias("__rank"))
         out = out.join(m, finite(out[c]) == F.col("__v"), "left").drop("__v", c).withColumnRenamed("__rank", c)
     return out
 
@@ -264,16 +267,16 @@ def strata(df: DataFrame, category: str, value: str) -> DataFrame:
     return out.withColumn("stratified", (F.col("eta2") >= 0.20) & (F.col("separation") >= 0.75))
 
 
-def quantile_bins(df: DataFrame, column: str, bins: int) -> tuple[Column, list[float]]:
-    """Bin number by quantile cuts; a value equal to a cut goes to the upper bin."""
-    probs = [i / bins for i in range(1, bins)]
-    cuts = sorted(set(df.agg(F.percentile(finite(column), F.array(*[F.lit(p) for p in probs]))).first()[0] or []))
-    return sum((F.when(finite(column) >= F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0)), cuts
+def quantile_bins(df: DataFrame, columns: list[str], bins: int) -> list[Column]:
+    """Bin numbers by quantile cuts, from one pass; a value equal to a cut goes to the upper bin."""
+    probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    row = df.agg(*[F.percentile(finite(c), probs).alias(c) for c in columns]).first()
+    return [sum((F.when(finite(c) >= F.lit(x), 1).otherwise(0) for x in sorted(set(row[c] or []))), F.lit(0)) for c in columns]
 
 
 def stacked_profile(df: DataFrame, x: str, y: str, bins: int = 4) -> DataFrame:
     """Counts of y at most / above its upper median in quantile bins of x."""
-    number, _ = quantile_bins(df, x, bins)
+    (number,) = quantile_bins(df, [x], bins)
     n = df.where(finite(y).isNotNull()).count()
     upper = order_statistics(df.select(finite(y).alias("y")), "y", [n // 2], n)[n // 2] if n else None
     return df.groupBy(number.alias("bin")).agg(F.count_if(finite(y) <= F.lit(upper)).alias("low"), F.count_if(finite(y) > F.lit(upper)).alias("high"))
@@ -298,8 +301,7 @@ def top_other(df: DataFrame, column: str, top: int = 12) -> DataFrame:
 
 def information_gain(df: DataFrame, x: str, y: str, bins: int = 8) -> DataFrame:
     """Gains in bits in both directions over quantile bins, and the direction of the larger share."""
-    bx, _ = quantile_bins(df, x, min(16, bins))
-    by, _ = quantile_bins(df, y, min(16, bins))
+    bx, by = quantile_bins(df, [x, y], min(16, bins))
     joint = df.where(finite(x).isNotNull() & finite(y).isNotNull()).groupBy(bx.alias("x"), by.alias("y")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     px, py = F.sum("n").over(Window.partitionBy("x")) / total, F.sum("n").over(Window.partitionBy("y")) / total

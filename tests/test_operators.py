@@ -125,6 +125,8 @@ def test_wide_gram_by_partition(linear, monkeypatch):
     from quillon.operators import moments
 
     plain = gram(linear, ["a", "b", "y"])
+    monkeypatch.setattr(moments, "ONE_PASS_COLUMNS", 0)
+    assert gram(linear, ["a", "b", "y"]).cross == pytest.approx(plain.cross)
     monkeypatch.setattr(moments, "AGGREGATE_COLUMNS", 1)
     assert gram(linear, ["a", "b", "y"]).cross == pytest.approx(plain.cross)
 
