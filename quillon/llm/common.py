@@ -6,6 +6,8 @@ local folder is set only where the session has none (tests, notebooks).
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import tempfile
 import uuid
@@ -119,6 +121,26 @@ def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[k]) for n, k in (x.strip().rsplit(" ", 1) for x in ddl.split(","))])
 
+def resting(kernel):
+    """A kernel whose worker hands unused memory back once its partition is done: workers stay for
+    later tasks, beside an executor's heap."""
+
+    @functools.wraps(kernel)
+    def run(*args):
+        yield from kernel(*args)
+        rest()
+
+    return run
+
+
+def rest() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to hand back by hand
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Broadcast a thin table only when it is counted to hold at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

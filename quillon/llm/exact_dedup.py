@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, records, saved, scratch, ship, text_hash, tune, without_rows
+from .common import arrow_schema, records, resting, saved, scratch, ship, text_hash, tune, without_rows
 
 ship(__name__)
 
@@ -73,6 +73,7 @@ def fingerprint(digest: bytes) -> int:
     return int.from_bytes(digest[: FP_BITS // 8], "big")
 
 
+@resting
 def send(batches: Iterator[pa.RecordBatch], owners: int) -> Iterator[pa.RecordBatch]:
     found = [fingerprint(hashlib.sha256(x).digest()) for b in batches for x in normalised(b.column(0))]
     values, counts = np.unique(np.array(found, np.int64), return_counts=True)
@@ -133,6 +134,7 @@ def load_answers(uri: str, block: int, owners: int) -> tuple[np.ndarray, np.ndar
     return values[order], flags[order]
 
 
+@resting
 def mark(batches: Iterator[pa.RecordBatch], uri: str, owners: int) -> Iterator[pa.RecordBatch]:
     values, flags = load_answers(uri, common.partition_id(), owners)
     for b in batches:

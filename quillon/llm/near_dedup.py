@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, records, saved, ship, text_hash, tune, without_rows
+from .common import arrow_schema, records, resting, saved, ship, text_hash, tune, without_rows
 from .components import components
 
 ship(__name__)
@@ -142,6 +142,7 @@ def node_of(s: np.ndarray) -> int:
     return int(np.int64(_U(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
 
 
+@resting
 def signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes, schema = WordHashes(), arrow_schema(_SIGS)
     for b in batches:
@@ -154,6 +155,7 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         yield records(rows, schema)
 
 
+@resting
 def full_sets(batches: Iterator[pa.RecordBatch], k: int, uri: str | None) -> Iterator[pa.RecordBatch]:
     """Full sets of the listed texts, or of all where there are no block files. Column: text."""
     hashes, block = WordHashes(), common.Block(uri) if uri else None
@@ -207,6 +209,7 @@ def links(nodes: np.ndarray, sides: np.ndarray, sigs: np.ndarray, sets: list[np.
     return found
 
 
+@resting
 def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by (cluster, x, y); each such key is one task's pair of blocks."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, records, ship, tune
+from .common import arrow_schema, records, resting, ship, tune
 
 ship(__name__)
 
@@ -66,6 +66,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], n], strict=True)]
 
 
+@resting
 def pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tokenizer = FastTokenizer(path)
     schema = arrow_schema(_PIECES + ", ids binary" * with_ids)

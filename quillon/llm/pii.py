@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, records, saved, ship, tune
+from .common import arrow_schema, discard, records, resting, saved, ship, tune
 
 ship(__name__)
 
@@ -125,6 +125,7 @@ def span_text(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in order)
 
 
+@resting
 def scan_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_SCAN)
     seen = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])

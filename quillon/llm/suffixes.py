@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, records, saved, ship, tune
+from .common import arrow_schema, records, resting, saved, ship, tune
 from .near_dedup import WordHashes, constants, mix, slabs
 
 ship(__name__)
@@ -81,6 +81,7 @@ def word_arrays(batch: pa.RecordBatch, column: int, hashes: WordHashes) -> Itera
         yield from zip(part, hashes.of(part), strict=True)
 
 
+@resting
 def suffix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, schema = WordHashes(), arrow_schema(_TEXTS)
     for b in batches:
@@ -107,6 +108,7 @@ def around_starts(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return starts, anchors[starts].view(np.int64), np.concatenate([before, after], axis=1)
 
 
+@resting
 def contexts(batches: Iterator[pa.RecordBatch], uri: str | None) -> Iterator[pa.RecordBatch]:
     """Contexts of the listed suffixes. Columns: text and, without block files, starts."""
     hashes, block = WordHashes(), common.Block(uri) if uri else None
@@ -167,6 +169,7 @@ def compare(ctx: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndar
     return tuple(np.concatenate([f[c] for f in found]) for c in range(5))
 
 
+@resting
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by (anchor, slice); whole groups are compared, many at a time."""
     held: list[pa.RecordBatch] = []

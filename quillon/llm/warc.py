@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, broadcast_if_small, records, saved, scratch, ship, tune
+from .common import arrow_schema, broadcast_if_small, records, resting, saved, scratch, ship, tune
 
 ship(__name__)
 
@@ -101,6 +101,7 @@ def page_records(row: dict, segment_bytes: int) -> Iterator[bytes]:
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", own_name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Number", i), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Total-Length", last)], part)
 
 
+@resting
 def write_partition(batches: Iterator[pa.RecordBatch], uri: str, segment_bytes: int, archive_bytes: int) -> Iterator[pa.RecordBatch]:
     """Archives of one partition. Names are private to the attempt; the manifest that Spark
     commits lists those of the attempt that counted."""
@@ -160,6 +161,7 @@ def settle(first: dict, block: bytes, complete: bool, keep_payload: bool) -> tup
     return first["page_id"], first["url"], first["record_type"], first["refers_to"], sha, n, intact, payload if keep_payload else None
 
 
+@resting
 def read_archives(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iterator[pa.RecordBatch]:
     """Whole records come out settled; segments as they are, with their origin and number."""
     schema = arrow_schema(_FOUND)
@@ -200,6 +202,7 @@ def reassemble(table: pa.Table, keep_payload: bool) -> pa.Table:
     return pa.Table.from_batches([records({f.name: [x] for f, x in zip(schema, found, strict=True)}, schema)])
 
 
+@resting
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data = [(x or "").encode() for x in b.column(1).to_pylist()]
