@@ -55,7 +55,6 @@ def stump_fold_tables(df: DataFrame, features: list[str], target: str, weight: C
     """Per fold: upper medians of the features over the other folds, and their one-split fits."""
     w = weight if weight is not None else F.lit(1.0)
     ks = sorted(r["fold"] for r in df.select("fold").distinct().collect())
-    rows = df.count()
     cells = []
     for f in ks:
         for c in features:
@@ -82,7 +81,6 @@ def stump_fold_tables(df: DataFrame, features: list[str], target: str, weight: C
             if best is None or sse < best[0]:
                 best = (sse, c, med[f"m{f}_{c}"], s["sl"] / s["nl"], s["sr"] / s["nr"])
         out.append((f, best))
-    del rows
     return out
 
 

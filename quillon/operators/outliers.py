@@ -98,7 +98,6 @@ def lof(df: DataFrame, column: str, key: str, k: int = 20, threshold: float = 1.
     if use < 1:
         return df.select(key, F.lit(None).cast("double").alias("lof"), F.lit(False).alias("outlier"))
     values = df.select(v.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    spark = df.sparkSession
     parts = max(1, values.count() // 100_000)
     ranks = values.withColumn("r", F.row_number().over(Window.orderBy("v")) - 1) if parts == 1 else _ranked(values, parts)
     block, reach = 100_000, 3 * use
@@ -109,7 +108,6 @@ def lof(df: DataFrame, column: str, key: str, k: int = 20, threshold: float = 1.
         return local_outlier_factors(pdf, use, block)
 
     scored = ranks.select("v", "n", "r", near).groupBy("block").applyInPandas(work, "v double, lof double")
-    del spark
     return df.select(F.col(key), v.alias("v")).join(scored, "v", "left").select(key, "lof", (F.coalesce("lof", F.lit(0.0)) > threshold).alias("outlier"))
 
 
