@@ -4,8 +4,9 @@ Only suffixes that start at minimiser positions are kept: a word position whose
 least of some window of w. Equal passages choose equal positions, and every passage of MIN_WORDS
 words holds one such position early enough for ANCHOR words to follow inside the passage. Suffixes
 whose first ANCHOR words are found in one text only drop out by counting. The others carry the
-words around them, are sorted, compared with their neighbours, and extended left and right; what
-neighbours share over MIN_WORDS words is a repeated passage.
+words around them. Two of them share MIN_WORDS words if for some l the l words before and the
+MIN_WORDS - ANCHOR - l words after are equal, so grouping by the hash of those words, for every l,
+finds all matches without comparing pairs.
 """
 
 from __future__ import annotations
@@ -35,9 +36,12 @@ PASS_ROWS = 20_000
 
 _U = np.uint64
 _TEXTS = "doc_id long, block int, rid long, tid long, n_words long, starts array<long>, anchors array<long>"
-_CONTEXT = "tid long, starts array<long>, anchor long, around binary"
+_CONTEXT = "tid long, least_id long, starts array<long>, anchor long, around binary"
 _FOUND = "ctx long, left long, right long, other long, second long"
 _GRAM_STEPS, _ANCHOR_STEPS = constants(GRAM, 11), constants(ANCHOR, 12)
+_BEFORE_STEPS, _AFTER_STEPS, _SPLIT_STEPS = constants(MIN_WORDS - ANCHOR, 13), constants(MIN_WORDS - ANCHOR, 14), constants(2, 15)
+#: Stands for a null id: after all others.
+NO_ID = (1 << 63) - 1
 
 
 def runs_hash(words: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -110,63 +114,95 @@ def around_starts(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
 
 @resting
 def contexts(batches: Iterator[pa.RecordBatch], uri: str | None) -> Iterator[pa.RecordBatch]:
-    """Contexts of the listed suffixes. Columns: text and, without block files, starts."""
+    """Contexts of the listed suffixes. Columns: text and, without block files, payload (the text's
+    least id, then starts) and the tid it is of."""
     hashes, block = WordHashes(), common.Block(uri) if uri else None
     for b in batches:
         texts = [(x or b"").lower() for x in b.column(0).cast(pa.large_binary()).to_pylist()]
-        lists = [block.take(common.raw_id(t)) for t in texts] if block else b.column(1).to_pylist()
+        if block:
+            lists = [block.take(common.raw_id(t)) for t in texts]
+        else:  # rows of one id may have other texts
+            lists = [x if text_id(b" ".join(t.split())) == tid else None for t, x, tid in zip(texts, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         chosen = [(t, x) for t, x in zip(texts, lists, strict=True) if x is not None]
         rows: dict[str, list] = {f.name: [] for f in arrow_schema(_CONTEXT)}
         done = 0
         for part in slabs([t for t, _ in chosen]):
             for words in hashes.of(part):
-                text, starts = chosen[done]
+                text, listed = chosen[done]
                 done += 1
-                starts, anchors, near = around_starts(words, np.array(starts, np.int64))
+                least_id = int(listed[0])
+                starts, anchors, near = around_starts(words, np.array(listed[1:], np.int64))
                 # places of one text with equal anchors and contexts share a row
                 same: dict[tuple[int, bytes], list[int]] = {}
                 for start, anchor, x in zip(starts.tolist(), anchors.tolist(), near, strict=True):
                     same.setdefault((anchor, x.tobytes()), []).append(start)
                 tid = text_id(b" ".join(text.split()))
                 for (anchor, x), places in same.items():
-                    for k, v in zip(rows, (tid, places, anchor, x), strict=True):
+                    for k, v in zip(rows, (tid, least_id, places, anchor, x), strict=True):
                         rows[k].append(v)
         yield records(rows, arrow_schema(_CONTEXT))
     if block:
         block.close()
 
 
-def shared_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that rows of a and b share from their first column on."""
-    return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
-
-
-def compare(ctx: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each context with its neighbours of other texts, in two orders: by what follows and by what
-    precedes. A context of several texts (first < last) matches itself in full."""
+def split_keys(anchors: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context and l = 0..side, a hash of the anchor, the l words before it and the side - l
+    words after it, and whether the text has so many words there."""
     side = around.shape[1] // 2
     before, after = around[:, :side], around[:, side:]
-    several = first != last
-    l, r = shared_run(before, before), shared_run(after, after)
-    whole = several & (l + r + ANCHOR >= MIN_WORDS)
-    found = [(ctx[whole], l[whole], r[whole], first[whole], last[whole])]
-    for one, two in ((after, before), (before, after)):
-        wide = np.concatenate([group[:, None].astype(">u4"), one.astype(">u4"), two.astype(">u4")], axis=1)
-        order = np.argsort(np.ascontiguousarray(wide).view(f"S{wide.shape[1] * 4}").ravel(), kind="stable")
-        t, g, many = first[order], group[order], several[order]
-        # a row of several texts differs from any other row
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | many[1:] | many[:-1]])
-        run = np.cumsum(new) - 1
-        heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(order))
-        for j in (heads[run] - 1, tails[run]):  # the nearest rows of another text on both sides
-            fine = (j >= 0) & (j < len(order)) & ~many
-            fine[fine] = g[j[fine]] == g[fine]
-            i, k = order[fine], order[j[fine]]
-            l, r = shared_run(before[i], before[k]), shared_run(after[i], after[k])
-            ok = l + r + ANCHOR >= MIN_WORDS
-            found.append((ctx[i][ok], l[ok], r[ok], first[k][ok], last[k][ok]))
-    return tuple(np.concatenate([f[c] for f in found]) for c in range(5))
+    n_before, n_after = (before != 0).sum(axis=1), (after != 0).sum(axis=1)
+    none = np.zeros((len(around), 1), _U)
+    left = np.concatenate([none, np.cumsum(before.astype(_U) * _BEFORE_STEPS, axis=1)], axis=1)
+    right = np.concatenate([none, np.cumsum(after.astype(_U) * _AFTER_STEPS, axis=1)], axis=1)[:, ::-1]
+    l = np.arange(side + 1)
+    keys = mix(left + right + anchors.view(_U)[:, None] * _SPLIT_STEPS[0] + l.astype(_U) * _SPLIT_STEPS[1])
+    return keys, (l <= n_before[:, None]) & (side - l <= n_after[:, None])
+
+
+def compare(ctx: np.ndarray, texts: np.ndarray, anchors: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts that share MIN_WORDS words with another text: ctx, the most words shared before and
+    after in such matches, and of all texts that match (their own among them) the two of least id.
+    ``texts``: least_id and tid of a context's first text and of its second (or the first again)."""
+    n, side = len(ctx), around.shape[1] // 2
+    pairs = np.concatenate([texts[:, :2], texts[:, 2:]])
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    rank = np.empty(2 * n, np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], (pairs[order[1:]] != pairs[order[:-1]]).any(axis=1)]))
+    tids = np.empty(2 * n, np.int64)
+    tids[rank] = pairs[:, 1]
+    one, two = rank[:n], rank[n:]
+    far = 2 * n
+    left, right = np.full(n, -1), np.full(n, -1)
+    least, second = np.full(n, far), np.full(n, far)
+    keys, fits = split_keys(anchors, around)
+    for l in range(side + 1):
+        order = np.flatnonzero(fits[:, l])
+        if not len(order):
+            continue
+        order = order[np.argsort(keys[order, l])]
+        k = keys[order, l]
+        heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(k))))
+        x, y = one[order], two[order]
+        a = np.minimum.reduceat(x, heads)
+        b = np.minimum.reduceat(np.where(x > a[run], x, np.where(y > a[run], y, far)), heads)
+        ok = (b < far)[run]
+        i, a, b = order[ok], a[run][ok], b[run][ok]
+        left[i] = l
+        right[i] = np.maximum(right[i], side - l)
+        u, v = least[i], second[i]
+        least[i] = np.minimum(u, a)
+        second[i] = np.minimum(np.where(u > least[i], u, v), np.where(a > least[i], a, b))
+    i = np.flatnonzero(left >= 0)
+    return ctx[i], left[i], right[i], tids[least[i]], tids[second[i]]
+
+
+def text_pairs(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.stack([t.column(c).to_numpy() for c in ("id1", "tid1", "id2", "tid2")], axis=1)
+
+
+def around_words(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint32).reshape(len(t), -1)
 
 
 @resting
@@ -176,9 +212,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def done(t: pa.Table) -> pa.RecordBatch:
         keys = np.stack([t.column("anchor").to_numpy(), t.column("slice").to_numpy().astype(np.int64)], axis=1)
-        group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))]).astype(np.uint32)
-        around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint32).reshape(len(t), -1)
-        out = compare(*(t.column(c).to_numpy() for c in ("ctx", "first", "last")), group, around)
+        group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))]).astype(np.int64)
+        out = compare(t.column("ctx").to_numpy(), text_pairs(t), group, around_words(t))
         return records(dict(zip(("ctx", "left", "right", "other", "second"), out, strict=True)), arrow_schema(_FOUND))
 
     rows = 0
@@ -198,6 +233,15 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done(pa.Table.from_batches(held).combine_chunks())
 
 
+def one_a_context(places: DataFrame) -> DataFrame:
+    """(ctx, anchor, around, id1, tid1, id2, tid2): each context with its two texts of least id."""
+    first_two = F.dense_rank().over(Window.partitionBy("ctx").orderBy("least_id", "tid"))
+    two = places.select("ctx", "anchor", "around", "least_id", "tid").withColumn("k", first_two).where("k <= 2")
+    text = F.struct("least_id", "tid")
+    each = two.groupBy("ctx").agg(F.first("anchor").alias("anchor"), F.first("around").alias("around"), F.min(text).alias("one"), F.max(text).alias("two"))
+    return each.select("ctx", "anchor", "around", *[F.col(f"{c}.{f}").alias(f"{x}{i}") for i, c in ((1, "one"), (2, "two")) for f, x in (("least_id", "id"), ("tid", "tid"))])
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a repeated passage of a document: doc_id, start_word, end_word, n_words, other_id.
 
@@ -215,19 +259,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = saved(rows.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("doc_id").alias("last_id"), F.first("n_words").alias("n_words"), F.first("starts").alias("starts"), F.first("anchors").alias("anchors"), first.alias("at")), "texts")
     each = texts.select("tid", F.explode(F.arrays_zip("starts", "anchors")).alias("s")).select("tid", F.col("s.starts").alias("start"), F.col("s.anchors").alias("anchor"))
     shared = saved(each.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("n")).where("a != b").select("anchor", "n"), "anchors")
-    kept = each.join(shared.select("anchor"), "anchor").groupBy("tid").agg(F.collect_list("start").alias("payload"))
-    wanted = saved(kept.join(texts.select("tid", "at", "first_id"), "tid").select("at.block", "at.rid", "first_id", "payload"), "wanted")
+    kept = each.join(shared.select("anchor"), "anchor").groupBy("tid").agg(F.collect_list("start").alias("starts"))
+    payload = F.concat(F.array(F.coalesce("first_id", F.lit(NO_ID))), "starts").alias("payload")
+    wanted = saved(kept.join(texts.select("tid", "at", "first_id"), "tid").select("tid", "at.block", "at.rid", "first_id", payload), "wanted")
     uri = common.write_blocks(rows.select("block", "rid"), wanted, "positions")
 
     def ranges_of(around: DataFrame) -> DataFrame:
         """(tid, start, end, other): contexts are compared once each, whatever their number of texts;
         what is found goes back to all places that have the context."""
         places = saved(around.withColumn("ctx", F.xxhash64("anchor", "around")), "contexts")
-        each = places.groupBy("ctx").agg(F.first("anchor").alias("anchor"), F.first("around").alias("around"), F.min("tid").alias("first"), F.max("tid").alias("last"))
+        each = one_a_context(places)
         parts = F.ceil(F.col("n") / GROUP_ROWS)
-        dealt = each.join(shared, "anchor").select("ctx", "first", "last", "anchor", "around", F.pmod("ctx", parts).cast("int").alias("slice"))
+        dealt = each.join(shared, "anchor").select("ctx", "id1", "tid1", "id2", "tid2", "anchor", "around", F.pmod("ctx", parts).cast("int").alias("slice"))
         found = dealt.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(sorted_groups, _FOUND)
-        longest = saved(found.groupBy("ctx", "left", "right").agg(F.min("other").alias("other"), F.max("second").alias("second")), "found")
+        longest = saved(found, "found")
         back = places.select("tid", "ctx", F.explode("starts").alias("at")).join(longest, "ctx")
         other = F.when(F.col("other") == F.col("tid"), F.col("second")).otherwise(F.col("other"))
         spans = back.select("tid", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + ANCHOR + F.col("right")).alias("end"), other.alias("other"))
@@ -239,8 +284,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if not common.blocks_changed(error):
             raise
         # An input that is not split alike twice: the texts go to the lists instead.
-        listed = wanted.select(F.col("first_id").alias("__id"), F.col("payload").alias("starts"))
-        near = own.join(listed, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "starts")
+        listed = wanted.select(F.col("first_id").alias("__id"), "payload", "tid")
+        near = own.join(listed, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "payload", "tid")
         found = ranges_of(near.mapInArrow(lambda it: contexts(it, None), _CONTEXT))
     names = texts.select(F.col("tid").alias("other"), F.col("first_id").alias("other_id"))
     ranges = found.join(names, "other").select("tid", "start", "end", "other_id")

@@ -237,3 +237,64 @@ def test_passages(spark, monkeypatch, changed):
 def test_passages_empty(spark):
     assert suffixes.repeated_passages(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
     assert suffixes.repeated_passages(docs(spark, EDGE)).where("doc_id = 9").count() == 0
+
+
+def brute_others(rows, least=50):
+    """The least other id of each document's passages, where it has just one."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    runs = [{tuple(w[i : i + least]) for i in range(len(w) - least + 1)} for w in words]
+    return {d: min(rows[j][0] for j in range(len(rows)) if words[j] != words[i] and runs[i] & runs[j]) for i, (d, _) in enumerate(rows) if any(words[j] != words[i] and runs[i] & runs[j] for j in range(len(rows)))}
+
+
+def balanced_rows():
+    """Texts 1 and 2 share 12 words before an anchor and 13 after it; around each are texts that share
+    more on one side and too little on the other, so neither is the other's neighbour in sorted order."""
+    rng = random.Random(8)
+    g = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    middle, before, after = g(25), g(12), g(13)
+    rows = []
+    for d in (1, 2):
+        left, right = g(30) + before, after + g(30)
+        rows.append((d, left + middle + right))
+        for j in range(8):
+            rows.append((100 * d + j, g(30) + left[-2:] + middle + right[: 14 + j % 6] + g(30)))
+            rows.append((100 * d + 50 + j, g(30) + left[-14 - j % 6 :] + middle + right[:2] + g(30)))
+    return [(d, " ".join(w)) for d, w in rows], " ".join(middle)
+
+
+def found_words(out):
+    got = collections.defaultdict(set)
+    for r in out:
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    return dict(got)
+
+
+def test_passages_that_are_nobodys_longest(spark, monkeypatch):
+    rows, middle = balanced_rows()
+    gram = suffixes.runs_hash(suffixes.WordHashes().of([middle.encode()])[0], suffixes._GRAM_STEPS)[0]
+    monkeypatch.setattr(suffixes, "minimisers", lambda grams: np.flatnonzero(grams == gram))
+    out = suffixes.repeated_passages(docs(spark, rows)).collect()
+    assert found_words(out) == brute_passages(rows)
+    assert {r["doc_id"]: r["other_id"] for r in out} == brute_others(rows)
+
+
+def test_compare_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    side = suffixes.MIN_WORDS - suffixes.ANCHOR
+    for _ in range(20):
+        base = rng.integers(1, 1000, (3, 2 * side)).astype(np.uint32)
+        around = base[rng.integers(0, 3, 60)]
+        for row in around:
+            row[rng.integers(0, side) : side] = rng.integers(1, 10**9)
+            row[side + rng.integers(0, side + 1) :] = rng.choice([0, 5, 7])
+        text = rng.integers(0, 25, (60, 1))
+        out = suffixes.compare(np.arange(60), np.concatenate([text * 2, text, text * 2, text], axis=1), np.zeros(60, np.int64), around)
+        run = lambda a, b: int(np.logical_and.accumulate((a == b) & (a != 0)).sum())
+        want = []
+        for i in range(60):
+            hits = [(run(around[i, :side], around[j, :side]), run(around[i, side:], around[j, side:]), int(text[j, 0])) for j in range(60) if text[j] != text[i]]
+            hits = [h for h in hits if h[0] + h[1] >= side]
+            if hits:
+                near = sorted({h[2] for h in hits} | {int(text[i, 0])})
+                want.append((i, max(h[0] for h in hits), max(h[1] for h in hits), near[0], near[1]))
+        assert list(zip(*(x.tolist() for x in out))) == want
