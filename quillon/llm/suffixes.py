@@ -29,7 +29,7 @@ MIN_WORDS = 50
 ANCHOR = 25
 GRAM = 8
 WINDOW = MIN_WORDS - ANCHOR + 1
-#: Different contexts of one anchor that are sorted together; more are dealt at random.
+#: Different contexts of one anchor that are compared in one task; of more, the keys are grouped by Spark.
 GROUP_ROWS = 50_000
 #: Suffixes sorted in one numpy pass.
 PASS_ROWS = 20_000
@@ -38,6 +38,7 @@ _U = np.uint64
 _TEXTS = "doc_id long, block int, rid long, tid long, n_words long, starts array<long>, anchors array<long>"
 _CONTEXT = "tid long, least_id long, starts array<long>, anchor long, around binary"
 _FOUND = "ctx long, left long, right long, other long, second long"
+_KEYS = "ctx long, l int, key long, id1 long, tid1 long, id2 long, tid2 long"
 _GRAM_STEPS, _ANCHOR_STEPS = constants(GRAM, 11), constants(ANCHOR, 12)
 _BEFORE_STEPS, _AFTER_STEPS, _SPLIT_STEPS = constants(MIN_WORDS - ANCHOR, 13), constants(MIN_WORDS - ANCHOR, 14), constants(2, 15)
 #: Stands for a null id: after all others.
@@ -207,13 +208,11 @@ def around_words(t: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 @resting
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (anchor, slice); whole groups are compared, many at a time."""
+    """Rows arrive sorted by anchor; whole groups are compared, many at a time."""
     held: list[pa.RecordBatch] = []
 
     def done(t: pa.Table) -> pa.RecordBatch:
-        keys = np.stack([t.column("anchor").to_numpy(), t.column("slice").to_numpy().astype(np.int64)], axis=1)
-        group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))]).astype(np.int64)
-        out = compare(t.column("ctx").to_numpy(), text_pairs(t), group, around_words(t))
+        out = compare(t.column("ctx").to_numpy(), text_pairs(t), t.column("anchor").to_numpy(), around_words(t))
         return records(dict(zip(("ctx", "left", "right", "other", "second"), out, strict=True)), arrow_schema(_FOUND))
 
     rows = 0
@@ -223,8 +222,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if rows < PASS_ROWS:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
-        a, s = t.column("anchor").to_numpy(), t.column("slice").to_numpy()
-        odd = np.flatnonzero((a != a[-1]) | (s != s[-1]))
+        a = t.column("anchor").to_numpy()
+        odd = np.flatnonzero(a != a[-1])
         if len(odd):
             cut = int(odd[-1]) + 1
             yield done(t.slice(0, cut))
@@ -233,6 +232,44 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done(pa.Table.from_batches(held).combine_chunks())
 
 
+@resting
+def listed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a context and l: what compare groups, for groups that do not fit one task."""
+    for b in batches:
+        if not len(b):
+            continue
+        keys, fits = split_keys(b.column("anchor").to_numpy(), around_words(b))
+        i, l = np.nonzero(fits)
+        columns = dict(zip(("id1", "tid1", "id2", "tid2"), text_pairs(b)[i].T, strict=True))
+        yield records({"ctx": b.column("ctx").to_numpy()[i], "l": l.astype(np.int32), "key": keys[i, l].view(np.int64), **columns}, arrow_schema(_KEYS))
+
+
+def hot_anchors(places: DataFrame, shared: DataFrame) -> DataFrame | None:
+    """Anchors with more than GROUP_ROWS different contexts, if any. They have as many places, so
+    others need not be counted."""
+    many = shared.where(F.col("n") > GROUP_ROWS).select("anchor")
+    if many.isEmpty():
+        return None
+    contexts_of = places.join(common.broadcast_if_small(many), "anchor").select("anchor", "ctx").distinct()
+    hot = saved(contexts_of.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("anchor"), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def found_by_keys(each: DataFrame) -> DataFrame:
+    """What compare finds, with the keys grouped by Spark: no task holds a whole group."""
+    keys = each.mapInArrow(listed_keys, _KEYS)
+    pair = lambda i: F.struct(F.col(f"id{i}").alias("id"), F.col(f"tid{i}").alias("tid"))
+    texts = keys.select("l", "key", F.explode(F.array_distinct(F.array(pair(1), pair(2)))).alias("text")).distinct()
+    two = texts.withColumn("k", F.row_number().over(Window.partitionBy("l", "key").orderBy("text"))).where("k <= 2")
+    met = two.groupBy("l", "key").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b")
+    hits = keys.select("ctx", "l", "key").join(met, ["l", "key"])
+    # at most 26 rows a context
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))), 1, 2)
+    side = MIN_WORDS - ANCHOR
+    best = hits.groupBy("ctx").agg(F.max("l").cast("long").alias("left"), (side - F.min("l")).cast("long").alias("right"), least.alias("least"))
+    return best.select("ctx", "left", "right", F.col("least")[0]["tid"].alias("other"), F.col("least")[1]["tid"].alias("second"))
+
+
 def one_a_context(places: DataFrame) -> DataFrame:
     """(ctx, anchor, around, id1, tid1, id2, tid2): each context with its two texts of least id."""
     first_two = F.dense_rank().over(Window.partitionBy("ctx").orderBy("least_id", "tid"))
@@ -268,10 +305,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         """(tid, start, end, other): contexts are compared once each, whatever their number of texts;
         what is found goes back to all places that have the context."""
         places = saved(around.withColumn("ctx", F.xxhash64("anchor", "around")), "contexts")
-        each = one_a_context(places)
-        parts = F.ceil(F.col("n") / GROUP_ROWS)
-        dealt = each.join(shared, "anchor").select("ctx", "id1", "tid1", "id2", "tid2", "anchor", "around", F.pmod("ctx", parts).cast("int").alias("slice"))
-        found = dealt.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(sorted_groups, _FOUND)
+        hot = hot_anchors(places, shared)
+        cold = places if hot is None else places.join(common.broadcast_if_small(hot), "anchor", "left_anti")
+        found = one_a_context(cold).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sorted_groups, _FOUND)
+        if hot is not None:
+            each = saved(one_a_context(places.join(common.broadcast_if_small(hot), "anchor")), "hot_contexts")
+            found = found.unionByName(found_by_keys(each))
         longest = saved(found, "found")
         back = places.select("tid", "ctx", F.explode("starts").alias("at")).join(longest, "ctx")
         other = F.when(F.col("other") == F.col("tid"), F.col("second")).otherwise(F.col("other"))

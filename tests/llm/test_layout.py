@@ -278,6 +278,22 @@ def test_passages_that_are_nobodys_longest(spark, monkeypatch):
     assert {r["doc_id"]: r["other_id"] for r in out} == brute_others(rows)
 
 
+def test_passages_of_hot_anchors(spark, monkeypatch):
+    """A line of 30 words in every text; few pairs share 50 words around it."""
+    monkeypatch.setattr(suffixes, "GROUP_ROWS", 3)
+    rng = random.Random(9)
+    g = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    line = g(30)
+    rows = [(i, " ".join(g(40) + line + g(40))) for i in range(60)]
+    for i in range(60, 90, 2):
+        left, right = g(i % 21), g(20 - i % 21)
+        rows += [(j, " ".join(g(35) + left + line + right + g(35))) for j in (i, i + 1)]
+    rows += [(200 + d, t) for d, t in passage_rows()[:30]]
+    out = suffixes.repeated_passages(docs(spark, rows)).collect()
+    assert found_words(out) == brute_passages(rows)
+    assert {d: x for d, x in brute_others(rows).items() if d < 200} == {r["doc_id"]: r["other_id"] for r in out if r["doc_id"] < 200}
+
+
 def test_compare_equals_all_pairs():
     rng = np.random.default_rng(3)
     side = suffixes.MIN_WORDS - suffixes.ANCHOR
