@@ -1,7 +1,7 @@
 """License detection by ordered signature rules, in DataFrame expressions only.
 
-Texts become lower-cased words. A text is looked at further only if it holds a gate word; then its
-distinct words meet the rules' keywords in a join with the fixed rule table, and each rule's
+Texts become lower-cased words. A text is looked at further only if a rule's keyword is among them;
+then its distinct words meet the rules' keywords in a join with the fixed rule table, and each rule's
 regex runs only on texts that hold its keyword. Detections carry word intervals and priorities: one
 that lies inside another of the same or a higher priority is suppressed, by running maxima over a
 text's detections in order of place, so it takes n log n in their number.
@@ -95,8 +95,8 @@ FORMS: list[tuple[str, int, str]] = [
     ("name", 1, "{name}"),
 ]
 
-#: Texts without any of these are not scanned further.
-GATE = r"(?i)licen[cs]|spdx|\bcc[- ]?by\b|cc0|creative commons|gpl|\bbsd\b|wtfpl"
+#: Words that regexes take for a keyword and what is glued to it.
+GLUED = {"apache": ("apache1", "apache2"), "gpl": ("gpl2", "gpl3", "gplv2", "gplv3", "gplversion", "gplersion")}
 
 #: Confidence of a label by the priority of its best detection.
 CONFIDENCE = {4: 1.0, 3: 0.9, 2: 0.8, 1: 0.6}
@@ -124,6 +124,15 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rules, "rule int, label string, keyword string, priority int, regex string, base boolean")
 
 
+def keyword_array() -> Column:
+    """Keywords and the words that stand for one."""
+    return F.array(*[F.lit(k) for k in sorted({r[2] for r in rule_list()} | {w for glued in GLUED.values() for w in glued})])
+
+
+def keyword_of(word: Column) -> Column:
+    return F.coalesce(*[F.when(word.isin(*glued), F.lit(k)) for k, glued in GLUED.items()], word)
+
+
 def words_in(s: Column) -> Column:
     """Spaces in a string."""
     return (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
@@ -131,10 +140,10 @@ def words_in(s: Column) -> Column:
 
 def detections(texts: DataFrame) -> DataFrame:
     """(uid, rule, label, priority, base, start, end) of every match, words from 0, end exclusive.
-    ``texts``: uid, words (null where the gate is closed)."""
+    ``texts``: uid, words (null where no keyword is among them)."""
     rules = rules_table(texts.sparkSession)
-    keywords = F.array(*[F.lit(k) for k in sorted({r[2] for r in rule_list()})])
-    held = texts.where("words is not null").select("uid", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"), F.explode(F.array_intersect("words", keywords)).alias("keyword"))
+    keywords = keyword_array()
+    held = texts.where("words is not null").select("uid", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"), F.explode(F.array_distinct(F.transform(F.array_intersect("words", keywords), keyword_of))).alias("keyword"))
     run = held.join(F.broadcast(rules), "keyword").select("uid", "rule", "label", "priority", "base", "line", "regex", F.regexp_extract_all("line", F.col("regex"), F.lit(0)).alias("hits")).where(F.size("hits") > 0)
     parts = run.select("uid", "rule", "label", "priority", "base", "hits", F.split("line", F.col("regex"), -1).alias("gaps"))
     each = parts.select("uid", "rule", "label", "priority", "base", "gaps", F.posexplode("hits").alias("k", "hit"))
@@ -166,9 +175,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     tune(docs.sparkSession)
     text = text_or_empty(f"`{text_col}`")
     words = F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _WORD_GAP), "")
-    # Upper-case letters are word characters here, so every text is counted without lower-casing it.
-    count = F.size(F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), count.alias("n_words"), F.when(text.rlike(GATE), words).alias("words")), "words")
+    split = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), words.alias("words"))
+    rows = saved(split.select("uid", "doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", keyword_array()), F.col("words")).alias("words")), "words")
     found = saved(detections(rows.select("uid", "words")), "detections")
     base = found.where("base").groupBy("uid").agg(F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set("label").alias("base_set"))
     best = unsuppressed(found.where("not base")).groupBy("uid").agg(

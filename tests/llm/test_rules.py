@@ -84,6 +84,37 @@ def test_licenses(spark):
     assert 300 <= len(licenses.rule_list()) <= 600
 
 
+def example(parsed):
+    """A shortest text that a regex matches."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            out += "1" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1])
+        elif op == "SUBPATTERN":
+            out += example(arg[-1])
+        elif op == "BRANCH":
+            out += example(arg[1][0])
+        elif op == "MAX_REPEAT":
+            out += example(arg[2]) * arg[0]
+        else:
+            assert op in ("ASSERT",), op
+    return out
+
+
+def test_every_rule_is_tried(spark):
+    """Each rule's own example, with other separators and cases, gives labels."""
+    texts = [example(re._parser.parse(r[4])) for r in licenses.rule_list()]
+    texts += ["Released under the MIT", "distributed under Apache 2.0", "Available under the EUPL 1.2", "Released under CDDL 1.0", "released under the zlib", "available under Creative\nCommons Attribution 4.0", "CC_BY_SA 4.0", "GPLv2", "released under Apache2"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, t.upper().replace(" ", "_\n")) for i, t in enumerate(texts)]
+    out = licenses.scan(docs(spark, rows)).collect()
+    assert [r["doc_id"] for r in out if not r["labels"] or r["score"] == 0] == []
+    both = licenses.detections(spark.createDataFrame([(1, ["gpl", "v2", "gplv2"])], "uid long, words array<string>"))
+    assert both.where("label = 'gpl-2.0'").count() == both.where("label = 'gpl-2.0'").distinct().count() == 2
+
+
 def test_suppression(spark):
     rng = random.Random(3)
     rows = []
