@@ -10,6 +10,7 @@ that no base rule knows. Only counts per pattern and per instance move between t
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -39,9 +40,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: What may be an identifier: at least six characters, four of them digits, in one token; or a
-#: local part and a host that are spelled out.
-_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/+-]{4,38}[A-Za-z0-9]")
+#: What may be an identifier: groups of digits, 7 to 19 in all, with spaces, dots, hyphens or
+#: parentheses between them; at least six characters, four of them digits, in one token; or a local
+#: part and a host that are spelled out.
+_GROUPED = re.compile(r"(?<![A-Za-z0-9])(?:\+|\(\+?)?[0-9]++(?:[\x20().-]{1,3}[0-9]++)+(?![A-Za-z])")
+_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/+-]{4,}[A-Za-z0-9]")
 _SPELLED = re.compile(r"[A-Za-z0-9._-]{1,40}(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,40}(?:(?: ?[\[(] ?dot ?[\])] ?| dot )[A-Za-z0-9-]{1,20}){1,3}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -110,14 +113,16 @@ def around(t: str, a: int, b: int) -> list[str]:
 def looks_personal(t: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Identifier-like stretches that no base entity touches."""
     edges = sorted(taken)
-    for pattern, plain in ((_TOKEN, True), (_SPELLED, False)):
-        if not plain and " at " not in t and "at]" not in t and "at)" not in t and "at ]" not in t:
-            continue
-        for m in pattern.finditer(t):
-            if plain and len(digits_of(m[0])) < 4:
-                continue
-            if all(m.end() <= a or m.start() >= b for a, b in edges):
-                yield m.span()
+    free = lambda m: all(m.end() <= a or m.start() >= b for a, b in edges)
+    grouped = [m.span() for m in _GROUPED.finditer(t) if 7 <= len(digits_of(m[0])) <= 19 and free(m)]
+    yield from grouped
+    starts = [a for a, _ in grouped]
+    for m in _TOKEN.finditer(t):
+        i = bisect.bisect_right(starts, m.start()) - 1
+        if len(digits_of(m[0])) >= 4 and free(m) and not (i >= 0 and m.end() <= grouped[i][1]):
+            yield m.span()
+    if " at " in t or re.search(r"at ?[\])]", t):
+        yield from (m.span() for m in _SPELLED.finditer(t) if free(m))
 
 
 def span_text(spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -138,7 +143,7 @@ def scan_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             taken = [s for k in KINDS for s in spans[k]]
             base = span_text(spans)
             found = [(a, e, k) for k in KINDS for a, e in spans[k]]
-            if re.search("[0-9]{2}| at |at[])]", t):
+            if re.search("[0-9]| at |at ?[])]", t):
                 found += [(a, e, None) for a, e in looks_personal(t, taken)]
             near = [{"start": a, "end": e, "kind": k, "instance": hashlib.md5(t[a:e].lower().encode()).hexdigest(), "patterns": around(t, a, e)} for a, e, k in found]
             for name, value in zip(rows, (uid, doc, *(len(spans[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, near), strict=True):

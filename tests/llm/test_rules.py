@@ -167,6 +167,19 @@ def test_bootstrap_finds_new_identifiers(spark):
     assert len(pii.find(docs(spark, rows)).collect()) == len(rows)
 
 
+def test_identifiers_as_usually_written(spark):
+    for t, want in (
+        ("call 017 555 7713", ["017 555 7713"]), ("card 4736 9625 7309 9582", ["4736 9625 7309 9582"]), ("at (017) 555-7713 now", ["(017) 555-7713"]), ("id x1y2z3w4", ["x1y2z3w4"]),
+        ("key " + "a1b2" * 20, ["a1b2" * 20]), ("in 1999 of 12 3 4", []), ("tel 017.555.7713, 018 555 7714", ["017.555.7713", "018 555 7714"]),
+    ):
+        assert [t[a:b] for a, b in pii.looks_personal(t, [])] == want, t
+    rows = [(i, f"some words\nplease call my number: +1 (555) 010-{i:04d} today") for i in range(12)]
+    new = [(100, "017 555 7713"), (101, "(017) 555-7713"), (102, "x1y2z3w4"), (103, "a1b2" * 20), (104, "017.555.7713")]
+    rows += [(i, f"words\nplease call my number: {x} today") for i, x in new]
+    out = {r["doc_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    assert {i: out[i]["spans"] for i, _ in new} == {i: f"phone:29:{29 + len(x)}" for i, x in new}
+
+
 def test_common_numbers_are_no_patterns(spark):
     """A pattern that mostly precedes unlabelled tokens is not trusted."""
     rows = [(i, f"order ref number: {1000000 + i * 7} done") for i in range(80)] + [(500 + i, f"order ref number: +1 555 010 {i:04d} done") for i in range(4)]
