@@ -106,10 +106,11 @@ def fold_stability(df: DataFrame, x: str, y: str, row_id: str, folds: int = 5) -
     return per.agg(F.count("*").alias("folds"), F.avg("r").alias("mean_abs_r"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cv)).alias("stability"))
 
 
-def structural(df: DataFrame, columns: list[str], rows: int = 512, order: str | None = None, hit: float = 0.985) -> DataFrame:
-    """Triples with a + b = c or a * b = c on nearly all of the first rows, from one aggregate."""
+def structural(df: DataFrame, columns: list[str], hit: float = 0.985) -> DataFrame:
+    """Triples of the first 18 columns with a + b = c or a * b = c on nearly all rows, from one
+    aggregate over the whole table."""
     cols = columns[:18]
-    head = (df.orderBy(order) if order else df).select(*[finite(c).alias(c) for c in cols]).limit(rows)
+    every = df.select(*[finite(c).alias(c) for c in cols])
     tests = [(op, a, b, c) for i, a in enumerate(cols) for b in cols[i + 1 :] for c in cols if c not in (a, b) for op in ("sum", "product")]
     if not tests:
         return df.sparkSession.createDataFrame([], "kind string, a string, b string, c string, hit_rate double")
@@ -119,7 +120,7 @@ def structural(df: DataFrame, columns: list[str], rows: int = 512, order: str |
         tol = (1e-5 if op == "sum" else 1e-4) * F.greatest(F.lit(1.0), F.abs(F.col(c)))
         return F.avg(F.when(F.abs(v - F.col(c)) <= tol, 1.0).otherwise(0.0))
 
-    row = head.agg(*[good(*t).alias(f"t{i}") for i, t in enumerate(tests)]).first()
+    row = every.agg(*[good(*t).alias(f"t{i}") for i, t in enumerate(tests)]).first()
     found = [(*t, row[i]) for i, t in enumerate(tests) if row[i] is not None and row[i] >= hit]
     return df.sparkSession.createDataFrame(found, "kind string, a string, b string, c string, hit_rate double")
 

@@ -86,7 +86,7 @@ def fold_stability(spark, sf_dir):
 @query("structural_relations", "SELECT 'sum' AS kind, 'l_discount' AS a, 'l_tax' AS b, 'both' AS c, 1.0::DOUBLE AS hit_rate UNION ALL SELECT 'product', 'l_quantity', 'unit', 'l_extendedprice', 1.0::DOUBLE")
 def structural_relations(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_discount") + F.col("l_tax")).alias("both"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
-    return relate.structural(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "both", "unit"], order="l_orderkey")
+    return relate.structural(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "both", "unit"])
 
 
 @query("pair_scores")

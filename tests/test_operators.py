@@ -142,6 +142,13 @@ def test_selection_kernels(linear):
     assert algebra.drift(0.5, -0.4) == "sign reversal" and algebra.drift(0.5, 0.1) == "magnitude collapse"
 
 
+def test_structural_reads_all_rows(spark):
+    d = spark.range(2000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b")).withColumn("c", F.col("a") + F.col("b") + F.when(F.col("a") >= 600, 50.0).otherwise(0.0))
+    assert relate.structural(d.coalesce(1), ["a", "b", "c"]).count() == 0
+    rate = relate.structural(d.coalesce(1), ["a", "b", "c"], hit=0.2).where("kind = 'sum' and c = 'c'").first()["hit_rate"]
+    assert rate == 0.3
+
+
 def test_structure_and_pairs(linear):
     found = {(r["kind"], r["a"], r["b"], r["c"]) for r in relate.structural(linear, ["a", "b", "s"]).collect()}
     assert ("sum", "a", "b", "s") in found
