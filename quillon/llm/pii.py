@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
 One scan finds the base entities of four kinds and, beside them, every token that looks like an
-identifier, with the words around it. Base entities are the seeds. A lexical pattern is a kind and
-the two words before an identifier (or one before and one after). Patterns and instances form a
-bipartite graph, which Spark scores in turns: a pattern is as good as the instances it finds, an
-instance as sure as the patterns that find it. Patterns above a confidence then name identifiers
-that no base rule knows. Only counts per pattern and per instance move between turns.
+identifier, with the words around it. Seeds are base entities, and tokens in the formats of secrets.
+A lexical pattern is the words around an identifier: the two before it, one before, or one on each
+side. Patterns and instances form a bipartite graph, which Spark scores in turns: a pattern is as
+good as the share of its instances that carry a label, an instance as sure as the patterns that find
+it; sure ones take the label and are seeds of the next turn, in all their other contexts. Patterns that
+are confident at the end name identifiers that no base rule knows. Only counts per pattern and labels
+per instance move between turns.
 """
 
 from __future__ import annotations
@@ -24,32 +26,48 @@ from .common import arrow_schema, discard, records, resting, saved, ship, tune
 ship(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
-#: Turns of scoring.
-TURNS = 3
-#: A pattern is used if it has this confidence and this many distinct instances that are seeds.
+#: Kinds that spans may have: those of base entities, and one that only patterns add.
+SPAN_KINDS = (*KINDS, "secret")
+#: Turns at most; they end when no instance takes a label.
+TURNS = 5
+#: A pattern is used if this share of its distinct instances has its label, and this many do.
 MIN_CONFIDENCE = 0.8
 MIN_SEEDS = 3
-#: Unlabelled instances weigh this much against a pattern before they are scored.
-PRIOR = 0.0
+#: Patterns from this share on count towards an instance; together they label it from this belief on
+#: (one chance in so many that all are wrong, were they independent).
+LEAST_SHARE = 0.5
+MIN_BELIEF = 0.9
 
 # The base patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Leftmost matches start where a run of digits does, so the pattern need not be tried inside runs.
-_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only start where a run of digits does; runs without the rest are taken whole.
+_IP = re.compile(r"[0-9]++(?:(\.[0-9]+)(\.[0-9]+)(\.[0-9]+))?")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: What may be an identifier: groups of digits, 7 to 19 in all, with spaces, dots, hyphens or
 #: parentheses between them; at least six characters, four of them digits, in one token; or a local
 #: part and a host that are spelled out.
-_GROUPED = re.compile(r"(?<![A-Za-z0-9])(?:\+|\(\+?)?[0-9]++(?:[\x20().-]{1,3}[0-9]++)+(?![A-Za-z])")
-_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/+-]{4,}[A-Za-z0-9]")
+_DIGITS = re.compile("[0-9]+")
+_GROUPED = re.compile(r"[0-9]++(?:[\x20().-]{1,3}[0-9]++)+(?![A-Za-z])")
+_TOKEN = re.compile("[A-Za-z0-9._/+-]+")
+_TOKEN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._/+-")
+_ALPHANUMERIC = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _SPELLED = re.compile(r"[A-Za-z0-9._-]{1,40}(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,40}(?:(?: ?[\[(] ?dot ?[\])] ?| dot )[A-Za-z0-9-]{1,20}){1,3}")
+_SPELLED_DOT = re.compile(r"dot ?[\]) ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
+#: Formats of secrets: digests in hexadecimal, and keys with the prefixes that large services publish.
+_SECRET = re.compile(
+    r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|A(?:KI|SI)A[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}"
+    r"|AIza[0-9A-Za-z_-]{35}|[prs]k_live_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)"
+)
+#: Words before a digest that is public: it is no seed there.
+_PUBLIC = frozenset("blob build checksum commit digest etag fingerprint hash md integrity revision sha sum tree uuid version".split())
+
 _SCAN = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base_spans string"
-_SEEN = "uid long, start int, end int, kind string, instance string, patterns array<string>"
+_SEEN = "array<struct<start:int,end:int,kind:string,base:boolean,instance:string,patterns:array<string>>>"
 
 
 def emails(t: str) -> Iterator[tuple[int, int]]:
@@ -81,9 +99,9 @@ def digits_of(s: str) -> str:
 def base_entities(t: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     out["email"] = list(emails(t))
-    if re.search("[0-9]", t):
+    if _DIGITS.search(t):
         if "." in t:
-            out["ip"] = [m.span() for m in _IP.finditer(t) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
+            out["ip"] = [m.span() for m in _IP.finditer(t) if m[1] and all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
         for m in _CARD.finditer(t):
             d = digits_of(m[0])
             if 14 <= len(d) <= 19 and luhn(d):
@@ -110,19 +128,67 @@ def around(t: str, a: int, b: int) -> list[str]:
     return found
 
 
+def grouped(t: str) -> Iterator[tuple[int, int]]:
+    """Groups of digits that no letter or digit touches, with a leading + or parenthesis."""
+    done = 0
+    for run in _DIGITS.finditer(t):
+        a = run.start()
+        if a < done:
+            continue
+        leads = [a - len(x) for x in ("(+", "+", "(", "") if t.endswith(x, done, a)]
+        start = next((x for x in leads if not x or t[x - 1] not in _ALPHANUMERIC), None)
+        m = _GROUPED.match(t, a) if start is not None else None
+        if m:
+            done = m.end()
+            if 7 <= len(digits_of(m[0])) <= 19:
+                yield start, done
+
+
+def tokens(t: str) -> Iterator[tuple[int, int]]:
+    """Tokens of six characters or more, at least four of them digits."""
+    done = 0
+    for run in _DIGITS.finditer(t):
+        a = run.start()
+        if a < done:
+            continue
+        while a > done and t[a - 1] in _TOKEN_CHARACTERS:
+            a -= 1
+        done = _TOKEN.match(t, a).end()
+        token = t[a:done].rstrip("._/+-")
+        start = done - len(t[a:done].lstrip("._/+-"))
+        if a + len(token) - start >= 6 and len(digits_of(token)) >= 4:
+            yield start, a + len(token)
+
+
 def looks_personal(t: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Identifier-like stretches that no base entity touches."""
     edges = sorted(taken)
-    free = lambda m: all(m.end() <= a or m.start() >= b for a, b in edges)
-    grouped = [m.span() for m in _GROUPED.finditer(t) if 7 <= len(digits_of(m[0])) <= 19 and free(m)]
-    yield from grouped
-    starts = [a for a, _ in grouped]
-    for m in _TOKEN.finditer(t):
-        i = bisect.bisect_right(starts, m.start()) - 1
-        if len(digits_of(m[0])) >= 4 and free(m) and not (i >= 0 and m.end() <= grouped[i][1]):
-            yield m.span()
-    if " at " in t or re.search(r"at ?[\])]", t):
-        yield from (m.span() for m in _SPELLED.finditer(t) if free(m))
+    starts = [a for a, _ in edges]
+    reach = [0]  # the furthest end of the entities so far
+    for _, b in edges:
+        reach.append(max(reach[-1], b))
+    free = lambda a, b: reach[bisect.bisect_left(starts, b)] <= a
+    groups = [g for g in grouped(t) if free(*g)]
+    yield from groups
+    heads = [a for a, _ in groups]
+    for a, b in tokens(t):
+        i = bisect.bisect_right(heads, a) - 1
+        if free(a, b) and not (i >= 0 and b <= groups[i][1]):
+            yield a, b
+    if "at" in t and _SPELLED_DOT.search(t):
+        yield from (m.span() for m in _SPELLED.finditer(t) if free(*m.span()))
+
+
+def instance_of(s: str) -> str:
+    """What makes two stretches one identifier: digits alone where there are no letters."""
+    digits = digits_of(s)
+    plain = digits if digits and not _LETTERS.search(s) and "." not in s else s.lower()
+    return hashlib.md5(plain.encode()).hexdigest()
+
+
+def seed_kind(t: str, a: int, b: int, near: list[str]) -> str | None:
+    """The kind of a candidate that is a seed by its format."""
+    return "secret" if b - a >= 20 and _SECRET.fullmatch(t, a, b) and not any(w in _PUBLIC for p in near[:2] for w in p.split()) else None
 
 
 def span_text(spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -133,74 +199,84 @@ def span_text(spans: dict[str, list[tuple[int, int]]]) -> str:
 @resting
 def scan_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_SCAN)
-    seen = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+    seen = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
     schema = schema.append(pa.field("seen", pa.list_(seen)))
     for b in batches:
         rows: dict[str, list] = {f.name: [] for f in schema}
         for uid, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             t = text or ""
             spans = base_entities(t)
-            taken = [s for k in KINDS for s in spans[k]]
             base = span_text(spans)
             found = [(a, e, k) for k in KINDS for a, e in spans[k]]
-            if re.search("[0-9]| at |at ?[])]", t):
-                found += [(a, e, None) for a, e in looks_personal(t, taken)]
-            near = [{"start": a, "end": e, "kind": k, "instance": hashlib.md5(t[a:e].lower().encode()).hexdigest(), "patterns": around(t, a, e)} for a, e, k in found]
+            found += [(a, e, None) for a, e in looks_personal(t, [(a, e) for a, e, _ in found])]
+            near = []
+            for a, e, kind in found:
+                patterns = around(t, a, e)
+                near.append({"start": a, "end": e, "kind": kind or seed_kind(t, a, e, patterns), "base": kind is not None, "instance": instance_of(t[a:e]), "patterns": patterns})
             for name, value in zip(rows, (uid, doc, *(len(spans[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, near), strict=True):
                 rows[name].append(value)
         yield records(rows, schema)
 
 
-def score(edges: DataFrame, turns: int = TURNS) -> DataFrame:
-    """(pattern, kind, confidence, seeds) from distinct (pattern, instance, kind) edges, where kind
-    is null for instances that are not seeds.
+def scored(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns that count, given the labels so far. Counts are
+    combined before they are shuffled, so a pattern with a third of all edges fills no task."""
+    counts = edges.join(labels, "instance", "left").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+    best = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("best")
+    sums = counts.groupBy("pattern").agg(F.sum("n").alias("instances"), best).where(F.col("best.n") >= MIN_SEEDS)
+    return sums.select("pattern", F.col("best.kind").alias("kind"), (F.col("best.n") / F.col("instances")).alias("confidence")).where(F.col("confidence") >= LEAST_SHARE)
 
-    A turn gives each pattern and kind the mean belief of its instances (1 for seeds of the kind, 0
-    for seeds of another), then each instance that is not a seed the noisy-or of its patterns,
-    of which it takes the best kind. Sums are combined before they are shuffled, so neither a
-    pattern nor an instance with a third of all edges lands in one task.
-    """
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
-    unknown = edges.where("kind is null").select("pattern", "instance")
-    beliefs = None
+
+def bootstrap(edges: DataFrame, seeds: DataFrame, turns: int = TURNS) -> DataFrame:
+    """Confident patterns (pattern, kind, confidence) from distinct (pattern, instance) edges and the
+    labels (instance, kind) of seeds. A turn labels the instances that a confident pattern finds, or that
+    several find which are nearly so; patterns below LEAST_SHARE label nothing, so doubtful contexts do not
+    raise each other."""
+    labels, patterns = saved(seeds, "labels"), None
     for turn in range(turns):
-        now = seeds.join(sizes, "pattern").withColumn("extra", F.lit(0.0))
-        if beliefs is not None:
-            extra = unknown.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("extra"))
-            now = seeds.join(sizes, "pattern").join(extra, ["pattern", "kind"], "left")
-        confidence = (F.col("seeds") + F.coalesce("extra", F.lit(PRIOR))) / F.col("instances")
-        patterns = saved(now.select("pattern", "kind", "seeds", F.least(F.lit(1.0), confidence).alias("confidence")), f"patterns{turn}")
-        if turn + 1 < turns:
-            good = patterns.where(f"seeds >= {MIN_SEEDS}")
-            either = unknown.join(good, "pattern").groupBy("instance", "kind").agg(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))).alias("miss"))
-            following = saved(either.select("instance", "kind", (1 - F.exp("miss")).alias("belief")), f"beliefs{turn}")
-            if beliefs is not None:
-                discard(beliefs)
-            beliefs = following
-    return patterns
+        if patterns is not None:
+            discard(patterns)
+        patterns = saved(scored(edges, labels), "patterns")
+        if turn + 1 == turns:
+            break
+        unlabelled = edges.join(labels, "instance", "left_anti")
+        miss = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
+        beliefs = unlabelled.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("belief"), F.max("confidence").alias("best"))
+        sure = beliefs.where((F.col("best") >= MIN_CONFIDENCE) | (F.col("belief") >= MIN_BELIEF))
+        new = sure.groupBy("instance").agg(F.max(F.struct("belief", "kind"))["kind"].alias("kind"))
+        more = saved(new, "labels")
+        if more.isEmpty():
+            discard(more)
+            break
+        following = saved(labels.unionByName(more), "labels")
+        discard(labels, more)
+        labels = following
+    discard(labels)
+    return patterns.where(F.col("confidence") >= MIN_CONFIDENCE)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
 
     Base entities are leftmost non-overlapping matches a kind; a match that fails its check is
-    dropped and not tried again elsewhere. ``spans`` lists them and what confident patterns found,
-    as kind:start:end by start, then kind, in code points. Null text counts as empty. Null ids,
+    dropped and not tried again elsewhere. ``spans`` lists them and what confident patterns found
+    (``n_found`` of them; these may also be of the kind secret), as kind:start:end by start, then
+    kind, in code points. Null text counts as empty. Null ids,
     repeated rows and texts of any length are rows like any others; an empty table gives an empty
     result; extra columns are ignored.
     """
     tune(docs.sparkSession)
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = saved(own.mapInArrow(scan_texts, _SCAN + ", seen array<struct<start:int,end:int,kind:string,instance:string,patterns:array<string>>>"), "scan")
+    rows = saved(own.mapInArrow(scan_texts, f"{_SCAN}, seen {_SEEN}"), "scan")
     seen = rows.select("uid", F.explode("seen").alias("s")).select("uid", "s.*")
-    edges = saved(seen.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    good = score(edges).where(f"seeds >= {MIN_SEEDS} and confidence >= {MIN_CONFIDENCE}").select("pattern", F.col("kind").alias("found_kind"), "confidence")
-    new = seen.where("kind is null").select("uid", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    edges = saved(seen.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "edges")
+    good = bootstrap(edges, seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))).withColumnRenamed("kind", "found_kind")
+    discard(edges)
+    new = seen.where("not base").select("uid", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
     best = new.groupBy("uid", "start", "end").agg(F.max(F.struct("confidence", "found_kind")).alias("b")).select("uid", F.struct("start", "end", F.col("b.found_kind").alias("kind")).alias("span"))
     found = best.groupBy("uid").agg(F.collect_list("span").alias("added"))
     base = F.transform(F.array_remove(F.split("base_spans", ","), ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), F.split(x, ":")[2].cast("int").alias("end"), F.split(x, ":")[0].alias("kind")))
-    rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
+    rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in SPAN_KINDS]), k)
     every = F.array_sort(F.transform(F.concat(base, F.col("added")), lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     joined = F.array_join(F.transform(every, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     out = rows.drop("seen").join(found, "uid", "left")

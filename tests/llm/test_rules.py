@@ -235,3 +235,68 @@ def test_common_numbers_are_no_patterns(spark):
     """A pattern that mostly precedes unlabelled tokens is not trusted."""
     rows = [(i, f"order ref number: {1000000 + i * 7} done") for i in range(80)] + [(500 + i, f"order ref number: +1 555 010 {i:04d} done") for i in range(4)]
     assert sum(r["n_found"] for r in pii.find(docs(spark, rows)).collect()) == 0
+
+
+OLD_GROUPED = re.compile(r"(?<![A-Za-z0-9])(?:\+|\(\+?)?[0-9]++(?:[\x20().-]{1,3}[0-9]++)+(?![A-Za-z])")
+OLD_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/+-]{4,}[A-Za-z0-9]")
+
+
+def test_candidates_equal_plain_patterns():
+    """Starting from runs of digits finds what plain searches over the text find."""
+    rng = random.Random(9)
+    parts = ["a", "Z", "(", ")", "+", "-", ".", " ", "1", "23", "4567", "/", "_", "é", "555 010", "(+1", "x9"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
+        assert list(pii.tokens(t)) == [m.span() for m in OLD_TOKEN.finditer(t) if len(pii.digits_of(m[0])) >= 4], t
+        assert list(pii.grouped(t)) == [m.span() for m in OLD_GROUPED.finditer(t) if 7 <= len(pii.digits_of(m[0])) <= 19], t
+        taken = [s for k in pii.KINDS for s in pii.base_entities(t)[k]]
+        assert all(b <= x or a >= y for a, b in pii.looks_personal(t, taken) for x, y in taken), t
+
+
+def test_found_instances_are_seeds_of_the_next_turn(spark):
+    """Base phones teach the first pattern; the unknown numbers it finds teach the second."""
+    number = lambda k: f"0170 555 {1000 + k}"
+    first, second = [number(k) for k in range(3)], [number(10)]
+    rows = [(i, f"please ring my number: +1 (555) 020-{i:04d} today") for i in range(12)] + [(20 + k, f"please ring my number: {x} today") for k, x in enumerate(first)]
+    rows += [(30 + k, f"dial the office ({x}) soon") for k, x in enumerate(first)] + [(40 + k, f"dial the office ({x}) soon") for k, x in enumerate(second)]
+    rows += [(50 + k, f"fax it over to {x} soon") for k, x in enumerate(second + first[:1])] + [(60 + k, f"fax it over to {number(60 + k)} soon") for k in range(1)]
+    rows += [(70 + k, f"order of mine {number(70 + k)} left") for k in range(5)] + [(80, f"order of mine {first[0]} left")]
+    out = {r["doc_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    assert all(out[20 + k]["n_found"] == 1 for k in range(3))
+    assert all(out[i]["n_found"] == 1 for i in (30, 31, 32, 40)), "no base phone is in that context"
+    assert all(out[i]["n_found"] == 0 for i in (50, 51, 60)), "two labels are too few"
+    assert all(out[i]["n_found"] == 0 for i in (70, 71, 72, 73, 74)), "one number of six is too few"
+    rows += [(53, f"fax it over to {first[1]} soon"), (54, f"fax it over to {first[2]} soon")]
+    out = {r["doc_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    assert all(out[i]["n_found"] == 1 for i in (50, 53, 60))
+
+
+def test_secrets_by_their_contexts(spark):
+    import hashlib
+
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'words here token = "{key(i)}" more') for i in range(6)]
+    rows += [(50, 'words here token = "k7x1-9z34q0-pp12" more'), (51, f"see commit {key(51)} for it"), (52, f"see commit {key(52)} for it"), (53, f"see commit {key(53)} for it"), (54, "plain words")]
+    out = {r["doc_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    assert all(out[i]["spans"] == "secret:20:60" and out[i]["n_found"] == 1 for i in range(6))
+    assert out[50]["spans"] == "secret:20:36" and all(out[i]["spans"] == "" for i in (51, 52, 53, 54))
+
+
+def test_recall_in_planted_contexts(spark, data):
+    """Contexts planted into the documents: a third of the numbers are base phones, the rest unknown to base rules.
+    All of the rest are found, and nothing is added to documents without them."""
+    table = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    forms = ["+1 (555) 01{0}-{1:04d}", "017{0} 555 {1:04d}", "(017{0}) 555-{1:04d}"]
+    contexts = ["my phone number: {} thanks", "call us at tel: {} or", "mobile no. {} any time"]
+    planted, rows = {}, []
+    for k, (i, t) in enumerate(table):
+        if k % 4 == 0 and t and "\n" in t:
+            planted[i] = k // 4 % 5
+            form = forms[0] if planted[i] else forms[1 + k // 20 % 2]
+            t += "\n" + contexts[k % 3].format(form.format(k % 10, k))
+        rows.append((i, t))
+    before = {r["doc_id"]: r["n_found"] for r in pii.find(docs(spark, table)).collect()}
+    out = {r["doc_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    unknown = [i for i, k in planted.items() if k == 0]
+    assert len(unknown) >= 5 and all(out[i]["n_found"] > before[i] for i in unknown)
+    assert all(out[i]["n_found"] == before[i] for i in out if i not in unknown)
