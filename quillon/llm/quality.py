@@ -8,6 +8,8 @@ DataFrame expressions inside one scan; no row leaves its task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,15 @@ from .common import ship, text_or_empty
 
 ship(__name__)
 
-#: Rules in bit order: name and the condition under which a document fails. Integer arithmetic.
-RULES: list[tuple[str, str]] = [
-    ("too_few_words", "n_words < 50"),
-    ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "100 * n_symbols > 10 * word_chars"),
-    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 20 * n_words"),
+#: Rules in bit order: name and, over the measurements, the condition under which a document fails.
+#: Integer arithmetic. Ledger, policies and the pipeline's filter all read this one list.
+RULES: list[tuple[str, Callable[[Column], Column]]] = [
+    ("too_few_words", lambda m: m["n_words"] < 50),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbols", lambda m: 100 * m["n_symbols"] > 10 * m["word_chars"]),
+    ("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    ("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    ("long_words", lambda m: m["word_chars"] > 20 * m["n_words"]),
 ]
 
 #: Versioned policies: the rules that reject.
@@ -63,6 +66,28 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(hashes, covered))
 
 
+def measures(text: Column) -> Column:
+    """A struct of all measurements. Words are split once and lines are split once."""
+    words = F.array_remove(F.split(text, _SPACE), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
+    symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
+
+    def of(w: Column, x: Column) -> Column:
+        values = {
+            "n_words": F.size(w), "word_chars": F.length(F.array_join(w, "")), "n_symbols": symbols, "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
+            "n_repeat_words": repeated_words(w), "n_lines": F.size(x),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
+
+    return let(words, lambda w: let(lines, lambda x: of(w, x)))
+
+
+def failure_bits(m: Column) -> Column:
+    """Bit i set if rule i fails on the measurements."""
+    bits = [F.when(rule(m), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
+    return sum(bits[1:], bits[0]).cast("long")
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, the measurements, and ``failures``, bit i set if rule i fails.
 
@@ -70,17 +95,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     without words fails the length rule only. Null ids, repeated rows and texts of any length are
     rows like any others; an empty table gives an empty result; extra columns are ignored.
     """
-    text = text_or_empty(f"`{text_col}`")
-    words = F.array_remove(F.split(text, _SPACE), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    # word_chars, n_words and n_repeat_words from one array of words; lines are counted from one array of lines
-    by_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
-    by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
-    measured = docs.select(F.col(f"`{id_col}`").alias("doc_id"), by_words.alias("w"), by_lines.alias("l"), symbols.cast("long").alias("n_symbols"))
-    flat = measured.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
-    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
-    return flat.withColumn("failures", sum(bits[1:], bits[0]).cast("long"))
+    entry = let(measures(text_or_empty(f"`{text_col}`")), lambda m: F.struct(m.alias("m"), failure_bits(m).alias("failures")))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), entry.alias("entry")).select("doc_id", "entry.m.*", "entry.failures")
 
 
 def mask(policy: str) -> int:
@@ -110,23 +126,10 @@ def ablation(rows: DataFrame, policy: str = "web-1") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "web-1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with all their columns: the same expressions as a
-    filter inside the scan, so nothing is joined or shuffled."""
-    return docs.where(verdict_column(docs, text_col, policy))
-
-
-def verdict_column(df: DataFrame, text_col: str, policy: str) -> Column:
-    """kept, as one expression over a text column."""
-    text = text_or_empty(f"`{text_col}`")
-    words = F.array_remove(F.split(text, _SPACE), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
-    m = mask(policy) | mask("base-1")
-
-    def judge(w: Column) -> Column:
-        n, chars, repeats = F.size(w), F.length(F.array_join(w, "")), repeated_words(w)
-        lines_repeat = let(lines, lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 50 * F.size(x))
-        tests = [n < 50, 100 * repeats > 50 * n, 100 * symbols > 10 * chars, lines_repeat, chars < 2 * n, chars > 20 * n]
-        return ~F.exists(F.array(*[t for i, t in enumerate(tests) if m >> i & 1]), lambda t: t)
+    """The rows of ``docs`` whose ledger entry passes a policy, with all their columns: the ledger's
+    failure bits under the policy's mask, as a filter inside the scan, so nothing is joined or shuffled.
 
-    return let(words, judge)
+    Null, empty and blank texts have no words and go; repeated rows share their fate; null ids, very
+    long texts and extra columns are as any; an empty table stays empty."""
+    failures = let(measures(text_or_empty(f"`{text_col}`")), failure_bits)
+    return docs.where(failures.bitwiseAND(F.lit(mask(policy) | mask("base-1"))) == 0)
