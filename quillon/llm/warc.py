@@ -15,6 +15,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, broadcast_if_small, records, resting, saved, scratch, ship, tune
+from .common import arrow_schema, broadcast_if_small, discard, records, resting, saved, scratch, ship, tune
 
 ship(__name__)
 
-#: Longest block of a record before it is written in segments.
-SEGMENT_BYTES = 1 << 16
+#: Longest block of a record before it is written in segments. Long enough that most pages are one
+#: record, short enough that archives of ordinary pages hold segments.
+SEGMENT_BYTES = 1 << 14
 #: An archive is closed once it exceeds this.
 ARCHIVE_BYTES = 64 << 20
 #: Chunk of the transfer framing.
@@ -75,30 +77,39 @@ def header_safe(value: str | None) -> str:
     return "" if value is None else "".join(f"%{ord(c):02X}" if c in "\r\n" else c for c in value)
 
 
+def record_id(*parts: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, '/'.join(map(str, parts)))}>"
+
+
+_DATE = ("WARC-Date", "2024-01-01T00:00:00Z")
+
+
 def page_records(row: dict, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response in one or more segments."""
+    """The records of one page: a revisit, or a response in one or more segments.
+
+    A response's id follows from page and payload, so that revisits can name it; rows that repeat
+    both have ids of their own, and what revisits them names its address and date only.
+    """
     payload = (row["html"] or "").encode()
-    name = f"<urn:uuid:{uuid.uuid5(_NAMES, str(row['uid']))}>"
-    shared: list[tuple[str, object]] = [
-        ("WARC-Date", "2024-01-01T00:00:00Z"),
-        ("WARC-Target-URI", header_safe(row["url"])),
-        ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
-        ("X-Page-ID", row["page_id"]),
-        ("X-Payload-Bytes", len(payload)),
-    ]
-    if row["refers_to"] is not None:
+    sha = digest(payload)
+    revisit = row["refers_to"] is not None
+    name = record_id(row["page_id"], sha) if row["named"] and not revisit else record_id(row["page_id"], sha, row["uid"])
+    shared: list[tuple[str, object]] = [_DATE, ("WARC-Target-URI", header_safe(row["url"])), ("WARC-Payload-Digest", f"sha1:{sha}"), ("X-Page-ID", row["page_id"]), ("X-Payload-Bytes", len(payload))]
+    http = ("Content-Type", "application/http;msgtype=response")
+    if revisit:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *shared, ("WARC-Profile", profile), ("X-Refers-To-Page-ID", row["refers_to"]), ("Content-Type", "application/http;msgtype=response")], block)
+        origin = record_id(row["refers_to"], sha) if row["origin_named"] else None
+        refers = [("WARC-Refers-To", origin), ("WARC-Refers-To-Target-URI", header_safe(row["origin_url"])), ("WARC-Refers-To-Date", _DATE[1]), ("X-Refers-To-Page-ID", row["refers_to"])]
+        profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *shared, profile, *refers, http], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     several = len(parts) > 1
-    yield record([("WARC-Type", "response"), ("WARC-Record-ID", name), *shared, ("WARC-Segment-Number", 1 if several else None), ("Content-Type", "application/http;msgtype=response")], parts[0])
+    yield record([("WARC-Type", "response"), ("WARC-Record-ID", name), *shared, ("WARC-Segment-Number", 1 if several else None), http], parts[0])
     for i, part in enumerate(parts[1:], 2):
-        own_name = f"<urn:uuid:{uuid.uuid5(_NAMES, f'{row["uid"]}/{i}')}>"
         last = len(block) if i == len(parts) else None
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", own_name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Number", i), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Total-Length", last)], part)
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(name, i)), _DATE, ("WARC-Segment-Number", i), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Total-Length", last)], part)
 
 
 @resting
@@ -126,23 +137,72 @@ def write_partition(batches: Iterator[pa.RecordBatch], uri: str, segment_bytes:
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
 
 
-def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive of gzip members, read as a stream."""
-    src = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16)
-    while line := src.readline():
-        if not line.strip():
+_GZIP = b"\x1f\x8b\x08"
+
+
+def members(stream, size: int = 1 << 20) -> Iterator[bytes]:
+    """The content of each gzip member of an archive. A broken one is left out, and reading goes on
+    at the next place that looks like the start of a member."""
+    data, ended = b"", False
+    while True:
+        at = data.find(_GZIP)
+        while at < 0 and not ended:
+            more = stream.read(size)
+            ended = not more
+            data = data[-2:] + more  # a start may be cut in two
+            at = data.find(_GZIP)
+        if at < 0:
+            return
+        data = data[at:]
+        inflate, out, used = zlib.decompressobj(31), [], 0
+        try:
+            while not inflate.eof:
+                if used == len(data):
+                    more = stream.read(size)
+                    if not more:
+                        break
+                    data += more
+                out.append(inflate.decompress(data[used:]))
+                used = len(data)
+        except zlib.error:
+            data = data[1:]
+            continue
+        if not inflate.eof:
+            ended, data = True, data[1:]  # the archive ends inside a member, or that was no start
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        headers: dict[str, str] = {}
-        while (line := src.readline()).strip():
-            k, _, v = line.decode().partition(":")
-            headers[k.strip().lower()] = v.strip()
-        yield headers, src.read(int(headers["content-length"]))
+        yield b"".join(out)
+        data = inflate.unused_data
+
+
+def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive of gzip members. A member may hold several. What
+    is no record, or says no usable length, ends its member: the others are read."""
+    for content in members(stream):
+        src = io.BytesIO(content)
+        while line := src.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                break
+            headers: dict[str, str] = {}
+            while (line := src.readline()).strip():
+                k, _, v = line.decode(errors="replace").partition(":")
+                headers[k.strip().lower()] = v.strip()
+            length = whole(headers.get("content-length"))
+            if length is None or length < 0 or "warc-type" not in headers:
+                break
+            block = src.read(length)
+            if len(block) < length:
+                break
+            yield headers, block
 
 
 def whole(v: str | None) -> int | None:
-    return None if v is None else int(v)
+    """A header's integer; none if there is none."""
+    try:
+        return None if v is None else int(v)
+    except ValueError:
+        return None
 
 
 def settle(first: dict, block: bytes, complete: bool, keep_payload: bool) -> tuple:
@@ -171,6 +231,8 @@ def read_archives(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iter
             rows, held = {f.name: [] for f in schema}, 0
             with filesystem.open_input_file(path) as src:
                 for h, block in parse(src):
+                    if h["warc-type"] not in ("response", "revisit", "continuation"):
+                        continue
                     first = {
                         "page_id": whole(h.get("x-page-id")), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "refers_to": whole(h.get("x-refers-to-page-id")),
                         "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": whole(h.get("x-payload-bytes")),
@@ -180,7 +242,7 @@ def read_archives(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iter
                         values = (*settle(first, block, True, keep_payload), None, None, None, None)
                         held += 500 + len(values[7] or b"")
                     else:
-                        values = (*first.values(), None, None, h.get("warc-segment-origin-id", h["warc-record-id"]), number, whole(h.get("warc-segment-total-length")), block)
+                        values = (*first.values(), None, None, h.get("warc-segment-origin-id", h.get("warc-record-id")), number, whole(h.get("warc-segment-total-length")), block)
                         held += len(block)
                     for k, v in zip(rows, values, strict=True):
                         rows[k].append(v)
@@ -206,7 +268,7 @@ def reassemble(table: pa.Table, keep_payload: bool) -> pa.Table:
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data = [(x or "").encode() for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64())], names=["page_id", "sha", "n"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64()), b.column(2)], names=["page_id", "sha", "n", "url"])
 
 
 def write_archives(pages: DataFrame, uri: str, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES, revisit_from: int = 0) -> DataFrame:
@@ -220,20 +282,35 @@ def write_archives(pages: DataFrame, uri: str, segment_bytes: int = SEGMENT_BYTE
     spark = pages.sparkSession
     tune(spark)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
-    thin = saved(own.select("page_id", "html").mapInArrow(digests, "page_id long, sha binary, n long"), "digests")
-    leaders = thin.where(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.min("page_id").alias("leader"), F.count("*").alias("rows")).where("rows > 1 and leader is not null")
-    later = thin.join(leaders.select("sha", "leader"), "sha").where("page_id is null or page_id != leader").select(F.col("page_id").alias("later_id"), F.col("sha").alias("later_sha"), F.col("leader").alias("refers_to")).distinct()
-    # A counted, small list of revisits meets the pages where they are. A longer one joins by id and
-    # payload: ids are spread evenly even where a third of the payloads are equal.
+    thin = saved(own.select("page_id", "html", "url").mapInArrow(digests, "page_id long, sha binary, n long, url string"), "digests")
+    same = saved(thin.groupBy("sha", "n", "page_id").agg(F.count("*").alias("rows"), F.min("url").alias("url")), "same")
+    # Of equal payloads, the row of the least id; min skips structs that are null.
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "rows", "url"))).alias("first")
+    leaders = same.where(F.col("n") >= revisit_from).groupBy("sha").agg(first, F.count("*").alias("ids")).where("ids > 1 and first is not null")
+    led = same.join(leaders, "sha", "left")
+    later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    marks = led.select(
+        F.col("page_id").alias("mark_id"), F.col("sha").alias("mark_sha"), (F.col("rows") == 1).alias("named"),
+        *[F.when(later, F.col(c)).alias(n) for c, n in (("first.page_id", "refers_to"), ("first.url", "origin_url"))], F.when(later, F.col("first.rows") == 1).alias("origin_named"),
+    ).where("refers_to is not null or not named")
+    # A counted, small list of revisits and repeated rows meets the pages where they are. A longer one
+    # joins by id and payload: ids are spread evenly even where a third of the payloads are equal.
     html = F.coalesce("html", F.lit(""))
-    joined = own.join(broadcast_if_small(saved(later, "revisits")), F.col("page_id").eqNullSafe(F.col("later_id")) & (F.unhex(F.sha2(html.cast("binary"), 256)) == F.col("later_sha")), "left")
-    numbered = joined.select("page_id", "url", "html", "refers_to").withColumn("uid", F.concat_ws("-", F.coalesce("page_id", F.lit(-1)), F.monotonically_increasing_id()))
-    return saved(numbered.mapInArrow(lambda it: write_partition(it, uri, segment_bytes, archive_bytes), "archive string"), "manifest")
+    listed = saved(marks, "marks")
+    discard(thin, same)
+    joined = own.join(broadcast_if_small(listed), F.col("page_id").eqNullSafe(F.col("mark_id")) & (F.unhex(F.sha2(html.cast("binary"), 256)) == F.col("mark_sha")), "left")
+    columns = ["page_id", "url", "html", F.coalesce("named", F.lit(True)).alias("named"), "refers_to", "origin_url", "origin_named"]
+    numbered = joined.select(*columns).withColumn("uid", F.monotonically_increasing_id())
+    manifest = saved(numbered.mapInArrow(lambda it: write_partition(it, uri, segment_bytes, archive_bytes), "archive string"), "manifest")
+    discard(listed)
+    return manifest
 
 
 def read_pages(manifest: DataFrame, keep_payload: bool = True) -> DataFrame:
     """One row a page of the listed archives. ``intact`` is false where a segment is missing, the
-    total length differs, the framing is broken or the digest does not match."""
+    total length differs, the framing is broken or the digest does not match. A revisit has the digest and
+    length that its headers state, as the standard means it. Broken gzip members, records without a
+    usable length and records of other types give no row."""
     files = manifest.repartition(max(1, manifest.count()), "archive")
     found = saved(files.mapInArrow(lambda it: read_archives(it, keep_payload), _FOUND), "records")
     names = [f.name for f in arrow_schema(_PAGES)]

@@ -153,6 +153,45 @@ def test_warc_missing_segment(spark):
     assert len(names) > 3 and not any(fewer)
 
 
+def test_warc_headers_of_revisits(spark):
+    """A revisit names its response by record id, address and date."""
+    from quillon.llm.common import file_system, scratch
+
+    rows = [(1, "a", "same"), (2, "b", "same"), (3, "c", "other"), (3, "c", "other"), (4, "d", "other"), (None, "e", "same")]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch(spark, "w"))
+    found = []
+    for r in manifest.collect():
+        filesystem, path = file_system(r["archive"])
+        with filesystem.open_input_file(path) as src:
+            found += [h for h, _ in warc.parse(src)]
+    ids = {h["x-page-id"]: h["warc-record-id"] for h in found if h["warc-type"] == "response"}
+    assert len({h["warc-record-id"] for h in found}) == len(rows)
+    by = {h.get("x-page-id"): h for h in found if h["warc-type"] == "revisit"}
+    assert by["2"]["warc-refers-to"] == ids["1"] and by["2"]["warc-refers-to-target-uri"] == "a" and by["2"]["warc-refers-to-date"] == "2024-01-01T00:00:00Z"
+    assert by[None]["warc-refers-to"] == ids["1"] and "warc-refers-to" not in by["4"] and by["4"]["warc-refers-to-target-uri"] == "c"
+
+
+def test_warc_broken_archives():
+    """What is broken is left out; the records around it are read."""
+    import gzip
+    import io
+
+    good = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>")], b"x" * i) for i in range(5)]
+    no_length = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n")
+    bad_length = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nabc\r\n\r\n")
+    short = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nabc")
+    two = gzip.compress(gzip.decompress(good[3]) + gzip.decompress(good[4]))
+    broken = bytearray(warc.record([("WARC-Type", "response")], bytes(range(256)) * 9))
+    broken[30] ^= 255
+    data = good[0] + no_length + good[1] + bytes(broken) + b"junk" + bad_length + short + good[2] + gzip.compress(b"no record") + two
+    for cut in (len(data), len(data) - 9):
+        for size in (1, 7, 1 << 20):
+            sizes = [len(m) for m in warc.members(io.BytesIO(data[:cut]), size)]
+            blocks = [len(b) for _, b in warc.parse(io.BytesIO(data[:cut]))]
+            assert blocks == ([0, 1, 2, 3, 4] if cut == len(data) else [0, 1, 2]), (cut, size, sizes)
+    assert list(warc.parse(io.BytesIO(b""))) == []
+
+
 def test_chunks():
     for n in (0, 1, 8191, 8192, 8193, 50000):
         assert warc.unchunked(warc.chunked(b"x" * n)) == b"x" * n
