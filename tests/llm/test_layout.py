@@ -54,6 +54,16 @@ def test_best_two_fit():
         assert len(used) <= brute_bins(lengths.tolist(), 100) + 1
 
 
+def test_repeated_rows_fill_no_single_group(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCS", 100)
+    out = packing.pack(docs(spark, [(7, "the same words")] * 1000), PATH).collect()
+    assert len(out) == 1000 and len({r["sequence_id"] >> 36 for r in out}) == 10
+    used = collections.defaultdict(list)
+    for r in out:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in p) <= 2048 and sorted(o for o, _ in p) == [sum(x for _, x in sorted(p)[:k]) for k in range(len(p))] for p in used.values())
+
+
 def test_pack(spark):
     rows = EDGE + [(300 + i, "many words here " * (40 * i)) for i in range(20)]
     out = packing.pack(docs(spark, rows), PATH, with_ids=True).collect()
