@@ -22,6 +22,8 @@ ship(__name__)
 
 #: Hash ranges a leaf's epoch is divided into when its prefix is cut.
 RANGES = 4096
+#: Leaves up to which their tables are broadcast.
+LEAVES = 200_000
 
 
 def fill(budget: int, limits: dict, weights: dict) -> dict:
@@ -39,10 +41,13 @@ def fill(budget: int, limits: dict, weights: dict) -> dict:
             full = [k for k in open_ if limits[k] * total <= left * (weights.get(k, 0) or 1)]
             if not full:
                 for k in open_:
-                    given[k] = int(left * (weights.get(k, 0) or 1) / total)
-                for k in open_:
-                    if sum(given[x] for x in open_) < left and given[k] < limits[k]:
-                        given[k] += 1
+                    given[k] = min(limits[k], int(left * (weights.get(k, 0) or 1) / total))
+                rest = left - sum(given[k] for k in open_)
+                while rest > 0:
+                    for k in open_:
+                        more = int(rest > 0 and given[k] < limits[k])
+                        given[k] += more
+                        rest -= more
                 break
             for k in full:
                 given[k] = limits[k]
@@ -92,24 +97,26 @@ def leaf_columns(domain: Column, lang_col: str, source_col: str) -> list[Column]
 def leaf_plan(rows: DataFrame, share: float, weights: dict[tuple, float] | None, epochs: int, seed: int) -> DataFrame:
     """A row a leaf: its whole epochs and the last order key of its prefix (null: no prefix).
 
-    The tree has one row a source: metadata that does not grow with the documents.
+    The driver holds the tree, a row a source; tables of leaves are broadcast up to LEAVES of them and
+    joined beyond.
     """
     spark = rows.sparkSession
     stats = [((r["domain"], r["lang"], r["source"]), r["t"]) for r in rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("t")).collect()]
     given = budgets(stats, int(share * sum(t for _, t in stats)), weights or {}, epochs)
     plan = {p: (given[p] // t if t else 0, given[p] % t if t else 0) for p, t in stats}
     shares = spark.createDataFrame([(*p, *v) for p, v in plan.items()], "domain string, lang string, source string, whole int, part long")
-    keyed = rows.join(F.broadcast(shares), LEAF).where("part > 0").withColumn("key", order_key(seed, F.col("whole"), F.col("doc_id")))
+    small = (lambda df: F.broadcast(df)) if len(plan) <= LEAVES else (lambda df: df)
+    keyed = rows.join(small(shares), LEAF).where("part > 0").withColumn("key", order_key(seed, F.col("whole"), F.col("doc_id")))
     keyed = keyed.withColumn("range", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     # Tokens before each of 4096 ranges of a leaf; then the keys inside the range where it ends.
     sums = keyed.groupBy(*LEAF, "range").agg(F.sum("n_tokens").alias("t"), F.first("part").alias("part"))
     running = F.sum("t").over(Window.partitionBy(*LEAF).orderBy("range"))
     ends = sums.withColumn("before", running - F.col("t")).where("before < part and before + t >= part").select(*LEAF, "range", "before")
-    edge = keyed.join(F.broadcast(ends), [*LEAF, "range"]).groupBy(*LEAF, "key").agg(F.sum("n_tokens").alias("t"), F.first("before").alias("before"), F.first("part").alias("part"))
+    edge = keyed.join(small(ends), [*LEAF, "range"]).groupBy(*LEAF, "key").agg(F.sum("n_tokens").alias("t"), F.first("before").alias("before"), F.first("part").alias("part"))
     inside = F.sum("t").over(Window.partitionBy(*LEAF).orderBy("key"))
     last = edge.withColumn("so_far", F.col("before") + inside - F.col("t")).where("so_far < part").groupBy(*LEAF).agg(F.max("key").alias("key"))
     keys = {(r["domain"], r["lang"], r["source"]): r["key"] for r in last.collect()}
-    return spark.createDataFrame([(*p, v[0], keys.get(p)) for p, v in plan.items()], "domain string, lang string, source string, whole int, last_key string")
+    return small(spark.createDataFrame([(*p, v[0], keys.get(p)) for p, v in plan.items()], "domain string, lang string, source string, whole int, last_key string"))
 
 
 def copies(seed: int) -> Column:
@@ -134,7 +141,7 @@ def select_mix(docs: DataFrame, domain: Column, share: float = 0.5, weights: dic
     tune(docs.sparkSession)
     rows = counted(docs, domain, id_col, text_col, lang_col, source_col)
     plan = leaf_plan(rows, share, weights, epochs, seed)
-    return rows.join(F.broadcast(plan), LEAF).select("doc_id", *LEAF, "n_tokens", copies(seed).alias("copies"))
+    return rows.join(plan, LEAF).select("doc_id", *LEAF, "n_tokens", copies(seed).alias("copies"))
 
 
 def domain_of(source_col: str = "source", domains: int = 3) -> Column:
@@ -145,10 +152,13 @@ def domain_of(source_col: str = "source", domains: int = 3) -> Column:
 
 def apply_mix(docs: DataFrame, share: float, weights: dict[tuple, float] | None = None, epochs: int = 2, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, each as often as it was selected, with all their columns. The plan has
-    a row a source, so documents are selected where they are and nothing but counts is shuffled."""
+    a row a source, so documents are selected where they are and nothing but counts is shuffled.
+
+    Nulls, ties, repeated rows, empty tables and extra columns are as in :func:`select_mix`; names of
+    extra columns may be any but __row and __n."""
     tune(docs.sparkSession)
     plan = leaf_plan(counted(docs, domain_of(), "doc_id", "text", "lang", "source"), share, weights, epochs, seed)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     leafed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), *leaf_columns(domain_of(), "lang", "source"))
-    chosen = leafed.join(F.broadcast(plan), LEAF).withColumn("__n", copies(seed)).where("__n > 0")
+    chosen = leafed.join(plan, LEAF).withColumn("__n", copies(seed)).where("__n > 0")
     return chosen.select(F.explode(F.array_repeat("__row", F.col("__n").cast("int"))).alias("__row")).select("__row.*")

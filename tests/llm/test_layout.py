@@ -220,6 +220,46 @@ def test_fill():
     assert short == {("d", "en", "x"): 5, ("e", "en", "z"): 45}
 
 
+def level(budget, limits, weights):
+    """Water level by bisection: everyone gets min(limit, level * weight)."""
+    low, high = 0.0, 1.0 + max(limits[k] / weights[k] for k in limits)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(limits[k], mid * weights[k]) for k in limits) < budget else (low, mid)
+    return {k: min(limits[k], high * weights[k]) for k in limits}
+
+
+def test_budgets_against_water_levels():
+    """Every node of random trees gets what a level by bisection gives among its siblings, to a token."""
+    rng = random.Random(4)
+    for _ in range(200):
+        leaves = list({(f"d{rng.randrange(3)}", f"l{rng.randrange(3)}", f"s{rng.randrange(5)}"): rng.choice([0, 1, 7, 50, 1000]) for _ in range(rng.randrange(1, 14))}.items())
+        nodes = {p[:i] for p, _ in leaves for i in range(1, 4)}
+        weights = {n: rng.choice([0.5, 1, 2, 3.0]) for n in nodes if rng.random() < 0.7}
+        epochs = rng.randrange(1, 4)
+        total = epochs * sum(t for _, t in leaves)
+        budget = rng.randrange(total + 20)
+        given = mixing.budgets(leaves, budget, weights, epochs)
+        assert sum(given.values()) == min(budget, total) and all(0 <= given[p] <= t * epochs for p, t in leaves)
+        sums = collections.Counter()
+        supply = collections.Counter()
+        for p, t in leaves:
+            for i in range(4):
+                sums[p[:i]] += given[p]
+                supply[p[:i]] += t * epochs
+        for parent in {p[:i] for p, _ in leaves for i in range(3)}:
+            children = [n for n in nodes if len(n) == len(parent) + 1 and n[: len(parent)] == parent]
+            want = level(sums[parent], {c: supply[c] for c in children}, {c: weights.get(c, 1) for c in children})
+            assert all(abs(sums[c] - want[c]) <= 1.001 for c in children), (parent, sums, want)
+
+
+def test_mix_of_more_leaves_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (i % 40)) for i in range(200)]
+    want = sorted(map(str, mixing.select_mix(docs(spark, rows), mixing.domain_of(), 0.6).collect()))
+    monkeypatch.setattr(mixing, "LEAVES", 1)
+    assert sorted(map(str, mixing.select_mix(docs(spark, rows), mixing.domain_of(), 0.6).collect())) == want
+
+
 def test_mix(spark):
     rng = random.Random(8)
     rows = EDGE + [(1000 + i, "w " * rng.randrange(60)) for i in range(500)]
