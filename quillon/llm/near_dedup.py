@@ -7,9 +7,11 @@ tables need. With 8 and 2, that is 64 tables from 32 minhashes.
 
 Texts with equal sets share one node. Nodes that share a key hang on the key's least node (a star,
 linear in the rows of a key), stars grow into clusters, and inside clusters every pair that agrees
-in enough bands is confirmed on full shingle sets. Clusters above a size are checked by pairs of
-blocks, so a task holds two blocks at most whatever a cluster's size; what a task returns is a
-spanning forest of the confirmed links, not the pairs.
+in enough bands is confirmed on full shingle sets. A cluster of one block is one task's. In larger
+ones each node is first compared with a few of its stars' centres, which is linear; what hangs
+together then needs no further comparison among itself, so only blocks of different parts meet, two
+at a time. A task holds two blocks at most whatever a cluster's size, and returns a spanning forest of
+the confirmed links, not the pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_schema, records, resting, saved, ship, text_hash, tune, without_rows
+from .common import arrow_schema, discard, records, resting, saved, ship, text_hash, tune, without_rows
 from .components import components
 
 ship(__name__)
@@ -36,6 +38,8 @@ MIN_BANDS = 3
 #: A block of a cluster: nodes and shingles.
 BLOCK_NODES = 4096
 BLOCK_SHINGLES = 1 << 21
+#: Star centres that a node of a larger cluster is compared with first.
+CENTRES = 3
 #: Bytes of text hashed in one numpy pass.
 SLAB_BYTES = 1 << 20
 
@@ -169,14 +173,15 @@ def full_sets(batches: Iterator[pa.RecordBatch], k: int, uri: str | None) -> Ite
         block.close()
 
 
-def links(nodes: np.ndarray, sides: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def links(nodes: np.ndarray, sides: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 * intersection >= percent * union. Pairs on one
-    side are left to the task that has that side alone, if there are two."""
+    side are left to the task that has that side alone, if there are two. Nodes of one part are linked
+    already; without parts, each is its own."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size, nodes, sides, sigs, sets = size[order], nodes[order], sides[order], sigs[order], [sets[i] for i in order]
     n, across = len(nodes), sides.min() != sides.max()
-    label, found = np.arange(n), []
+    label, found = np.arange(n) if parts is None else np.unique(parts[order], return_inverse=True)[1], []
     reach = np.searchsorted(size, size * 100 // percent, side="right")
     flat, starts, mark = None, None, None
     for i in range(n - 1):
@@ -211,16 +216,17 @@ def links(nodes: np.ndarray, sides: np.ndarray, sigs: np.ndarray, sets: list[np.
 
 @resting
 def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (cluster, x, y); each such key is one task's pair of blocks."""
+    """Rows arrive sorted by (cluster, x, y); each such key is a pair of blocks for one task."""
 
     def done(rows: list) -> pa.RecordBatch:
-        edges = links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [np.frombuffer(r[3], _U) for r in rows], percent)
+        node, side, part, sigs = (np.array([r[i] for r in rows]) for i in range(4))
+        edges = links(node, side, sigs, [np.frombuffer(r[4], _U) for r in rows], percent, part)
         return records({"u": [e[0] for e in edges], "v": [e[1] for e in edges]}, arrow_schema(_EDGES))
 
     now, rows = None, []
     for b in batches:
         keys = list(zip(*(b.column(c).to_pylist() for c in ("cluster", "x", "y")), strict=True))
-        values = zip(*(b.column(c).to_pylist() for c in ("node", "block", "bands", "members")), strict=True)
+        values = zip(*(b.column(c).to_pylist() for c in ("node", "side", "part", "bands", "members")), strict=True)
         for key, value in zip(keys, values, strict=True):
             if key != now:
                 if len(rows) > 1:
@@ -231,6 +237,55 @@ def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield done(rows)
 
 
+def block_count(n):
+    """Blocks that nodes need: ``n`` is a column of their numbers of shingles."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(n) / BLOCK_SHINGLES)).cast("int")
+
+
+def checked(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) inside each (cluster, x, y). ``rows``: those, node, side, part, bands, members."""
+    dealt = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    return dealt.select("cluster", "x", "y", "node", "side", "part", "bands", "members").mapInArrow(lambda it: confirm(it, percent), _EDGES)
+
+
+def centre_links(large: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of large clusters and up to CENTRES of their stars' centres. A centre meets its
+    nodes in as many parts as they need blocks."""
+    own = large.select(F.col("node").alias("u"), "n", "bands")
+    rays = saved(stars.join(own.select("u"), "u").groupBy("u").agg(F.collect_set("v").alias("vs")).select("u", F.explode(F.slice(F.array_sort("vs"), 1, CENTRES)).alias("v")).join(own, "u"), "rays")
+    parts = rays.groupBy("v").agg(block_count("n").alias("parts"))
+    salted = rays.join(parts, "v").select(F.col("v").alias("cluster"), F.pmod(F.xxhash64("u"), F.col("parts")).alias("x"), F.col("u").alias("node"), F.lit(1).alias("side"), "bands")
+    centres = parts.join(own.withColumnRenamed("u", "v"), "v").select(F.col("v").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("x"), F.col("v").alias("node"), F.lit(0).alias("side"), "bands")
+    rows = salted.unionByName(centres).withColumn("y", F.col("x")).withColumn("part", F.col("node")).join(sets, "node")
+    found = saved(checked(rows, percent), "centre_links")
+    discard(rays)
+    return found
+
+
+def across_parts(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of a large cluster that ``roots`` (node, root) do not join yet. Parts that fill
+    half a block have blocks of their own, which are not compared with each other; the rest is pooled."""
+    parted = saved(large.join(roots, "node", "left").select("cluster", "node", "n", "bands", F.coalesce("root", "node").alias("part")), "parted")
+    sums = parted.groupBy("cluster", "part").agg(block_count("n").alias("blocks"), F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES).alias("fill"))
+    wide = sums.where("fill >= 0.5").select("cluster", "part", "blocks")
+    pooled = parted.join(wide.select("cluster", "part"), ["cluster", "part"], "left_anti").groupBy("cluster").agg(block_count("n").alias("pool"))
+    each = lambda n: F.explode(F.sequence(F.lit(1), F.col(n))).alias("i")
+    own_blocks = wide.select("cluster", F.col("part").alias("owner"), each("blocks")).withColumn("block", F.xxhash64("owner", "i"))
+    pool_blocks = pooled.select("cluster", F.lit(None).cast("long").alias("owner"), each("pool")).withColumn("block", F.xxhash64(F.lit("pool"), "cluster", "i"))
+    blocks = saved(own_blocks.unionByName(pool_blocks).drop("i"), "blocks")
+    x, y = (blocks.select("cluster", F.col("block").alias(c), F.col("owner").alias(f"{c}_owner")) for c in "xy")
+    pairs = x.join(y, "cluster").where("x <= y and (x_owner is null or y_owner is null or x_owner != y_owner)")
+    pairs = pairs.select("cluster", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    sized = parted.join(wide.withColumnRenamed("blocks", "own"), ["cluster", "part"], "left").join(pooled, "cluster", "left")
+    in_own = F.xxhash64("part", (F.pmod(F.xxhash64("node"), F.col("own")) + 1).cast("int"))
+    in_pool = F.xxhash64(F.lit("pool"), "cluster", (F.pmod(F.xxhash64("part"), F.col("pool")) + 1).cast("int"))
+    placed = sized.select("cluster", "node", "bands", "part", F.when(F.col("own").isNotNull(), in_own).otherwise(in_pool).alias("block"))
+    rows = placed.join(pairs, ["cluster", "block"]).withColumnRenamed("block", "side").join(sets, "node")
+    found = saved(checked(rows, percent), "part_links")
+    discard(parted, blocks)
+    return found
+
+
 def _decided(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row."""
     tune(docs.sparkSession)
@@ -242,20 +297,26 @@ def _decided(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     tables = nodes.select("node", "bands", F.explode(F.sequence(F.lit(0), F.lit(GROUPS * GROUPS - 1))).alias("t"))
     keys = tables.select("node", F.xxhash64("t", F.get("bands", F.expr(f"t div {GROUPS}")), F.get("bands", F.col("t") % GROUPS + GROUPS)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key", "least")
-    stars = keys.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u != v").distinct()
+    stars = saved(keys.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u != v").distinct(), "stars")
     clusters = saved(components(stars).withColumnRenamed("root", "cluster").join(nodes, "node"), "clusters")
 
     # Full sets of the clusters' nodes, each from one text, found where the text is.
     uri = common.write_blocks(sigs.select("block", "rid"), clusters.select("at.block", "at.rid", F.array("node").alias("payload")), "sets")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    beyond = saved(clusters.groupBy("cluster").agg(block_count("n").alias("blocks")).where("blocks > 1").select("cluster"), "large")
+    large = None if beyond.isEmpty() else saved(clusters.join(common.broadcast_if_small(beyond), "cluster"), "large_clusters")
+    small = clusters if large is None else clusters.join(common.broadcast_if_small(beyond), "cluster", "left_anti")
 
     def confirmed(sets: DataFrame) -> DataFrame:
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-        dealt = placed.join(sets, "node").select("cluster", "node", "block", "bands", "members", other)
-        dealt = dealt.withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o")).drop("o")
-        pairs = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-        return saved(pairs.select("cluster", "x", "y", "node", "block", "bands", "members").mapInArrow(lambda it: confirm(it, percent), _EDGES), "links")
+        if large is not None:
+            sets = saved(sets, "full_sets")
+        zero = [F.lit(0).alias(c) for c in ("x", "y", "side")]
+        found = saved(checked(small.select("cluster", "node", "bands", F.col("node").alias("part"), *zero).join(sets, "node"), percent), "links")
+        if large is None:
+            return found
+        near = centre_links(large, stars, sets, percent)
+        more = across_parts(large, components(near), sets, percent)
+        discard(sets)
+        return found.unionByName(near).unionByName(more)
 
     try:
         edges = confirmed(own.mapInArrow(lambda it: full_sets((b.select([1]) for b in it), words, uri), _SETS))

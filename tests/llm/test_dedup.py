@@ -108,6 +108,25 @@ def test_near_blocks_of_a_large_cluster(spark, monkeypatch):
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in out) == brute_near(rows, 5)
 
 
+def test_near_parts_of_large_clusters(spark, monkeypatch):
+    """Clusters of many blocks: some hang together by their centres, some only by chains, some not at all."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 12)
+    monkeypatch.setattr(near_dedup, "MIN_BANDS", 0)
+    rng = random.Random(11)
+    rows = near_copies(rng, 1, 80)
+    line = [f"c{rng.randrange(10**6)}" for _ in range(120)]
+    for i in range(60):  # a chain: each text differs from the next in a few words
+        line = [w if rng.random() > 0.02 else f"d{rng.randrange(10**9)}" for w in line]
+        rows.append((5000 + i, " ".join(line)))
+    frame = [f"f{j}" for j in range(60)]
+    for i in range(60):  # alike enough for shared keys, too different to be linked; pairs of them are
+        own = [f"g{i // 2}_{j}" for j in range(24)] + [f"h{i}_{j}" for j in range(1)]
+        rows.append((8000 + i, " ".join(frame + own)))
+    for k in (4, 5):
+        out = near_dedup.near_groups(docs(spark, rows), words=k).collect()
+        assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in out) == brute_near(rows, k)
+
+
 def test_near_when_blocks_change(spark, monkeypatch):
     rows = near_copies(random.Random(6), 3, 20)
     wrong = common.scratch(spark, "none")
