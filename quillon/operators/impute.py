@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import ConfigurationError
 from .moments import gram
 from .profile import datetime_columns, finite, numeric_columns
+from .quantiles import medians
 
 # Strategies by type.
 STRATEGIES = {
@@ -27,19 +28,24 @@ def check_strategy(kind: str, strategy: str) -> str:
 
 
 def numeric(df: DataFrame, columns: list[str], strategy: str = "auto") -> DataFrame:
-    """Nulls replaced by the mean (also auto), the median or zero, from one aggregate."""
+    """Nulls replaced by the mean (also auto), the median or zero."""
     check_strategy("numeric", strategy)
     if strategy == "zero":
         fill = dict.fromkeys(columns, 0.0)
+    elif strategy == "median":
+        fill = medians(df, columns)
     else:
-        of = F.median if strategy == "median" else F.avg
-        fill = df.agg(*[of(finite(c)).alias(c) for c in columns]).first().asDict()
+        fill = df.agg(*[F.avg(finite(c)).alias(c) for c in columns]).first().asDict()
     return df.withColumns({c: F.coalesce(finite(c), F.lit(fill[c])) for c in columns})
 
 
 def categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls replaced by the most frequent value, the least of ties; "Unknown" in an empty column."""
-    fill = df.agg(*[F.mode(c, True).alias(c) for c in columns]).first()
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    counts = long.groupBy("c", "v").agg(F.count("*").alias("n"))
+    top = counts.groupBy("c").agg(F.max("n").alias("n")).withColumnsRenamed({"c": "__c", "n": "__n"})
+    best = counts.join(F.broadcast(top), (F.col("c") == F.col("__c")) & (F.col("n") == F.col("__n"))).groupBy("c").agg(F.min("v").alias("v"))
+    fill = dict.fromkeys(columns) | {r["c"]: r["v"] for r in best.collect()}
     return df.withColumns({c: F.coalesce(c, F.lit(fill[c] if fill[c] is not None else "Unknown")) for c in columns})
 
 
@@ -111,44 +117,69 @@ def mice(df: DataFrame, columns: list[str], predictors: int = 4) -> DataFrame:
     return df.withColumns(out)
 
 
-def knn(df: DataFrame, column: str, others: list[str], key: str, k: int = 5, reference_rows: int = 20_000, seed: int = 42) -> DataFrame:
-    """Nulls of ``column`` from the k nearest rows that have it, weighted by inverse distance.
+#: Rows of a block of known rows and of a block of rows to fill.
+KNOWN_ROWS, HOLE_ROWS = 50_000, 5_000
 
-    Distance is the root mean square over the standardised columns both rows have. The reference is
-    every known row up to ``reference_rows``, beyond that the rows with the least hash of their key:
-    a documented bound, since it is broadcast. Only rows with a null are compared.
+
+def knn(df: DataFrame, column: str, others: list[str], key: str, k: int = 5) -> DataFrame:
+    """Nulls of ``column`` from the k nearest of all rows that have it, weighted by inverse distance.
+
+    Distance is the root mean square over the standardised columns both rows have, to twelve digits; ties
+    go by key. Rows with a null meet the known rows block by block and keep their k best of each, so a
+    task holds two blocks; the work is their product.
     """
-    import numpy as np
     import pandas as pd
 
-    stats = df.agg(*[F.struct(F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s")).alias(c) for c in [*others, column]]).first()
-    scaled = [((finite(c) - F.lit(stats[c]["m"])) / F.lit(stats[c]["s"] or 1.0)).alias(c) for c in others]
-    known = df.where(finite(column).isNotNull())
-    sample = known.select(finite(column).alias("__y"), *scaled, F.xxhash64(F.col(key), F.lit(seed)).alias("__h")).orderBy("__h").limit(reference_rows).drop("__h").toPandas()
-    if sample.empty:
+    row = df.agg(F.count(finite(column)).alias("__known"), F.count("*").alias("__all"), *[F.struct(F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s")).alias(c) for c in [*others, column]]).first()
+    if not row["__known"] or row["__known"] == row["__all"]:
         return df
-    ref, y = sample[others].to_numpy(float), sample["__y"].to_numpy(float)
-    fallback = float(stats[column]["m"])
-
-    def nearest(batches):
-        for b in batches:
-            x = b[others].to_numpy(float)
-            found = np.empty(len(b))
-            for i in range(len(b)):
-                both = ~np.isnan(x[i]) & ~np.isnan(ref)
-                n = both.sum(axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = np.sqrt(np.where(both, (ref - x[i]) ** 2, 0).sum(axis=1) / n)
-                d = np.where(n > 0, d, np.inf)
-                at = np.argpartition(d, min(k, len(d)) - 1)[:k]
-                at = at[np.isfinite(d[at])]
-                w = 1 / np.maximum(d[at], 1e-9)
-                found[i] = (w * y[at]).sum() / w.sum() if len(at) else fallback
-            yield pd.DataFrame({key: b[key], "__fill": found})
-
-    holes = df.where(finite(column).isNull()).select(F.col(key), *scaled)
-    fills = holes.mapInPandas(nearest, f"{key} {df.schema[key].dataType.simpleString()}, __fill double")
-    return df.join(fills, key, "left").withColumn(column, F.coalesce(finite(column), "__fill")).select(*df.columns)
+    scaled = [((finite(c) - F.lit(row[c]["m"])) / F.lit(row[c]["s"] or 1.0)).alias(f"x{i}") for i, c in enumerate(others)]
+    known_blocks = -(-row["__known"] // KNOWN_ROWS)
+    hole_blocks = -(-(row["__all"] - row["__known"]) // HOLE_ROWS)
+    block = lambda n: F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    known = df.where(finite(column).isNotNull()).select(F.col(key).alias("k"), finite(column).alias("y"), *scaled, block(known_blocks).alias("kb"), every(hole_blocks, "hb"))
+    holes = df.where(finite(column).isNull()).select(F.col(key).alias("k"), *scaled, block(hole_blocks).alias("hb"), every(known_blocks, "kb"))
+    kind = df.schema[key].dataType.simpleString()
+    names = [f"x{i}" for i in range(len(others))]
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return nearest(left, right, names, k)
+
+    found = known.groupBy("kb", "hb").cogroup(holes.groupBy("kb", "hb")).applyInPandas(work, f"k {kind}, d double, near {kind}, y double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "near", "y"))), 1, k)  # k rows a block of known rows
+    weight = F.transform("best", lambda x: 1 / F.greatest(x["d"], F.lit(1e-9)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    filled = total(F.zip_with("best", weight, lambda x, w: x["y"] * w)) / total(weight)
+    fills = found.groupBy(F.col("k").alias("__k")).agg(best.alias("best")).select("__k", filled.alias("__fill"))
+    return df.join(fills, F.col(key) == F.col("__k"), "left").withColumn(column, F.coalesce(finite(column), "__fill", F.lit(row[column]["m"]))).select(*df.columns)
+
+
+def nearest(known, holes, names: list[str], k: int, chunk: int = 64):
+    """The k nearest known rows of each hole, by (distance, key)."""
+    import numpy as np
+    import pandas as pd
+
+    known = known.sort_values("k")
+    ref, y, keys = known[names].to_numpy(float), known["y"].to_numpy(float), known["k"].to_numpy()
+    out: dict[str, list] = {"k": [], "d": [], "near": [], "y": []}
+    for start in range(0, len(holes) if len(known) else 0, chunk):
+        x = holes[names].to_numpy(float)[start : start + chunk]
+        d, n = np.zeros((len(x), len(ref))), np.zeros((len(x), len(ref)))
+        for j in range(len(names)):
+            gap = x[:, j, None] - ref[None, :, j]
+            both = ~np.isnan(gap)
+            n += both
+            d += np.where(both, gap * gap, 0.0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = np.where(n > 0, np.round(np.sqrt(d / n), 12), np.inf)
+        for i, hole in enumerate(holes["k"].to_numpy()[start : start + chunk]):
+            limit = np.partition(d[i], min(k, len(ref)) - 1)[min(k, len(ref)) - 1]
+            near = np.flatnonzero((d[i] <= limit) & np.isfinite(d[i]))
+            near = near[np.lexsort((near, d[i][near]))][:k]
+            for name, values in (("k", [hole] * len(near)), ("d", d[i][near]), ("near", keys[near]), ("y", y[near])):
+                out[name].extend(values)
+    return pd.DataFrame(out)
 
 
 def run(df: DataFrame, strategies: dict[str, str], row_id: str | None = None) -> DataFrame:

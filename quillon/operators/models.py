@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from . import algebra
 from .moments import Gram, gram, merge
 from .profile import finite
+from .quantiles import exact_quantiles, nth_values
 
 
 def folds(df: DataFrame, key: str, k: int = 5, label: str | None = None, seed: int = 42) -> DataFrame:
@@ -22,16 +24,21 @@ def folds(df: DataFrame, key: str, k: int = 5, label: str | None = None, seed: i
     return df.withColumn("fold", F.pmod(F.xxhash64(*parts), F.lit(k)).cast("int"))
 
 
+def folded(df: DataFrame, columns: list[str], key: str, k: int, seed: int, fold: str | None) -> DataFrame:
+    """The columns with a fold: the one given, or by a hash of the key."""
+    return df.select(key, *columns, F.col(fold).cast("int").alias("fold")) if fold else folds(df.select(key, *columns), key, k, seed=seed)
+
+
 def stratifiable(df: DataFrame, label: str) -> bool:
     """Few integer classes and at least 20 rows."""
     n, classes, whole = df.agg(F.count("*"), F.approx_count_distinct(label), F.min(F.when(finite(label) == F.floor(finite(label)), 1).otherwise(0))).first()
     return bool(n >= 20 and whole and classes <= min(20, n // 8))
 
 
-def cross_validated(df: DataFrame, features: list[str], target: str, key: str, k: int = 5, ridge: float = 1e-6, label: str = "linear", seed: int = 42) -> DataFrame:
+def cross_validated(df: DataFrame, features: list[str], target: str, key: str, k: int = 5, ridge: float = 1e-6, label: str = "linear", seed: int = 42, fold: str | None = None) -> DataFrame:
     """Pooled RMSE and R^2 of (ridge) regression: one job for the statistics of all folds, k solves
     on the driver from total minus fold. The held-out error is a function of the fold's statistics."""
-    per = gram(folds(df.select(key, *features, target), key, k, seed=seed), [*features, target], fold="fold")
+    per = gram(folded(df, [*features, target], key, k, seed, fold), [*features, target], fold="fold")
     total = merge([per[f] for f in sorted(per)])
     sse, n, sst = 0.0, 0, float(total.cross[-1, -1])
     for g in per.values():
@@ -51,62 +58,89 @@ def cross_validated(df: DataFrame, features: list[str], target: str, key: str, k
     return df.sparkSession.createDataFrame([(label, n, rmse, 1 - sse / sst if sst > 0 else 0.0)], "model string, n long, rmse double, r2 double")
 
 
-def stump_fold_tables(df: DataFrame, features: list[str], target: str, weight: Column | None = None) -> list:
-    """Per fold: upper medians of the features over the other folds, and their one-split fits."""
-    w = weight if weight is not None else F.lit(1.0)
-    ks = sorted(r["fold"] for r in df.select("fold").distinct().collect())
-    cells = []
-    for f in ks:
-        for c in features:
-            v = F.when((F.col("fold") != f) & (w > 0), finite(c))
-            cells.append(F.percentile(v, F.lit(0.5)).alias(f"m{f}_{c}"))
-    med = df.agg(*cells).first()
-    cells = []
-    for f in ks:
-        train = (F.col("fold") != f) & (w > 0)
-        for c in features:
-            m = med[f"m{f}_{c}"]
-            left, y = train & (finite(c) <= F.lit(m)), finite(target)
-            right = train & (finite(c) > F.lit(m))
-            cells += [F.struct(F.sum(F.when(left, w)).alias("nl"), F.sum(F.when(left, w * y)).alias("sl"), F.sum(F.when(left, w * y * y)).alias("ql"), F.sum(F.when(right, w)).alias("nr"), F.sum(F.when(right, w * y)).alias("sr"), F.sum(F.when(right, w * y * y)).alias("qr")).alias(f"s{f}_{c}")]
-    fit = df.agg(*cells).first()
-    out = []
+def upper_medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
+    """The value at place n // 2 of each column's finite values."""
+    sizes = df.agg(*[F.count(finite(v)).alias(f"v{i}") for i, v in enumerate(columns.values())]).first()
+    ranks = {c: [n // 2] if n else [] for c, n in zip(columns, sizes, strict=True)}
+    found = nth_values(df, columns, ranks)
+    return {c: next(iter(found[c].values()), None) for c in columns}
+
+
+def split_predictions(data: DataFrame, features: list[str], target: str, medians: dict[tuple[int, str], float | None], bags: int = 1, weight: Callable[[Column], Column] | None = None) -> dict[tuple[int, int], float]:
+    """(fold, sides) -> prediction, the mean over bags of one-split fits on the other folds. ``sides`` has two
+    bits a feature: below or equal its median, above it, null.
+
+    Rows enter only through the sides they are on of every fold's medians, so one aggregate serves all folds, features and
+    bags; ``weight`` gives a row's weight in a bag.
+    """
+    ks = sorted({f for f, _ in medians})
+    bag = F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag")
+    rows = data.select("*", bag).withColumn("w", weight(F.col("bag")) if weight else F.lit(1.0)).where("w > 0")
+    y = finite(target)
+    keys = [sides(features, medians, f).alias(f"s{f}") for f in ks]
+    sums = rows.where(y.isNotNull()).groupBy("bag", "fold", *keys).agg(F.sum("w").alias("n"), F.sum(F.col("w") * y).alias("s"), F.sum(F.col("w") * y * y).alias("q")).collect()
+    total: dict[tuple[int, int], float] = {}
     for f in ks:
-        best = None
-        for c in features:
-            s = {k: v or 0.0 for k, v in fit[f"s{f}_{c}"].asDict().items()}
-            if not s["nl"] or not s["nr"]:
-                continue
-            sse = s["ql"] - s["sl"] ** 2 / s["nl"] + s["qr"] - s["sr"] ** 2 / s["nr"]
-            if best is None or sse < best[0]:
-                best = (sse, c, med[f"m{f}_{c}"], s["sl"] / s["nl"], s["sr"] / s["nr"])
-        out.append((f, best))
-    return out
-
-
-def stump(df: DataFrame, features: list[str], target: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """One split a fold at a feature's median, the feature with the least error; pooled errors."""
-    data = folds(df.select(key, *features, target), key, k, seed=seed)
-    pred = F.lit(None).cast("double")
-    for f, best in stump_fold_tables(data, features, target):
-        if best:
-            pred = F.when(F.col("fold") == f, F.when(finite(best[1]) <= F.lit(best[2]), F.lit(best[3])).otherwise(F.lit(best[4]))).otherwise(pred)
-    return errors(data, pred, target, "decision stump")
-
-
-def bagged_stumps(df: DataFrame, features: list[str], target: str, key: str, k: int = 5, bags: int = 25, seed: int = 42) -> DataFrame:
-    """Mean of ``bags`` stumps a fold, each on Poisson weights drawn from a hash of the key."""
-    data = folds(df.select(key, *features, target), key, k, seed=seed)
-    total = F.lit(0.0)
-    for b in range(bags):
-        u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(b)), F.lit(1000)) / 1000.0
-        w = F.when(u < 0.368, 0.0).when(u < 0.736, 1.0).when(u < 0.920, 2.0).otherwise(3.0)
-        pred = F.lit(None).cast("double")
-        for f, best in stump_fold_tables(data, features, target, w):
+        for b in range(bags):
+            part = [r for r in sums if r["bag"] == b and r["fold"] != f]
+            best = None
+            for i in range(len(features)):
+                halves = np.zeros((2, 3))
+                for r in part:
+                    side = r[f"s{f}"] >> 2 * i & 3
+                    if side < 2:
+                        halves[side] += (r["n"], r["s"], r["q"])
+                if not halves[:, 0].all():
+                    continue
+                sse = float((halves[:, 2] - halves[:, 1] ** 2 / halves[:, 0]).sum())
+                if best is None or sse < best[0]:
+                    best = (sse, i, halves[:, 1] / halves[:, 0])
             if best:
-                pred = F.when(F.col("fold") == f, F.when(finite(best[1]) <= F.lit(best[2]), F.lit(best[3])).otherwise(F.lit(best[4]))).otherwise(pred)
-        total = total + pred
-    return errors(data, total / bags, target, "bagged stumps")
+                for code in {r[f"s{f}"] for r in sums if r["fold"] == f}:
+                    total[f, code] = total.get((f, code), 0.0) + float(best[2][min(1, code >> 2 * best[1] & 3)]) / bags
+    return total
+
+
+def sides(features: list[str], medians: dict[tuple[int, str], float | None], f: int) -> Column:
+    """Two bits a feature: 0 up to the median of fold ``f``, 1 above it, 2 where the value is null."""
+    def side(c: str) -> Column:
+        m = F.lit(medians[f, c]).cast("double")
+        return F.when(finite(c) <= m, 0).when(finite(c) > m, 1).otherwise(2)
+
+    return sum((side(c) * (1 << 2 * i) for i, c in enumerate(features)), F.lit(0)).cast("long")
+
+
+def split_model(data: DataFrame, features: list[str], target: str, label: str, bags: int = 1, weight: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pooled errors of one-split fits at the upper medians of the training folds."""
+    ks = sorted(r["fold"] for r in data.select("fold").distinct().collect())
+    names = {f"f{f}_{i}": (f, c) for f in ks for i, c in enumerate(features)}
+    found = upper_medians(data, {n: F.when(F.col("fold") != f, finite(c)) for n, (f, c) in names.items()})
+    medians = {names[n]: m for n, m in found.items()}
+    predictions = split_predictions(data, features, target, medians, bags, weight)
+    y, own = finite(target), F.coalesce(*[F.when(F.col("fold") == f, sides(features, medians, f)) for f in ks])
+    rows = data.where(y.isNotNull()).groupBy("fold", own.alias("side")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")).collect()
+    rows = [r for r in rows if (r["fold"], r["side"]) in predictions]
+    n, total, squares = (sum(r[c] for r in rows) for c in "nsq")
+    sse = sum(r["q"] - 2 * predictions[r["fold"], r["side"]] * r["s"] + r["n"] * predictions[r["fold"], r["side"]] ** 2 for r in rows)
+    sst = squares - total * total / n if n else 0.0
+    result = (label, n, math.sqrt(max(0.0, sse) / n) if n else None, float(1 - sse / sst) if sst > 0 else None)
+    return data.sparkSession.createDataFrame([result], "model string, n long, rmse double, r2 double")
+
+
+def stump(df: DataFrame, features: list[str], target: str, key: str, k: int = 5, seed: int = 42, fold: str | None = None) -> DataFrame:
+    """One split a fold at a feature's upper median, the feature with the least error; pooled errors."""
+    return split_model(folded(df, [*features, target], key, k, seed, fold), features, target, "decision stump")
+
+
+def bagged_stumps(df: DataFrame, features: list[str], target: str, key: str, k: int = 5, bags: int = 25, seed: int = 42, fold: str | None = None) -> DataFrame:
+    """Mean of ``bags`` stumps a fold, each on Poisson weights drawn from a hash of the key. All split
+    at the training folds' medians, so that one pass over the rows serves all bags."""
+
+    def weight(bag: Column) -> Column:
+        u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), bag), F.lit(1000)) / 1000.0
+        return F.when(u < 0.368, 0.0).when(u < 0.736, 1.0).when(u < 0.920, 2.0).otherwise(3.0)
+
+    return split_model(folded(df, [*features, target], key, k, seed, fold), features, target, "bagged stumps", bags, weight)
 
 
 def errors(df: DataFrame, prediction: Column, target: str, model: str) -> DataFrame:
@@ -121,12 +155,12 @@ def accuracy(df: DataFrame, prediction: str, target: str) -> DataFrame:
     return df.agg(F.avg(F.when((finite(prediction) >= 0.5) == (finite(target) >= 0.5), 1.0).otherwise(0.0)).alias("accuracy"), F.count("*").alias("n"))
 
 
-def benchmark(df: DataFrame, features: list[str], targets: list[str], key: str, k: int = 5) -> DataFrame:
+def benchmark(df: DataFrame, features: list[str], targets: list[str], key: str, k: int = 5, fold: str | None = None) -> DataFrame:
     """Mean RMSE and R^2 of each model over the targets."""
     out = None
     for t in targets:
         use = [c for c in features if c != t]
-        for one in (cross_validated(df, use, t, key, k), cross_validated(df, use, t, key, k, ridge=1.0, label="ridge"), stump(df, use, t, key, k)):
+        for one in (cross_validated(df, use, t, key, k, fold=fold), cross_validated(df, use, t, key, k, ridge=1.0, label="ridge", fold=fold), stump(df, use, t, key, k, fold=fold)):
             out = one if out is None else out.unionByName(one)
     return out.groupBy("model").agg(F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), F.count("*").alias("targets"))
 
@@ -135,8 +169,8 @@ def psi(df: DataFrame, column: str, reference: Column, bins: int = 5) -> DataFra
     """Population stability index of the monitor rows against quantile bins of the reference rows;
     needs 16 rows of each and three distinct edges."""
     v = finite(column)
-    cuts = df.agg(F.percentile(F.when(reference, v), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0] or []
-    edges = sorted(set(cuts))
+    cuts = exact_quantiles(df, {column: F.when(reference, v)}, [i / bins for i in range(bins + 1)])[column]
+    edges = sorted({x for x in cuts.values() if x is not None})
     if len(edges) < 3:
         return df.sparkSession.createDataFrame([], "column_name string, psi double, band string")
     number = sum((F.when(v >= F.lit(e), 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
@@ -186,21 +220,40 @@ def out_of_distribution(df: DataFrame, columns: list[str], row_id: str, share: f
     return spark.createDataFrame([(row[0], row[1], row[2], rate, float(row[3] or 0.0), float(row[4] or 0.0), mean, most_psi, band)], schema)
 
 
-def kmeans(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5, 6), seed: int = 42) -> DataFrame:
-    """Silhouette and cost of k-means on standardised columns for each k; the best one is marked."""
+def kmeans(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5, 6), seed: int = 42, references: int = 4, reference_rows: int = 5000) -> DataFrame:
+    """Silhouette, cost and gap of k-means on standardised columns for each k; the best one is marked.
+
+    The gap is the mean log of the cost a row on ``references`` tables drawn evenly from the columns' ranges, less
+    the log of the table's own. A cost a row hardly depends on the number of rows, so those tables have at
+    most ``reference_rows``.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.storagelevel import StorageLevel
 
     raw = VectorAssembler(inputCols=columns, outputCol="__raw", handleInvalid="skip").transform(df.select(*[finite(c).alias(c) for c in columns]))
-    data = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features").cache()
-    rows = []
+    data = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    at = [vector_to_array("features")[i] for i in range(len(columns))]
+    n, *ends = data.agg(F.count("*"), *[f(x) for x in at for f in (F.min, F.max)]).first()
+    spans = list(zip(ends[::2], ends[1::2], strict=True))
+    fit = lambda rows, k: KMeans(k=k, seed=seed, maxIter=20).fit(rows)
+    even = []
+    for i in range(references):
+        drawn = df.sparkSession.range(min(n, reference_rows)).select(*[(F.lit(a) + F.rand(seed + 100 * i + j) * (b - a)).alias(f"c{j}") for j, (a, b) in enumerate(spans)])
+        even.append(VectorAssembler(inputCols=[f"c{j}" for j in range(len(spans))], outputCol="features").transform(drawn).select("features").persist(StorageLevel.MEMORY_AND_DISK))
+    each = lambda cost, rows: math.log(max(cost, 1e-12) / rows)
+    out = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=20).fit(data)
-        rows.append((k, float(ClusteringEvaluator().evaluate(model.transform(data))), float(model.summary.trainingCost)))
-    data.unpersist()
-    best = max(r[1] for r in rows)
-    return df.sparkSession.createDataFrame([(*r, r[1] == best) for r in rows], "k int, silhouette double, cost double, best boolean")
+        model = fit(data, k)
+        cost = float(model.summary.trainingCost)
+        expected = [each(fit(e, k).summary.trainingCost, min(n, reference_rows)) for e in even]
+        out.append((k, float(ClusteringEvaluator().evaluate(model.transform(data))), cost, sum(expected) / max(1, references) - each(cost, n)))
+    for x in (data, *even):
+        x.unpersist()
+    best = max(r[1] for r in out)
+    return df.sparkSession.createDataFrame([(*r, r[1] == best) for r in out], "k int, silhouette double, cost double, gap double, best boolean")
 
 
 def sampled(df: DataFrame, rows: int, key: str, seed: int = 42) -> DataFrame:

@@ -267,9 +267,9 @@ def sensitivity(net: Network, x: np.ndarray, y: np.ndarray, rows: int = 256, fea
     return out / out.sum() if out.sum() > 0 else out
 
 
-def integrated_gradients(net: Network, x: np.ndarray, steps: int = 16) -> np.ndarray:
+def integrated_gradients(net: Network, x: np.ndarray, steps: int = 16, rows: int = 256) -> np.ndarray:
     """Mean |attribution| of each input along the path from the mean row, by finite differences."""
-    z = (x - net.x_mean) / net.x_scale
+    z = ((x - net.x_mean) / net.x_scale)[:rows]
     out = np.zeros(z.shape[1])
     for j in range(z.shape[1]):
         total = np.zeros(len(z))

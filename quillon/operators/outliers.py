@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import finite
+from . import quantiles
+from .profile import deviations, finite, running_counts
 
 METHODS = ("iqr", "zscore", "modified_z", "adjusted_boxplot", "lof")
 ACTIONS = ("flag", "remove", "cap")
@@ -16,17 +17,12 @@ def fences(df: DataFrame, columns: list[str], method: str = "iqr", multiplier: f
 
     Every rule but LOF is an interval, so detection is a predicate on the row.
     """
-    cells = []
-    for c in columns:
-        v = finite(c)
-        cells.append(F.struct(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_samp(v).alias("s"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).alias(c))
-    row = df.agg(*cells).first()
+    row = df.agg(*[F.struct(F.count(finite(c)).alias("n"), F.avg(finite(c)).alias("m"), F.stddev_samp(finite(c)).alias("s")).alias(c) for c in columns]).first()
+    cuts = {} if method == "zscore" else quantiles.exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     out: dict[str, tuple[float, float] | None] = {}
-    med_dev = {}
-    if method == "modified_z":
-        med_dev = df.agg(*[F.median(F.abs(finite(c) - F.lit(row[c]["q"][1] if row[c]["q"] else None))).alias(c) for c in columns]).first()
+    med_dev = deviations(df, columns, {c: cuts[c][0.5] for c in columns}) if method == "modified_z" else {}
     for c in columns:
-        n, m, s, q = row[c]["n"], row[c]["m"], row[c]["s"], row[c]["q"]
+        n, m, s, q = row[c]["n"], row[c]["m"], row[c]["s"], list(cuts[c].values()) if cuts else None
         out[c] = None
         if method == "iqr" and n >= 4:
             r = q[2] - q[0]
@@ -98,8 +94,7 @@ def lof(df: DataFrame, column: str, key: str, k: int = 20, threshold: float = 1.
     if use < 1:
         return df.select(key, F.lit(None).cast("double").alias("lof"), F.lit(False).alias("outlier"))
     values = df.select(v.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    parts = max(1, values.count() // 100_000)
-    ranks = values.withColumn("r", F.row_number().over(Window.orderBy("v")) - 1) if parts == 1 else _ranked(values, parts)
+    ranks = _ranked(values)
     block, reach = 100_000, 3 * use
     home = F.floor(F.col("r") / block)
     near = F.explode(F.array_distinct(F.array(home, F.floor(F.greatest(F.lit(0), F.col("r") - reach) / block), F.floor((F.col("r") + reach) / block)))).alias("block")
@@ -111,14 +106,10 @@ def lof(df: DataFrame, column: str, key: str, k: int = 20, threshold: float = 1.
     return df.select(F.col(key), v.alias("v")).join(scored, "v", "left").select(key, "lof", (F.coalesce("lof", F.lit(0.0)) > threshold).alias("outlier"))
 
 
-def _ranked(values: DataFrame, parts: int) -> DataFrame:
-    """Row numbers in order of v from range partitions and their running counts."""
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    width = (high - low) or 1.0
-    placed = values.withColumn("bucket", F.least(F.lit(4095), F.floor((F.col("v") - low) / width * 4096)))
-    heads = placed.groupBy("bucket").agg(F.count("*").alias("here"))
-    starts = heads.select("bucket", (F.sum("here").over(Window.orderBy("bucket")) - F.col("here")).alias("before"))
-    return placed.join(F.broadcast(starts), "bucket").select("v", "n", (F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("v")) - 1).alias("r"))
+def _ranked(values: DataFrame) -> DataFrame:
+    """Row numbers of distinct values in their order."""
+    places = running_counts(values, F.col("v")).select("v", (F.col("upto") - 1).alias("r"))
+    return values.join(places, "v").select("v", "n", "r")
 
 
 def local_outlier_factors(pdf, k: int, block: int):
@@ -169,7 +160,7 @@ def mahalanobis(df: DataFrame, columns: list[str], key: str, quantile: float = 0
     dev = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, g.mean, strict=True)]
     d2 = sum((dev[i] * dev[j] * float(inverse[i, j]) for i in range(len(columns)) for j in range(len(columns))), F.lit(0.0))
     scored = df.select(F.col(key), d2.alias("d2")).where("d2 is not null")
-    limit = scored.agg(F.percentile("d2", F.lit(quantile))).first()[0]
+    limit = quantiles.exact_quantiles(scored, ["d2"], [quantile])["d2"][quantile]
     return scored.where(F.col("d2") >= F.lit(limit)).orderBy(F.desc("d2"), key).limit(top).withColumn("threshold", F.lit(limit))
 
 
@@ -181,7 +172,7 @@ def outlier_context(df: DataFrame, segment: str, columns: list[str], key: str, m
     for c in columns:
         any_flag = any_flag | F.col(f"{c}_outlier")
     stats = df.groupBy(segment).agg(F.count("*").alias("__n"), *[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__s_{c}") for c in columns]).where(F.col("__n") >= least)
-    joined = flagged.where(any_flag).join(F.broadcast(stats), segment)
+    joined = flagged.where(any_flag).join(stats, segment)  # a row a segment: the planner broadcasts it if it is small
     zs = F.array(*[F.struct(F.abs(F.coalesce((F.col(c) - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0)), F.lit(0.0))).alias("z"), F.lit(c).alias("c")) for c in columns])
     ordered = F.sort_array(zs, asc=False)
     return joined.select(

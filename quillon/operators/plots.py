@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import t_critical
-from . import profile, relate
+from . import profile, quantiles, relate
 from .models import evenly
 from .profile import finite
 
@@ -46,7 +46,14 @@ def box(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     v = finite(column)
     key = F.col(by).cast("string") if by else F.lit("all")
     rows = df.select(key.alias("level"), v.alias("v")).where("v is not null")
-    q = rows.groupBy("level").agg(F.count("*").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    sizes = rows.groupBy("level").agg(F.count("*").alias("n"))
+    large = [r["level"] for r in sizes.where(F.col("n") > quantiles.SINGLE_PASS_VALUES).collect()]  # as many as the rows allow
+    q = rows.where(~F.col("level").isin(large)).groupBy("level").agg(F.count("*").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    if large:
+        names = {x: f"l{i}" for i, x in enumerate(large)}
+        cuts = quantiles.exact_quantiles(rows, {names[x]: F.when(F.col("level") == x, F.col("v")) for x in large}, [0.25, 0.5, 0.75])
+        listed = df.sparkSession.createDataFrame([(x, list(cuts[names[x]].values())) for x in large], "level string, q array<double>")
+        q = q.unionByName(sizes.join(F.broadcast(listed), "level").select("level", "n", "q"))
     q = q.select("level", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = rows.join(F.broadcast(q), "level").where((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))

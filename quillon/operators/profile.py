@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import tokens
+from . import quantiles
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -23,10 +26,7 @@ def datetime_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.DateType, T.TimestampNTZType))]
 
 
-def finite(c: str | Column) -> Column:
-    """The value as a double; null where it is NaN or infinite."""
-    v = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.when(F.abs(v) < float("inf"), v)
+finite = quantiles.number
 
 
 def sample_skewness(v: Column) -> Column:
@@ -48,12 +48,12 @@ def _long(wide: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, variance, stddev, skewness, kurtosis, min, max, sum, nonzero, quantiles,
-    geometric and harmonic means of each column's finite values, in one pass."""
-    cells, fields = [], []
+    geometric and harmonic means of each column's finite values, in one pass beside that of the quantiles."""
+    cells, fields, cuts = [], [], quantiles.exact_quantiles(df, columns, PROBS)
     for c in columns:
         v = finite(c)
         n = F.count(v)
-        q = F.percentile(v, F.array(*[F.lit(p) for p in PROBS]))
+        q = [F.lit(cuts[c][p]).cast("double") for p in PROBS]
         positive = F.min(v) > 0
         safe = F.when(v > 0, v)
         values = {
@@ -82,9 +82,13 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def mad(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median absolute deviation from the median, unscaled."""
-    med = df.agg(*[F.median(finite(c)).alias(c) for c in columns]).first()
-    cells = [F.struct(F.median(F.abs(finite(c) - F.lit(med[c]))).alias("mad")).alias(c) for c in columns]
-    return _long(df.agg(*cells), columns, ["mad"])
+    found = deviations(df, columns, quantiles.medians(df, columns))
+    return df.sparkSession.createDataFrame([(c, found[c]) for c in columns], "column_name string, mad double")
+
+
+def deviations(df: DataFrame, columns: list[str], centres: dict[str, float | None]) -> dict[str, float | None]:
+    """Medians of the absolute deviations from a centre."""
+    return quantiles.medians(df, {c: F.abs(finite(c) - F.lit(centres[c]).cast("double")) for c in columns})
 
 
 def trimmed_mean(df: DataFrame, columns: list[str], share: float = 0.1) -> DataFrame:
@@ -93,8 +97,6 @@ def trimmed_mean(df: DataFrame, columns: list[str], share: float = 0.1) -> DataF
     Two order statistics bound what is kept; values strictly between them all count, and of those
     equal to a bound as many as the trim leaves. So it is selections and sums, not a ranking.
     """
-    from .quantiles import order_statistics
-
     sizes = df.agg(*[F.count(finite(c)).alias(c) for c in columns]).first()
     cells = []
     for c in columns:
@@ -103,7 +105,7 @@ def trimmed_mean(df: DataFrame, columns: list[str], share: float = 0.1) -> DataF
             cells.append(F.struct(F.lit(None).cast("double").alias("trimmed_mean"), F.lit(0).cast("long").alias("n_kept")).alias(c))
             continue
         k = int(n * share)
-        found = order_statistics(df.select(v.alias(c)), c, sorted({k, n - 1 - k}), n)
+        found = quantiles.order_statistics(df.select(v.alias(c)), c, sorted({k, n - 1 - k}), n)
         lo, hi, kept = found[k], found[n - 1 - k], n - 2 * k
         between = F.coalesce(F.sum(F.when((v > lo) & (v < hi), v)), F.lit(0.0))
         ends = F.lit(lo) * (F.count(F.when(v <= lo, 1)) - k) + F.lit(hi) * (F.count(F.when(v >= hi, 1)) - k)
@@ -113,9 +115,10 @@ def trimmed_mean(df: DataFrame, columns: list[str], share: float = 0.1) -> DataF
 
 
 def rounded_mode(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """The most frequent value after rounding; the smallest of ties."""
-    cells = [F.struct(F.mode(F.round(finite(c), digits), True).alias("mode_value")).alias(c) for c in columns]
-    return _long(df.agg(*cells), columns, ["mode_value"])
+    """The most frequent value after rounding; the smallest of ties. Null for a column without values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.round(finite(c), digits).alias("v")) for c in columns])).alias("x")).select("x.*")
+    counts = long.groupBy("column_name", "v").agg(F.count("v").alias("n"))
+    return counts.groupBy("column_name").agg(F.max(F.struct("n", (-F.col("v")).alias("v")))["v"].alias("v")).select("column_name", (0.0 - F.col("v")).alias("mode_value"))
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -191,8 +194,6 @@ def surprise(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> Data
 def bin_count(n: int, low: float, high: float, iqr: float, sd: float) -> int:
     """Sturges where the span is 120 times the spread or more, else Freedman-Diaconis, else Scott;
     5 to 96 bins."""
-    import math
-
     span = high - low
     sturges = max(5, min(96, math.ceil(math.log2(max(2, n)) + 1)))
     if n < 2 or span <= 1e-12:
@@ -206,62 +207,69 @@ def bin_count(n: int, low: float, high: float, iqr: float, sd: float) -> int:
 def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
     """Counts in equal-width bins; the last one is closed."""
     v = finite(column)
-    s = df.agg(F.count(v), F.min(v), F.max(v), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))), F.stddev_samp(v)).first()
+    s = df.agg(F.count(v), F.min(v), F.max(v), F.stddev_samp(v)).first()
     if not s[0]:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
-    k = bins or bin_count(s[0], s[1], s[2], s[3][1] - s[3][0], s[4] or 0.0)
+    q = None if bins else quantiles.exact_quantiles(df, [column], [0.25, 0.75])[column]
+    k = bins or bin_count(s[0], s[1], s[2], q[0.75] - q[0.25], s[3] or 0.0)
     width = (s[2] - s[1]) / k or 1.0
     number = F.least(F.lit(k - 1), F.floor((F.col("v") - s[1]) / width)).cast("int")
     counts = df.select(v.alias("v")).where("v is not null").groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
     return counts.select("bin", (s[1] + F.col("bin") * width).alias("low"), (s[1] + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def kde(df: DataFrame, column: str, points: int = 160) -> DataFrame:
-    """Gaussian kernel density on an even grid, from 80 values on; the grid side is fixed-size."""
-    import math
+def kde(df: DataFrame, column: str, points: int = 160, bins: int = 1 << 16) -> DataFrame:
+    """Gaussian kernel density on an even grid, from 80 values on.
 
+    Rows become counts and means of ``bins`` narrow bins, which the grid's side then sums over. A bin of width w
+    changes its part of the density by less than (w / h)^2 / 8 of the kernel's peak, h the bandwidth; columns with
+    fewer distinct values than bins are exact.
+    """
     v = finite(column)
-    n, low, high, sd, q = df.agg(F.count(v), F.min(v), F.max(v), F.stddev_samp(v), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))).first()
-    spread = min(x for x in (sd or 0, (q[1] - q[0]) / 1.34 if q else 0) if x > 0) if n and (sd or 0) > 0 else 0.0
+    n, low, high, sd = df.agg(F.count(v), F.min(v), F.max(v), F.stddev_samp(v)).first()
+    q = quantiles.exact_quantiles(df, [column], [0.25, 0.75])[column] if n >= 80 and sd else None
+    spread = min(x for x in (sd, (q[0.75] - q[0.25]) / 1.34) if x > 0) if q else 0.0
     if n < 80 or spread <= 0:
         return df.sparkSession.createDataFrame([], "x double, density double")
     h = 1.06 * spread * n**-0.2
     step = (high - low) / (points - 1)
+    place = F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / (high - low) * bins))
+    narrow = df.select(v.alias("v")).where("v is not null").groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
     grid = [low + i * step for i in range(points)]
     # One aggregate with a sum a grid point: no row is multiplied.
-    sums = [F.sum(F.exp(-0.5 * ((v - x) / h) ** 2)).alias(f"g{i}") for i, x in enumerate(grid)]
-    row = df.agg(*sums)
+    row = narrow.agg(*[F.sum(F.col("n") * F.exp(-0.5 * ((F.col("m") - x) / h) ** 2)).alias(f"g{i}") for i, x in enumerate(grid)])
     cells = F.array(*[F.struct(F.lit(x).alias("x"), (F.col(f"g{i}") / (n * h * math.sqrt(2 * math.pi))).alias("density")) for i, x in enumerate(grid)])
     return row.select(F.explode(cells).alias("p")).select("p.*")
 
 
-def ecdf(df: DataFrame, column: str, buckets: int = 1024) -> DataFrame:
-    """Cumulative per cent at each distinct value. Equal-width buckets are summed first, so ranking
+def ecdf(df: DataFrame, column: str) -> DataFrame:
+    """Cumulative per cent at each distinct value. Buckets of even depth are summed first, so ranking
     stays inside a bucket and only their bounded table is ordered in one task."""
-    values = df.select(finite(column).alias("v")).where("v is not null")
-    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    counts = values.groupBy("v").agg(F.count("*").alias("n"))
-    if not total:
-        return counts.select("v", "n", F.lit(0.0).alias("percent"))
-    width = (high - low) or 1.0
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("v") - low) / width * buckets)).alias("bucket")
-    heads = values.groupBy(bucket).agg(F.count("*").alias("here"))
+    counts = running_counts(df, finite(column))
+    total = df.agg(F.count(finite(column))).first()[0]
+    return counts.select("v", "n", (100.0 * F.col("upto") / max(1, total)).alias("percent"))
+
+
+def running_counts(df: DataFrame, value: Column) -> DataFrame:
+    """(v, n, upto): each distinct value, its rows, and the rows up to it in order of value."""
+    values = df.select(value.alias("v")).where("v is not null")
+    cuts = quantiles.even_cuts(values, F.col("v"))
+    counts = quantiles.with_bucket(values.groupBy("v").agg(F.count("*").alias("n")), F.col("v"), cuts, "bucket")
+    heads = quantiles.with_bucket(values, F.col("v"), cuts, "bucket").groupBy("bucket").agg(F.count("*").alias("here"))
+    # one row a bucket: the only window without a key
     starts = heads.select("bucket", (F.sum("here").over(Window.orderBy("bucket")) - F.col("here")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("v"))
-    return counts.select("v", "n", bucket).join(F.broadcast(starts), "bucket").select("v", "n", (100.0 * (F.col("before") + inside) / total).alias("percent"))
+    return counts.select("v", "n", inside.alias("inside"), "bucket").join(F.broadcast(starts), "bucket").select("v", "n", (F.col("before") + F.col("inside")).alias("upto"))
 
 
 def qq_points(df: DataFrame, column: str, points: int = 100, family: str = "normal") -> DataFrame:
     """Theoretical and sample quantiles at (i + 0.5) / points."""
-    import math
-
     from ..functions.special import probit
-    from .quantiles import exact_quantiles
 
     v = finite(column)
     mean, sd = df.agg(F.avg(v), F.stddev_samp(v)).first()
     probs = [(i + 0.5) / points for i in range(points)]
-    sample = exact_quantiles(df, [column], probs)[column]
+    sample = quantiles.exact_quantiles(df, [column], probs)[column]
     theory = (lambda p: mean + (sd or 0.0) * probit(p)) if family == "normal" else (lambda p: -(mean or 0.0) * math.log1p(-p))
     rows = [(p, float(theory(p)), float(sample[p])) for p in probs if sample[p] is not None]
     return df.sparkSession.createDataFrame(rows, "p double, theoretical double, sample double")
@@ -291,7 +299,7 @@ def bootstrap_mean_ci(df: DataFrame, column: str, key: str, rounds: int = 300, l
     row = df.select(F.col(column), F.col(key)).agg(*means)
     each = row.select(F.explode(F.array(*[F.col(f"m{b}") for b in range(rounds)])).alias("m"))
     tail = (1 - level) / 2
-    q = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
+    q = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))  # of one value a round
     return each.agg(F.avg("m").alias("mean"), q[0].alias("low"), q[1].alias("high"))
 
 
@@ -302,8 +310,6 @@ def share(part: float, whole: float) -> float:
 def health_score(cells: int, missing: int, columns: int, numeric: int, retained: int, pairs: int, significant: int, selected: int, stability: float, psi_mean: float = 0.0, band: str = "stable") -> tuple[float, str]:
     """Weighted data-health score (0 to 100) and its band. Yields are logarithmic, against a quarter
     and a tenth of the pairs; drift takes a share of the score away."""
-    import math
-
     c = lambda x: min(1.0, max(0.0, x))
     found = lambda k, part: c(share(math.log1p(k), math.log1p(max(1, pairs // part)))) if pairs else 0.0
     score = 0.30 * (1 - share(missing, max(1, cells))) + 0.10 * share(numeric, max(1, columns)) + 0.15 * share(retained, numeric - 1 if numeric else 0) + 0.20 * found(significant, 4) + 0.15 * found(selected, 10) + 0.10 * stability

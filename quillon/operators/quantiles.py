@@ -1,71 +1,132 @@
-"""Exact interpolated quantiles at any size.
-
-``percentile`` keeps a count for each distinct value of a column in one buffer, which is right up
-to some ten million values. Beyond, ranks are found by narrowing: each pass cuts the value interval
-of every open rank into 4096 bins and counts them, with the least and greatest value of each bin.
-The bin that holds the rank is the next interval; since its ends are values of the column, a bin
-whose ends are equal is the answer and every other one splits again. A pass returns a bounded table
-and no task holds more than the bins.
+"""Exact order statistics at any size, and buckets of even depth.
+
+``percentile`` keeps a count for each distinct value of a column in one buffer, which is right for
+small tables. Beyond, ranks are found by narrowing: each pass cuts the value interval of every open
+rank into 4096 bins and counts them, for all columns together, with the least and greatest value of
+each bin. The bin that holds the rank is the next interval; since its ends are values of the column, a bin
+whose ends are equal is the answer. Once the open intervals hold few values these are listed. A
+pass returns a bounded table and no task holds more than the bins.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values up to which the single-pass aggregate is used.
-SINGLE_PASS_VALUES = 20_000_000
+#: Values of a column up to which the single-pass aggregate is used.
+SINGLE_PASS_VALUES = 100_000
 BINS = 4096
+#: Values in open intervals that are listed instead of cut again.
+LISTED = 100_000
+#: Buckets of even depth, as two digits of this base.
+BASE = 32
+
+Columns = list[str] | dict[str, Column]
+
+
+def number(c: str | Column) -> Column:
+    """The value as a double; null where it is NaN or infinite."""
+    v = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(F.abs(v) < float("inf"), v)
+
+
+def named(columns: Columns) -> dict[str, Column]:
+    return {c: number(c) for c in columns} if isinstance(columns, list) else {c: number(v) for c, v in columns.items()}
+
 
+def nth_values(df: DataFrame, columns: Columns, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    """The values at 0-based ranks among each column's finite values."""
+    exprs = {c: v for c, v in named(columns).items() if ranks.get(c)}
+    if not exprs:
+        return {c: {} for c in ranks}
+    names = list(exprs)
+    clean = df.select(*[v.alias(f"v{i}") for i, v in enumerate(exprs.values())])
+    row = clean.agg(*[F.struct(F.count(f"v{i}"), F.min(f"v{i}"), F.max(f"v{i}")).alias(f"v{i}") for i in range(len(names))]).first()
+    # (column, rank) -> values below the interval, its ends, values inside
+    spans = {(i, r): (0, row[i][1], row[i][2], row[i][0]) for i, c in enumerate(names) for r in ranks[c]}
+    while open_ := sorted({(k[0], s[1], s[2], s[3]) for k, s in spans.items() if s[1] < s[2]}):
+        listing = sum(n for *_, n in open_) <= LISTED
+        cells = []
+        for i in sorted({i for i, *_ in open_}):
+            v, which, share = F.col(f"v{i}"), None, None
+            for j, (_, a, b, _) in ((j, s) for j, s in enumerate(open_) if s[0] == i):
+                inside = v.between(F.lit(a), F.lit(b))
+                part = (v / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2)
+                which = F.when(inside, j) if which is None else which.when(inside, j)
+                share = F.when(inside, part) if share is None else share.when(inside, part)
+            cells.append(F.struct(which.alias("j"), (F.lit(0) if listing else F.least(F.lit(BINS - 1), F.floor(share * BINS))).alias("bin"), v.alias("v")))
+        each = clean.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("j is not null")
+        if listing:
+            found = [(r["j"], r["n"], r["v"], r["v"]) for r in each.groupBy("j", "v").agg(F.count("*").alias("n")).collect()]
+        else:
+            found = [(r["j"], r["n"], r["lo"], r["hi"]) for r in each.groupBy("j", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()]
+        bins: dict[int, list] = {}
+        for j, n, lo, hi in found:
+            bins.setdefault(j, []).append((lo, hi, n))
+        for key, (below, a, b, n) in list(spans.items()):
+            if a == b:
+                continue
+            for lo, hi, count in sorted(bins[open_.index((key[0], a, b, n))]):
+                if key[1] < below + count:
+                    spans[key] = (below, lo, hi, count)
+                    break
+                below += count
+    return {c: {r: spans[(names.index(c), r)][1] for r in ranks[c]} if c in exprs else {} for c in ranks}
 
-def nth_values(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
-    """The values at 0-based ranks among a column's values that are neither null nor NaN."""
-    clean = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    low, high = clean.agg(F.min("v"), F.max("v")).first()
-    # rank -> (values below the interval, its ends)
-    spans = dict.fromkeys(ranks, (0, low, high))
-    while open_ := {s for s in spans.values() if s[1] < s[2]}:
-        cut = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for _, a, b in sorted(open_)])).alias("s")
-        inside = clean.select("v", cut).where("v >= s.a and v <= s.b")
-        share = (F.col("v") / 2 - F.col("s.a") / 2) / (F.col("s.b") / 2 - F.col("s.a") / 2)
-        bins = inside.groupBy("s.a", "s.b", F.least(F.lit(BINS - 1), F.floor(share * BINS)).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        found = {s: sorted((r["bin"], r["n"], r["lo"], r["hi"]) for r in bins if (r["a"], r["b"]) == s[1:]) for s in open_}
-        for rank, span in spans.items():
-            if span in found:
-                below = span[0]
-                for _, n, lo, hi in found[span]:
-                    if rank < below + n:
-                        spans[rank] = (below, lo, hi)
-                        break
-                    below += n
-    return {r: a for r, (_, a, _) in spans.items()}
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], single_pass: int = SINGLE_PASS_VALUES) -> dict[str, dict[float, float | None]]:
-    """Interpolated quantiles at position p * (n - 1) of each column; null for an empty one."""
-    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    sizes = df.agg(*[F.count(v).alias(c) for c, v in clean.items()]).first()
-    out: dict[str, dict[float, float | None]] = {c: dict.fromkeys(probs) for c in columns}
-    small = [c for c in columns if 0 < sizes[c] <= single_pass]
+
+def exact_quantiles(df: DataFrame, columns: Columns, probs: list[float], single_pass: int | None = None) -> dict[str, dict[float, float | None]]:
+    """Interpolated quantiles at position p * (n - 1) of each column's finite values; null for an empty one."""
+    limit = SINGLE_PASS_VALUES if single_pass is None else single_pass
+    exprs = named(columns)
+    if not exprs:
+        return {}
+    sizes = df.agg(*[F.count(v).alias(f"v{i}") for i, v in enumerate(exprs.values())]).first()
+    size = dict(zip(exprs, sizes, strict=True))
+    out: dict[str, dict[float, float | None]] = {c: dict.fromkeys(probs) for c in exprs}
+    small = [c for c in exprs if 0 < size[c] <= limit]
     if small:
-        row = df.agg(*[F.percentile(clean[c], F.array(*[F.lit(p) for p in probs])).alias(c) for c in small]).first()
-        out |= {c: dict(zip(probs, row[c], strict=True)) for c in small}
-    for c in columns:
-        if sizes[c] > single_pass:
-            at = {p: p * (sizes[c] - 1) for p in probs}
-            found = nth_values(df, c, sorted({r for x in at.values() for r in (math.floor(x), math.ceil(x))}))
-            out[c] = {p: found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for p, x in at.items()}
+        row = df.agg(*[F.percentile(exprs[c], F.array(*[F.lit(float(p)) for p in probs])).alias(f"v{i}") for i, c in enumerate(small)]).first()
+        out |= {c: dict(zip(probs, row[i], strict=True)) for i, c in enumerate(small)}
+    at = {c: {p: p * (size[c] - 1) for p in probs} for c in exprs if size[c] > limit}
+    found = nth_values(df, {c: exprs[c] for c in at}, {c: sorted({r for x in v.values() for r in (math.floor(x), math.ceil(x))}) for c, v in at.items()}) if at else {}
+    for c, places in at.items():
+        low = lambda x, c=c: found[c][math.floor(x)]
+        out[c] = {p: low(x) + (found[c][math.ceil(x)] - low(x)) * (x - math.floor(x)) for p, x in places.items()}
     return out
 
 
-def order_statistics(df: DataFrame, column: str, ranks: list[int], rows: int, single_pass: int = SINGLE_PASS_VALUES) -> dict[int, float]:
-    """The values at 0-based ranks of a column with ``rows`` values: one aggregate, or narrowing
+def medians(df: DataFrame, columns: Columns) -> dict[str, float | None]:
+    return {c: q[0.5] for c, q in exact_quantiles(df, columns, [0.5]).items()}
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int], rows: int, single_pass: int | None = None) -> dict[int, float]:
+    """The values at 0-based ranks of a column with ``rows`` finite values: one aggregate, or narrowing
     passes above ``single_pass`` values."""
-    if rows > single_pass:
-        return nth_values(df, column, ranks)
-    v = F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
+    if rows > (SINGLE_PASS_VALUES if single_pass is None else single_pass):
+        return nth_values(df, [column], {column: ranks})[column]
     at = [F.expr(f"percentile_disc({(r + 0.5) / rows}) WITHIN GROUP (ORDER BY __v)").alias(f"r{r}") for r in ranks]
-    row = df.select(v.alias("__v")).agg(*at).first()
+    row = df.select(number(column).alias("__v")).agg(*at).first()
     return {r: row[f"r{r}"] for r in ranks}
+
+
+def even_cuts(df: DataFrame, value: Column, parts: int = BASE * BASE) -> list[float]:
+    """Values that cut a column into parts of about even depth, from a bounded sketch; equal values are
+    never divided, so there may be fewer."""
+    probs = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(10 * parts))).first()[0] or []
+    return sorted(set(found))
+
+
+def with_bucket(df: DataFrame, value: Column, cuts: list[float], name: str) -> DataFrame:
+    """Adds the number of cuts at or below a value (at most BASE * BASE - 1 cuts), in two digits of
+    BASE comparisons each. Buckets follow the order of values."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    tops = cuts[BASE - 1 :: BASE]
+    padded = F.array(*[F.lit(float(c)) for c in cuts], *[F.lit(float("inf"))] * (BASE * (len(tops) + 1) - len(cuts)))
+    total = lambda xs: sum((F.when(x, 1).otherwise(0) for x in xs), F.lit(0))
+    first = df.withColumns({"__v": value.cast("double"), "__top": total(value.cast("double") >= F.lit(float(t)) for t in tops)})
+    inside = total(F.col("__v") >= F.get(padded, F.col("__top") * BASE + j) for j in range(BASE - 1))
+    return first.withColumn(name, (F.col("__top") * BASE + inside).cast("int")).drop("__v", "__top")

@@ -13,8 +13,8 @@ from ..functions import names as N
 from ..functions.special import correlation_p
 from . import algebra
 from .moments import Gram, gram, merge
-from .profile import finite
-from .quantiles import order_statistics
+from .profile import finite, running_counts
+from .quantiles import exact_quantiles, order_statistics
 
 @dataclass(frozen=True)
 class Policy:
@@ -46,28 +46,16 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double, n long, p_value double")
 
 
-def rank_map(df: DataFrame, column: str, ends: tuple | None = None) -> DataFrame:
-    """(value, average rank) from value counts: running counts over buckets, then inside them.
-    ``ends``: least and greatest value, if they are known."""
-    values = df.select(finite(column).alias("v")).where("v is not null")
-    low, high = ends or values.agg(F.min("v"), F.max("v")).first()
-    counts = values.groupBy("v").agg(F.count("*").alias("n"))
-    if low is None:
-        return counts.select("v", F.lit(0.0).alias("rank"))
-    width = (high - low) or 1.0
-    placed = counts.withColumn("bucket", F.least(F.lit(1023), F.floor((F.col("v") - low) / width * 1024)))
-    heads = values.groupBy(F.least(F.lit(1023), F.floor((F.col("v") - low) / width * 1024)).alias("bucket")).agg(F.count("*").alias("here"))
-    starts = heads.select("bucket", (F.sum("here").over(Window.orderBy("bucket")) - F.col("here")).alias("before"))
-    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("v"))
-    return placed.join(F.broadcast(starts), "bucket").select("v", (F.col("before") + upto - (F.col("n") - 1) / 2.0).alias("rank"))
+def rank_map(df: DataFrame, column: str) -> DataFrame:
+    """(value, average rank) from value counts: running counts over buckets, then inside them."""
+    return running_counts(df, finite(column)).select("v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column replaced by its average rank."""
     out = df
-    ends = df.agg(*[F.struct(F.min(finite(c)), F.max(finite(c))).alias(c) for c in columns]).first()
     for c in columns:
-        m = rank_map(df, c, tuple(ends[c])).select(F.col("v").alias("__v"), F.col("rank").alias("__rank"))
+        m = rank_map(df, c).select(F.col("v").alias("__v"), F.col("rank").alias("__rank"))
         out = out.join(m, finite(out[c]) == F.col("__v"), "left").drop("__v", c).withColumnRenamed("__rank", c)
     return out
 
@@ -269,10 +257,9 @@ def strata(df: DataFrame, category: str, value: str) -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, columns: list[str], bins: int) -> list[Column]:
-    """Bin numbers by quantile cuts, from one pass; a value equal to a cut goes to the upper bin."""
-    probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    row = df.agg(*[F.percentile(finite(c), probs).alias(c) for c in columns]).first()
-    return [sum((F.when(finite(c) >= F.lit(x), 1).otherwise(0) for x in sorted(set(row[c] or []))), F.lit(0)) for c in columns]
+    """Bin numbers by quantile cuts; a value equal to a cut goes to the upper bin."""
+    cuts = exact_quantiles(df, columns, [i / bins for i in range(1, bins)])
+    return [sum((F.when(finite(c) >= F.lit(x), 1).otherwise(0) for x in sorted({x for x in cuts[c].values() if x is not None})), F.lit(0)) for c in columns]
 
 
 def stacked_profile(df: DataFrame, x: str, y: str, bins: int = 4) -> DataFrame:

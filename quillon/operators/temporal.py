@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from ..functions import names as N
 from ..functions.special import normal_two_sided
-from . import algebra
+from . import algebra, quantiles
 from .moments import gram
 from .profile import finite
 
-#: Blocks of the order axis; rows of neighbouring blocks are copied over as far as a lag reaches.
+#: Blocks of the order axis, of about even depth; rows of neighbouring blocks are copied over as far as a lag reaches.
 BLOCKS = 64
 
 
@@ -31,12 +31,12 @@ def on_axis(df: DataFrame, axis: str) -> Column:
 
 def blocked(df: DataFrame, axis: Column, tie: str, reach: int = 1) -> DataFrame:
     """Adds __block, __home and a copy of each block's last ``reach`` rows to the next non-empty
-    block, so that lags up to ``reach`` are right inside a block. Equal times stay together."""
-    low, high = df.agg(F.min(axis), F.max(axis)).first()
-    if low is None or high == low:
-        return df.withColumns({"__block": F.lit(0).cast("long"), "__home": F.lit(True)})
-    block = F.least(F.lit(BLOCKS - 1), F.floor((axis.cast("double") - float(low)) / (float(high) - float(low)) * BLOCKS)).cast("long")
-    placed = df.withColumns({"__block": block, "__home": F.lit(True)})
+    block, so that lags up to ``reach`` are right inside a block. Blocks are of about even depth; equal
+    times stay together."""
+    cuts = quantiles.even_cuts(df, axis.cast("double"), BLOCKS)
+    placed = quantiles.with_bucket(df, axis, cuts, "__block").withColumns({"__block": F.col("__block").cast("long"), "__home": F.lit(True)})
+    if not cuts:
+        return placed
     last = F.row_number().over(Window.partitionBy("__block").orderBy(axis.desc(), F.desc(tie)))
     edges = placed.withColumn("__last", last).where(F.col("__last") <= reach)
     # at most ``reach`` rows a block: a small table, put before every later block that needs it
@@ -87,14 +87,14 @@ def exponential_smoothing(df: DataFrame, key: str, value: str, axis: str, alpha:
     return parts.select(key, axis, value, total.alias("smoothed"))
 
 
-def positions(df: DataFrame, axis: str, tie: str) -> DataFrame:
-    """Adds __pos, the dense place in the order of (axis, tie), from block counts and places inside."""
+def positions(df: DataFrame, axis: str, tie: str, name: str = "__pos") -> DataFrame:
+    """Adds the dense place from 0 in the order of (axis, tie), from counts of buckets and places inside."""
     at = on_axis(df, axis)
-    placed = blocked(df, at, tie, 1).where("__home").drop("__home")
-    heads = placed.groupBy("__block").agg(F.count("*").alias("n"))
-    starts = heads.select("__block", (F.sum("n").over(Window.orderBy("__block")) - F.col("n")).alias("__before"))
+    placed = quantiles.with_bucket(df, at, quantiles.even_cuts(df, at), "__block")
+    # one row a bucket: the only window without a key
+    starts = placed.groupBy("__block").agg(F.count("*").alias("n")).select("__block", (F.sum("n").over(Window.orderBy("__block")) - F.col("n")).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__block").orderBy(at, tie)) - 1
-    return placed.join(F.broadcast(starts), "__block").withColumn("__pos", F.col("__before") + inside).drop("__block", "__before")
+    return placed.withColumn("__inside", inside).join(F.broadcast(starts), "__block").withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
 
 
 def adf_drift(df: DataFrame, value: str, axis: str) -> DataFrame:
@@ -156,7 +156,7 @@ def regularised(df: DataFrame, value: str, axis: str) -> DataFrame:
     """Means on a grid of the median step where over 20 % of the steps differ from it by a tenth."""
     at = F.unix_timestamp(axis).cast("double")
     steps = lagged(df.select(axis, finite(value).alias(value)).withColumn("__t", at), ["__t"], axis, value).select((F.col("__t") - F.col("__t_lag1")).alias("d")).where("d > 0")
-    s = steps.agg(F.median("d")).first()[0]
+    s = quantiles.medians(steps, ["d"])["d"]
     if not s:
         return df.select(axis, value)
     odd = steps.agg(F.avg(F.when(F.abs(F.col("d") - s) > 0.1 * s, 1.0).otherwise(0.0))).first()[0]

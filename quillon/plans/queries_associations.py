@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import algebra, plots, relate
+from ..operators import algebra, plots, relate, temporal
 from ..operators.moments import gram
 from .registry import query, table
 
@@ -77,9 +77,7 @@ def simple_regression(spark, sf_dir):
     "WITH e AS (SELECT o_totalprice AS x, o_custkey::DOUBLE AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders), f AS (SELECT least(4, floor(i * 5 / n)) AS fold, abs(corr(x, y)) AS r FROM e GROUP BY 1) SELECT count(*) AS folds, {R:avg(r)} AS mean_abs_r, {R:greatest(0, least(1, 1 - stddev_samp(r) / avg(r)))} AS stability FROM f",
 )
 def fold_stability(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
+    d = temporal.positions(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", "i")
     return relate.fold_stability(d, "o_totalprice", "o_custkey", "i")
 
 
@@ -91,9 +89,7 @@ def structural_relations(spark, sf_dir):
 
 @query("pair_scores")
 def pair_scores(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1).withColumn("half", F.col("o_totalprice") / 2 + F.col("o_custkey") * 10)
+    d = temporal.positions(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", "i").withColumn("half", F.col("o_totalprice") / 2 + F.col("o_custkey") * 10)
     return relate.analyse_pairs(d, ["o_totalprice", "o_custkey", "half", "o_orderkey"], "i")
 
 

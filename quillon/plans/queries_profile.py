@@ -80,7 +80,7 @@ def quantiles(spark, sf_dir):
 
 @query("nth_values_narrowing", "SELECT k::BIGINT AS k, {R:v} AS value FROM (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS k FROM lineitem) WHERE k IN (0, 100, 2500, 3000)")
 def nth_values_narrowing(spark, sf_dir):
-    found = nth_values(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0, 100, 2500, 3000])
+    found = nth_values(table(spark, sf_dir, "lineitem"), ["l_extendedprice"], {"l_extendedprice": [0, 100, 2500, 3000]})["l_extendedprice"]
     return spark.createDataFrame(list(found.items()), "k long, value double")
 
 
@@ -184,7 +184,7 @@ def qq_exponential(spark, sf_dir):
 
 @query("bootstrap_mean_ci")
 def bootstrap_mean_ci(spark, sf_dir):
-    return P.bootstrap_mean_ci(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", rounds=100)
+    return P.bootstrap_mean_ci(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey")
 
 
 @query("data_health", "SELECT {R:100 * (0.30 + 0.10 * 8 / 11 + 0.15 * 5 / 7 + 0.20 * least(1, ln(1 + 3) / ln(1 + 7)) + 0.15 * least(1, ln(1 + 2) / ln(1 + 2)) + 0.10 * 0.7) * (1 - 0.01)} AS score, 'strong' AS band")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import causal, models, neural, select
+from ..operators import causal, models, neural, select, temporal
 from .registry import query, table
 
 FEATURES = ["l_extendedprice", "l_discount", "l_tax"]
@@ -18,7 +17,7 @@ def _net(spark, sf_dir):
 
 def _indexed(spark, sf_dir):
     # One row an order: the index is dense, as folds and slices need.
-    return table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
+    return temporal.positions(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", "i")
 
 
 @query("target_resolution")
@@ -57,12 +56,12 @@ def decision_stump(spark, sf_dir):
 
 @query("bagged_stumps")
 def bagged_stumps(spark, sf_dir):
-    return models.bagged_stumps(_net(spark, sf_dir), FEATURES, "net", "row_key", k=3, bags=5)
+    return models.bagged_stumps(_net(spark, sf_dir), FEATURES, "net", "row_key", bags=25)
 
 
 @query("model_benchmark")
 def model_benchmark(spark, sf_dir):
-    return models.benchmark(_net(spark, sf_dir), FEATURES, ["net", "l_quantity"], "row_key", k=3)
+    return models.benchmark(_net(spark, sf_dir), FEATURES, ["net", "l_quantity"], "row_key")
 
 
 @query("binary_accuracy", "SELECT {R:avg(CASE WHEN (o_totalprice > 200000) = (o_custkey % 2 = 1) THEN 1.0 ELSE 0.0 END)} AS accuracy, count(*) AS n FROM orders")
@@ -94,7 +93,7 @@ def ood_rate(spark, sf_dir):
 
 @query("kmeans_silhouette")
 def kmeans_silhouette(spark, sf_dir):
-    return models.kmeans(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"], ks=(2, 3, 4))
+    return models.kmeans(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"])
 
 
 @query("row_sample")
@@ -110,8 +109,8 @@ def even_sample(spark, sf_dir):
 @query("neural_regression")
 def neural_regression(spark, sf_dir):
     d = _net(spark, sf_dir)
-    net, x, y = neural.fit(d, FEATURES, "net", "row_key", neural.Settings(epochs=15), rows=4000)
-    imp = neural.hybrid(net, x[:64], y[:64])
+    net, x, y = neural.fit(d, FEATURES, "net", "row_key")
+    imp = neural.hybrid(net, x, y)
     scored = neural.score(d, net, FEATURES, "row_key").join(d.select("row_key", "net"), "row_key")
     out = models.errors(scored, F.col("prediction"), "net", "dense network")
     return out.crossJoin(spark.createDataFrame([tuple(float(v) for v in imp)], ", ".join(f"w_{c} double" for c in FEATURES)))
@@ -121,4 +120,4 @@ def neural_regression(spark, sf_dir):
 def causal_edges(spark, sf_dir):
     d = _indexed(spark, sf_dir).select("i", F.pow("o_totalprice", F.lit(0.5)).alias("a")).withColumn("noise", F.pmod(F.xxhash64("i"), F.lit(1000)) / 10.0)
     d = d.withColumn("b", F.col("a") * 0.4 + F.col("noise")).withColumn("c", F.col("b") * 0.7 + F.pmod(F.xxhash64("i", F.lit(1)), F.lit(1000)) / 9.0)
-    return causal.discover(d, "c", ["a", "b"], "i", causal.Knobs(bootstraps=16))
+    return causal.discover(d, "c", ["a", "b"], "i", causal.Knobs())

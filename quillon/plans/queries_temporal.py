@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import temporal
@@ -68,7 +67,7 @@ _ICP = """WITH e AS (SELECT value AS y, user_id AS x, row_number() OVER (ORDER B
 
 @query("slope_stability", _ICP)
 def slope_stability(spark, sf_dir):
-    d = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.orderBy("event_id")) - 1)
+    d = temporal.positions(table(spark, sf_dir, "events"), "event_id", "event_id", "i")
     return temporal.slope_stability(d, "user_id", "value", "i")
 
 
@@ -108,5 +107,5 @@ def project_timeline(spark, sf_dir):
 
 @query("dead_zones")
 def dead_zones(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1).withColumn("y", F.when(F.col("o_totalprice") > 250000, F.col("o_custkey")).otherwise(F.col("o_orderkey") % 17).cast("double"))
+    d = temporal.positions(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", "i").withColumn("y", F.when(F.col("o_totalprice") > 250000, F.col("o_custkey")).otherwise(F.col("o_orderkey") % 17).cast("double"))
     return temporal.dead_zones(d, ["o_totalprice", "o_orderkey"], "o_custkey", "y", "i")

@@ -46,7 +46,7 @@ def test_quantiles_by_narrowing(spark):
     got = exact_quantiles(d, ["v"], [0.0, 0.1, 0.5, 0.9, 1.0], single_pass=10)["v"]
     for p, x in got.items():
         assert x == pytest.approx(np.quantile(v, p))
-    assert nth_values(d, "v", [0, 700])[700] == np.sort(v)[700]
+    assert nth_values(d, ["v"], {"v": [0, 700]})["v"][700] == np.sort(v)[700]
 
 
 def test_outlier_rules(spark):
