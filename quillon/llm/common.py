@@ -47,7 +47,29 @@ def scratch(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
         base = "file://" + base.removeprefix("file:")
-    return f"{base.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Scratch folders of this process that are not deleted yet.
+_made: list[str] = []
+
+
+def mark() -> int:
+    """A point for :func:`clear`."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch folders made since a mark, but those that hold the frames to keep. Nothing that
+    is still to be computed may read the others."""
+    kept = {getattr(df, "_quillon_path", None) for df in keep}
+    gone = [p for p in _made[since:] if p and p not in kept]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[since:] = [p for p in _made[since:] if p in kept]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +90,8 @@ def discard(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            if path in _made:
+                _made[_made.index(path)] = ""  # marks are places in the list
 
 
 def file_system(uri: str):

@@ -150,6 +150,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, keep_id, group_size, sha of every row."""
     spark = docs.sparkSession
     tune(spark)
+    began = common.mark()
     # The same columns in both passes, so that files are split alike.
     thin = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash(text_col).alias("text_hash"))
     blocks = max(1, thin.rdd.getNumPartitions())
@@ -160,6 +161,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stored = answers.repartition("block").sortWithinPartitions("block", "owner").mapInArrow(lambda it: store_answers(it, uri), "done int")
     stored.agg(F.count("*")).collect()
     marked = saved(thin.mapInArrow(lambda it: mark(it, uri, owners), _MARKED), "marked")
+    common.clear(spark, began, (marked,))
     classes = (
         marked.where(F.col("text").isNotNull())
         .groupBy("fp", "text")

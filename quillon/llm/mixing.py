@@ -16,7 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, ship, text_or_empty, tune
+from .common import discard, saved, ship, text_or_empty, tune
 
 ship(__name__)
 
@@ -157,7 +157,9 @@ def apply_mix(docs: DataFrame, share: float, weights: dict[tuple, float] | None
     Nulls, ties, repeated rows, empty tables and extra columns are as in :func:`select_mix`; names of
     extra columns may be any but __row and __n."""
     tune(docs.sparkSession)
-    plan = leaf_plan(counted(docs, domain_of(), "doc_id", "text", "lang", "source"), share, weights, epochs, seed)
+    tokens = counted(docs, domain_of(), "doc_id", "text", "lang", "source")
+    plan = leaf_plan(tokens, share, weights, epochs, seed)
+    discard(tokens)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     leafed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), *leaf_columns(domain_of(), "lang", "source"))
     chosen = leafed.join(plan, LEAF).withColumn("__n", copies(seed)).where("__n > 0")

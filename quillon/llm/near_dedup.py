@@ -289,6 +289,7 @@ def across_parts(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
 def _decided(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row."""
     tune(docs.sparkSession)
+    began = common.mark()
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), text_hash(text_col).alias("text_hash"))
     sigs = saved(own.mapInArrow(lambda it: signatures(it, words), _SIGS), "signatures")
     nodes = saved(sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("block", "rid")).alias("at")), "nodes")
@@ -331,7 +332,8 @@ def _decided(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     roots = components(edges).join(nodes.select("node", "first_id"), "node")
     least = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = roots.join(least, "root").select("node", "least_id")
-    leaders = nodes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("leader"))
+    leaders = saved(nodes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("leader")), "leaders")
+    common.clear(docs.sparkSession, began, (sigs, leaders))
     out = sigs.select("doc_id", "text_hash", "n_shingles", "node").join(leaders, "node", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("leader", "doc_id").alias("component_id"))
 

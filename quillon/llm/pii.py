@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, records, resting, saved, ship, tune
+from .common import arrow_schema, clear, discard, mark, records, resting, saved, ship, tune
 
 ship(__name__)
 
@@ -228,7 +228,7 @@ def scored(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def bootstrap(edges: DataFrame, seeds: DataFrame, turns: int = TURNS) -> DataFrame:
-    """Confident patterns (pattern, kind, confidence) from distinct (pattern, instance) edges and the
+    """Patterns (pattern, kind, confidence) from distinct (pattern, instance) edges and the
     labels (instance, kind) of seeds. A turn labels the instances that a confident pattern finds, or that
     several find which are nearly so; patterns below LEAST_SHARE label nothing, so doubtful contexts do not
     raise each other."""
@@ -252,7 +252,7 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, turns: int = TURNS) -> DataFra
         discard(labels, more)
         labels = following
     discard(labels)
-    return patterns.where(F.col("confidence") >= MIN_CONFIDENCE)
+    return patterns
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,12 +266,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     result; extra columns are ignored.
     """
     tune(docs.sparkSession)
+    began = mark()
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = saved(own.mapInArrow(scan_texts, f"{_SCAN}, seen {_SEEN}"), "scan")
     seen = rows.select("uid", F.explode("seen").alias("s")).select("uid", "s.*")
     edges = saved(seen.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "edges")
-    good = bootstrap(edges, seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))).withColumnRenamed("kind", "found_kind")
-    discard(edges)
+    patterns = bootstrap(edges, seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")))
+    good = patterns.where(F.col("confidence") >= MIN_CONFIDENCE).withColumnRenamed("kind", "found_kind")
+    clear(docs.sparkSession, began, (rows, patterns))
     new = seen.where("not base").select("uid", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
     best = new.groupBy("uid", "start", "end").agg(F.max(F.struct("confidence", "found_kind")).alias("b")).select("uid", F.struct("start", "end", F.col("b.found_kind").alias("kind")).alias("span"))
     found = best.groupBy("uid").agg(F.collect_list("span").alias("added"))

@@ -289,6 +289,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reported with id null. An empty table gives an empty result; extra columns are ignored.
     """
     tune(docs.sparkSession)
+    began = common.mark()
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = saved(own.mapInArrow(suffix_keys, _TEXTS), "suffixes")
     # Equal texts are searched once.
@@ -335,6 +336,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     passages = opened.groupBy("tid", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other_id").alias("other_id")).drop("run")
     whole = texts.where(f"copies > 1 and n_words >= {MIN_WORDS}").select("tid", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), F.col("first_id").alias("other_id"), "last_id")
     single = passages.join(whole.select("tid"), "tid", "left_anti").withColumn("last_id", F.lit(None).cast("long"))
-    out = rows.select("doc_id", "tid").join(single.unionByName(whole), "tid")
+    each = saved(single.unionByName(whole), "passages")
+    common.clear(docs.sparkSession, began, (rows, each))
+    out = rows.select("doc_id", "tid").join(each, "tid")
     other = F.when(F.col("last_id").isNotNull() & F.col("doc_id").eqNullSafe(F.col("other_id")), F.col("last_id")).otherwise(F.col("other_id"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), other.alias("other_id"))

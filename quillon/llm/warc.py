@@ -321,5 +321,8 @@ def read_pages(manifest: DataFrame, keep_payload: bool = True) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages, read the archives back: page_id, payload_bytes, payload_digest,
     record_type, refers_to. An empty table gives an empty result; extra columns are ignored."""
+    began = common.mark()
     manifest = write_archives(pages, scratch(spark, "archives"), segment_bytes, archive_bytes)
-    return read_pages(manifest, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    out = saved(read_pages(manifest, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"), "pages")
+    common.clear(spark, began, (out,))
+    return out

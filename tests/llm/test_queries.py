@@ -1,11 +1,17 @@
+import hashlib
+import random
 import re
 
 import pytest
 
 import corpus_pipeline
-from quillon.llm import exact_dedup, mixing, near_dedup, packing, quality, queries
+from quillon.llm import common, exact_dedup, mixing, near_dedup, packing, quality, queries
 from tests import oracle
 
+from .helpers import docs
+from .test_dedup import LOWER, brute_near, near_copies
+from .test_rules import brute_quality
+
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, data, name):
@@ -40,3 +46,63 @@ def test_pipeline_equals_its_operators(spark, data):
     out = corpus_pipeline.STAGES[4][1](spark, stage, data).collect()
     assert sorted(r["doc_id"] for r in out if r["piece"] == 0) == want and all(r["length"] <= packing.CAPACITY for r in out)
     assert len(corpus_pipeline.run(spark, data).collect()) == len(out)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages on one small table, each by plain Python from what the one before kept."""
+    rng = random.Random(12)
+    rows = [(1000 + i, t) for i, t in near_copies(rng, 5, 6)]
+    rows += [(9000 + i, t.upper()) for i, t in rows[::4]] + [(9500 + i, t) for i, t in rows[::7]]
+    rows += [(20_000 + i, " ".join(f"v{rng.randrange(5000)}" for _ in range(rng.randrange(20, 200)))) for i in range(40)]
+    rows += [(30_000, "again and again " * 40), (30_001, "# % & " * 60), (30_002, None), (30_003, ""), (30_004, "\n".join(["a line that repeats itself here"] * 30))]
+    rows = list({i: t for i, t in rows}.items())
+    docs(spark, rows, extra=False).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    def good(t):
+        n, chars, symbols, repeated_lines, repeats = brute_quality(t)
+        lines = sum(1 for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r"))
+        return not (n < 50 or 100 * repeats > 50 * n or 100 * symbols > 10 * chars or 100 * repeated_lines > 50 * lines or chars < 2 * n or chars > 20 * n)
+
+    kept = [(i, t) for i, t in rows if good(t)]
+    last = {}
+    for i, t in kept:
+        last[t.translate(LOWER)] = max(i, last.get(t.translate(LOWER), i))
+    kept = [(i, t) for i, t in kept if last[t.translate(LOWER)] == i]
+    leaders = {int(i): int(c) for i, _, c in (eval(x) for x in brute_near(kept, 5))}
+    kept = [(i, t) for i, t in kept if leaders[i] == i]
+    assert 40 < len(kept) < len(rows) - 20
+    leaf, words = {}, {i: len(t.split()) for i, t in kept}
+    for i, _ in kept:
+        leaf.setdefault((f"domain{i % 3}", "en", f"src{i % 3}"), []).append(i)
+    stats = [(p, sum(words[i] for i in ids)) for p, ids in leaf.items()]
+    given = mixing.budgets(stats, int(corpus_pipeline.MIX_SHARE * sum(n for _, n in stats)), corpus_pipeline.MIX_WEIGHTS, 2)
+    want = []
+    for p, total in stats:
+        whole, part = divmod(given[p], total)
+        want += leaf[p] * whole
+        done = 0
+        for i in sorted(leaf[p], key=lambda i: hashlib.md5(f"7:{whole}:{i}".encode()).hexdigest()):
+            if done < part:
+                want.append(i)
+            done += words[i]
+    assert sorted(r["doc_id"] for r in out if r["piece"] == 0) == sorted(want)
+    used = {}
+    for r in out:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= packing.CAPACITY and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in used.values())
+    assert len(used) <= -(-sum(r["length"] for r in out) // packing.CAPACITY) + 1
+
+
+def test_scratch_tables_go(spark, data):
+    """What stays is what results are still read from, and no more of it with each run."""
+    began = common.mark()
+    for name in sorted(queries.QUERIES):
+        queries.QUERIES[name](spark, data).collect()
+    assert len([p for p in common._made[began:] if p]) <= 15
+    common.clear(spark, began)
+    assert not [p for p in common._made[began:] if p]
+    began = common.mark()
+    corpus_pipeline.run(spark, data).collect()
+    assert len([p for p in common._made[began:] if p]) == 1
+    common.clear(spark, began)
