@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import saved
+from quillon.llm.common import clear, discard, mark, saved
 from quillon.llm.exact_dedup import drop_exact_copies
 from quillon.llm.mixing import apply_mix
 from quillon.llm.near_dedup import drop_near_copies
@@ -51,8 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's scratch tables go once its result is written, and that
+    once the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        began, before = mark(), docs
         out = stage(spark, docs, sf_dir)
-        docs = out if i + 1 == len(STAGES) else saved(out, f"stage{i + 1}")
+        if i + 1 == len(STAGES):
+            return out
+        docs = saved(out, f"stage{i + 1}")
+        clear(spark, began, (docs,))
+        discard(before)
     return docs
