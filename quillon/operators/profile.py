@@ -277,30 +277,23 @@ def qq_points(df: DataFrame, column: str, points: int = 100, family: str = "norm
 
 def bootstrap_mean_ci(df: DataFrame, column: str, key: str, rounds: int = 300, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean by the Poisson bootstrap: each row draws a weight a round
-    from a hash of its key, so all rounds are sums in one pass."""
-    v = finite(column)
-
-    def weight(b: int) -> Column:
-        u = (F.xxhash64(F.col(key), F.lit(seed), F.lit(b)) % (1 << 30) + (1 << 30)) / float(1 << 31)
-        cuts, p, total = [], 2.718281828459045**-1, 0.0
-        for k in range(8):
-            total += p
-            cuts.append(total)
-            p /= k + 1
-        w = F.lit(8)
-        for k in range(7, -1, -1):
-            w = F.when(u < cuts[k], k).otherwise(w)
-        return w
-
-    means = []
-    for b in range(rounds):
-        w = weight(b)
-        means.append((F.sum(v * w) / F.sum(F.when(v.isNotNull(), w))).alias(f"m{b}"))
-    row = df.select(F.col(column), F.col(key)).agg(*means)
-    each = row.select(F.explode(F.array(*[F.col(f"m{b}") for b in range(rounds)])).alias("m"))
+    from a hash of its key. Sums are combined before the shuffle, so what moves is a row a round and task."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
+    rows = df.select(finite(column).alias("v"), F.col(key).alias("k")).where("v is not null").select("v", "k", each)
+    u = (F.xxhash64("k", F.lit(seed), "round") % (1 << 30) + (1 << 30)) / float(1 << 31)
+    cuts, p, total = [], math.exp(-1), 0.0
+    for k in range(8):
+        total += p
+        cuts.append(total)
+        p /= k + 1
+    w = F.lit(8)
+    for k in range(7, -1, -1):
+        w = F.when(F.col("u") < cuts[k], k).otherwise(w)
+    drawn = rows.select("v", "round", u.alias("u")).select("v", "round", w.alias("w"))
+    means = drawn.groupBy("round").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     q = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))  # of one value a round
-    return each.agg(F.avg("m").alias("mean"), q[0].alias("low"), q[1].alias("high"))
+    return means.agg(F.avg("m").alias("mean"), q[0].alias("low"), q[1].alias("high"))
 
 
 def share(part: float, whole: float) -> float:
