@@ -166,3 +166,38 @@ def ogive(df: DataFrame, column: str) -> DataFrame:
     out = profile.ecdf(df, column)
     n, unique = out.agg(F.sum("n"), F.count("*")).first()
     return out if ogive_fits(n or 0, unique) else out.limit(0)
+
+
+def scatter_3d(df: DataFrame, x: str, y: str, z: str, row_id: str, points: int = 10_000) -> DataFrame:
+    """At most ``points`` evenly spaced points in three columns; none with fewer than four."""
+    clean = df.select(row_id, finite(x).alias("x"), finite(y).alias("y"), finite(z).alias("z")).dropna()
+    if clean.limit(4).count() < 4:
+        return clean.select("x", "y", "z").limit(0)
+    return evenly(clean, points, row_id).select("x", "y", "z")
+
+
+def multi_line(df: DataFrame, axis: str, columns: list[str], points: int = 400) -> DataFrame:
+    """(series, x, y): means of several columns in the same even ranges of the axis, a line each."""
+    from .temporal import on_axis
+
+    at = on_axis(df, axis)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return df.sparkSession.createDataFrame([], "series string, x double, y double")
+    width = (high - low) / points or 1.0
+    place = F.least(F.lit(points - 1), F.floor((F.col("x") - low) / width))
+    series = F.explode(F.array(*[F.struct(F.lit(c).alias("series"), finite(c).alias("y")) for c in columns])).alias("s")
+    long = df.select(at.alias("x"), series).select("x", "s.*").where("x is not null and y is not null")
+    return long.groupBy("series", place.alias("place")).agg(F.avg("y").alias("y")).select("series", (low + (F.col("place") + 0.5) * width).alias("x"), "y")
+
+
+def faceted_scatter(df: DataFrame, x: str, y: str, facet: str, key: str, facets: int = 6, points: int = 3000, least: int = 8) -> DataFrame:
+    """(facet, x, y) of the largest facets of ``least`` points or more, each thinned to about ``points`` by a
+    hash of the key; none with fewer than two such facets."""
+    rows = df.select(F.trim(F.col(facet).cast("string")).alias("facet"), finite(x).alias("x"), finite(y).alias("y"), F.col(key).alias("k")).where("facet <> '' and x is not null and y is not null")
+    sizes = rows.groupBy("facet").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "facet").limit(max(2, facets)).collect()
+    if len(sizes) < 2:
+        return rows.select("facet", "x", "y").limit(0)
+    kept = df.sparkSession.createDataFrame([(r["facet"], max(1, -(-r["n"] // points))) for r in sizes], "facet string, step long")
+    thinned = rows.join(F.broadcast(kept), "facet").where(F.pmod(F.xxhash64("k"), F.col("step")) == 0)
+    return thinned.select("facet", "x", "y")

@@ -207,24 +207,30 @@ def tiers(pairs: list[list], quantile: float, aggressiveness: float = 1.0) -> li
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """chi2, Cramer's V, exp(-chi2 / 2) as p_approx, its label; for 2 x 2 the odds ratio with +0.5
-    and its 95 % interval. One count of cells; marginals by windows over the cells."""
+    and its 95 % interval. Only cells that occur are counted: empty ones add to chi2 through the marginals, as
+    chi2 = n (sum o^2 / (row total * column total) - 1)."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("o"))
-    left = cells.select("a").distinct()
-    right = cells.select("b").distinct()
-    # every combination of levels, as empty cells count too; both sides are level lists
-    full = left.join(F.broadcast(right), F.lit(True)).join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("o", F.lit(0)).alias("o"))
-    e = F.sum("o").over(Window.partitionBy("a")) * F.sum("o").over(Window.partitionBy("b")) / F.sum("o").over(Window.partitionBy())
-    each = full.withColumn("e", e).withColumn("ra", F.dense_rank().over(Window.orderBy("a"))).withColumn("rb", F.dense_rank().over(Window.orderBy("b")))
-    cell = lambda i, j: F.sum(F.when((F.col("ra") == i) & (F.col("rb") == j), F.col("o"))) + 0.5
-    s = each.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("chi2"), F.sum("o").alias("n"), F.max("ra").alias("levels_a"), F.max("rb").alias("levels_b"), (cell(1, 1) * cell(2, 2) / (cell(1, 2) * cell(2, 1))).alias("ratio"), F.sqrt(1 / cell(1, 1) + 1 / cell(1, 2) + 1 / cell(2, 1) + 1 / cell(2, 2)).alias("se"))
-    v = F.sqrt(F.col("chi2") / (F.col("n") * (F.least("levels_a", "levels_b") - 1)))
-    two = (F.col("levels_a") == 2) & (F.col("levels_b") == 2)
-    out = s.where((F.col("n") >= 20) & (F.col("levels_a") >= 2) & (F.col("levels_b") >= 2)).select(
-        F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "levels_a", "levels_b", "chi2", v.alias("cramers_v"), F.exp(-F.col("chi2") / 2).alias("p_approx"),
-        F.when(two, F.col("ratio")).alias("odds_ratio"), F.when(two, F.exp(F.ln("ratio") - 1.96 * F.col("se"))).alias("ci_low"), F.when(two, F.exp(F.ln("ratio") + 1.96 * F.col("se"))).alias("ci_high"),
+    e = F.sum("o").over(Window.partitionBy("a")) * F.sum("o").over(Window.partitionBy("b"))
+    s = cells.withColumn("e", e).agg(
+        F.sum(F.col("o") / F.col("e") * F.col("o")).alias("q"), F.sum("o").alias("n"), F.count_distinct("a").alias("levels_a"), F.count_distinct("b").alias("levels_b"),
+        *[f(x).alias(f"{name}_{x}") for x in ("a", "b") for name, f in (("low", F.min), ("high", F.max))],
     )
-    c = F.col("cramers_v")
-    return out.withColumn("strength", F.when(c >= 0.6, "very strong").when(c >= 0.4, "strong").when(c >= 0.2, "moderate").when(c >= 0.1, "weak").otherwise("negligible"))
+    row = s.first()
+    if (row["n"] or 0) < 20 or row["levels_a"] < 2 or row["levels_b"] < 2:
+        return df.sparkSession.createDataFrame([], _CONTINGENCY)
+    chi2 = max(0.0, row["n"] * (row["q"] - 1))
+    v = math.sqrt(chi2 / (row["n"] * (min(row["levels_a"], row["levels_b"]) - 1)))
+    ratio = low = high = None
+    if row["levels_a"] == row["levels_b"] == 2:
+        count = {(r["a"], r["b"]): r["o"] for r in cells.collect()}  # four at most
+        w, x, y, z = (count.get((i, j), 0) + 0.5 for i in (row["low_a"], row["high_a"]) for j in (row["low_b"], row["high_b"]))
+        ratio, se = w * z / (x * y), math.sqrt(1 / w + 1 / x + 1 / y + 1 / z)
+        low, high = math.exp(math.log(ratio) - 1.96 * se), math.exp(math.log(ratio) + 1.96 * se)
+    strength = next((word for limit, word in ((0.6, "very strong"), (0.4, "strong"), (0.2, "moderate"), (0.1, "weak")) if v >= limit), "negligible")
+    return df.sparkSession.createDataFrame([(a, b, row["n"], row["levels_a"], row["levels_b"], chi2, v, math.exp(-chi2 / 2), ratio, low, high, strength)], _CONTINGENCY)
+
+
+_CONTINGENCY = "a string, b string, n long, levels_a int, levels_b int, chi2 double, cramers_v double, p_approx double, odds_ratio double, ci_low double, ci_high double, strength string"
 
 
 def group_moments(df: DataFrame, category: str, value: str) -> DataFrame:
@@ -280,6 +286,49 @@ def facet_column(df: DataFrame, categories: list[str], value: str) -> DataFrame:
     return rows.where("levels between 2 and 12 and least_share >= 0.05").orderBy(F.desc("between"), "category")
 
 
+def pie_ranking(df: DataFrame, categories: list[str], anchor: str, top: int = 3, least: int = 2, most: int = 20, dominance: float = 0.98) -> DataFrame:
+    """Categories worth a pie beside a number: those of ``least`` to ``most`` levels, none of which holds more
+    than ``dominance`` of the rows, by their eta^2 on the anchor; the first ``top`` of them."""
+    spark = df.sparkSession
+    schema = "category string, anchor string, levels long, rows long, dominance double, eta2 double"
+    if not categories:
+        return spark.createDataFrame([], schema)
+    v = finite(anchor)
+    level = lambda c: F.trim(F.col(c).cast("string"))
+    long = df.where(v.isNotNull()).select(v.alias("v"), F.explode(F.array(*[F.struct(F.lit(c).alias("category"), level(c).alias("level")) for c in categories])).alias("x")).select("v", "x.*").where("level <> ''")
+    per = long.groupBy("category", "level").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("var"))
+    mean = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    sums = per.groupBy("category").agg(F.count("*").alias("levels"), F.sum("n").alias("rows"), (F.max("n") / F.sum("n")).alias("dominance"), (F.sum(F.col("n") * F.col("m") ** 2) - F.sum("n") * mean**2).alias("between"), F.sum(F.col("n") * F.col("var")).alias("within"))
+    fine = sums.where((F.col("rows") >= 30) & F.col("levels").between(least, most) & (F.col("dominance") <= dominance) & (F.col("between") + F.col("within") > 1e-12))
+    return fine.select("category", F.lit(anchor).alias("anchor"), "levels", "rows", "dominance", (F.col("between") / (F.col("between") + F.col("within"))).alias("eta2")).orderBy(F.desc("eta2"), "category").limit(top)
+
+
+def residual_narrative(g: Gram, features: list[str], target: str, primary: float = 0.35, second: float = 0.25) -> str | None:
+    """The feature that drives the target most, and the one that explains most of what its line leaves;
+    none where either is weaker than its limit. Administrative names do not count."""
+    fine = [c for c in features if not N.is_admin(c)]
+    if len(fine) < 2:
+        return None
+    r = g.pick([*fine, target]).correlation()
+    best = int(np.argmax(np.abs(r[:-1, -1])))
+    ry = float(r[best, -1])
+    if abs(ry) < primary or abs(ry) >= 1:
+        return None
+    rest = {i: float(r[i, -1] - r[i, best] * ry) / math.sqrt(1 - ry * ry) for i in range(len(fine)) if i != best}
+    i = max(rest, key=lambda j: abs(rest[j]))
+    if abs(rest[i]) < second:
+        return None
+    change = algebra.drift(float(r[i, -1]), abs(rest[i]))
+    tail = f" Against its overall relation: {change}." if change not in ("stable", "weak global signal") else ""
+    return f"{fine[best]} drives {target} most (|r| = {abs(ry):.3f}); {fine[i]} explains most of what it leaves (|r| = {abs(rest[i]):.3f}, overall r = {r[i, -1]:.3f}).{tail}"
+
+
+def narrative_rows(rows: list[tuple[str, str | None]]) -> list[tuple[int, str, str]]:
+    """(place, topic, text) of findings that say something, numbered anew."""
+    said = [(topic, text.strip()) for topic, text in rows if text and text.strip() and not text.strip().startswith(("Insufficient", "No "))]
+    return [(i, topic, text) for i, (topic, text) in enumerate(said, 1)]
+
+
 def top_other(df: DataFrame, column: str, top: int = 12) -> DataFrame:
     """The most frequent levels, the rest as OTHER."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(F.count("*").alias("n"))

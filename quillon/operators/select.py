@@ -19,31 +19,39 @@ STRATEGIES = ("auto", "quality", "max_variance", "last_numeric")
 
 
 def column_profile(df: DataFrame) -> dict[str, dict]:
-    """One aggregate over all columns: n, distinct values, variance, non-zero share, entropy input."""
+    """n, distinct values, variance, non-zero share and entropy of each column: one aggregate, and one
+    count of values. Numbers are counted in steps of a thousandth; the entropy is over its maximum."""
     numbers = set(numeric_columns(df))
     cells = [F.count("*").alias("__n")]
-    for c in df.columns:
-        v = finite(c) if c in numbers else F.col(c).cast("string")
+    value = {c: finite(c) if c in numbers else F.col(c).cast("string") for c in df.columns}
+    for c, v in value.items():
         extra = [F.var_samp(v).alias("var"), F.avg(F.when(F.abs(v) > 1e-12, 1.0).otherwise(0.0)).alias("nonzero")] if c in numbers else []
-        cells.append(F.struct(F.count(v).alias("n"), F.approx_count_distinct(v).alias("distinct"), *extra).alias(c))
+        cells.append(F.struct(F.count(v).alias("n"), *extra).alias(c))
     row = df.agg(*cells).first()
     n = row["__n"]
-    return {c: {"rows": n, "numeric": c in numbers, "missing": 1 - row[c]["n"] / n if n else 1.0, **row[c].asDict()} for c in df.columns}
+    steps = lambda c, v: F.round(v * 1000).cast("string") if c in numbers else v
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), steps(c, v).alias("v")) for c, v in value.items()])).alias("x")).select("x.*").where("v is not null")
+    counts = long.groupBy("c", "v").agg(F.count("*").cast("double").alias("k")).groupBy("c").agg(F.count("*").alias("distinct"), F.sum(F.col("k") * F.log2("k")).alias("weighted"))
+    seen = {r["c"]: r for r in counts.collect()}
+    out = {}
+    for c in df.columns:
+        m, d = row[c]["n"], seen[c]["distinct"] if c in seen else 0
+        bits = math.log2(m) - seen[c]["weighted"] / m if m and c in seen else 0.0
+        out[c] = {"rows": n, "numeric": c in numbers, "missing": 1 - m / n if n else 1.0, **row[c].asDict(), "distinct": d, "entropy": bits / math.log2(d) if d > 1 else 0.0}
+    return out
 
 
 def numeric_quality(name: str, p: dict, position: float) -> float:
-    """How good a target a numeric column would be. The entropy of its values is bounded by the
-    share of distinct ones, which stands for it here."""
+    """How good a target a numeric column would be."""
     n, share = name.strip().lower(), p["distinct"] / max(1, p["n"])
     if p["n"] < 3:
         return -1e9
-    penalty = 0.70 if N.is_admin(name) else 0.35 if "id" in n or "index" in n else 0.0
+    penalty = 0.70 if N.is_admin(name) else 0.25 if "id" in n or "index" in n else 0.0
     penalty += 0.15 * any(t in n for t in ("timestamp", "created", "updated", "time", "date"))
     penalty += 0.20 * (share > 0.95) + 0.15 * (share > 0.98) + 0.08 * (share > 0.35 and p["distinct"] > 32)
     spread = min(1.0, math.log1p(max(0.0, p["var"] or 0.0)) / 4)
-    evenness = min(1.0, math.log2(max(1, p["distinct"])) / math.log2(max(2, p["n"])))
     bonus = 0.20 * N.is_target_candidate(name) + 0.24 * (2 <= p["distinct"] <= 12) + (0.14 if position == 1.0 else 0.05 if position == 0.0 else 0.0)
-    return 0.30 * (1 - p["missing"]) + 0.25 * spread + 0.15 * (p["nonzero"] or 0.0) + 0.30 * evenness - penalty + bonus
+    return 0.30 * (1 - p["missing"]) + 0.25 * spread + 0.15 * (p["nonzero"] or 0.0) + 0.30 * p["entropy"] - penalty + bonus
 
 
 def categorical_quality(name: str, p: dict, position: float) -> float | None:

@@ -97,6 +97,17 @@ def positions(df: DataFrame, axis: str, tie: str, name: str = "__pos") -> DataFr
     return placed.withColumn("__inside", inside).join(F.broadcast(starts), "__block").withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
 
 
+def cumulative(df: DataFrame, value: str, axis: str, tie: str) -> DataFrame:
+    """Adds <value>_cum, the running sum in the order of (axis, tie): inside buckets, plus the sums of those before."""
+    at = on_axis(df, axis)
+    placed = quantiles.with_bucket(df, at, quantiles.even_cuts(df, at), "__block")
+    # one row a bucket: the only window without a key
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = placed.groupBy("__block").agg(F.coalesce(F.sum(finite(value)), F.lit(0.0)).alias("s")).select("__block", F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("__before"))
+    inside = F.coalesce(F.sum(finite(value)).over(Window.partitionBy("__block").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    return placed.withColumn("__inside", inside).join(F.broadcast(carry), "__block").withColumn(f"{value}_cum", F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
+
+
 def adf_drift(df: DataFrame, value: str, axis: str) -> DataFrame:
     """Regression of first differences on the lag: gamma, t, p = erfc(|t| / sqrt 2); the shift of
     the level between the first and last quarter, in standard deviations; and a verdict. Rows are

@@ -318,6 +318,156 @@ def joined_profile(spark, sf_dir):
     return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price"), F.stddev_samp("o_totalprice").alias("sd_price"))
 
 
+def _sums(y: str, *xs: str) -> str:
+    """SQL columns of cross products: s11, s12, s1y, ..., syy, n and means."""
+    parts = [f"regr_sxx({y}, {x}) AS s{i}{i}, regr_sxy({y}, {x}) AS s{i}y, avg({x}) AS m{i}" for i, x in enumerate(xs, 1)]
+    parts += [f"regr_sxy({b}, {a}) AS s{i}{j}" for i, a in enumerate(xs, 1) for j, b in enumerate(xs, 1) if i < j]
+    return ", ".join([*parts, f"regr_syy({y}, {xs[0]}) AS syy, avg({y}) AS my, count(*) AS n"])
+
+
+_TWO = f"""WITH s AS (SELECT {_sums('net', 'l_extendedprice', 'l_tax')} FROM {_NET}),
+ b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+ e AS (SELECT *, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS v FROM b)
+ SELECT 'l_extendedprice' AS term, {{R:b1}} AS beta, {{R:sqrt(v * s22 / det)}} AS se, {{R:b1 / sqrt(v * s22 / det)}} AS t FROM e UNION ALL SELECT 'l_tax', {{R:b2}}, {{R:sqrt(v * s11 / det)}}, {{R:b2 / sqrt(v * s11 / det)}} FROM e"""
+
+
+@query("ols_two_features", _TWO, digits=4)
+def ols_two_features(spark, sf_dir):
+    return relate.ols_table(_net(spark, sf_dir), ["l_extendedprice", "l_tax"], "net").where("term <> '(intercept)'").drop("p_value")
+
+
+_TERM = f"""WITH d AS (SELECT l_quantity AS a, l_discount AS b, l_quantity * l_discount AS c, l_extendedprice AS y FROM lineitem), s AS (SELECT {_sums('y', 'a', 'b', 'c')} FROM d), q AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM s),
+ p AS (SELECT n, s33 - (s13 * s13 * s22 - 2 * s13 * s23 * s12 + s23 * s23 * s11) / det AS cc, s3y - (s13 * s1y * s22 - (s13 * s2y + s23 * s1y) * s12 + s23 * s2y * s11) / det AS cy, syy - (s1y * s1y * s22 - 2 * s1y * s2y * s12 + s2y * s2y * s11) / det AS yy FROM q)
+ SELECT 'ab' AS term, {{R:cy / cc}} AS beta, {{R:sqrt((yy - cy * cy / cc) / (n - 4) / cc)}} AS se, {{R:cy / cc / sqrt((yy - cy * cy / cc) / (n - 4) / cc)}} AS t FROM p"""
+
+
+@query("interaction_term", _TERM, digits=4)
+def interaction_term(spark, sf_dir):
+    return relate.interaction_test(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_extendedprice").drop("p_value")
+
+
+@query("pca_of_two", f"SELECT unnest([1, 1, 2, 2]) AS component, unnest([(1 + r) / 2, (1 + r) / 2, (1 - r) / 2, (1 - r) / 2]) AS explained, unnest(['l_extendedprice', 'net', 'l_extendedprice', 'net']) AS column_name, {{R:sqrt(0.5)}} AS size FROM (SELECT round(corr(l_extendedprice, net), 12) AS r FROM {_NET})".replace("unnest([(1 + r) / 2, (1 + r) / 2, (1 - r) / 2, (1 - r) / 2])", "unnest([round((1 + r) / 2, 6), round((1 + r) / 2, 6), round((1 - r) / 2, 6), round((1 - r) / 2, 6)])"))
+def pca_of_two(spark, sf_dir):
+    cols = ["l_extendedprice", "net"]
+    share, v = algebra.pca(gram(_net(spark, sf_dir), cols), cols)
+    return spark.createDataFrame([(i + 1, float(share[i]), c, abs(float(v[j, i]))) for i in range(2) for j, c in enumerate(cols)], "component int, explained double, column_name string, size double")
+
+
+@query("lasso_of_one", f"SELECT 'l_extendedprice' AS column_name, {{R:sign(r) * greatest(abs(r) - CASE WHEN n < 200 THEN 0.12 ELSE 0.08 END, 0)}} AS beta FROM (SELECT corr(net, l_extendedprice) AS r, count(*) AS n FROM {_NET})")
+def lasso_of_one(spark, sf_dir):
+    return spark.createDataFrame(list(algebra.lasso(gram(_net(spark, sf_dir), ["l_extendedprice", "net"]), ["l_extendedprice"], "net").items()), "column_name string, beta double")
+
+
+_WIDE = [*NUMBERS, "net", "copy"]
+_COPY = f"(SELECT *, net * 2 + 1 AS copy FROM {_NET})"
+
+
+def _corr_table(names: list[str], source: str) -> str:
+    """SQL: (i, j, a, b, r) for i < j."""
+    return " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, var_samp({a}) AS va, var_samp({b}) AS vb FROM {source}" for i, a in enumerate(names) for j, b in enumerate(names) if i < j)
+
+
+def _group_sql(limit: float) -> str:
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(_WIDE))
+    return f"""WITH RECURSIVE c AS ({_corr_table(_WIDE, _COPY)}), l AS (SELECT i, j FROM c WHERE abs(r) >= {limit} UNION SELECT j, i FROM c WHERE abs(r) >= {limit}),
+ names(i, name) AS (VALUES {names}), t(i, k) AS (SELECT i, i FROM names UNION SELECT t.i, l.j FROM t JOIN l ON l.i = t.k), m AS (SELECT i, min(k) AS k FROM t GROUP BY i)
+ SELECT a.name AS column_name, b.name AS representative FROM m JOIN names a ON a.i = m.i JOIN names b ON b.i = m.k"""
+
+
+def _copied(spark, sf_dir):
+    return gram(_net(spark, sf_dir).withColumn("copy", F.col("net") * 2 + 1), _WIDE)
+
+
+@query("redundancy_groups", _group_sql(0.92))
+def redundancy_groups(spark, sf_dir):
+    return spark.createDataFrame(list(relate.redundancy_groups(_copied(spark, sf_dir), _WIDE).items()), "column_name string, representative string")
+
+
+@query("cluster_representatives", _group_sql(0.97))
+def cluster_representatives(spark, sf_dir):
+    return spark.createDataFrame(list(algebra.clusters(_copied(spark, sf_dir).correlation(), _WIDE, 0.97).items()), "column_name string, representative string")
+
+
+@query("deterministic_pairs", f"SELECT a, b, {{R:r}} AS r FROM ({_corr_table(_WIDE, _COPY)}) WHERE abs(r) >= 0.999")
+def deterministic_pairs(spark, sf_dir):
+    return spark.createDataFrame(relate.deterministic(_copied(spark, sf_dir), _WIDE), "a string, b string, r double")
+
+
+_OTHERS = [*NUMBERS, "copy"]
+_FILTERS = f"""WITH p AS ({_corr_table(_OTHERS, _COPY)}), t AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c, corr({c}, net) AS r FROM {_COPY}" for i, c in enumerate(_OTHERS))}),
+ gone AS (SELECT DISTINCT CASE WHEN va < vb THEN a ELSE b END AS c FROM p WHERE abs(r) >= 0.98)
+ SELECT 'identity' AS filter, c AS column_name FROM t WHERE c NOT IN (SELECT c FROM gone) UNION ALL SELECT 'contaminated', c FROM t WHERE abs(r) > 0.99 UNION ALL (SELECT 'auxiliary', c FROM t ORDER BY abs(r) DESC LIMIT 2)"""
+
+
+@query("feature_blocks", _FILTERS)
+def feature_blocks(spark, sf_dir):
+    g = _copied(spark, sf_dir)
+    rows = [("identity", c) for c in algebra.identity_block(g, _OTHERS)] + [("contaminated", c) for c in algebra.contaminated(g, _OTHERS, "net")]
+    return spark.createDataFrame(rows + [("auxiliary", c) for c in relate.auxiliary_targets(g, "net")], "filter string, column_name string")
+
+
+_RESIDUAL = f"""WITH t AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c, corr({c}, net) AS r FROM {_NET}" for i, c in enumerate(NUMBERS))}), best AS (SELECT * FROM t ORDER BY abs(r) DESC LIMIT 1),
+ p AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {_NET}" for a in NUMBERS for b in NUMBERS if a != b)}),
+ k AS (SELECT best.c AS first, best.r AS ry, t.c AS second, t.r AS g, (t.r - p.r * best.r) / sqrt(1 - best.r * best.r) AS v FROM best JOIN p ON p.a = best.c JOIN t ON t.c = p.b ORDER BY abs(v) DESC LIMIT 1)
+ SELECT first, second, {{R:ry}} AS r, {{R:v}} AS r_residual FROM k WHERE abs(v) >= 0.25"""
+
+
+@query("hidden_driver", _RESIDUAL)
+def hidden_driver(spark, sf_dir):
+    g = gram(_net(spark, sf_dir), [*NUMBERS, "net"])
+    found = algebra.hidden_driver(g, NUMBERS, "net")
+    r = float(g.pick([found[0], "net"]).correlation()[0, 1]) if found else None
+    return spark.createDataFrame([(found[0], found[1], r, found[2])] if found else [], "first string, second string, r double, r_residual double")
+
+
+@query(
+    "residual_narrative",
+    _RESIDUAL.replace("SELECT first, second, {R:ry} AS r, {R:v} AS r_residual FROM k WHERE abs(v) >= 0.25", """SELECT 1 AS place, 'residual' AS topic,
+ printf('%s drives net most (|r| = %.3f); %s explains most of what it leaves (|r| = %.3f, overall r = %.3f).', first, abs(ry), second, abs(v), g)
+ || CASE WHEN abs(g) < 0.15 THEN '' WHEN abs(v) >= 0.05 AND g < 0 AND abs(v) <= abs(g) * 0.5 AND abs(g) - abs(v) >= 0.12 THEN ' Against its overall relation: sign reversal + magnitude collapse.' WHEN abs(v) >= 0.05 AND g < 0 THEN ' Against its overall relation: sign reversal.' WHEN abs(v) <= abs(g) * 0.5 AND abs(g) - abs(v) >= 0.12 THEN ' Against its overall relation: magnitude collapse.' ELSE '' END AS text
+ FROM k WHERE abs(v) >= 0.25 AND abs(ry) >= 0.35"""),
+)
+def residual_narrative(spark, sf_dir):
+    g = gram(_net(spark, sf_dir), [*NUMBERS, "net"])
+    rows = relate.narrative_rows([("empty", "  "), ("nothing", "No finding"), ("residual", relate.residual_narrative(g, NUMBERS, "net"))])
+    return spark.createDataFrame(rows, "place int, topic string, text string")
+
+
+_DEPEND = f"""WITH s AS (SELECT {_sums('net', 'l_extendedprice', 'l_discount')} FROM {_NET}),
+ b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+ q AS (SELECT unnest(quantile_cont(l_extendedprice, [0.1, 0.5, 0.9])) AS x1, unnest(quantile_cont(l_discount, [0.1, 0.5, 0.9])) AS x2 FROM {_NET})
+ SELECT 'l_extendedprice' AS column_name, {{R:x1}} AS value, {{R:my + b1 * (x1 - m1)}} AS prediction FROM b, q UNION ALL SELECT 'l_discount', {{R:x2}}, {{R:my + b2 * (x2 - m2)}} FROM b, q"""
+
+
+@query("dependence_profile", _DEPEND, digits=4)
+def dependence_profile(spark, sf_dir):
+    return partial_dependence(spark, sf_dir)
+
+
+_PIES = """WITH g AS (SELECT 'o_orderpriority' AS category, o_orderpriority AS level, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*), avg(o_totalprice), var_pop(o_totalprice) FROM orders GROUP BY 2 UNION ALL SELECT 'year', year(o_orderdate)::VARCHAR, count(*), avg(o_totalprice), var_pop(o_totalprice) FROM orders GROUP BY 2),
+ s AS (SELECT category, count(*) AS levels, sum(n)::BIGINT AS rows, max(n) / sum(n) AS dominance, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS b, sum(n * v) AS w FROM g GROUP BY 1)
+ SELECT category, 'o_totalprice' AS anchor, levels, rows, {R:dominance} AS dominance, {R:b / (b + w)} AS eta2 FROM s WHERE levels BETWEEN 2 AND 20 AND dominance <= 0.98 AND rows >= 30 ORDER BY b / (b + w) DESC LIMIT 3"""
+
+
+@query("pie_ranking", _PIES)
+def pie_ranking(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate")).withColumn("one", F.lit("x"))
+    return relate.pie_ranking(d, ["o_orderpriority", "o_orderstatus", "year", "one"], "o_totalprice")
+
+
+_APPROVED = f"""WITH t AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c, abs(corr({c}, net)) AS r FROM {_NET}" for i, c in enumerate(NUMBERS))}), w AS (SELECT i, c, r / sum(r) OVER () AS share FROM t),
+ k AS (SELECT list(share ORDER BY share)[1 + (0.6 * (count(*) - 1))::INTEGER - CASE WHEN (0.6 * (count(*) - 1))::INTEGER > 0.6 * (count(*) - 1) THEN 1 ELSE 0 END] AS cut FROM w)
+ SELECT c AS column_name, {{R:share}} AS importance FROM w, k WHERE share >= greatest(0.01, cut) AND c <> 'l_tax'"""
+
+
+@query("approved_features", _APPROVED)
+def approved_features(spark, sf_dir):
+    r = gram(_net(spark, sf_dir), [*NUMBERS, "net"]).correlation()[-1]
+    importance = relate.coherent_importance(dict(zip(NUMBERS, map(abs, r), strict=False)), dict(zip(NUMBERS, r, strict=False)))
+    chosen = relate.approved(importance, {c for c in NUMBERS if c != "l_tax"})
+    return spark.createDataFrame([(c, float(importance[c])) for c in chosen], "column_name string, importance double")
+
+
 # -- plot data --
 
 _BOX = """WITH q AS (SELECT o_orderpriority AS level, count(*) AS n, quantile_cont(o_totalprice, 0.25) AS q1, median(o_totalprice) AS median, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1)
@@ -382,3 +532,27 @@ def plot_schedule(spark, sf_dir):
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     d = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("l_orderkey", "o_orderdate").agg(F.max("l_shipdate").alias("l_shipdate"))
     return plots.tasks(d, "l_orderkey", "o_orderdate", "l_shipdate")
+
+
+_THIN = "n <= 500 OR floor((i + 1) * 500 / n) > floor(i * 500 / n)"
+
+
+@query("plot_scatter_3d", f"SELECT {{R:o_custkey}} AS x, {{R:o_totalprice}} AS y, {{R:o_orderkey}} AS z FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE {_THIN}")
+def plot_scatter_3d(spark, sf_dir):
+    d = temporal.positions(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", "i")
+    return plots.scatter_3d(d, "o_custkey", "o_totalprice", "o_orderkey", "i", 500)
+
+
+_LINES = """WITH d AS (SELECT epoch(o_orderdate) AS x, o_totalprice, o_custkey::DOUBLE AS o_custkey, min(epoch(o_orderdate)) OVER () AS lo, (max(epoch(o_orderdate)) OVER () - min(epoch(o_orderdate)) OVER ()) / 50 AS w FROM orders),
+ l AS (SELECT 'o_totalprice' AS series, x, o_totalprice AS y, lo, w FROM d UNION ALL SELECT 'o_custkey', x, o_custkey, lo, w FROM d)
+ SELECT series, {R:any_value(lo + (s + 0.5) * w)} AS x, {R:avg(y)} AS y FROM (SELECT *, least(49, floor((x - lo) / w)) AS s FROM l) GROUP BY series, s"""
+
+
+@query("plot_multi_line", _LINES, digits=3)
+def plot_multi_line(spark, sf_dir):
+    return plots.multi_line(table(spark, sf_dir, "orders"), "o_orderdate", ["o_totalprice", "o_custkey"], 50)
+
+
+@query("plot_faceted_scatter", "SELECT facet, {R:o_custkey} AS x, {R:o_totalprice} AS y FROM (SELECT o_orderpriority AS facet FROM orders GROUP BY 1 HAVING count(*) >= 8 ORDER BY count(*) DESC, 1 LIMIT 3) JOIN orders ON o_orderpriority = facet")
+def plot_faceted_scatter(spark, sf_dir):
+    return plots.faceted_scatter(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderpriority", "o_orderkey", facets=3, points=10**9)

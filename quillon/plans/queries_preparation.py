@@ -151,7 +151,12 @@ def impute_regression(spark, sf_dir):
     return impute.mice(d, ["y", "x"]).select("row_id", "y")
 
 
-@query("impute_knn")
+_KNN = """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS y, p_size::DOUBLE AS x FROM part), z AS (SELECT k, y, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x FROM p),
+ n AS (SELECT h.k, r.y, 1 / greatest(round(abs(h.x - r.x), 12), 1e-9) AS w, row_number() OVER (PARTITION BY h.k ORDER BY round(abs(h.x - r.x), 12), r.k) AS place FROM z h JOIN z r ON h.y IS NULL AND r.y IS NOT NULL)
+ SELECT k AS p_partkey, {R:coalesce(y, (SELECT sum(n.y * w) / sum(w) FROM n WHERE n.k = z.k AND place <= 5))} AS y FROM z"""
+
+
+@query("impute_knn", _KNN, digits=5)
 def impute_knn(spark, sf_dir):
     d = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice")).alias("y"), F.col("p_size").cast("double").alias("x"))
     return impute.knn(d, "y", ["x"], "p_partkey").select("p_partkey", "y")
@@ -205,6 +210,15 @@ def boolean_flag(spark, sf_dir):
     return features.boolean_flags(d, ["flag"]).select("o_orderkey", "flag_bool")
 
 
+@query("multi_select_counts", """WITH t AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part), n AS (SELECT count(*) AS n FROM part),
+ top AS (SELECT t FROM t, n GROUP BY t, n HAVING count(*) >= greatest(2, 0.04 * n) ORDER BY count(*) DESC, t LIMIT 6)
+ SELECT p_partkey, count(*)::INTEGER AS selections, count(*) FILTER (t IN (SELECT t FROM top))::INTEGER AS frequent FROM t GROUP BY 1""")
+def multi_select_counts(spark, sf_dir):
+    wide = multi_select_expand(spark, sf_dir)
+    flags = [c for c in wide.columns if "_has_" in c]
+    return wide.select("p_partkey", F.col("picks_selection_count").cast("int").alias("selections"), sum((F.col(c) for c in flags), F.lit(0)).cast("int").alias("frequent"))
+
+
 @query("multi_select_expand")
 def multi_select_expand(spark, sf_dir):
     d = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit(";")).alias("picks"))
@@ -241,7 +255,17 @@ def category_normalise(spark, sf_dir):
     return features.normalised_categories(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
 
 
-@query("column_cull")
+def _cull_sql() -> str:
+    numbers = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant", "sparse"]
+    words = ["l_returnflag", "l_linestatus", "l_shipdate"]
+    limit = features.CULL["auto"]
+    each = [f"SELECT '{c}' AS column_name, 1 - count({c}) / count(*) AS miss, max({c})::DOUBLE - min({c})::DOUBLE AS span, count({c}) < greatest(3, count(*) // 200) AS few FROM d" for c in numbers]
+    each += [f"SELECT '{c}', 1 - count({c}) / count(*), CASE WHEN count(DISTINCT {c}) > 1 THEN 1 ELSE 0 END, false FROM d" for c in words]
+    return f"""WITH d AS (SELECT *, 1.0::DOUBLE AS constant, CASE WHEN l_orderkey % 50 = 0 THEN 1.0::DOUBLE END AS sparse FROM lineitem), t AS ({" UNION ALL ".join(each)})
+ SELECT column_name, CASE WHEN miss > {limit} THEN 'missing' WHEN few THEN 'few values' WHEN span <= 1e-12 THEN 'constant' ELSE 'kept' END AS verdict FROM t"""
+
+
+@query("column_cull", _cull_sql())
 def column_cull(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").withColumn("constant", F.lit(1.0)).withColumn("sparse", F.when(F.col("l_orderkey") % 50 == 0, 1.0))
     kept, gone = features.cull_columns(d)
@@ -319,3 +343,34 @@ def dense_row_ids(spark, sf_dir):
     from ..sources import tabular
 
     return tabular.with_row_id(table(spark, sf_dir, "lineitem")).agg(F.count_distinct("row_id").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+
+
+@query("parquet_round_trip", "SELECT l_orderkey, l_linenumber, {R:CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END} AS v, l_shipdate FROM lineitem")
+def parquet_round_trip(spark, sf_dir):
+    """Written and read again; numbers that are not finite become null."""
+    import uuid
+
+    from ..sources import scratch, tabular
+
+    base = scratch.materialised(table(spark, sf_dir, "region"), "base").inputFiles()[0].rsplit("/", 2)[0]
+    path = f"{base}/quillon-parquet-{uuid.uuid4().hex}"
+    odd = F.when(F.col("l_linenumber") == 1, float("nan")).when(F.col("l_linenumber") == 2, float("inf")).otherwise(F.col("l_quantity"))
+    tabular.write_parquet(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", odd.alias("v"), "l_shipdate"), path)
+    return tabular.load(spark, f"{path}/*.parquet").select("l_orderkey", "l_linenumber", "v", "l_shipdate")
+
+
+@query("running_totals", "SELECT count(*) AS n, {R:sum(o_totalprice)} AS total FROM orders WHERE o_orderkey < 40", digits=4)
+def running_totals(spark, sf_dir):
+    """Rows that repeat the sums of those before them are dropped: after every tenth row, and a grand total."""
+    from ..sources import tabular
+
+    rows = table(spark, sf_dir, "orders").where("o_orderkey < 40").orderBy("o_orderkey").select("o_orderkey", "o_totalprice").collect()
+    out, key, total = [], 0, 0.0
+    for i, r in enumerate(rows, 1):
+        out.append(("sale", str(r["o_orderkey"]), repr(r["o_totalprice"]), "a", "b", "c"))
+        key, total = key + r["o_orderkey"], total + r["o_totalprice"]
+        if i % 10 == 0:
+            out.append((None, str(key), repr(total), None, None, None))
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(out)], "row_id long, kind string, key string, price string, x string, y string, z string")
+    left = tabular.without_running_totals(d, ["key", "price"])
+    return left.agg(F.count("*").alias("n"), F.sum(F.col("price").cast("double")).alias("total"))

@@ -194,3 +194,28 @@ def data_health(spark, sf_dir):
     # five features kept; of 28 pairs three significant, two selected; stability .7, mean PSI .15
     score, band = P.health_score(d.count() * len(d.columns), sum(missing), len(d.columns), len(P.numeric_columns(d)), 5, 28, 3, 2, 0.7, 0.15)
     return spark.createDataFrame([(score, band)], "score double, band string")
+
+
+@query("approximate_counts", "SELECT 'l_orderkey' AS column_name, true AS near FROM lineitem HAVING count(DISTINCT l_orderkey) > 0 UNION ALL SELECT 'l_partkey', true FROM lineitem HAVING count(DISTINCT l_partkey) > 0")
+def approximate_counts(spark, sf_dir):
+    """Whether sketches come within six of a hundred of the exact counts."""
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    exact = P.distinct_counts(d, d.columns).withColumnRenamed("distinct_values", "exact")
+    return P.approx_distinct_counts(d, d.columns).join(exact, "column_name").select("column_name", (F.abs(F.col("distinct_values") / F.col("exact") - 1) <= 0.06).alias("near"))
+
+
+@query("bootstrap_interval", "SELECT avg(o_totalprice) IS NOT NULL AS covers_mean, count(*) > 1 AS width_near_normal FROM orders")
+def bootstrap_interval(spark, sf_dir):
+    """Whether the interval holds the mean, and is about as wide as the normal one (a quarter either way)."""
+    d = table(spark, sf_dir, "orders")
+    normal = d.agg(F.avg("o_totalprice").alias("m"), (3.92 * F.stddev_samp("o_totalprice") / F.sqrt(F.count("*"))).alias("width"))
+    both = P.bootstrap_mean_ci(d, "o_totalprice", "o_orderkey").join(normal)
+    return both.select(F.col("m").between(F.col("low"), F.col("high")).alias("covers_mean"), (F.abs((F.col("high") - F.col("low")) / F.col("width") - 1) < 0.25).alias("width_near_normal"))
+
+
+@query("critical_values", "SELECT * FROM (VALUES ('t', 10.0::DOUBLE, 2.228139::DOUBLE), ('t', 30.0, 2.042272), ('t', 120.0, 1.979930), ('z', 1.0, 0.317311), ('z', 1.959964, 0.05), ('z', 3.0, 0.0027)) v(kind, place, value)")
+def critical_values(spark, sf_dir):
+    """Tabled values: t at .05 for degrees of freedom, two-sided tails of the normal distribution."""
+    from ..functions import special
+
+    return spark.createDataFrame([("t", df, special.t_critical(0.05, df)) for df in (10.0, 30.0, 120.0)] + [("z", z, special.normal_two_sided(z)) for z in (1.0, 1.959964, 3.0)], "kind string, place double, value double")

@@ -121,3 +121,68 @@ def causal_edges(spark, sf_dir):
     d = _indexed(spark, sf_dir).select("i", F.pow("o_totalprice", F.lit(0.5)).alias("a")).withColumn("noise", F.pmod(F.xxhash64("i"), F.lit(1000)) / 10.0)
     d = d.withColumn("b", F.col("a") * 0.4 + F.col("noise")).withColumn("c", F.col("b") * 0.7 + F.pmod(F.xxhash64("i", F.lit(1)), F.lit(1000)) / 9.0)
     return causal.discover(d, "c", ["a", "b"], "i", causal.Knobs())
+
+
+def _parted(spark, sf_dir):
+    """Folds that SQL can name."""
+    d = table(spark, sf_dir, "lineitem")
+    return d.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_key"), (F.col("l_orderkey") % 5).cast("int").alias("part"), *FEATURES, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+
+
+_PARTED = "(SELECT l_orderkey % 5 AS fold, l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount) AS net FROM lineitem)"
+_FOLDS = f"""WITH d AS {_PARTED}, f AS (SELECT k, regr_sxy(net, l_tax) AS sxy, regr_sxx(net, l_tax) AS sxx, avg(net) AS my, avg(l_tax) AS mx, count(*) AS n FROM d, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE fold <> k GROUP BY k),
+ e AS (SELECT net, my + sxy / (sxx + strength * sxx / (n - 1)) * (l_tax - mx) AS p, model FROM d JOIN f ON fold = k, (SELECT unnest(['linear', 'ridge']) AS model, unnest([1e-6, 1.0]) AS strength))
+ SELECT model, count(*) AS n, {{R:sqrt(avg(pow(net - p, 2)))}} AS rmse, {{R:1 - avg(pow(net - p, 2)) / var_pop(net)}} AS r2 FROM e GROUP BY model"""
+
+
+@query("cross_validated_lines", _FOLDS, digits=4)
+def cross_validated_lines(spark, sf_dir):
+    d = _parted(spark, sf_dir)
+    return models.cross_validated(d, ["l_tax"], "net", "row_key", fold="part").unionByName(models.cross_validated(d, ["l_tax"], "net", "row_key", ridge=1.0, label="ridge", fold="part"))
+
+
+_LONG = " UNION ALL ".join(f"SELECT fold, net AS y, {i} AS i, {c} AS v FROM d" for i, c in enumerate(FEATURES))
+_STUMP = f"""WITH d AS {_PARTED}, l AS ({_LONG}), t AS (SELECT k, i, v, y FROM l, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE fold <> k),
+ m AS (SELECT k, i, v AS m FROM (SELECT k, i, v, row_number() OVER (PARTITION BY k, i ORDER BY v) - 1 AS place, count(*) OVER (PARTITION BY k, i) AS n FROM t) WHERE place = n // 2),
+ g AS (SELECT t.k, t.i, any_value(m) AS m, avg(y) FILTER (v <= m) AS lo, avg(y) FILTER (v > m) AS hi, var_pop(y) FILTER (v <= m) * count(*) FILTER (v <= m) + var_pop(y) FILTER (v > m) * count(*) FILTER (v > m) AS sse FROM t JOIN m ON m.k = t.k AND m.i = t.i GROUP BY 1, 2),
+ b AS (SELECT k, i, m, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sse, i) AS place FROM g WHERE sse IS NOT NULL) WHERE place = 1),
+ e AS (SELECT y, CASE WHEN v <= m THEN lo ELSE hi END AS p FROM l JOIN b ON l.fold = b.k AND l.i = b.i)
+ SELECT 'decision stump' AS model, count(*) AS n, {{R:sqrt(avg(pow(y - p, 2)))}} AS rmse, {{R:1 - avg(pow(y - p, 2)) / var_pop(y)}} AS r2 FROM e"""
+
+
+@query("stump_of_named_folds", _STUMP, digits=3)
+def stump_of_named_folds(spark, sf_dir):
+    return models.stump(_parted(spark, sf_dir), FEATURES, "net", "row_key", fold="part")
+
+
+@query("sample_facts", "SELECT least(100, count(*)) AS n, least(100, count(*)) AS distinct_keys, least(100, count(*)) AS in_table, true AS same_again FROM orders")
+def sample_facts(spark, sf_dir):
+    """What a sample without replacement has to be, whatever rows it drew."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey")
+    one, two = models.sampled(d, 100, "o_orderkey"), models.sampled(d, 100, "o_orderkey")
+    same = one.join(two, "o_orderkey").count() == one.count()
+    known = one.join(d, "o_orderkey", "left_semi").count()
+    return one.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("distinct_keys")).select("n", "distinct_keys", F.lit(known).cast("long").alias("in_table"), F.lit(same).alias("same_again"))
+
+
+def _quality_sql() -> str:
+    cols, places = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], [0.05, 0.0, 0.0, 0.14]
+    one = """SELECT '{c}' AS column_name, 0.30 + 0.25 * least(1, ln(1 + v) / 4) + 0.15 * z + 0.30 * CASE WHEN d > 1 THEN bits / log2(d) ELSE 0 END
+ - CASE WHEN d / n > 0.95 THEN 0.20 ELSE 0 END - CASE WHEN d / n > 0.98 THEN 0.15 ELSE 0 END - CASE WHEN d / n > 0.35 AND d > 32 THEN 0.08 ELSE 0 END + CASE WHEN d BETWEEN 2 AND 12 THEN 0.24 ELSE 0 END + {b} AS q
+ FROM (SELECT var_samp({c}) AS v, avg(({c} <> 0)::INTEGER) AS z, count(*) AS n FROM lineitem), (SELECT count(*) AS d, sum(-k / t * log2(k / t)) AS bits FROM (SELECT count(*) AS k, sum(count(*)) OVER () AS t FROM lineitem GROUP BY round({c} * 1000)))"""
+    return "SELECT column_name, {R:q} AS quality FROM (" + " UNION ALL ".join(one.replace("{c}", c).replace("{b}", str(b)) for c, b in zip(cols, places, strict=True)) + ")"
+
+
+@query("numeric_quality", _quality_sql())
+def numeric_quality(spark, sf_dir):
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    profile = select.column_profile(table(spark, sf_dir, "lineitem").select(*cols))
+    return spark.createDataFrame([(c, float(select.numeric_quality(c, p, i / 3))) for i, (c, p) in enumerate(profile.items())], "column_name string, quality double")
+
+
+@query("feature_verdicts", f"""WITH d AS {_PARTED}, t AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, abs(corr({c}, net)) AS r FROM d" for c in FEATURES)})
+ SELECT column_name, CASE WHEN r >= 0.995 THEN 'leakage' ELSE 'kept' END AS verdict FROM t UNION ALL SELECT 'flat', 'no variance' UNION ALL SELECT 'word', 'not numeric' UNION ALL SELECT 'left_out', 'excluded'""")
+def feature_verdicts(spark, sf_dir):
+    d = _parted(spark, sf_dir).drop("row_key", "part").withColumns({"flat": F.lit(2.0), "word": F.lit("x"), "left_out": F.col("l_tax") * 2})
+    kept, gone = select.collect_features(d, "net", ["left_out"])
+    return spark.createDataFrame([(c, "kept") for c in kept] + list(gone.items()), "column_name string, verdict string")

@@ -80,7 +80,14 @@ def regularised_series(spark, sf_dir):
     return temporal.regularised(table(spark, sf_dir, "events").select("ts", "value"), "value", "ts")
 
 
-@query("trend_choice")
+_TREND = """WITH o AS (SELECT epoch(ts) AS t, value AS y, avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS ma FROM events),
+ d AS (SELECT y, ma, (t - lo) / (hi - lo) AS u, pow((t - lo) / (hi - lo), 2) AS w FROM o, (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) AS hi FROM events)),
+ s AS (SELECT regr_sxx(y, u) AS s11, regr_sxx(y, w) AS s22, regr_sxy(w, u) AS s12, regr_sxy(y, u) AS s1, regr_sxy(y, w) AS s2, regr_syy(y, u) AS syy, count(*) AS n, sqrt(avg(pow(y - ma, 2))) AS m FROM d),
+ r AS (SELECT 'linear' AS trend, sqrt((syy - s1 * s1 / s11) / n) AS e FROM s UNION ALL SELECT 'quadratic', sqrt((syy - (s1 * (s1 * s22 - s2 * s12) + s2 * (s2 * s11 - s1 * s12)) / (s11 * s22 - s12 * s12)) / n) FROM s UNION ALL SELECT 'moving average', m FROM s)
+ SELECT trend, {R:e} AS rmse, e = (SELECT min(e) FROM r) AS chosen FROM r"""
+
+
+@query("trend_choice", _TREND)
 def trend_choice(spark, sf_dir):
     return temporal.trend_choice(table(spark, sf_dir, "events"), "value", "ts", "event_id")
 
@@ -91,16 +98,17 @@ def arima_110(spark, sf_dir):
     return temporal.arima_110(table(spark, sf_dir, "events"), "value", "ts", "event_id")
 
 
-@query("time_axis")
+@query("time_axis", "SELECT unnest(['events', 'orders', 'lineitem', 'part']) AS name, unnest(['ts', 'o_orderdate', 'l_shipdate', 'row_index']) AS axis")
 def time_axis(spark, sf_dir):
     rows = [(t, temporal.time_axis(table(spark, sf_dir, t)) or "row_index") for t in ("events", "orders", "lineitem", "part")]
     return spark.createDataFrame(rows, "name string, axis string")
 
 
-@query("project_timeline")
+@query("project_timeline", """SELECT 'start_date' AS start, 'end_date' AS "end" FROM orders WHERE o_orderdate + INTERVAL 1 DAY * (o_orderkey % 9) >= o_orderdate GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM orders)""")
 def project_timeline(spark, sf_dir):
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    d = li.join(o, li.l_orderkey == o.o_orderkey).select("o_orderdate", "l_shipdate")
+    """The pair of dates of which one never precedes the other; due_date sometimes precedes the start."""
+    day = lambda n: F.col("o_orderdate") + F.make_dt_interval(n.cast("int"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("start_date"), day(F.col("o_orderkey") % 9 - 3).alias("due_date"), day(F.col("o_orderkey") % 9).alias("end_date"))
     found = temporal.project_timeline(d)
     return spark.createDataFrame([found] if found else [], "start string, end string")
 
@@ -109,3 +117,8 @@ def project_timeline(spark, sf_dir):
 def dead_zones(spark, sf_dir):
     d = temporal.positions(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", "i").withColumn("y", F.when(F.col("o_totalprice") > 250000, F.col("o_custkey")).otherwise(F.col("o_orderkey") % 17).cast("double"))
     return temporal.dead_zones(d, ["o_totalprice", "o_orderkey"], "o_custkey", "y", "i")
+
+
+@query("cumulative_sum", f"SELECT event_id, {{R:sum(value) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING)}} AS value_cum FROM events", digits=4)
+def cumulative_sum(spark, sf_dir):
+    return temporal.cumulative(table(spark, sf_dir, "events").select("event_id", "ts", "value"), "value", "ts", "event_id").select("event_id", "value_cum")

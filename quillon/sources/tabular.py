@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
+import zipfile
+from collections.abc import Callable, Iterator
+from itertools import islice
 from pathlib import Path
 from urllib.parse import unquote, urlparse
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +19,7 @@ from pyspark.sql import types as T
 from ..errors import DatasetError, OutputError
 from ..functions import names as N
 from ..functions import parsing as X
+from .scratch import materialised
 
 # Marks of rows that are not data.
 CONTROL_MARKS = ["data gap", "maintenance log"]
@@ -20,13 +27,23 @@ METADATA_MARKS = ["grand total", "subtotal", "total", "summary", "rollup", "aggr
 
 
 def read_text_table(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """All columns as strings. Plain, .gz and .zip files; quotes, doubled quotes, line breaks in
-    fields and a byte-order mark are understood, malformed rows are skipped."""
-    if path.lower().endswith((".xlsx", ".xls")):
-        raise DatasetError("spreadsheets are not read; export the sheet as delimited text")
+    """All columns as strings. Plain, .gz and .zip files, and the first sheet of .xlsx files; quotes, doubled
+    quotes, line breaks in fields and a byte-order mark are understood, malformed rows are skipped.
+
+    A file is split among tasks unless a field holds a line break, which one scan for lines with an odd number
+    of quotes finds out: such files are read by one task each.
+    """
+    if path.lower().endswith(".xls"):
+        raise DatasetError("old binary spreadsheets are not read; save the sheet as .xlsx or delimited text")
+    if path.lower().endswith(".xlsx"):
+        return _from_members(spark, path, lambda content: sheet_rows(content))
     if path.lower().endswith(".zip"):
-        return _from_zip(spark, path, delimiter)
-    options = {"header": "false", "inferSchema": "false", "sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxCharsPerColumn": str(8 << 20), "maxColumns": "20000"}
+        return _from_members(spark, path, lambda content: zipped_rows(content, delimiter))
+    try:
+        broken = spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count() > 0
+    except Exception as e:
+        raise DatasetError(f"cannot read {path}: {str(e)[:200]}") from e
+    options = {"header": "false", "inferSchema": "false", "sep": delimiter, "quote": '"', "escape": '"', "multiLine": str(broken).lower(), "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxCharsPerColumn": str(8 << 20), "maxColumns": "20000"}
     try:
         head = spark.read.options(**options).csv(path).first()
     except Exception as e:
@@ -38,26 +55,65 @@ def read_text_table(spark: SparkSession, path: str, delimiter: str = ",") -> Dat
     return spark.read.options(**options | {"header": "true", "enforceSchema": "true"}).schema(schema).csv(path)
 
 
-def _from_zip(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    """Members of an archive, parsed by Python's csv module where the bytes are."""
-    import csv
-    import io
-    import zipfile
-
+def zipped_rows(content: bytes, delimiter: str) -> Iterator[list[str]]:
+    """Rows of all members of an archive, by Python's csv module."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in sorted(n for n in z.namelist() if not n.endswith("/")):
+            with z.open(name) as f:
+                yield from csv.reader(io.TextIOWrapper(f, "utf-8-sig", errors="replace", newline=""), delimiter=delimiter)
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str]]:
+    """Rows of the first sheet of a workbook. Cells are text as stored: shared and inline strings, numbers,
+    booleans as TRUE and FALSE; dates are their day numbers, as formats are not looked at."""
+    plain = lambda e: e.tag.rsplit("}", 1)[-1]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if plain(t) == "t")
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in names:
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, e in ElementTree.iterparse(f):
+                    if plain(e) == "si":
+                        shared.append(text(e))
+                        e.clear()
+        sheets = sorted((n for n in names if n.startswith("xl/worksheets/sheet") and n.endswith(".xml")), key=lambda n: (len(n), n))
+        if not sheets:
+            return
+        with z.open(sheets[0]) as f:
+            for _, row in ElementTree.iterparse(f):
+                if plain(row) != "row":
+                    continue
+                cells: dict[int, str] = {}
+                for c in row:
+                    at = 0
+                    for letter in c.get("r", ""):
+                        if letter.isalpha():
+                            at = at * 26 + ord(letter.upper()) - 64
+                    kind = c.get("t")
+                    value = text(c) if kind == "inlineStr" else next((v.text or "" for v in c if plain(v) == "v"), "")
+                    if kind == "s" and value:
+                        value = shared[int(value)]
+                    elif kind == "b":
+                        value = "TRUE" if value == "1" else "FALSE"
+                    cells[at - 1 if at else len(cells)] = value
+                row.clear()
+                yield [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
+
+
+def _from_members(spark: SparkSession, path: str, rows: Callable[[bytes], Iterator[list[str]]], chunk: int = 10_000) -> DataFrame:
+    """Files that have to be opened as a whole, parsed where their bytes are; rows leave in chunks."""
     import pandas as pd
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def rows(content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name in sorted(n for n in z.namelist() if not n.endswith("/")):
-                with z.open(name) as f:
-                    yield from csv.reader(io.TextIOWrapper(f, "utf-8-sig", errors="replace", newline=""), delimiter=delimiter)
-
+    try:
+        files = spark.read.format("binaryFile").load(path).select("content")
+    except Exception as e:
+        raise DatasetError(f"cannot read {path}: {str(e)[:200]}") from e
     first = files.limit(1).collect()
-    if not first:
-        raise DatasetError(f"cannot read {path}")
-    columns = N.normalise_header(next(rows(bytes(first[0]["content"])), []))
+    try:
+        columns = N.normalise_header(next(rows(bytes(first[0]["content"])), [])) if first else []
+    except (zipfile.BadZipFile, ElementTree.ParseError) as e:
+        raise DatasetError(f"cannot read {path}: {e}") from e
     if not columns:
         raise DatasetError(f"{path} is empty")
     width = len(columns)
@@ -65,8 +121,10 @@ def _from_zip(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     def parse(batches):
         for b in batches:
             for content in b["content"]:
-                lines = list(rows(content))[1:]
-                yield pd.DataFrame([(r + [None] * width)[:width] for r in lines], columns=columns, dtype=object)
+                lines = rows(content)
+                next(lines, None)
+                while part := [(r + [None] * width)[:width] for r in islice(lines, chunk)]:
+                    yield pd.DataFrame(part, columns=columns, dtype=object)
 
     return files.mapInPandas(parse, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
@@ -89,7 +147,7 @@ def admitted(df: DataFrame) -> DataFrame:
     return df.where((filled > 0) & ~control & ~meta)
 
 
-def without_running_totals(df: DataFrame, numeric: list[str], row_id: str = "row_id", rounds: int = 8) -> DataFrame:
+def without_running_totals(df: DataFrame, numeric: list[str], row_id: str = "row_id") -> DataFrame:
     """Drop rows that repeat the sums of the rows before them.
 
     A row after the eighth with few cells counts if at least two, and three quarters, of its numbers
@@ -99,7 +157,7 @@ def without_running_totals(df: DataFrame, numeric: list[str], row_id: str = "row
     present = [c for c in numeric if c in df.columns]
     if not present:
         return df
-    for _ in range(rounds):
+    while True:
         block = F.floor(F.col(row_id) / 100_000)
         parsed = df.withColumns({f"__{c}": X.parse_number(F.col(f"`{c}`")) for c in present} | {"__b": block})
         heads = parsed.groupBy("__b").agg(F.count("*").alias("n"), *[F.sum(f"__{c}").alias(f"s_{c}") for c in present])
@@ -119,8 +177,7 @@ def without_running_totals(df: DataFrame, numeric: list[str], row_id: str = "row
         marked = wide.withColumn("__bad", bad)
         if not marked.where("__bad").limit(1).count():
             return df
-        df = marked.where(~F.col("__bad")).select(*df.columns)
-    return df
+        df = materialised(marked.where(~F.col("__bad")).select(*df.columns), "rows")
 
 
 def infer_types(df: DataFrame, overrides: dict[str, str] | None = None, numbers: str = "auto", dates: str = "auto") -> dict[str, str]:
