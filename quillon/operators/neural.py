@@ -332,6 +332,37 @@ def fit(df: DataFrame, features: list[str], target: str, key: str, settings: Set
     return train(x, y, settings or policy(len(y), len(features)), binary), x, y
 
 
+@dataclass
+class Modelled:
+    """A trained network with what was found on the way: inputs kept, candidates tried, and diagnostics."""
+
+    net: Network
+    features: list[str]
+    x: np.ndarray
+    y: np.ndarray
+    importance: dict[str, float]
+    candidates: list[tuple[str, float]]
+    disagreement: float
+    half_width: float
+
+
+def modelled(df: DataFrame, features: list[str], target: str, key: str, binary: bool = False, rows: int = TRAIN_ROWS, members: int = 3) -> Modelled:
+    """Prune inputs, search a topology, train, and explain, all on one sample of at most ``rows`` rows (those with
+    the least hash of their key). Columns that only count rows lose importance."""
+    part = sampled(df.where(finite(target).isNotNull()), rows, key).select(F.col(key).alias("__key"), *[finite(c).alias(c) for c in [*features, target]]).toPandas().dropna().sort_values("__key")
+    y = part[target].to_numpy(float)
+    with np.errstate(invalid="ignore"):
+        r = np.nan_to_num(np.corrcoef(part[[*features, target]].to_numpy(float), rowvar=False)) if len(part) > 2 else np.eye(len(features) + 1)
+    kept = pruned_inputs(r, features, len(part))
+    x = part[kept].to_numpy(float)
+    settings, tried = search(x, y, policy(len(y), len(kept)), binary)
+    net = train(x, y, settings, binary)
+    weights = hybrid(net, x, y)
+    importance = {c: monotone_penalty(x[:, i], float(weights[i])) for i, c in enumerate(kept)}
+    few = x[:256]
+    return Modelled(net, kept, x, y, importance, tried, ensemble_disagreement(x[:2000], y[:2000], copy.replace(settings, epochs=20), members, binary), float(np.mean(net.uncertainty(few)[1]) / (y.std() or 1.0)))
+
+
 def score(df: DataFrame, net: Network, features: list[str], key: str, uncertainty: bool = False) -> DataFrame:
     """(key, prediction, and a 95 % half width) of every row, by Arrow batches."""
 

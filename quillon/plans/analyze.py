@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, domain_rules
 from ..functions import names as N
-from ..operators import algebra, causal, features, impute, models, neural, outliers, profile, relate, select
-from ..operators.moments import gram
+from ..operators import algebra, causal, features, impute, models, neural, outliers, profile, relate, select, temporal
+from ..operators.moments import Gram, gram
 from ..report import Report, graph_page
 from ..sources import tabular
 from ..sources.scratch import materialised
 
 
+#: Category columns whose pairs are tabled, and columns whose drift is measured.
+CATEGORIES = 8
+DRIFT_COLUMNS = 24
+
+
 @dataclass
 class Analysis:
     """Result tables by name, the prepared frame, the target and its features."""
@@ -86,7 +93,7 @@ def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkS
     spark = raw.sparkSession
     raw = materialised(raw, "raw")
     features.check_columns(raw, config.exclude)
-    steps = ["profile", "target", "prepare", "features", "models", "pairs", "categories", "drift", "causal"]
+    steps = ["profile", "target", "prepare", "features", "models", "pairs", "categories", "advanced", "drift", "causal"]
     tables: dict[str, DataFrame] = {}
 
     def step(label: str) -> None:
@@ -140,13 +147,13 @@ def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkS
         plain = models.cross_validated(prepared, chosen, y, "row_id", config.kfold)
         tables["models"] = plain.unionByName(models.cross_validated(prepared, chosen, y, "row_id", config.kfold, ridge=1.0, label="ridge")).unionByName(models.stump(prepared, chosen, y, "row_id", config.kfold))
     importance = {c: abs(float(r)) for c, r in zip(chosen, g.pick([*chosen, y]).correlation()[-1], strict=False)} if chosen else {}
+    fit = None
     if chosen and config.neural_strategy != "none":
-        binary = target.task == "binary"
-        net, x, values = neural.fit(prepared, chosen, y, "row_id", binary=binary)
-        weight = dict(zip(chosen, neural.hybrid(net, x[:64], values[:64]).tolist(), strict=True))
-        last = net.history[-1]
-        importance = relate.coherent_importance(weight, importance, len(values), last[0], last[1])
-        notes.append(f"training stability {neural.training_stability(net.history):.2f}")
+        fit = neural.modelled(prepared, chosen, y, "row_id", target.task == "binary")
+        tables["topologies"] = spark.createDataFrame([(n, float(v)) for n, v in fit.candidates], "hidden string, held_out_loss double")
+        last = fit.net.history[-1]
+        importance = relate.coherent_importance(fit.importance, importance, len(fit.y), last[0], last[1])
+        notes.append(f"training stability {neural.training_stability(fit.net.history):.2f}")
     importance = {c: v * (0.25 if c in rules["weaken"] else 1.0) for c, v in importance.items()}
     tables["importance"] = spark.createDataFrame(sorted(importance.items(), key=lambda t: -t[1]), "column_name string, importance double")
 
@@ -155,18 +162,30 @@ def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkS
         tables["pairs"] = relate.analyse_pairs(prepared, [*chosen, y], "row_id", {**importance, y: 1.0}, config.bivariate_strategy, config.tuning.significance_alpha, config.tuning.pair_columns, None if config.tuning.bivariate_selection_quantile < 0 else config.tuning.bivariate_selection_quantile, fit_min_corr=config.tuning.scatter_fit_min_abs_corr)
 
     step("categories")
-    levels = [c for c in texts if c in prepared.columns][:5]
-    for i, a in enumerate(levels):
+    levels = [c for c in texts if c in prepared.columns]
+    for a in levels:
         tables[f"anova_{a}"] = relate.anova(prepared, a, y)
-        if i + 1 < len(levels):
-            tables[f"contingency_{a}"] = relate.contingency(prepared, a, levels[i + 1])
+    for i, a in enumerate(levels[:CATEGORIES]):
+        for b in levels[i + 1 : CATEGORIES]:
+            tables[f"contingency_{a}_{b}"] = relate.contingency(prepared, a, b)
+    if levels:
+        tables["pies"] = relate.pie_ranking(prepared, levels, relate.leading(importance, 1)[0] if importance else y)
+
+    step("advanced")
+    tables |= advanced(prepared, chosen, y, levels, importance, g)
+    if found := temporal.project_timeline(body):
+        notes.append(f"schedule from {found[0]} to {found[1]}")
 
     step("drift")
     n = prepared.count()
-    for c in chosen[:3]:
-        tables[f"psi_{c}"] = models.psi(prepared, c, F.col("row_id") < int(0.7 * n))
+    early = F.col("row_id") < int(0.7 * n)
     if chosen:
-        tables["out_of_distribution"] = models.out_of_distribution(prepared, chosen[:24], "row_id")
+        per = [models.psi(prepared, c, early) for c in chosen[:DRIFT_COLUMNS]]
+        tables["psi"] = reduce(DataFrame.unionByName, per)
+        tables["out_of_distribution"] = models.out_of_distribution(prepared, chosen[:DRIFT_COLUMNS], "row_id")
+        if fit and (row := tables["out_of_distribution"].first()):
+            sure = neural.confidence(np.array([fit.half_width]), np.array([fit.disagreement]), row["ood_rate"], row["band"])
+            tables["confidence"] = spark.createDataFrame([(fit.half_width, fit.disagreement, row["ood_rate"], row["band"], sure)], "uncertainty double, disagreement double, ood_rate double, band string, confidence double")
 
     step("causal")
     if config.causal and chosen:
@@ -175,6 +194,33 @@ def analyze(source: DataFrame | str, config: Config | None = None, spark: SparkS
     return Analysis(tables, prepared, target.name, chosen, notes)
 
 
+def advanced(df: DataFrame, features: list[str], target: str, levels: list[str], importance: dict[str, float], g: Gram | None) -> dict[str, DataFrame]:
+    """Findings beyond pairs: the strongest interaction and its test, correlations with others held fixed, rows that
+    are odd in their segment, rows far from the mean, and what they say in words."""
+    spark, out, said = df.sparkSession, {}, []
+    top = relate.leading({c: importance.get(c, 0.0) for c in features})
+    if g and len(top) >= 2:
+        out["interactions"] = relate.interactions(df, top, target, importance)
+        if best := out["interactions"].first():
+            out["interaction_test"] = relate.interaction_test(df, best["a"], best["b"], target)
+            row = out["interaction_test"].first()
+            said.append(("interaction", f"{best['a']} and {best['b']} act together on {target} (t = {row['t']:.2f})" if row and abs(row["t"]) >= 2 else "No interaction that a test confirms"))
+        rows = []
+        for a in top:
+            given = next(c for c in top if c != a)
+            overall, held = float(g.pick([a, target]).correlation()[0, 1]), algebra.partial_r(g, a, target, [given])
+            rows.append((a, given, overall, held, algebra.drift(overall, held)))
+        out["conditional_drift"] = spark.createDataFrame(rows, "column_name string, given string, overall_r double, conditional_r double, verdict string")
+        said.append(("residual", relate.residual_narrative(g, features, target)))
+        out["mahalanobis"] = outliers.mahalanobis(df, top, "row_id")
+    if levels and top:
+        out["outlier_context"] = outliers.outlier_context(df, levels[0], top, "row_id")
+    if len(top) >= 2:
+        said.append(("drivers", f"{top[0]} carries most of the signal; {top[1]} comes second"))
+    out["narrative"] = spark.createDataFrame(relate.narrative_rows(said), "place int, topic string, text string")
+    return out
+
+
 def write(result: Analysis, config: Config, workspace: str = ".") -> str:
     """Report, graph page and the chosen export, all inside the workspace."""
     base = tabular.safe_path(config.output_dir, workspace)

@@ -121,3 +121,45 @@ def test_stream_monitor(spark, tmp_path):
     q = monitor.monitor(stream, "v", edges, shares, lambda df, i: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert got[0]["n"] == 1000 and got[0]["psi"] > 0.25
+
+
+def test_workbook(spark, tmp_path):
+    """The first sheet: shared and inline strings, gaps, numbers and booleans."""
+    sheet = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
+<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>amount</t></is></c><c r="C1" t="s"><v>1</v></c></row>
+<row r="2"><c r="A2"><v>1</v></c><c r="B2"><v>2.5</v></c><c r="C2" t="s"><v>2</v></c></row><row r="3"><c r="A3"><v>2</v></c><c r="C3" t="b"><v>1</v></c></row>
+<row r="4"><c r="A4"><v>3</v></c><c r="B4"><v>7.5</v></c></row><row r="5"><c r="A5"><v>4</v></c><c r="B5"><v>9</v></c><c r="C5" t="s"><v>2</v></c></row></sheetData></worksheet>"""
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>key</t></si><si><t>note</t></si><si><r><t>plain </t></r><r><t>text</t></r></si></sst>')
+    d = tabular.load(spark, str(tmp_path / "t.xlsx"))
+    assert [tuple(r) for r in d.select("key", "amount", "note").orderBy("key").collect()] == [(1.0, 2.5, "plain text"), (2.0, None, "TRUE"), (3.0, 7.5, None), (4.0, 9.0, "plain text")]
+
+
+def test_text_is_split_unless_fields_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(5000)))
+    (tmp_path / "broken.csv").write_text('a,b\n1,"two\nlines"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        plain, broken = tabular.read_text_table(spark, str(tmp_path / "plain.csv")), tabular.read_text_table(spark, str(tmp_path / "broken.csv"))
+        assert plain.rdd.getNumPartitions() > 3 and broken.rdd.getNumPartitions() == 1
+        assert plain.where('b = concat(\'x, "\', a, \'"\')').count() == 5000 and broken.first()["b"] == "two\nlines"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_interactive_questions():
+    from quillon.__main__ import QUESTIONS, asked
+
+    answers = iter(["data.csv", "revenue", "", "", "nonsense", "quick", *[""] * (len(QUESTIONS) - 4)])
+    said = []
+    argv = asked(["--interactive"], lambda _: next(answers), said.append)
+    assert argv == ["data.csv", "--target", "revenue", "--profile", "quick"] and len(said) == 1
+    config = from_args(argv)
+    assert config.target == "revenue" and config.profile == "quick" and config.dataset == "data.csv"
+
+
+def test_nothing_but_findings_is_told():
+    from quillon.operators import relate
+
+    assert relate.narrative_rows([("a", None), ("b", "No effect"), ("c", " x leads "), ("d", "Insufficient rows"), ("e", "y")]) == [(1, "c", "x leads"), (2, "e", "y")]
