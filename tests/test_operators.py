@@ -266,3 +266,63 @@ def test_groups_and_time_votes(spark, linear):
     one = causal.discover(d, "y", ["x"], "i", causal.Knobs(bootstraps=4)).first()
     two = causal.discover(d, "y", ["x"], "i", causal.Knobs(bootstraps=4), axis="i").first()
     assert {one["cause"], one["effect"]} == {"x", "y"} and two["confidence"] >= one["confidence"]
+
+
+def test_heavy_tails_fill_no_single_bucket(spark):
+    """One value of 1e12 does not put all others into one bucket; order and ranks stay right."""
+    from quillon.operators import profile, quantiles, temporal
+
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=3000), [1e12, -1e12], np.repeat(0.5, 200)])
+    d = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, v double")
+    cuts = quantiles.even_cuts(d, F.col("v"))
+    sizes = [r["count"] for r in quantiles.with_bucket(d, F.col("v"), cuts, "b").groupBy("b").count().collect()]
+    assert len(sizes) > 500 and max(sizes) <= 220
+    order = np.sort(v)
+    for parts in (2, 33, 64, 1024):
+        few = quantiles.even_cuts(d, F.col("v"), parts)
+        got = quantiles.with_bucket(d, F.col("v"), few, "b").collect()
+        assert all(r["b"] == sum(c <= r["v"] for c in few) for r in got[::50])
+    running = {r["v"]: (r["n"], r["upto"]) for r in profile.running_counts(d, F.col("v")).collect()}
+    assert all(running[x][1] == int((order <= x).sum()) for x in list(running)[::20]) and running[0.5][0] == 200
+    at = {r["i"]: r["place"] for r in temporal.positions(d, "v", "i", "place").collect()}
+    assert [i for i, _ in sorted(at.items(), key=lambda t: t[1])] == sorted(range(len(v)), key=lambda i: (v[i], i))
+    total = {r["i"]: r["v_cum"] for r in temporal.cumulative(d.withColumn("t", F.col("i")), "v", "t", "i").collect()}
+    assert abs(total[1000] - v[:1001].sum()) < 1e-6
+
+
+def test_quantiles_of_several_columns(spark, monkeypatch):
+    from quillon.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "LISTED", 200)
+    rng = np.random.default_rng(5)
+    a, b = rng.lognormal(0, 8, 5000), np.repeat([1.0, 2.0, 3.0], [10, 4000, 990])
+    d = spark.createDataFrame([(float(x), float(y), None, float("nan")) for x, y in zip(a, b, strict=True)], "a double, b double, c double, e double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = exact_quantiles(d, ["a", "b", "c", "e"], probs, single_pass=10)
+    for name, x in (("a", a), ("b", b)):
+        assert np.allclose([got[name][p] for p in probs], np.quantile(x, probs), rtol=1e-12)
+    assert set(got["c"].values()) == set(got["e"].values()) == {None}
+
+
+def test_knn_over_blocks(spark, monkeypatch):
+    """Blocks of known rows and of holes give what one table gives; all rows are searched."""
+    from quillon.operators import impute
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.integers(0, 9)), float(rng.normal()) if rng.random() > 0.2 else None, float(rng.normal()) if i % 5 else None) for i in range(400)]
+    d = spark.createDataFrame(rows, "i long, x double, z double, y double")
+    want = {r["i"]: r["y"] for r in impute.knn(d, "y", ["x", "z"], "i").collect()}
+    monkeypatch.setattr(impute, "KNOWN_ROWS", 37)
+    monkeypatch.setattr(impute, "HOLE_ROWS", 11)
+    got = {r["i"]: r["y"] for r in impute.knn(d, "y", ["x", "z"], "i").collect()}
+    assert got == want and None not in got.values()
+    x = np.array([[r[1], np.nan if r[2] is None else r[2]] for r in rows])
+    z = (x - np.nanmean(x, axis=0)) / np.nanstd(x, axis=0, ddof=1)
+    known = [r[0] for r in rows if r[3] is not None]
+    for i in (0, 5, 100, 395):
+        gap = (z[known] - z[i]) ** 2
+        dist = np.round(np.sqrt(np.nanmean(gap, axis=1)), 12)
+        near = sorted(zip(dist, known, strict=True))[:5]
+        w = [1 / max(a, 1e-9) for a, _ in near]
+        assert abs(want[i] - sum(k * rows[j][3] for k, (_, j) in zip(w, near, strict=True)) / sum(w)) < 1e-9

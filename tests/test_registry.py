@@ -27,3 +27,27 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() == 4
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+QUANTILES = ["numeric_profile", "quantiles", "univariate_mad", "outlier_modified_z", "outlier_adjusted_boxplot", "information_gain", "psi_drift", "plot_box", "impute_median", "mahalanobis_top6", "regularised_series", "histogram_auto", "trimmed_mean", "stacked_profile", "kde_160"]
+
+
+@pytest.mark.parametrize("name", QUANTILES)
+def test_narrowing_instead_of_one_buffer(spark, data, con, name, monkeypatch):
+    """Tables above the limit give the same results."""
+    from quillon.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SINGLE_PASS_VALUES", 100)
+    monkeypatch.setattr(quantiles, "LISTED", 50)
+    oracle.compare(registry.QUERIES[name](spark, data), con, registry.ORACLES[name])
+
+
+def test_no_window_holds_a_table(spark, data):
+    """Windows without a key stand on one row a bucket only."""
+    import re
+
+    for name in ("spearman_matrix", "ecdf", "fold_stability", "psi_drift", "even_sample", "slope_stability", "lag_difference", "cumulative_sum", "average_ranks"):
+        plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if re.search(r"^\W*Window ", line) and "windowspecdefinition(__block#" not in line and re.search(r"windowspecdefinition\([a-z_]+#\d+L? ASC", line):
+                assert "bucket#" in line, (name, line)
