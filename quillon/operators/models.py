@@ -74,11 +74,17 @@ def split_predictions(data: DataFrame, features: list[str], target: str, medians
     bags; ``weight`` gives a row's weight in a bag.
     """
     ks = sorted({f for f, _ in medians})
+    y, wide = finite(target), 2 * len(features)
+    # one key from the sides of all folds where it fits a long, else one a fold
+    keys = [sides(features, medians, f) for f in ks]
+    packed = [sum((k * (1 << wide * j) for j, k in enumerate(keys)), F.lit(0).cast("long"))] if wide * len(ks) < 63 else keys
+    names = [f"__s{j}" for j in range(len(packed))]
+    rows = data.where(y.isNotNull()).select("*", y.alias("__y"), *[k.alias(n) for n, k in zip(names, packed, strict=True)])
     bag = F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag")
-    rows = data.select("*", bag).withColumn("w", weight(F.col("bag")) if weight else F.lit(1.0)).where("w > 0")
-    y = finite(target)
-    keys = [sides(features, medians, f).alias(f"s{f}") for f in ks]
-    sums = rows.where(y.isNotNull()).groupBy("bag", "fold", *keys).agg(F.sum("w").alias("n"), F.sum(F.col("w") * y).alias("s"), F.sum(F.col("w") * y * y).alias("q")).collect()
+    drawn = rows.select("*", bag).withColumn("w", weight(F.col("bag")) if weight else F.lit(1.0)).where("w > 0")
+    found = drawn.groupBy("bag", "fold", *names).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("__y")).alias("s"), F.sum(F.col("w") * F.col("__y") ** 2).alias("q")).collect()
+    unpack = (lambda r: {f: r["__s0"] >> wide * j & ((1 << wide) - 1) for j, f in enumerate(ks)}) if len(packed) == 1 else (lambda r: {f: r[n] for f, n in zip(ks, names, strict=True)})
+    sums = [{"bag": r["bag"], "fold": r["fold"], "n": r["n"], "s": r["s"], "q": r["q"], **{f"s{f}": v for f, v in unpack(r).items()}} for r in found]
     total: dict[tuple[int, int], float] = {}
     for f in ks:
         for b in range(bags):
@@ -237,25 +243,32 @@ def kmeans(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5,
     data = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     at = [vector_to_array("features")[i] for i in range(len(columns))]
     n, *ends = data.agg(F.count("*"), *[f(x) for x in at for f in (F.min, F.max)]).first()
-    spans = list(zip(ends[::2], ends[1::2], strict=True))
-    fit = lambda rows, k: KMeans(k=k, seed=seed, maxIter=20).fit(rows)
-    even = []
-    for i in range(references):
-        drawn = df.sparkSession.range(min(n, reference_rows)).select(*[(F.lit(a) + F.rand(seed + 100 * i + j) * (b - a)).alias(f"c{j}") for j, (a, b) in enumerate(spans)])
-        even.append(VectorAssembler(inputCols=[f"c{j}" for j in range(len(spans))], outputCol="features").transform(drawn).select("features").persist(StorageLevel.MEMORY_AND_DISK))
-    each = lambda cost, rows: math.log(max(cost, 1e-12) / rows)
+    low, high = np.array(ends[::2], float), np.array(ends[1::2], float)
+    rng = np.random.default_rng(seed)
+    even = [rng.uniform(low, high, (min(n, reference_rows), len(columns))) for _ in range(references)]
     out = []
     for k in ks:
-        model = fit(data, k)
+        model = KMeans(k=k, seed=seed, maxIter=20).fit(data)
         cost = float(model.summary.trainingCost)
-        expected = [each(fit(e, k).summary.trainingCost, min(n, reference_rows)) for e in even]
-        out.append((k, float(ClusteringEvaluator().evaluate(model.transform(data))), cost, sum(expected) / max(1, references) - each(cost, n)))
-    for x in (data, *even):
-        x.unpersist()
+        expected = [math.log(max(plain_kmeans(e, k, rng), 1e-12) / len(e)) for e in even]
+        out.append((k, float(ClusteringEvaluator().evaluate(model.transform(data))), cost, sum(expected) / max(1, references) - math.log(max(cost, 1e-12) / n)))
+    data.unpersist()
     best = max(r[1] for r in out)
     return df.sparkSession.createDataFrame([(*r, r[1] == best) for r in out], "k int, silhouette double, cost double, gap double, best boolean")
 
 
+def plain_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 20) -> float:
+    """The cost of k-means on a small table, from centres drawn apart from each other."""
+    centres = x[rng.integers(len(x))][None]
+    while len(centres) < k:
+        d = ((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
+        centres = np.concatenate([centres, x[rng.choice(len(x), p=d / d.sum())][None]]) if d.sum() > 0 else np.concatenate([centres, centres[:1]])
+    for _ in range(rounds):
+        own = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.stack([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(k)])
+    return float(((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1).sum())
+
+
 def sampled(df: DataFrame, rows: int, key: str, seed: int = 42) -> DataFrame:
     """A random sample without replacement: the rows with the least seeded hash of their key."""
     return df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("__h").limit(rows).drop("__h")

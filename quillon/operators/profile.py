@@ -250,10 +250,11 @@ def ecdf(df: DataFrame, column: str) -> DataFrame:
     return counts.select("v", "n", (100.0 * F.col("upto") / max(1, total)).alias("percent"))
 
 
-def running_counts(df: DataFrame, value: Column) -> DataFrame:
-    """(v, n, upto): each distinct value, its rows, and the rows up to it in order of value."""
+def running_counts(df: DataFrame, value: Column, cuts: list[float] | None = None) -> DataFrame:
+    """(v, n, upto): each distinct value, its rows, and the rows up to it in order of value. ``cuts`` are
+    those of :func:`quantiles.even_cuts`, if they are known."""
     values = df.select(value.alias("v")).where("v is not null")
-    cuts = quantiles.even_cuts(values, F.col("v"))
+    cuts = quantiles.even_cuts(values, F.col("v")) if cuts is None else cuts
     counts = quantiles.with_bucket(values.groupBy("v").agg(F.count("*").alias("n")), F.col("v"), cuts, "bucket")
     heads = quantiles.with_bucket(values, F.col("v"), cuts, "bucket").groupBy("bucket").agg(F.count("*").alias("here"))
     # one row a bucket: the only window without a key

@@ -20,8 +20,8 @@ SINGLE_PASS_VALUES = 100_000
 BINS = 4096
 #: Values in open intervals that are listed instead of cut again.
 LISTED = 100_000
-#: Buckets of even depth, as two digits of this base.
-BASE = 32
+#: Buckets of even depth, as two digits of this base, and the rows that one is worth.
+BASE, BUCKET_ROWS = 32, 20_000
 
 Columns = list[str] | dict[str, Column]
 
@@ -112,21 +112,27 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int], rows: int, si
 
 
 def even_cuts(df: DataFrame, value: Column, parts: int = BASE * BASE) -> list[float]:
-    """Values that cut a column into parts of about even depth, from a bounded sketch; equal values are
-    never divided, so there may be fewer."""
-    probs = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(10 * parts))).first()[0] or []
-    return sorted(set(found))
+    """Values that cut a column into parts of about even depth, from a bounded sketch: at most ``parts``, and
+    no more than give each BUCKET_ROWS rows. Equal values are never divided, so there may be fewer."""
+    return even_cuts_of(df, {"v": value}, parts)["v"]
+
+
+def even_cuts_of(df: DataFrame, columns: dict[str, Column], parts: int = BASE * BASE) -> dict[str, list[float]]:
+    parts = min(parts, max(8, df.count() // BUCKET_ROWS))
+    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    row = df.agg(*[F.percentile_approx(v, probs, F.lit(10 * parts)) for v in columns.values()]).first()
+    return {c: sorted(set(found or [])) for c, found in zip(columns, row, strict=True)}
 
 
 def with_bucket(df: DataFrame, value: Column, cuts: list[float], name: str) -> DataFrame:
-    """Adds the number of cuts at or below a value (at most BASE * BASE - 1 cuts), in two digits of
-    BASE comparisons each. Buckets follow the order of values."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    tops = cuts[BASE - 1 :: BASE]
-    padded = F.array(*[F.lit(float(c)) for c in cuts], *[F.lit(float("inf"))] * (BASE * (len(tops) + 1) - len(cuts)))
+    """Adds the number of cuts at or below a value (at most BASE * BASE - 1 cuts): its first digit by comparing
+    with every BASE-th cut, its second inside that range. Buckets follow the order of values."""
+    v, tops = value.cast("double"), cuts[BASE - 1 :: BASE]
     total = lambda xs: sum((F.when(x, 1).otherwise(0) for x in xs), F.lit(0))
-    first = df.withColumns({"__v": value.cast("double"), "__top": total(value.cast("double") >= F.lit(float(t)) for t in tops)})
-    inside = total(F.col("__v") >= F.get(padded, F.col("__top") * BASE + j) for j in range(BASE - 1))
+    if not tops:
+        return df.withColumn(name, total(v >= F.lit(float(c)) for c in cuts).cast("int"))
+    ranges = [cuts[i : i + BASE - 1] for i in range(0, len(cuts), BASE)] + ([[]] if len(cuts) % BASE == 0 else [])
+    listed = F.expr("array(" + ", ".join("array(" + ", ".join(f"double('{c!r}')" for c in r) + ")" if r else "CAST(array() AS array<double>)" for r in ranges) + ")")
+    first = df.withColumns({"__v": v, "__top": total(v >= F.lit(float(t)) for t in tops)})
+    inside = F.when(F.col("__v").isNull(), 0).otherwise(F.size(F.filter(F.get(listed, F.col("__top")), lambda c: F.col("__v") >= c)))
     return first.withColumn(name, (F.col("__top") * BASE + inside).cast("int")).drop("__v", "__top")

@@ -14,7 +14,7 @@ from ..functions.special import correlation_p
 from . import algebra
 from .moments import Gram, gram, merge
 from .profile import finite, running_counts
-from .quantiles import exact_quantiles, order_statistics
+from .quantiles import even_cuts_of, exact_quantiles, order_statistics
 
 @dataclass(frozen=True)
 class Policy:
@@ -46,16 +46,16 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double, n long, p_value double")
 
 
-def rank_map(df: DataFrame, column: str) -> DataFrame:
+def rank_map(df: DataFrame, column: str, cuts: list[float] | None = None) -> DataFrame:
     """(value, average rank) from value counts: running counts over buckets, then inside them."""
-    return running_counts(df, finite(column)).select("v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+    return running_counts(df, finite(column), cuts).select("v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column replaced by its average rank."""
-    out = df
+    out, cuts = df, even_cuts_of(df, {c: finite(c) for c in columns})
     for c in columns:
-        m = rank_map(df, c).select(F.col("v").alias("__v"), F.col("rank").alias("__rank"))
+        m = rank_map(df, c, cuts[c]).select(F.col("v").alias("__v"), F.col("rank").alias("__rank"))
         out = out.join(m, finite(out[c]) == F.col("__v"), "left").drop("__v", c).withColumnRenamed("__rank", c)
     return out
 
