@@ -189,5 +189,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Null and empty texts are one group, of which the largest id stays; rows with a null id go where an id is in
+    their group and stay where none is. Rows that repeat id and text stay or go together; a row
+    whose id is the largest but whose text differs in case from another row of that id stays beside it. An
+    empty table stays empty; extra columns may have any names."""
     return without_rows(docs, _decided(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("keep_id"))), id_col, text_col)

@@ -353,6 +353,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with all their columns."""
+    """The rows of ``docs`` that stay, one document of each group, with all their columns.
+
+    Of a group the least id stays. Null, empty and blank texts are in no group and all stay, as do rows with a null
+    id where their group has no id; rows that repeat id and text stay or go together. An empty table stays empty;
+    extra columns may have any names."""
     gone = _decided(docs, words, percent, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return without_rows(docs, gone.select(F.col("doc_id").alias("id"), "text_hash"), id_col, text_col)

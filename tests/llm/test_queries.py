@@ -8,7 +8,7 @@ import corpus_pipeline
 from quillon.llm import common, exact_dedup, mixing, near_dedup, packing, quality, queries
 from tests import oracle
 
-from .helpers import docs
+from .helpers import EDGE, docs
 from .test_dedup import LOWER, brute_near, near_copies
 from .test_rules import brute_quality
 
@@ -106,3 +106,17 @@ def test_scratch_tables_go(spark, data):
     corpus_pipeline.run(spark, data).collect()
     assert len([p for p in common._made[began:] if p]) == 1
     common.clear(spark, began)
+
+
+@pytest.mark.parametrize("kind", ["edge", "empty", "nothing kept"])
+def test_pipeline_of_odd_tables(spark, tmp_path, kind):
+    """Nulls, ties, repeated rows, long texts and clashing columns; tables without rows, and without rows that stay."""
+    rows = {"edge": EDGE + [(40 + i % 3, " ".join(f"w{j * (1 + i % 3)}" for j in range(80))) for i in range(6)] + [(None, " ".join(f"n{j}" for j in range(90)))], "empty": [], "nothing kept": [(1, "too short"), (2, None)]}[kind]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert kind == "edge" or out == []
+    if kind == "edge":
+        assert {r["doc_id"] for r in out} <= {None, 40, 41, 42} and all(0 < r["length"] <= packing.CAPACITY for r in out)
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table, str(tmp_path)).columns == table.columns
