@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``documents``. :func:`run` writes each stage's result and reads it back, so a stage
+columns of ``documents``, whatever their names. Every stage makes an empty table of an empty table. :func:`run` writes each stage's result and reads it back, so a stage
 that fails is repeated from its predecessor's files.
 """
 
@@ -23,22 +23,27 @@ MIX_WEIGHTS = {("domain0",): 3.0, ("domain1",): 2.0, ("domain2",): 2.0}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ledger's policy keeps; null, empty and blank texts go, repeated rows share their fate."""
     return keep_good(docs, "web-1")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the largest id; null ids go beside an id, rows that repeat id and text stay together."""
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that links of five-word shingles join, the least id; texts without words all stay."""
     return drop_near_copies(docs, words=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix selects them; null language or source is the value "none"."""
     return apply_mix(docs, MIX_SHARE, MIX_WEIGHTS, epochs=2, seed=7)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a piece; null texts and ids are packed like any others, repeated rows once each."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
