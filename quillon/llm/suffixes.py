@@ -30,7 +30,7 @@ ANCHOR = 25
 GRAM = 8
 WINDOW = MIN_WORDS - ANCHOR + 1
 #: Different contexts of one anchor that are compared in one task; of more, the keys are grouped by Spark.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 8192
 #: Suffixes sorted in one numpy pass.
 PASS_ROWS = 20_000
 

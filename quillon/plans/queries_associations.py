@@ -556,3 +556,55 @@ def plot_multi_line(spark, sf_dir):
 @query("plot_faceted_scatter", "SELECT facet, {R:o_custkey} AS x, {R:o_totalprice} AS y FROM (SELECT o_orderpriority AS facet FROM orders GROUP BY 1 HAVING count(*) >= 8 ORDER BY count(*) DESC, 1 LIMIT 3) JOIN orders ON o_orderpriority = facet")
 def plot_faceted_scatter(spark, sf_dir):
     return plots.faceted_scatter(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderpriority", "o_orderkey", facets=3, points=10**9)
+
+
+_HALF = "(SELECT o_totalprice, o_custkey::DOUBLE AS o_custkey, o_totalprice / 2 + o_custkey * 1000 AS half, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM orders)"
+_FIGURES = f"""WITH d AS {_HALF}, p AS (SELECT 'o_totalprice' AS a, 'half' AS b, o_totalprice AS x, half AS y, i, total FROM d UNION ALL SELECT 'o_custkey', 'half', o_custkey, half, i, total FROM d),
+ f AS (SELECT a, b, abs(corr(x, y)) AS r FROM p GROUP BY a, b, least(4, floor(i * 5 / total)) HAVING count(*) >= 8), s AS (SELECT a, b, greatest(0, least(1, 1 - stddev_samp(r) / avg(r))) AS steady FROM f GROUP BY a, b),
+ w AS (SELECT a, b, corr(x, y) AS r, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, count(*) AS n FROM p GROUP BY a, b)
+ SELECT a, b, n, {{R:r}} AS r, {{R:slope}} AS slope, {{R:intercept}} AS intercept, {{R:steady}} AS stability, {{R:r * r}} AS effect, {{R:(0.20 * (0.6 * r * r + 0.4 * abs(r)) + 0.15 * steady) * 0.35}} AS score,
+ CASE WHEN abs(r) >= 0.85 THEN 'Very strong' WHEN abs(r) >= 0.65 THEN 'Strong' WHEN abs(r) >= 0.45 THEN 'Moderate' WHEN abs(r) >= 0.25 THEN 'Weak' ELSE 'Very weak' END || ' positive association' AS relation FROM w JOIN s USING (a, b) WHERE abs(r) >= 0.25"""
+
+
+@query("pair_figures", _FIGURES, digits=5)
+def pair_figures(spark, sf_dir):
+    d = temporal.positions(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", "i").withColumn("half", F.col("o_totalprice") / 2 + F.col("o_custkey") * 1000)
+    found = relate.analyse_pairs(d, ["o_totalprice", "o_custkey", "half"], "i").where("abs(r) >= 0.25")
+    return found.select("a", "b", "n", "r", "slope", "intercept", "stability", "effect", "score", "relation")
+
+
+@query("association_strength", f"WITH v AS ({_CHI.replace('{R:', '(').replace('}} AS', ') AS').replace('} AS', ') AS')}) SELECT a, b, CASE WHEN cramers_v >= 0.6 THEN 'very strong' WHEN cramers_v >= 0.4 THEN 'strong' WHEN cramers_v >= 0.2 THEN 'moderate' WHEN cramers_v >= 0.1 THEN 'weak' ELSE 'negligible' END AS strength FROM v")
+def association_strength(spark, sf_dir):
+    return relate.contingency(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus").select("a", "b", "strength")
+
+
+@query("matrix_inverse", f"""WITH s AS (SELECT var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount) AS b, var_samp(l_discount) AS d FROM {_NET})
+ SELECT unnest([0, 0, 1, 1]) AS i, unnest([0, 1, 0, 1]) AS j, unnest([d, -b, -b, a]) / (a * d - b * b) AS v FROM s""".replace("unnest([d, -b, -b, a]) / (a * d - b * b) AS v", "round(unnest([d / (a * d - b * b), -b / (a * d - b * b), -b / (a * d - b * b), a / (a * d - b * b)]), 6) + 0.0 AS v"))
+def matrix_inverse(spark, sf_dir):
+    m = algebra.inverse(gram(_net(spark, sf_dir), ["l_quantity", "l_discount"]).covariance())
+    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(2) for j in range(2)], "i int, j int, v double")
+
+
+@query("leading_features", f"SELECT row_number() OVER (ORDER BY abs(r) DESC) AS place, c AS column_name FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{c}{chr(39)} AS c, corr({c}, net) AS r FROM {_COPY}' for c in _OTHERS)}) ORDER BY abs(r) DESC LIMIT 3")
+def leading_features(spark, sf_dir):
+    r = _copied(spark, sf_dir).pick([*_OTHERS, "net"]).correlation()[-1]
+    top = relate.leading({c: abs(float(x)) for c, x in zip(_OTHERS, r, strict=False)}, 3)
+    return spark.createDataFrame(list(enumerate(top, 1)), "place long, column_name string")
+
+
+@query("heatmap_cells", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {{R:corr({a}, {b})}} AS r FROM {_NET}" for a in [*NUMBERS, "net"] for b in [*NUMBERS, "net"]))
+def heatmap_cells(spark, sf_dir):
+    return plots.heatmap(_net(spark, sf_dir), [*NUMBERS, "net"]).select("a", "b", "r")
+
+
+_STEP = f"""WITH t AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c, corr({c}, net) AS r, count(*) AS n FROM {_NET}" for i, c in enumerate(NUMBERS))}), first AS (SELECT * FROM t ORDER BY abs(r) DESC LIMIT 1),
+ p AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {_NET}" for a in NUMBERS for b in NUMBERS if a != b)}),
+ two AS (SELECT t.c, first.n, (first.r * first.r + t.r * t.r - 2 * first.r * t.r * p.r) / (1 - p.r * p.r) AS r2 FROM first JOIN p ON p.a = first.c JOIN t ON t.c = p.b),
+ second AS (SELECT c, 1 - (1 - r2) * (n - 1) / (n - 3) AS v FROM two ORDER BY v DESC LIMIT 1), one AS (SELECT c, 1 - (1 - r * r) * (n - 1) / (n - 2) AS v FROM first)
+ SELECT 0 AS step, c AS column_name, {{R:v}} AS adjusted_r2 FROM one UNION ALL SELECT 1, second.c, {{R:second.v}} FROM second, one WHERE second.v - one.v > 0.0005"""
+
+
+@query("stepwise_two", _STEP)
+def stepwise_two(spark, sf_dir):
+    found = algebra.stepwise(gram(_net(spark, sf_dir), [*NUMBERS, "net"]), NUMBERS, "net", additions=1, gain=0.0005)
+    return spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(found)], "step int, column_name string, adjusted_r2 double")

@@ -70,16 +70,19 @@ def mahalanobis_top6(spark, sf_dir):
     return outliers.mahalanobis(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"], "o_orderkey")
 
 
-_CONTEXT = """WITH f AS (SELECT avg(o_totalprice) - 1.6 * stddev_samp(o_totalprice) AS lo, avg(o_totalprice) + 1.6 * stddev_samp(o_totalprice) AS hi FROM orders),
- s AS (SELECT o_orderstatus, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d, count(*) AS n FROM orders GROUP BY 1)
- SELECT o_orderkey, o_orderstatus AS segment, 'o_totalprice' AS strongest, {R:abs((o_totalprice - m) / d)} AS abs_z, 0 AS others
- FROM orders JOIN s USING (o_orderstatus), (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
- WHERE n >= 12 AND (o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)) ORDER BY o_orderkey LIMIT 8"""
+_PEAKS = "(SELECT o_orderkey, o_orderstatus, o_totalprice * CASE WHEN o_orderkey % 97 = 0 THEN 4 ELSE 1 END AS price, o_custkey::DOUBLE * CASE WHEN o_orderkey % 194 = 0 THEN 5 ELSE 1 END AS cust FROM orders)"
+_CONTEXT = f"""WITH d AS {_PEAKS}, s AS (SELECT o_orderstatus, avg(price) AS mp, stddev_samp(price) AS sp, avg(cust) AS mc, stddev_samp(cust) AS sc, count(*) AS n FROM d GROUP BY 1),
+ q AS (SELECT quantile_cont(price, 0.25) AS p1, quantile_cont(price, 0.75) AS p3, quantile_cont(cust, 0.25) AS c1, quantile_cont(cust, 0.75) AS c3 FROM d),
+ z AS (SELECT o_orderkey, o_orderstatus AS segment, abs((price - mp) / sp) AS zp, abs((cust - mc) / sc) AS zc FROM d JOIN s USING (o_orderstatus), q
+ WHERE n >= 12 AND (price < p1 - 1.5 * (p3 - p1) OR price > p3 + 1.5 * (p3 - p1) OR cust < c1 - 1.5 * (c3 - c1) OR cust > c3 + 1.5 * (c3 - c1)))
+ SELECT o_orderkey, segment, CASE WHEN zp > zc THEN 'price' ELSE 'cust' END AS strongest, {{R:greatest(zp, zc)}} AS abs_z, CASE WHEN least(zp, zc) >= 1.5 THEN 1 ELSE 0 END AS others FROM z ORDER BY o_orderkey LIMIT 8"""
 
 
 @query("outlier_context", _CONTEXT)
 def outlier_context(spark, sf_dir):
-    return outliers.outlier_context(table(spark, sf_dir, "orders"), "o_orderstatus", ["o_totalprice"], "o_orderkey")
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").select(k, "o_orderstatus", (F.col("o_totalprice") * F.when(k % 97 == 0, 4).otherwise(1)).alias("price"), (F.col("o_custkey").cast("double") * F.when(k % 194 == 0, 5).otherwise(1)).alias("cust"))
+    return outliers.outlier_context(d, "o_orderstatus", ["price", "cust"], "o_orderkey")
 
 
 # -- imputation: nulls are derived from keys --
@@ -374,3 +377,27 @@ def running_totals(spark, sf_dir):
     d = spark.createDataFrame([(i, *x) for i, x in enumerate(out)], "row_id long, kind string, key string, price string, x string, y string, z string")
     left = tabular.without_running_totals(d, ["key", "price"])
     return left.agg(F.count("*").alias("n"), F.sum(F.col("price").cast("double")).alias("total"))
+
+
+@query("text_headers", "SELECT unnest(['key', 'price', 'price_2', 'column_3']) AS column_name, unnest([0, 1, 2, 3]) AS place, count(*) AS n FROM orders")
+def text_headers(spark, sf_dir):
+    """A byte-order mark goes, empty names are numbered, repeated ones counted."""
+    import uuid
+
+    from ..sources import scratch, tabular
+
+    base = scratch.materialised(table(spark, sf_dir, "region"), "base").inputFiles()[0].rsplit("/", 2)[0]
+    path = f"{base}/quillon-text-{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "orders").select(F.concat_ws(",", "o_orderkey", "o_totalprice", "o_totalprice", F.lit("x")).alias("value"))
+    spark.createDataFrame([("\ufeffkey,price, price,",)], "value string").unionByName(lines).coalesce(1).write.text(path)
+    d = tabular.read_text_table(spark, path)
+    n = d.count()
+    return spark.createDataFrame([(c, i, n) for i, c in enumerate(d.columns)], "column_name string, place int, n long")
+
+
+@query("token_names", "SELECT DISTINCT p_type || ' / ' || p_brand AS token, substr(trim(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_'), 1, 24) AS name FROM part")
+def token_names(spark, sf_dir):
+    from ..functions import names
+
+    tokens = [r["t"] for r in table(spark, sf_dir, "part").select(F.concat_ws(" / ", "p_type", "p_brand").alias("t")).distinct().collect()]
+    return spark.createDataFrame([(t, names.column_token(t)) for t in tokens], "token string, name string")

@@ -141,8 +141,9 @@ def cross_validated_lines(spark, sf_dir):
     return models.cross_validated(d, ["l_tax"], "net", "row_key", fold="part").unionByName(models.cross_validated(d, ["l_tax"], "net", "row_key", ridge=1.0, label="ridge", fold="part"))
 
 
-_LONG = " UNION ALL ".join(f"SELECT fold, net AS y, {i} AS i, {c} AS v FROM d" for i, c in enumerate(FEATURES))
-_STUMP = f"""WITH d AS {_PARTED}, l AS ({_LONG}), t AS (SELECT k, i, v, y FROM l, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE fold <> k),
+def _stump_sql(features: list[str]) -> str:
+    long = " UNION ALL ".join(f"SELECT fold, net AS y, {i} AS i, {c} AS v FROM d" for i, c in enumerate(features))
+    return f"""WITH d AS {_PARTED}, l AS ({long}), t AS (SELECT k, i, v, y FROM l, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE fold <> k),
  m AS (SELECT k, i, v AS m FROM (SELECT k, i, v, row_number() OVER (PARTITION BY k, i ORDER BY v) - 1 AS place, count(*) OVER (PARTITION BY k, i) AS n FROM t) WHERE place = n // 2),
  g AS (SELECT t.k, t.i, any_value(m) AS m, avg(y) FILTER (v <= m) AS lo, avg(y) FILTER (v > m) AS hi, var_pop(y) FILTER (v <= m) * count(*) FILTER (v <= m) + var_pop(y) FILTER (v > m) * count(*) FILTER (v > m) AS sse FROM t JOIN m ON m.k = t.k AND m.i = t.i GROUP BY 1, 2),
  b AS (SELECT k, i, m, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sse, i) AS place FROM g WHERE sse IS NOT NULL) WHERE place = 1),
@@ -150,11 +151,19 @@ _STUMP = f"""WITH d AS {_PARTED}, l AS ({_LONG}), t AS (SELECT k, i, v, y FROM l
  SELECT 'decision stump' AS model, count(*) AS n, {{R:sqrt(avg(pow(y - p, 2)))}} AS rmse, {{R:1 - avg(pow(y - p, 2)) / var_pop(y)}} AS r2 FROM e"""
 
 
-@query("stump_of_named_folds", _STUMP, digits=3)
+@query("stump_of_named_folds", _stump_sql(FEATURES), digits=3)
 def stump_of_named_folds(spark, sf_dir):
     return models.stump(_parted(spark, sf_dir), FEATURES, "net", "row_key", fold="part")
 
 
+_plain = lambda sql: sql.replace("{R:", "(").replace("} AS", ") AS")
+
+
+@query("benchmark_of_named_folds", f"WITH a AS ({_plain(_FOLDS)}), b AS ({_plain(_stump_sql(['l_tax']))}) SELECT model, {{R:rmse}} AS rmse, {{R:r2}} AS r2, 1::BIGINT AS targets FROM (SELECT * FROM a UNION ALL SELECT * FROM b)", digits=3)
+def benchmark_of_named_folds(spark, sf_dir):
+    return models.benchmark(_parted(spark, sf_dir), ["l_tax"], ["net"], "row_key", fold="part")
+
+
 @query("sample_facts", "SELECT least(100, count(*)) AS n, least(100, count(*)) AS distinct_keys, least(100, count(*)) AS in_table, true AS same_again FROM orders")
 def sample_facts(spark, sf_dir):
     """What a sample without replacement has to be, whatever rows it drew."""
