@@ -54,7 +54,15 @@ def outlier_flag(spark, sf_dir):
     return outliers.flag(table(spark, sf_dir, "orders"), ["o_totalprice"], "zscore", z=1.2).select("o_orderkey", "o_totalprice_outlier")
 
 
-@query("lof_1d")
+_LOF = """WITH r AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer),
+ c AS (SELECT a.i, b.i AS j, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.v - b.v), b.i) AS p FROM r a JOIN r b ON b.i BETWEEN a.i - 20 AND a.i + 20 AND b.i <> a.i),
+ n AS (SELECT i, j, d FROM c WHERE p <= 20), k AS (SELECT i, max(d) AS kd FROM n GROUP BY i), h AS (SELECT n.i, avg(greatest(n.d, k.kd)) AS reach FROM n JOIN k ON k.i = n.j GROUP BY n.i),
+ l AS (SELECT n.i, avg(1 / b.reach) * any_value(a.reach) AS lof FROM n JOIN h a ON a.i = n.i JOIN h b ON b.i = n.j GROUP BY n.i),
+ f AS (SELECT v, min(i) AS i FROM r GROUP BY v)
+ SELECT c_custkey, {R:lof} AS lof, lof > 1.5 AS outlier FROM customer JOIN f ON v = c_acctbal JOIN l USING (i)"""
+
+
+@query("lof_1d", _LOF)
 def lof_1d(spark, sf_dir):
     return outliers.lof(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
 

@@ -195,3 +195,18 @@ def feature_verdicts(spark, sf_dir):
     d = _parted(spark, sf_dir).drop("row_key", "part").withColumns({"flat": F.lit(2.0), "word": F.lit("x"), "left_out": F.col("l_tax") * 2})
     kept, gone = select.collect_features(d, "net", ["left_out"])
     return spark.createDataFrame([(c, "kept") for c in kept] + list(gone.items()), "column_name string, verdict string")
+
+
+_OOD = """WITH o AS (SELECT o_totalprice + CASE WHEN i % 50 = 0 THEN 3e6 ELSE 0 END AS v, i < floor(0.7 * n) AS ref FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)),
+ z AS (SELECT ref, abs((v - m) / s) AS d FROM o, (SELECT avg(v) AS m, stddev_samp(v) AS s FROM o WHERE ref)), t AS (SELECT avg(d) AS m, stddev_samp(d) AS s FROM z WHERE ref),
+ k AS (SELECT count(*) FILTER (ref) AS reference_rows, count(*) FILTER (NOT ref) AS monitor_rows, count(*) FILTER (NOT ref AND ((d - m) / s >= 3.5 OR d >= 3.5)) AS ood, avg(d) FILTER (NOT ref) AS mean_distance, max(d) FILTER (NOT ref) AS max_distance FROM z, t),
+ q AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS c FROM o WHERE ref), b AS (SELECT (v >= c[1])::INTEGER + (v >= c[2])::INTEGER + (v >= c[3])::INTEGER + (v >= c[4])::INTEGER AS bin, ref FROM o, q),
+ h AS (SELECT greatest(count(*) FILTER (ref) / sum(count(*) FILTER (ref)) OVER (), 1e-6) AS a, greatest(count(*) FILTER (NOT ref) / sum(count(*) FILTER (NOT ref)) OVER (), 1e-6) AS m FROM b GROUP BY bin), p AS (SELECT sum((m - a) * ln(m / a)) AS psi FROM h)
+ SELECT reference_rows, monitor_rows, ood, {R:ood / monitor_rows} AS ood_rate, {R:mean_distance} AS mean_distance, {R:max_distance} AS max_distance, {R:psi} AS psi_mean, {R:psi} AS psi_max,
+ CASE WHEN psi >= 0.25 OR ood / monitor_rows >= 0.25 THEN 'critical' WHEN psi >= 0.15 OR ood / monitor_rows >= 0.10 THEN 'warning' ELSE 'stable' END AS band FROM k, p"""
+
+
+@query("ood_of_one_column", _OOD)
+def ood_of_one_column(spark, sf_dir):
+    d = _indexed(spark, sf_dir).withColumn("v", F.col("o_totalprice") + F.when(F.col("i") % 50 == 0, 3e6).otherwise(0.0))
+    return models.out_of_distribution(d, ["v"], "i")
