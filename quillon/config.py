@@ -130,6 +130,8 @@ class Config:
         for c, t in self.type.items():
             if t not in TYPES:
                 raise ConfigurationError(f"type.{c}: unknown type {t!r}")
+        if unknown := set(self.plots) - {"all", "none", "univariate", "bivariate", "overall"}:
+            raise ConfigurationError(f"plots: unknown group {sorted(unknown)[0]!r}")
         self.tuning.check()
         self._preset()
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, domain_rules
+from ..drawing import draw
 from ..functions import names as N
-from ..operators import algebra, causal, features, impute, models, neural, outliers, profile, relate, select, temporal
+from ..operators import algebra, causal, features, impute, models, neural, outliers, plots, profile, relate, select, temporal
 from ..operators.moments import Gram, gram
 from ..report import Report, graph_page
 from ..sources import tabular
@@ -221,6 +222,35 @@ def advanced(df: DataFrame, features: list[str], target: str, levels: list[str],
     return out
 
 
+#: Groups of plots, as ``Config.plots`` names them.
+PLOTS = ("univariate", "bivariate", "overall")
+
+
+def drawings(result: Analysis, groups: list[str]) -> list[tuple[str, object, str]]:
+    """(kind, data, title) of the plots of the groups: distributions of the leading features, the selected pairs, and
+    the correlations, categories and far rows of the whole table. Only bounded tables reach the driver."""
+    df, out = result.prepared, []
+    names = [r["column_name"] for r in result.tables["importance"].limit(8).collect()] if "importance" in result.tables else []
+    if "univariate" in groups:
+        for c in names:
+            out.append(("bars", [(f"{r['low']:.4g}", float(r["n"])) for r in profile.histogram(df, c).orderBy("bin").collect()], f"Distribution of {c}"))
+        shown = [r for c in names for r in plots.box(df, c).where("drawn").withColumn("level", F.lit(c)).collect()]
+        out += [("boxes", [(r["level"], r["low"], r["q1"], r["median"], r["q3"], r["high"])], f"Spread of {r['level']}") for r in shown]
+    if "bivariate" in groups and "pairs" in result.tables:
+        for r in result.tables["pairs"].where("selected").limit(6).collect():
+            points = [(p["x"], p["y"]) for p in plots.scatter(df, r["a"], r["b"], "row_id", 1500).collect()]
+            out.append(("scatter", {r["relation"]: points}, f"{r['a']} and {r['b']} (r = {r['r']:.2f})"))
+    if "overall" in groups:
+        if len(names) > 1:
+            cells = plots.heatmap(df, names, clustered=True).collect()
+            out.append(("heatmap", [(r["i"], r["j"], r["a"], r["b"], r["r"]) for r in cells], "Correlations"))
+        if len(names) > 2:
+            out.append(("solid", [(p["x"], p["y"], p["z"]) for p in plots.scatter_3d(df, *names[:3], "row_id", 1500).collect()], f"{names[0]}, {names[1]} and {names[2]}"))
+        for r in result.tables["pies"].collect() if "pies" in result.tables else []:
+            out.append(("pie", [(x["level"], x["n"]) for x in plots.pie(df, r["category"]).orderBy(F.desc("n"), "level").collect()], f"{r['category']} beside {r['anchor']}"))
+    return [d for d in out if d[1]]
+
+
 def write(result: Analysis, config: Config, workspace: str = ".") -> str:
     """Report, graph page and the chosen export, all inside the workspace."""
     base = tabular.safe_path(config.output_dir, workspace)
@@ -230,6 +260,8 @@ def write(result: Analysis, config: Config, workspace: str = ".") -> str:
         report.paragraph(note)
     for name, df in result.tables.items():
         report.heading(name).table(df)
+    for kind, data, title in drawings(result, [g for g in PLOTS if g in config.plots or "all" in config.plots]):
+        report.image(draw(kind, data, title, tabular.safe_path(config.assets_dir, str(base))), title)
     report.save(where)
     if "causal" in result.tables:
         graph_page([(r["cause"], r["effect"], r["confidence"]) for r in result.tables["causal"].collect()], tabular.safe_path(f"{config.assets_dir}/graph.html", str(base)))

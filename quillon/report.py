@@ -49,6 +49,11 @@ class Report:
         self.parts.append(f'<figure><svg viewBox="0 0 480 480" role="img">{cells}</svg><figcaption>{html.escape(caption)}</figcaption></figure>')
         return self
 
+    def image(self, path: str | Path, caption: str = "") -> "Report":
+        """A drawn file, inside the page."""
+        self.parts.append(f"<figure>{Path(path).read_text(encoding='utf-8')}<figcaption>{html.escape(caption)}</figcaption></figure>")
+        return self
+
     def html(self) -> str:
         style = "body{font:15px/1.5 system-ui;max-width:70rem;margin:2rem auto;padding:0 1rem}table{border-collapse:collapse}td,th{border:1px solid #bbb;padding:.2rem .5rem;text-align:left}svg{max-width:40rem}rect{fill:#48a}"
         return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(self.title)}</title><style>{style}</style></head><body><h1>{html.escape(self.title)}</h1>{"".join(self.parts)}</body></html>'

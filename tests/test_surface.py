@@ -112,6 +112,27 @@ def test_whole_analysis(spark, tmp_path):
         analyze(str(tmp_path / "a.csv"), config, spark, cancel=lambda: True)
 
 
+def test_analysis_with_network_and_plots(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(240):
+        a, b, c = rng.gauss(0, 1), rng.random() * 10, rng.gauss(5, 2)
+        rows.append((a, b, c, "xyz"[i % 3], "pq"[i % 2], 3 * a + 0.5 * b + 0.2 * a * c + rng.gauss(0, 0.2)))
+    d = spark.createDataFrame(rows, "first double, second double, third double, kind string, side string, outcome double")
+    config = build({"target": "outcome", "tuning.causal_bootstraps": 4, "causal": "false", "plots": "all", "output_dir": "out", "feature_engineering": "false"})
+    out = analyze(d, config, spark)
+    assert {"topologies", "confidence", "interactions", "interaction_test", "conditional_drift", "narrative", "outlier_context", "mahalanobis", "psi", "pies", "contingency_kind_side"} <= set(out.tables)
+    assert 0 <= out.tables["confidence"].first()["confidence"] <= 1
+    told = {r["topic"]: r["text"] for r in out.tables["narrative"].collect()}
+    assert told["drivers"].startswith("first") and "No " not in told.get("interaction", "")
+    page = open(write(out, config, str(tmp_path))).read()
+    assert page.count("<svg") >= 8 and len(list((tmp_path / "out" / config.assets_dir).glob("*.svg"))) >= 8
+    with pytest.raises(ConfigurationError):
+        build({"target": "y", "plots": "everything"})
+
+
 def test_stream_monitor(spark, tmp_path):
     ref = spark.range(1000).select((F.col("id") % 100).cast("double").alias("v"))
     edges, shares = monitor.reference_bins(ref, "v")
@@ -163,3 +184,25 @@ def test_nothing_but_findings_is_told():
     from quillon.operators import relate
 
     assert relate.narrative_rows([("a", None), ("b", "No effect"), ("c", " x leads "), ("d", "Insufficient rows"), ("e", "y")]) == [(1, "c", "x leads"), (2, "e", "y")]
+
+
+def test_drawings_are_kept(tmp_path):
+    """Every kind is well-formed, escapes names, and is drawn once."""
+    from xml.etree import ElementTree
+
+    from quillon import drawing
+
+    odd = '<b>&"x'
+    data = {
+        "scatter": {odd: [(0.0, 1.0), (2.0, float("nan")), (3.0, 4.0)], "other": []}, "lines": {"a": [(2.0, 1.0), (1.0, 0.0)], odd: [(1.0, 5.0)]}, "bars": [(odd, 3.0), ("b", 0.0)],
+        "boxes": [(odd, 0.0, 1.0, 2.0, 3.0, 9.0)], "pie": [(odd, 3.0), ("b", 1.0)], "heatmap": [(0, 0, odd, "b", 1.0), (0, 1, "a", "b", -0.5)], "schedule": [(odd, 5.0, 2.0), ("b", 6.0, 1.0)], "solid": [(0.0, 1.0, 2.0), (1.0, 1.0, 1.0)],
+    }
+    assert set(data) == set(drawing.KINDS)
+    for kind, rows in data.items():
+        path = drawing.draw(kind, rows, f"title {odd}", tmp_path / "assets")
+        assert "<b>" not in path.read_text() and ElementTree.parse(path).getroot().tag.endswith("svg")
+        path.write_text("kept")
+        assert drawing.draw(kind, rows, f"title {odd}", tmp_path / "assets").read_text() == "kept"
+        assert drawing.draw(kind, rows, "another", tmp_path / "assets") != path
+    for kind, empty in (("scatter", {}), ("lines", {"a": []}), ("bars", []), ("boxes", []), ("pie", []), ("heatmap", []), ("schedule", []), ("solid", [])):
+        ElementTree.fromstring(drawing.KINDS[kind](empty, "nothing"))
