@@ -30,7 +30,7 @@ ANCHOR = 25
 GRAM = 8
 WINDOW = MIN_WORDS - ANCHOR + 1
 #: Different contexts of one anchor that are compared in one task; of more, the keys are grouped by Spark.
-GROUP_ROWS = 8192
+GROUP_ROWS = 50_000
 #: Suffixes sorted in one numpy pass.
 PASS_ROWS = 20_000
 
@@ -257,8 +257,11 @@ def hot_anchors(places: DataFrame, shared: DataFrame) -> DataFrame | None:
 
 def found_by_keys(each: DataFrame) -> DataFrame:
     """What compare finds, with the keys grouped by Spark: no task holds a whole group."""
-    keys = each.mapInArrow(listed_keys, _KEYS)
+    every = each.mapInArrow(listed_keys, _KEYS)
     pair = lambda i: F.struct(F.col(f"id{i}").alias("id"), F.col(f"tid{i}").alias("tid"))
+    # Most keys are of one text: they go before anything else is done, by their least and greatest text.
+    several = every.groupBy("l", "key").agg(F.min(pair(1)).alias("least"), F.max(pair(2)).alias("most")).where("least != most").select("l", "key")
+    keys = saved(every.join(several, ["l", "key"]), "hot_keys")
     texts = keys.select("l", "key", F.explode(F.array_distinct(F.array(pair(1), pair(2)))).alias("text")).distinct()
     two = texts.withColumn("k", F.row_number().over(Window.partitionBy("l", "key").orderBy("text"))).where("k <= 2")
     met = two.groupBy("l", "key").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b")
