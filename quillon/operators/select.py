@@ -20,7 +20,7 @@ STRATEGIES = ("auto", "quality", "max_variance", "last_numeric")
 
 def column_profile(df: DataFrame) -> dict[str, dict]:
     """n, distinct values, variance, non-zero share and entropy of each column: one aggregate, and one
-    count of values. Numbers are counted in steps of a thousandth; the entropy is over its maximum."""
+    count of values by their 64-bit hashes. Numbers are counted in steps of a thousandth; the entropy is over its maximum."""
     numbers = set(numeric_columns(df))
     cells = [F.count("*").alias("__n")]
     value = {c: finite(c) if c in numbers else F.col(c).cast("string") for c in df.columns}
@@ -29,7 +29,7 @@ def column_profile(df: DataFrame) -> dict[str, dict]:
         cells.append(F.struct(F.count(v).alias("n"), *extra).alias(c))
     row = df.agg(*cells).first()
     n = row["__n"]
-    steps = lambda c, v: F.round(v * 1000).cast("string") if c in numbers else v
+    steps = lambda c, v: F.when(v.isNotNull(), F.xxhash64(F.round(v * 1000) + 0.0 if c in numbers else v))
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), steps(c, v).alias("v")) for c, v in value.items()])).alias("x")).select("x.*").where("v is not null")
     counts = long.groupBy("c", "v").agg(F.count("*").cast("double").alias("k")).groupBy("c").agg(F.count("*").alias("distinct"), F.sum(F.col("k") * F.log2("k")).alias("weighted"))
     seen = {r["c"]: r for r in counts.collect()}
