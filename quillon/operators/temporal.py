@@ -163,17 +163,20 @@ def time_axis(df: DataFrame) -> str | None:
     return times[0] if times else next((c for c in df.columns if N.is_date_like(c)), None)
 
 
-def regularised(df: DataFrame, value: str, axis: str) -> DataFrame:
-    """Means on a grid of the median step where over 20 % of the steps differ from it by a tenth."""
+def regularised(df: DataFrame, value: str, axis: str, uneven_only: bool = True) -> DataFrame:
+    """Means on a grid of the median step; if ``uneven_only``, where over 20 % of the steps differ from it by a
+    tenth, and else the rows as they are. Otherwise always, and rows without a step are one mean without a time."""
     at = F.unix_timestamp(axis).cast("double")
     steps = lagged(df.select(axis, finite(value).alias(value)).withColumn("__t", at), ["__t"], axis, value).select((F.col("__t") - F.col("__t_lag1")).alias("d")).where("d > 0")
     s = quantiles.medians(steps, ["d"])["d"]
-    if not s:
-        return df.select(axis, value)
-    odd = steps.agg(F.avg(F.when(F.abs(F.col("d") - s) > 0.1 * s, 1.0).otherwise(0.0))).first()[0]
-    if odd <= 0.20:
-        return df.select(axis, value)
-    return df.groupBy(F.timestamp_seconds(F.floor(at / s) * s).alias(axis)).agg(F.avg(finite(value)).alias(value))
+    if uneven_only:
+        if not s:
+            return df.select(axis, value)
+        odd = steps.agg(F.avg(F.when(F.abs(F.col("d") - s) > 0.1 * s, 1.0).otherwise(0.0))).first()[0]
+        if odd <= 0.20:
+            return df.select(axis, value)
+    step = F.lit(s).cast("double")
+    return df.groupBy(F.timestamp_seconds(F.floor(at / step) * step).alias(axis)).agg(F.avg(finite(value)).alias(value))
 
 
 def trend_choice(df: DataFrame, value: str, axis: str, tie: str) -> DataFrame:

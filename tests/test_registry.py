@@ -51,3 +51,23 @@ def test_no_window_holds_a_table(spark, data):
         for line in plan.splitlines():
             if re.search(r"^\W*Window ", line) and "windowspecdefinition(__block#" not in line and re.search(r"windowspecdefinition\([a-z_]+#\d+L? ASC", line):
                 assert "bucket#" in line, (name, line)
+
+
+@pytest.mark.parametrize("case, spacing", [("even", "i * 400000"), ("one second", "i"), ("no rows", "i"), ("no times", "NULL::BIGINT")])
+def test_regularised_series_on_any_steps(spark, tmp_path, case, spacing):
+    """Steps that are mostly the same, or none at all, are put on the grid too."""
+    import duckdb
+
+    con = duckdb.connect()
+    rows = 0 if case == "no rows" else 200
+    con.execute(f"COPY (SELECT i AS event_id, make_timestamp(1704067200000000 + {spacing}) AS ts, (i * 37 % 101) / 4 AS value FROM range({rows}) r(i)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    oracle.compare(registry.QUERIES["regularised_series"](spark, str(tmp_path)), con, registry.ORACLES["regularised_series"])
+
+
+def test_even_steps_stay(spark):
+    """The operator itself leaves rows at even steps as they are."""
+    from quillon.operators import temporal
+
+    d = spark.sql("SELECT timestamp_millis(1704067200000 + id * 400) AS ts, double(id) AS value FROM range(50)")
+    assert temporal.regularised(d, "value", "ts").count() == 50 and temporal.regularised(d, "value", "ts", uneven_only=False).count() == 20
